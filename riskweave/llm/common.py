@@ -47,7 +47,9 @@ class Shared:
 
     @property
     def value(self):
-        return cloudpickle.loads(self.sent.value)
+        if not hasattr(self.sent, "loaded"):  # a worker keeps the broadcast between its tasks
+            self.sent.loaded = cloudpickle.loads(self.sent.value)
+        return self.sent.loaded
 
 
 def crc_fold(column, modulus: int):

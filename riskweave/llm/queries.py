@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import decontaminate
+from riskweave.llm import decontaminate, fingerprint, lm, mixing, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
+    "op2_fingerprint": fingerprint.query,
     "op3_decontaminate": decontaminate.query,
+    "op8_url_filter": urls.query,
+    "op9_mixing": mixing.query,
+    "op10_lm_score": lm.query,
 }
 
 ORACLES: dict[str, str] = {}
