@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import decontaminate, fingerprint, lm, mixing, ngram_join, rlz, suffix_dedup, toxicity, urls
+from riskweave.llm import decontaminate, fingerprint, line_dedup, lm, mixing, ngram_join, rlz, suffix_dedup, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op2_fingerprint": fingerprint.query,
     "op3_decontaminate": decontaminate.query,
     "op4_suffix_dedup": suffix_dedup.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_rlz_dedup": rlz.query,
     "op7_ngram_join": ngram_join.query,
     "op8_url_filter": urls.query,

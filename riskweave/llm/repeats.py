@@ -22,12 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import Powers, mix, prefix_hash, space_words, span_hash, text_slices, utf8
 
-
 #: Low bits that hold a k-gram's place while hashes are compared: texts of up to 2**28 symbols.
 _PLACE_BITS = 28
 
@@ -90,13 +89,19 @@ def tiles(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, form: Symbol
     return row, first - starts[row], last - starts[row], anchor - starts[row], key[anchor]
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, bool]:
+    """A 64-bit key of rows, and whether it never repeats: the id where ids are whole numbers, unique and not null; else a hash of id and text, so rows with both alike are one document."""
+    own = F.col(f"`{id_col}`")
+    whole = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
+    if whole and docs.select(own.alias("id")).groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return own.cast("bigint"), True
+    return F.xxhash64(F.coalesce(own.cast("string"), F.lit("\x00")), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), False
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(id, text, rid), and whether no rid repeats. rid tells rows apart. It is the id where ids are whole numbers, unique and not null; else a hash of id and text, so rows with both alike are one document."""
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = base.schema["id"].dataType.typeName() in ("long", "integer", "short", "byte")
-    if whole and base.groupBy("id").count().where("count > 1 or id is null").isEmpty():
-        return base.withColumn("rid", F.col("id").cast("bigint")), True
-    return base.withColumn("rid", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("\x00")), "text")), False
+    """(id, text, rid) with the row key as rid and null texts empty, and whether no rid repeats."""
+    key, unique = row_key(docs, id_col, text_col)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), key.alias("rid")), unique
 
 
 def _anchors(form: Symbols):
