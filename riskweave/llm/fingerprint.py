@@ -160,7 +160,9 @@ def _stream():
 def verified(found: DataFrame) -> DataFrame:
     """``found`` with ``collision``: null where all forms of the row's bucket are the same bytes, else the number of the row's form in it."""
     forms = found.where("form is not null").select("digest", "form")
-    mixed = forms.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest")
+    mixed = materialise(forms.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest"), "mixed")
+    if mixed.isEmpty():  # as ever, but for a collision of 128-bit hashes
+        return found.withColumn("collision", F.lit(None).cast("int"))
     number = F.dense_rank().over(Window.partitionBy("digest").orderBy("form"))
     split = forms.join(mixed, "digest").distinct().select("digest", "form", number.alias("collision"))
     return found.join(split, ["digest", "form"], "left")
