@@ -36,16 +36,23 @@ def _g(y: np.ndarray) -> np.ndarray:
 _CHEB = chebyshev.chebinterpolate(_g, DEGREE)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def erfc(x: Column) -> Column:
-    z = F.abs(x)
-    t = 2 / (z + 2)
-    y = 2 * t - 1
-    ahead, last = F.lit(0.0), F.lit(0.0)
     steps = F.array(*[F.lit(float(c)) for c in _CHEB[:0:-1]])
-    start = F.struct(ahead.alias("b1"), last.alias("b2"))
-    b = F.aggregate(steps, start, lambda s, c: F.struct((2 * y * s["b1"] - s["b2"] + c).alias("b1"), s["b1"].alias("b2")))
-    half = t * F.exp(-z * z + y * b["b1"] - b["b2"] + float(_CHEB[0]))
-    return F.when(x >= 0, half).otherwise(2 - half)
+    start = F.struct(F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
+
+    def at(v: Column) -> Column:
+        z = F.abs(v)
+        y = 4 / (z + 2) - 1
+        ends = F.aggregate(steps, start, lambda s, c: F.struct((2 * y * s["b1"] - s["b2"] + c).alias("b1"), s["b1"].alias("b2")))
+        half = let(ends, lambda b: 2 / (z + 2) * F.exp(-z * z + y * b["b1"] - b["b2"] + float(_CHEB[0])))
+        return let(half, lambda h: F.when(v >= 0, h).otherwise(2 - h))
+
+    return let(x, at)
 
 
 def erfc_sql(x: str) -> str:
@@ -74,19 +81,19 @@ def chi_square_1_sf(x: Column) -> Column:
     return erfc(F.sqrt(F.greatest(x, F.lit(0.0)) / 2))
 
 
-def ppf(p: Column, steps: int = 60) -> Column:
-    """Normal quantile by bisection on the tail of the nearer side, then one Newton step; null outside (0, 1)."""
-    low = F.least(p, 1 - p)
-    start = F.struct(F.lit(-38.5).alias("a"), F.lit(0.0).alias("b"))
+def ppf(p: Column) -> Column:
+    """Normal quantile: a rational first guess on the tail of the nearer side, then Newton steps with the exact tail; null outside (0, 1)."""
 
-    def halve(s, _):
-        m = (s["a"] + s["b"]) / 2
-        under = cdf(m) < low
-        return F.struct(F.when(under, m).otherwise(s["a"]).alias("a"), F.when(under, s["b"]).otherwise(m).alias("b"))
+    def at(q: Column) -> Column:
+        low = F.least(q, 1 - q)
+        t = F.sqrt(-2 * F.ln(low))
+        # fixed values: a classic two-by-three rational approximation
+        x = -(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t))
+        for _ in range(4):
+            x = let(x, lambda v: v - (cdf(v) - low) / F.greatest(pdf(v), F.lit(1e-300)))
+        return let(x, lambda v: F.when(q == 0.5, 0.0).when(q < 0.5, v).otherwise(-v))
 
-    x = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    x = (x["a"] + x["b"]) / 2
-    return F.when((p > 0) & (p < 1), F.when(p == 0.5, 0.0).when(p < 0.5, x).otherwise(-x))
+    return let(F.when((p > 0) & (p < 1), p), at)
 
 
 def z(confidence: float) -> float:
