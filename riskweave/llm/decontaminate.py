@@ -201,8 +201,9 @@ def _shard(windows: Windows, counts: list[int], ids: list[int]) -> tuple[np.ndar
     doc = np.searchsorted(start, first, "right") - 1
     for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True):
         while b > start[d + 1]:  # spans of neighbouring documents may touch
-            spans[d].append((a - int(start[d]), int(start[d + 1] - start[d])))
-            hits[d] += start[d + 1] - a
+            if start[d + 1] > a:  # a document without words has no span
+                spans[d].append((a - int(start[d]), int(start[d + 1] - start[d])))
+                hits[d] += start[d + 1] - a
             d, a = d + 1, int(start[d + 1])
         spans[d].append((a - int(start[d]), b - int(start[d])))
         hits[d] += b - a
