@@ -9,8 +9,8 @@ there are and which get 2 is chosen per band by a cost model of index rows (``al
 happen to be too empty for the guarantee is indexed by a prefix of its sorted shingles as well, which is exact among
 such documents; elsewhere its partner carries the guarantee.
 
-Equal sets are one class from the start. Signatures that several classes share give star pairs (class, smallest
-class), which are verified exactly and joined into components. Only classes that still lie in different components
+Equal sets are one class from the start. A class is first paired with a few of the smallest classes that share
+signatures with it; the pairs are verified exactly and joined into components. Only classes that still lie in different components
 but share a signature are compared further; a signature that very many of them share is first refined by a second
 shared signature, which the allocation's reserve guarantees. So a group of n near copies costs about n
 verifications, not n squared, and no link between different sets is lost for components.
@@ -19,6 +19,7 @@ verifications, not n squared, and no link between different sets is lost for com
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ LEAST = (80, 100)
 RESERVE = 2
 #: A signature shared by more classes than this is refined before its classes are paired.
 REFINE_OVER = 64
+#: At first each class is compared with this many of the smallest classes that share signatures with it.
+STARS = 3
 #: A star centre's pairs are dealt into groups of about this many.
 SALT_ROWS = 1000
 
@@ -222,12 +225,25 @@ def _groups(batches):
         last = (sig[n], cls[n], hub[n], written)
 
 
-def _as_sets(batches):
-    powers = Powers()
-    for batch in text_slices(batches, 1, 1 << 20):
-        hashes, begin = shingle_sets(*utf8(batch.column(1)), powers)
-        raw = [hashes[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["cls", "items"])
+def _packed(batches):
+    for batch in text_slices(batches, 1, 4 << 20):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["cls", "items"])
+
+
+def _unpacked(items: list[bytes], powers: Powers) -> list[np.ndarray]:
+    """The shingle sets of packed texts, read a megabyte at a time."""
+    out: list[np.ndarray] = []
+    texts: list[bytes] = []
+    size = 0
+    for k, item in enumerate(items):
+        texts.append(zlib.decompress(item))
+        size += len(texts[-1])
+        if size > 1 << 20 or k == len(items) - 1:
+            ends = np.cumsum([len(t) for t in texts])
+            hashes, begin = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.append(0, ends[:-1]), ends, powers)
+            out += [hashes[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            texts, size = [], 0
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -241,12 +257,12 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify(batches):
-    """Rows sorted by (hub, salt, whether a member): the hub's set, then its members' sets. Yields linked pairs."""
-    centre, own = None, None
+    """Rows sorted by (hub, salt, whether a member): the hub's text, then its members' texts. Yields linked pairs."""
+    centre, own, powers = None, None, Powers()
     for batch in batches:
         a, b = [], []
-        for hub, salt, cls, member, items in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            values = np.frombuffer(items, np.uint64)
+        sets = _unpacked(batch.column(4).to_pylist(), powers)
+        for hub, salt, cls, member, values in zip(*(batch.column(k).to_pylist() for k in range(4)), sets, strict=True):
             if not member:
                 centre, own = (hub, salt), values
             elif centre == (hub, salt) and linked(own, values):
@@ -258,16 +274,16 @@ def _verify(batches):
 # --- the join ---------------------------------------------------------------------------------------
 
 
-def _sets_of(pairs: DataFrame, sizes: DataFrame, base: DataFrame) -> DataFrame:
-    """(cls, items) of the classes in ``pairs``: one document of each class is read again."""
+def _texts_of(pairs: DataFrame, sizes: DataFrame, base: DataFrame) -> DataFrame:
+    """(cls, items) of the classes in ``pairs``: the packed text of one document of each."""
     wanted = pairs.select(F.col("hub").alias("cls")).unionByName(pairs.select("cls")).distinct()
     first = sizes.join(wanted, "cls").groupBy("cls").agg(F.min("rid").alias("rid"))
-    return base.select("rid", "text").join(first, "rid").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_as_sets, "cls bigint, items binary")
+    return base.select("rid", "text").join(first, "rid").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_packed, "cls bigint, items binary")
 
 
 def verify(pairs: DataFrame, sizes: DataFrame, base: DataFrame) -> DataFrame:
     """The linked ones among ``pairs`` (hub, cls), as (a, b)."""
-    sets = materialise(_sets_of(pairs, sizes, base), "sets")
+    sets = materialise(_texts_of(pairs, sizes, base), "texts")
     count = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(count, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(sets, "cls")
     centres = count.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("cls", "hub"), "hub")
@@ -275,25 +291,25 @@ def verify(pairs: DataFrame, sizes: DataFrame, base: DataFrame) -> DataFrame:
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify, "a bigint, b bigint")
 
 
-def _cross_pairs(multi: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (hub, cls) that share a signature and lie in different components, without those verified as star pairs."""
+def _cross_pairs(multi: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (hub, cls) that share a signature and lie in different components, without those in ``done``."""
     known = multi.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     known = materialise(known, "members")
     state = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high")
     mixed = materialise(known.join(state.select("sig", "many"), "sig"), "mixed")
 
     def pairs(frame: DataFrame, key: str) -> DataFrame:
-        x = frame.select(key, F.col("cls").alias("hub"), F.col("component").alias("c1"), F.col("hub").alias("star"))
+        x = frame.select(key, F.col("cls").alias("hub"), F.col("component").alias("c1"))
         y = frame.select(key, "cls", F.col("component").alias("c2"))
-        return x.join(y, key).where("hub < cls and c1 <> c2 and hub <> star").select("hub", "cls")
+        return x.join(y, key).where("hub < cls and c1 <> c2").select("hub", "cls")
 
     even = F.col("sig").bitwiseAND(F.lit(1)) == 0
     large = (F.col("many") > REFINE_OVER) & even
     small = pairs(mixed.where(~large), "sig")
     big = mixed.where(large)
     second = big.join(known.select(F.col("sig").alias("sig2"), "cls").where(F.col("sig2").bitwiseAND(F.lit(1)) == 0), "cls").where("sig <> sig2")
-    second = second.withColumn("key", F.xxhash64(F.least("sig", "sig2"), F.greatest("sig", "sig2"))).select("key", "cls", "component", "hub").distinct()
-    return small.unionByName(pairs(second, "key")).distinct()
+    second = second.withColumn("key", F.xxhash64(F.least("sig", "sig2"), F.greatest("sig", "sig2"))).select("key", "cls", "component").distinct()
+    return small.unionByName(pairs(second, "key")).distinct().join(done, ["hub", "cls"], "left_anti")
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -309,10 +325,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     signed = base.select("text").mapInArrow(_signed, "sig bigint, cls bigint")
     multi = materialise(signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_groups, "sig bigint, cls bigint, hub bigint"), "signatures")
     real = sizes.where("n_shingles > 0")
-    stars = multi.where("cls <> hub").select("hub", "cls").distinct()
+    hubs = F.slice(F.array_sort(F.collect_set("hub")), 1, STARS)  # as many as a class has signatures at most
+    stars = materialise(multi.where("cls <> hub").groupBy("cls").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("hub"), "cls"), "stars")
     links = materialise(verify(stars, real, base), "links")
     labels = components(links)
-    more = materialise(_cross_pairs(multi, labels), "pairs")
+    more = materialise(_cross_pairs(multi, labels, stars), "pairs")
     if not more.isEmpty():
         labels = components(links.unionByName(verify(more, real, base)))
     grouped = real.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
