@@ -227,7 +227,7 @@ def _groups(batches):
 
 def _packed(batches):
     for batch in text_slices(batches, 1, 4 << 20):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["cls", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["rid", "items"])
 
 
 def _unpacked(items: list[bytes], powers: Powers) -> list[np.ndarray]:
@@ -274,16 +274,17 @@ def _verify(batches):
 # --- the join ---------------------------------------------------------------------------------------
 
 
-def _texts_of(pairs: DataFrame, sizes: DataFrame, base: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, sizes: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
     """(cls, items) of the classes in ``pairs``: the packed text of one document of each."""
     wanted = pairs.select(F.col("hub").alias("cls")).unionByName(pairs.select("cls")).distinct()
     first = sizes.join(wanted, "cls").groupBy("cls").agg(F.min("rid").alias("rid"))
-    return base.select("rid", "text").join(first, "rid").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_packed, "cls bigint, items binary")
+    packed = base.select("rid", "text").mapInArrow(_packed, "rid bigint, items binary").join(first, "rid").select("cls", "items")
+    return packed if unique else packed.dropDuplicates(["cls"])
 
 
-def verify(pairs: DataFrame, sizes: DataFrame, base: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sizes: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
     """The linked ones among ``pairs`` (hub, cls), as (a, b)."""
-    sets = materialise(_texts_of(pairs, sizes, base), "texts")
+    sets = materialise(_texts_of(pairs, sizes, base, unique), "texts")
     count = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(count, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(sets, "cls")
     centres = count.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("cls", "hub"), "hub")
@@ -319,7 +320,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     one shingle. Rows that repeat an id are documents of their own. Component ids are the smallest id; null ids are
     passed over, so a component of null ids has a null id. An empty table gives none.
     """
-    base, _ = keyed(docs, id_col, text_col)
+    base, unique = keyed(docs, id_col, text_col)
     kind = base.schema["id"].dataType.simpleString()
     sizes = materialise(base.select("id", "rid", "text").mapInArrow(_sizes, f"id {kind}, rid bigint, n_shingles bigint, cls bigint"), "sizes")
     signed = base.select("text").mapInArrow(_signed, "sig bigint, cls bigint")
@@ -327,11 +328,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     real = sizes.where("n_shingles > 0")
     hubs = F.slice(F.array_sort(F.collect_set("hub")), 1, STARS)  # as many as a class has signatures at most
     stars = materialise(multi.where("cls <> hub").groupBy("cls").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("hub"), "cls"), "stars")
-    links = materialise(verify(stars, real, base), "links")
+    links = materialise(verify(stars, real, base, unique), "links")
     labels = components(links)
     more = materialise(_cross_pairs(multi, labels, stars), "pairs")
     if not more.isEmpty():
-        labels = components(links.unionByName(verify(more, real, base)))
+        labels = components(links.unionByName(verify(more, real, base, unique)))
     grouped = real.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     found = grouped.join(least, "component").select("id", "rid", "n_shingles", "cls", "component_id")
