@@ -1,4 +1,4 @@
-"""Closed forms, published figures, identities, and every SQL-expressible query against DuckDB at the smallest scale."""
+"""Closed forms, published figures and identities of the risk operators."""
 
 import math
 
