@@ -234,7 +234,8 @@ def stress_(spark, a):
     n = post.count
     tilted = entropy.temper(post.scenarios.withColumn("p", F.lit(1.0 / n)), a.confidence_in_view)
     frame = lambda w: tilted.select(F.lit("book").alias("series"), "t", F.col("__book").alias("r"), F.col(w).alias("w"))
-    return [{"when": k, **_rows(entropy.stressed_risk(frame(c), a.confidence))[0]} for k, c in (("before", "p"), ("after", "w"))] + [{"when": "entropy", "value_at_risk": post.relative_entropy, "expected_shortfall": post.effective_scenarios}]
+    risk_rows = [{"when": k, **_rows(entropy.stressed_risk(frame(c), a.confidence))[0]} for k, c in (("before", "p"), ("after", "w"))]
+    return {"risk": risk_rows, "relative_entropy": post.relative_entropy, "effective_scenarios": post.effective_scenarios}
 
 
 def regime(spark, a):
