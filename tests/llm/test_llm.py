@@ -229,3 +229,33 @@ def test_language_model(spark, rows, docs, empty):
     language, counts = lm.train(empty.select("text"))
     assert lm.score(empty, language, counts).count() == 0
     assert lm.score(docs, language, counts).count() == docs.count()
+
+
+def test_language_model_keeps_every_ngram_that_occurs_twice(spark):
+    rng = random.Random(12)
+    made = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 60)))) for i in range(400)]
+    made += [(1000 + i, "common words " * 2000) for i in range(110)]  # over 400,000 tokens, so a share of 1 / 200,000 would ask for three
+    made += [(2000 + i, f"seldom seen phrase {i}") for i in range(2)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    language, counts = lm.train(frame.select("text"))
+    auto = language.automaton
+    for order in (2, 3):
+        seen = {}
+        for _, t in made:
+            w = ["<s>", *t.split(), "</s>"]
+            for k in range(len(w) - order + 1):
+                seen[tuple(w[k : k + order])] = seen.get(tuple(w[k : k + order]), 0) + 1
+        table = language._parts[order - 1]
+        assert sorted(r["c"] for r in table.collect()) == sorted(n for n in seen.values() if n > 1)
+    whole, dealt = ({tuple(r) for r in lm.gram_counts(frame.select("text"), 2, size).collect()} for size in (1 << 30, 100_000))
+    assert whole == dealt  # counted in one block and in many
+    probe = spark.createDataFrame(made[:50] + made[-2:] + [(9000, "seldom seen unheard of phrase"), (9001, None)], "doc_id long, text string")
+    c = {r["token"]: r["c"] for r in counts.collect()}
+    ids = {w: k + 1 for k, w in enumerate(auto.words.tolist())}
+    for block_bytes in (1 << 20, 500):  # in one block and in many, scores are those of the whole automaton
+        for r in lm.score(probe, language, counts, block_bytes=block_bytes).join(probe.withColumnRenamed("doc_id", "id"), "id").collect():
+            raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+            h = lm.tokens(raw, np.array([0]), np.array([len(raw)]), lm.Powers())[0].tolist()
+            base = [math.log10((c.get(x, 0) + lm.ALPHA) / language.scale) for x in h]
+            assert abs(r["base_score"] - sum(base)) < 1e-9 and r["n_tokens"] == len(h) and r["n_known"] == sum(x in c for x in h)
+            assert abs(r["score"] - auto.score([ids.get(x, -1) for x in h], base)) < 1e-9
