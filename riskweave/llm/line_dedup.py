@@ -4,10 +4,10 @@ Lines (between newlines) are compared in a normal form: lower case, runs of othe
 space. Equal forms are one line from the start. A form's character shingles for the signature start at its words
 (the first ``ANCHOR`` characters from there on), are hashed, and the smallest ``SKETCH`` hashes are its sketch; every
 run of ``ROWS`` neighbouring hashes of the sketch is a band key, so a pair of similarity 0.8 shares each of about
-nine bands with probability one half. Lines of a bucket are paired with its first line and with the line before
-them, never all with all, and each pair is verified by the exact Jaccard similarity of all ``SHINGLE``-character
-shingles. Verified links are united by distributed union-find; the first line of a component, by document id and
-position, stays. Forms under ``LEAST_CHARS`` characters are no evidence of copying and are left alone.
+nine bands with probability one half. Lines of a bucket are first paired with its first line and with the line before
+them, and each pair is verified by the exact Jaccard similarity of all ``SHINGLE``-character shingles. Verified links
+are united by distributed union-find; lines that share a band but still lie in different components are compared as
+well, and united again. The first line of a component, by document id and position, stays. Forms under ``LEAST_CHARS`` characters are no evidence of copying and are left alone.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SKETCH = 11
 ROWS = 3
 #: Share of the smaller sketch that a pair must have in common before its shingles are compared.
 LEAST_SHARED = 0.4
+#: Buckets of more lines are refined by shingles before lines of different components are compared.
+REFINE_OVER = 10
 
 
 def normal_form(line: Column) -> Column:
@@ -70,6 +72,45 @@ def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> Dat
     return forms.select("rid", "at", F.xxhash64("form").alias("line"), "form")
 
 
+def _verify(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of lines whose shingles' Jaccard similarity reaches the threshold."""
+    shingled = distinct.select("line", "form").join(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "line")
+    shingled = materialise(shingled.select("line", "form", _sketch(F.col("form")).alias("sketch")), "shingled")
+    left = shingled.select(F.col("line").alias("a"), F.col("form").alias("fa"), F.col("sketch").alias("sa"))
+    right = shingled.select(F.col("line").alias("b"), F.col("form").alias("fb"), F.col("sketch").alias("sb"))
+    near = F.least(F.length("fa"), F.length("fb")) >= F.greatest(F.length("fa"), F.length("fb")) * (threshold / 2)
+    # lines that merely share a phrase: at similarity 0.8 far fewer than 1 in 1000 pairs share so little of their sketches
+    alike = F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * LEAST_SHARED
+    return pairs.join(left, "a").join(right, "b").where(F.when(near & alike, similarity(F.col("fa"), F.col("fb"))) >= threshold).select("a", "b")
+
+
+def _cross_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that share a band and lie in different components, without those in ``done``.
+
+    Of a bucket of more than ``REFINE_OVER`` lines only pairs that share a shingle of their prefixes: with shingles
+    ordered from the rarest, two sets of similarity t share one among each's first n - ceil(t n) + 1, so none is lost.
+    """
+    known = shared.select("band", "line").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    known = materialise(known, "members")
+    state = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high")
+    mixed = materialise(known.join(state.select("band", "many"), "band"), "mixed")
+
+    def pairs(frame: DataFrame, key: str) -> DataFrame:
+        x = frame.select(key, F.col("line").alias("a"), F.col("component").alias("c1"))
+        y = frame.select(key, F.col("line").alias("b"), F.col("component").alias("c2"))
+        return x.join(y, key).where("a < b and c1 <> c2").select("a", "b")
+
+    small = pairs(mixed.where(F.col("many") <= REFINE_OVER), "band")
+    big = mixed.where(F.col("many") > REFINE_OVER).select("line", "component").distinct().join(distinct.select("line", "form"), "line")
+    big = materialise(big.select("line", "component", F.explode(F.array_distinct(F.transform(_shingles(F.col("form")), lambda w: F.xxhash64(w)))).alias("shingle")), "shingles")
+    rare = big.join(big.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    ranked = rare.groupBy("line", "component").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # bounded by the line
+    size = F.size("all")
+    prefix = ranked.select("line", "component", F.explode(F.slice("all", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("own"))
+    large = pairs(prefix.where("own.n > 1").select("line", "component", F.col("own.shingle").alias("shingle")), "shingle")
+    return small.unionByName(large).distinct().join(done, ["a", "b"], "left_anti")
+
+
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(line, component, first_id, copies) of every distinct normal form, and (rid, at, line) of every line.
 
@@ -83,20 +124,16 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sketched = distinct.select("line", _sketch(F.col("form")).alias("sketch"))
     keys = sketched.select("line", F.explode(_bands(F.col("sketch"))).alias("band"))
     bucket = Window.partitionBy("band").orderBy("line")
-    near = keys.select("line", F.lag("line").over(bucket).alias("before"), F.first("line").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"))
-    near = near.where("before is not null and before <> line")
-    pairs = near.select("line", F.explode(F.array_distinct(F.array("before", "hub"))).alias("a")).select("a", F.col("line").alias("b"))
+    hub = F.first("line").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = keys.select("band", "line", F.lag("line").over(bucket).alias("before"), F.lead("line").over(bucket).alias("after"), hub.alias("hub"))
+    shared = materialise(shared.where("before is not null or after is not null").drop("after"), "buckets")
+    pairs = shared.where("before is not null").select("line", F.explode(F.array_distinct(F.array("before", "hub"))).alias("a")).select("a", F.col("line").alias("b"))
     pairs = materialise(pairs.where("a <> b").distinct(), "pairs")
-
-    shingled = distinct.select("line", "form").join(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "line")
-    shingled = materialise(shingled.select("line", "form", _sketch(F.col("form")).alias("sketch")), "shingled")
-    left = shingled.select(F.col("line").alias("a"), F.col("form").alias("fa"), F.col("sketch").alias("sa"))
-    right = shingled.select(F.col("line").alias("b"), F.col("form").alias("fb"), F.col("sketch").alias("sb"))
-    near = F.least(F.length("fa"), F.length("fb")) >= F.greatest(F.length("fa"), F.length("fb")) * (threshold / 2)
-    # lines that merely share a phrase: at similarity 0.8 far fewer than 1 in 1000 pairs share so little of their sketches
-    alike = F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * LEAST_SHARED
-    both = pairs.join(left, "a").join(right, "b").where(F.when(near & alike, similarity(F.col("fa"), F.col("fb"))) >= threshold)
-    labels = components(both.select("a", "b"))
+    links = materialise(_verify(pairs, distinct, threshold), "links")
+    labels = components(links)
+    more = materialise(_cross_pairs(shared, labels, pairs, distinct, threshold), "pairs")
+    if not more.isEmpty():
+        labels = components(links.unionByName(_verify(more, distinct, threshold)))
     found = distinct.drop("form").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     return found, lines.drop("form")
 

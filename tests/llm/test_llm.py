@@ -259,3 +259,20 @@ def test_language_model_keeps_every_ngram_that_occurs_twice(spark):
             base = [math.log10((c.get(x, 0) + lm.ALPHA) / language.scale) for x in h]
             assert abs(r["base_score"] - sum(base)) < 1e-9 and r["n_tokens"] == len(h) and r["n_known"] == sum(x in c for x in h)
             assert abs(r["score"] - auto.score([ids.get(x, -1) for x in h], base)) < 1e-9
+
+
+def test_lines_with_a_passage_in_common(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3 + rng.randrange(6)))
+    passage = [word() for _ in range(30)]
+    made = []
+    for k in range(700):
+        own = [word() for _ in range(10)]
+        made.append((2 * k, " ".join(passage + own)))
+        own[rng.randrange(10)] = word()
+        made.append((2 * k + 1, " ".join(passage + own)))
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    groups, lines = line_dedup.line_groups(frame)
+    found = {r["rid"]: r["component"] for r in lines.join(groups, "line").collect()}
+    joined = sum(found[2 * k] == found[2 * k + 1] for k in range(700))
+    assert joined >= 0.985 * 700 and len(set(found.values())) > 650
