@@ -7,7 +7,7 @@ run of ``ROWS`` neighbouring hashes of the sketch is a band key, so a pair of si
 nine bands with probability one half. Lines of a bucket are first paired with its first line and with the line before
 them, and each pair is verified by the exact Jaccard similarity of all ``SHINGLE``-character shingles. Verified links
 are united by distributed union-find; lines that share a band but still lie in different components are compared as
-well, and united again. The first line of a component, by document id and position, stays. Forms under ``LEAST_CHARS`` characters are no evidence of copying and are left alone.
+well, and united again. The first line of a component, by document id and position, stays. Forms of any length count; lines without letters and digits have an empty form and are left alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import components, materialise, read
 from riskweave.llm.repeats import row_key
 
-LEAST_CHARS = 40
+LEAST_CHARS = 1
 SHINGLE = 5
 THRESHOLD = 0.8
 ANCHOR = 9
@@ -66,7 +66,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> DataFrame:
-    """(rid, at, line, form): the long lines of every row with their normal forms."""
+    """(rid, at, line, form): the lines of every row with their normal forms, but for forms under ``least_chars`` characters."""
     raw = docs.select(key.alias("rid"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("at", "raw")).where(F.length("raw") >= least_chars)
     forms = raw.select("rid", "at", normal_form(F.col("raw")).alias("form")).where(F.length("form") >= least_chars)
     return forms.select("rid", "at", F.xxhash64("form").alias("line"), "form")
@@ -141,7 +141,7 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD, count: str | None = None) -> DataFrame:
     """``docs`` with one line of each component left: in the document of the smallest row key that has one, the first such line.
 
-    ``count`` names a column to add with the number of lines that went. Short lines stay, order and columns too
+    ``count`` names a column to add with the number of lines that went. Lines without a form stay, order and columns too
     (``n_chars`` is renewed where there is one). Null texts stay null; a text may become empty, its row stays. Where
     ids repeat or are null, rows are told apart by a hash of id and text; rows alike in both keep the same lines.
     """

@@ -276,3 +276,9 @@ def test_lines_with_a_passage_in_common(spark):
     found = {r["rid"]: r["component"] for r in lines.join(groups, "line").collect()}
     joined = sum(found[2 * k] == found[2 * k + 1] for k in range(700))
     assert joined >= 0.985 * 700 and len(set(found.values())) > 650
+
+
+def test_short_lines(spark):
+    frame = spark.createDataFrame([(1, "Read more\n---\nyes\nRead more"), (2, "read more!\n---\nno\nyes")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == {1: "Read more\n---\nyes", 2: "---\nno"}
