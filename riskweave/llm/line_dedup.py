@@ -1,7 +1,7 @@
 """Line dedup (operator 5), native: fuzzy lines by MinHash.
 
 Lines (between newlines) are compared in a normal form: lower case, runs of other than letters and digits as one
-space. Equal forms are one line from the start. A form's character shingles for the signature start at its words
+space. Equal forms are one line from the start. Unless it has few words, a form's character shingles for the signature start at its words
 (the first ``ANCHOR`` characters from there on), are hashed, and the smallest ``SKETCH`` hashes are its sketch; every
 run of ``ROWS`` neighbouring hashes of the sketch is a band key, so a pair of similarity 0.8 shares each of about
 nine bands with probability one half. Lines of a bucket are first paired with its first line and with the line before
@@ -24,8 +24,8 @@ THRESHOLD = 0.8
 ANCHOR = 9
 SKETCH = 11
 ROWS = 3
-#: Share of the smaller sketch that a pair must have in common before its shingles are compared.
-LEAST_SHARED = 0.4
+#: Lines of fewer word starts than the first are sketched over all their shingles, of more than the second at word starts, others both ways.
+FEW = (10, 13)
 #: Buckets of more lines are refined by shingles before lines of different components are compared.
 REFINE_OVER = 10
 
@@ -39,18 +39,27 @@ def _let(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def _sketch(form: Column) -> Column:
-    """The smallest hashes of the character shingles that start at the form's words, found in one pass over the text."""
-    shingles = F.regexp_extract_all(form, F.lit(f"(?s)(?:^| )(?=(.{{1,{ANCHOR}}}))"), F.lit(1))
+def _smallest(shingles: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.transform(shingles, lambda w: F.xxhash64(w)))), 1, SKETCH)
 
 
+def _keys(form: Column) -> Column:
+    """Band keys: from the shingles at word starts where there are ``FEW[0]`` or more, from all shingles where there are ``FEW[1]`` or fewer; between, from both."""
+    starts = F.array_distinct(F.regexp_extract_all(form, F.lit(f"(?s)(?:^| )(?=(.{{1,{ANCHOR}}}))"), F.lit(1)))
+    none = F.array().cast("array<bigint>")
+    return _let(starts, lambda x: F.array_distinct(F.concat(
+        F.when(F.size(x) >= FEW[0], _let(_smallest(x), _bands)).otherwise(none), F.when(F.size(x) <= FEW[1], _let(_smallest(_shingles(form)), _bands)).otherwise(none)
+    )))
+
+
 def _bands(sketch: Column) -> Column:
     """Hashes of neighbouring runs of the sketch; of a short sketch, one hash of all of it and of each with one left out."""
     n = F.size(sketch)
+    none = F.array().cast("array<bigint>")
     runs = F.transform(F.sequence(F.lit(1), n - ROWS + 1), lambda i: F.xxhash64(*[F.element_at(sketch, (i + k).cast("int")) for k in range(ROWS)]))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.xxhash64(F.lit("pair"), F.element_at(sketch, i.cast("int")), F.try_element_at(sketch, (i + 1).cast("int"))))
-    return F.array_distinct(F.when(n > 2 * ROWS, runs).when(n > 0, pairs).otherwise(F.array().cast("array<bigint>")))
+    whole = F.array(F.xxhash64(F.lit("short"), sketch))
+    less = F.transform(sketch, lambda x: F.xxhash64(F.lit("short"), F.array_remove(sketch, x)))
+    return F.concat(F.when(n > 2 * ROWS, runs).otherwise(none), F.when((n > 0) & (n <= 2 * ROWS + 1), F.concat(whole, less)).otherwise(none))
 
 
 def _shingles(form: Column) -> Column:
@@ -75,13 +84,12 @@ def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> Dat
 def _verify(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of lines whose shingles' Jaccard similarity reaches the threshold."""
     shingled = distinct.select("line", "form").join(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "line")
-    shingled = materialise(shingled.select("line", "form", _sketch(F.col("form")).alias("sketch")), "shingled")
-    left = shingled.select(F.col("line").alias("a"), F.col("form").alias("fa"), F.col("sketch").alias("sa"))
-    right = shingled.select(F.col("line").alias("b"), F.col("form").alias("fb"), F.col("sketch").alias("sb"))
-    near = F.least(F.length("fa"), F.length("fb")) >= F.greatest(F.length("fa"), F.length("fb")) * (threshold / 2)
-    # lines that merely share a phrase: at similarity 0.8 far fewer than 1 in 1000 pairs share so little of their sketches
-    alike = F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * LEAST_SHARED
-    return pairs.join(left, "a").join(right, "b").where(F.when(near & alike, similarity(F.col("fa"), F.col("fb"))) >= threshold).select("a", "b")
+    shingled = materialise(shingled.select("line", "form", F.size(_shingles(F.col("form"))).alias("size")), "shingled")
+    left = shingled.select(F.col("line").alias("a"), F.col("form").alias("fa"), F.col("size").alias("na"))
+    right = shingled.select(F.col("line").alias("b"), F.col("form").alias("fb"), F.col("size").alias("nb"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9  # two sets' similarity is at most the ratio of their sizes
+    near = near & (F.least("na", "nb") > 0)
+    return pairs.join(left, "a").join(right, "b").where(F.when(near, similarity(F.col("fa"), F.col("fb"))) >= threshold).select("a", "b")
 
 
 def _cross_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
@@ -121,8 +129,7 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = materialise(_lines(docs, key, text_col, least_chars), "lines")
     distinct = materialise(lines.groupBy("line").agg(F.min("rid").alias("first_id"), F.count("*").alias("copies"), F.min("form").alias("form")), "forms")
 
-    sketched = distinct.select("line", _sketch(F.col("form")).alias("sketch"))
-    keys = sketched.select("line", F.explode(_bands(F.col("sketch"))).alias("band"))
+    keys = distinct.select("line", F.explode(_keys(F.col("form"))).alias("band"))
     bucket = Window.partitionBy("band").orderBy("line")
     hub = F.first("line").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     shared = keys.select("band", "line", F.lag("line").over(bucket).alias("before"), F.lead("line").over(bucket).alias("after"), hub.alias("hub"))

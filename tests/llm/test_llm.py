@@ -282,3 +282,15 @@ def test_short_lines(spark):
     frame = spark.createDataFrame([(1, "Read more\n---\nyes\nRead more"), (2, "read more!\n---\nno\nyes")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
     assert got == {1: "Read more\n---\nyes", 2: "---\nno"}
+
+
+def test_lines_of_few_words(spark):
+    rng = random.Random(5)
+    made = []
+    for k in range(100):  # unspaced, one of the first characters changed; of four long words, one typo
+        line = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(80))
+        words = "".join(rng.choice("abcdefghijklmnop") if (x + 1) % 16 else " " for x in range(63))
+        made += [(4 * k, line), (4 * k + 1, line[:4] + "\u3400" + line[5:]), (4 * k + 2, words), (4 * k + 3, words[:33] + "z" + words[34:])]
+    groups, lines = line_dedup.line_groups(spark.createDataFrame(made, "doc_id long, text string"))
+    found = {r["rid"]: r["component"] for r in lines.join(groups, "line").collect()}
+    assert sum(found[2 * k] == found[2 * k + 1] for k in range(200)) >= 196
