@@ -5,15 +5,17 @@ one band or in two neighbouring ones. Within band b a linked pair differs in at
 into m segments; each segment is allocated 1 (it must be equal on both sides) or 2 (it may differ by one shingle:
 besides its own hash the segment's one-deletion neighbourhood is indexed). If the allocations of a document's
 non-empty segments sum to more than H, some segment must meet its allocation in every linked pair. How many segments
-there are and which get 2 is chosen per band by a cost model of index rows (``allocate``). A document whose segments
-happen to be too empty for the guarantee is indexed by a prefix of its sorted shingles as well, which is exact among
-such documents; elsewhere its partner carries the guarantee.
+there are and which get 2 is chosen per band by a cost model of index rows (``allocate``).
 
 Equal sets are one class from the start. A class is first paired with a few of the smallest classes that share
-signatures with it; the pairs are verified exactly and joined into components. Only classes that still lie in different components
-but share a signature are compared further; a signature that very many of them share is first refined by a second
-shared signature, which the allocation's reserve guarantees. So a group of n near copies costs about n
-verifications, not n squared, and no link between different sets is lost for components.
+signatures with it, later with the first class of another component that does; the pairs are verified exactly and
+joined into components. What is left are signatures that several components share. Where those are few, the classes
+of different components are compared. A signature that many components share (a common passage) is hot: it is
+allocated nothing, in all its classes alike. A class whose other segments still carry the guarantee needs nothing
+more; classes that fall short, and those whose segments are too empty from the start, meet by their rarest shingles,
+which is exact among them. Before a text moves, sizes and parity bitmaps rule out pairs that cannot be linked (a lower
+bound of the difference, so no link is lost). So a group of n near copies costs about n verifications, and no link
+between different sets is lost for components.
 """
 
 from __future__ import annotations
@@ -23,21 +25,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import Powers, components, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, utf8
+from riskweave.llm.common import Powers, Shared, components, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, utf8
 from riskweave.llm.repeats import keyed
 
 SHINGLE = 5
 #: Linked when LEAST[1] * intersection >= LEAST[0] * union.
 LEAST = (80, 100)
-#: Beyond the H + 1 of the guarantee: with two more, two different segments match, so signatures can be refined.
+#: Segments beyond the H + 1 of the guarantee: so many may be hot before a class has to be indexed otherwise.
 RESERVE = 2
-#: A signature shared by more classes than this is refined before its classes are paired.
-REFINE_OVER = 64
-#: At first each class is compared with this many of the smallest classes that share signatures with it.
-STARS = 3
+#: A signature shared by more components than this is hot: it is allocated nothing.
+REFINE_OVER = 8
+#: At first each class is compared with this many classes, each the smallest of signatures that both have.
+STARS = 2
+#: Words of a class's parity bitmap, and bits of the bitmap that sifts rows before texts are shuffled.
+PARITY = 8
+_BITS = [f"p{k}" for k in range(PARITY)]
+SIEVE_BITS = 1 << 23
 #: A star centre's pairs are dealt into groups of about this many.
 SALT_ROWS = 1000
 
@@ -113,85 +119,133 @@ def _sum_by(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return total[begin[1:]] - total[begin[:-1]]
 
 
-def classes(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One number for each set, equal for equal sets (a 64-bit hash; an empty set has 0)."""
+def classes(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; an empty set has 0. The first is its class, unless the second tells two sets of one class apart."""
     size = np.diff(begin).astype(np.uint64)
-    own = mix(_sum_by(mix(hashes ^ np.uint64(0x51_7C_C1_B7_27_22_0A_95)), begin) + size * np.uint64(0x9E3779B97F4A7C15))
-    return np.where(size == 0, np.uint64(0), own).view(np.int64)
+    out = []
+    for seed in (0x51_7C_C1_B7_27_22_0A_95, 0x6A_09_E6_67_F3_BC_C9_09):
+        own = mix(_sum_by(mix(hashes ^ np.uint64(seed)), begin) + size * np.uint64(0x9E3779B97F4A7C15))
+        out.append(np.where(size == 0, np.uint64(0), own).view(np.int64))
+    return out[0], out[1]
 
 
-def signatures(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows. Signatures of segments are even, those of prefixes odd."""
+def _slots(hashes: np.ndarray, begin: np.ndarray, shift: int):
+    """The segments of all rows in their own band (``shift`` 0) or the band below (1): None where no row has such a band.
+
+    Gives each shingle's token and segment slot, and of each slot its row, band, segment, number of shingles and
+    whether it is allocated 2; of each row, H.
+    """
     size = np.diff(begin)
-    if not len(hashes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low, high = bands(1 << int(size.max() * 2).bit_length())
-    own = np.searchsorted(low, size, "right") - 1
-    token = mix(hashes + np.uint64(0xD1B54A32D192ED03))
-    out_row, out_sig = [], []
-    weak = np.zeros(len(size), bool)
-    for shift in (0, 1):  # its own band, and the one below
-        band = own - shift
-        use = np.flatnonzero((size > 0) & (band >= 0))
-        if not len(use):
+    band = np.searchsorted(low, size, "right") - 1 - shift
+    use = (size > 0) & (band >= 0)
+    if not use.any():
+        return None
+    table = np.zeros((band.max() + 1, 3), np.int64)
+    for b in np.unique(band[use]):
+        table[b] = allocate(int(low[b]), int(high[b]))
+    plan = np.where(use[:, None], table[np.maximum(band, 0)], 0)
+    many = plan[:, 1] + plan[:, 2]
+    off = np.cumsum(many) - many
+    inside = np.repeat(use, size)
+    rows = np.repeat(np.arange(len(size)), size)[inside]
+    token = mix(hashes[inside] + np.uint64(0xD1B54A32D192ED03))
+    slot = off[rows] + (mix(token ^ band[rows].astype(np.uint64)) % many[rows].astype(np.uint64)).astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), many)
+    segment = np.arange(len(owner)) - off[owner]
+    return token, slot, owner, band[owner], segment, np.bincount(slot, minlength=len(owner)), segment < plan[owner, 2], plan[:, 0]
+
+
+def signatures(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of all rows: one for each segment that is not empty, and the one-deletion neighbourhood of those allocated 2."""
+    out_row, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for shift in (0, 1) if len(hashes) else ():
+        found = _slots(hashes, begin, shift)
+        if found is None:
             continue
-        table = np.zeros((band.max() + 1, 3), np.int64)
-        for b in np.unique(band[use]):
-            table[b] = allocate(int(low[b]), int(high[b]))
-        rows = np.repeat(use, size[use])
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(size[use]) - size[use], size[use]) + begin[rows]
-        b = band[rows]
-        many = table[b, 1] + table[b, 2]
-        t = token[place]
-        segment = (mix(t ^ b.astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
-        order = np.argsort(rows * np.int64(1 << 32) + segment, kind="stable")
-        rows, segment, t, b = rows[order], segment[order], t[order], b[order]
-        head = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (segment[1:] != segment[:-1])))
-        edge = np.append(head, len(rows))
-        total = _sum_by(t, edge)
-        length = np.diff(edge)
-        tag = (b[head] << 32 | segment[head]).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        two = segment[head] < table[b[head], 2]
-        out_row.append(rows[head])
-        out_sig.append(mix(total + tag) & ~np.uint64(1))
-        wide = two & (length > 1)
-        spread = np.repeat(wide, length)
-        out_row.append(rows[spread])
-        out_sig.append(mix(np.repeat(total + tag, length)[spread] - t[spread]) & ~np.uint64(1))
-        worth = np.bincount(rows[head], np.where(wide, 2, 1), len(size))
-        needed = np.zeros(len(size))
-        needed[use] = table[band[use], 0] + 1 + RESERVE
-        weak |= worth < needed
-    weak &= size > 0
-    short = np.flatnonzero(weak)
-    if len(short):
-        length = size[short] - -(-size[short] * LEAST[0] // LEAST[1]) + 1
-        rows = np.repeat(short, length)
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(length) - length, length) + begin[rows]
-        out_row.append(rows)
-        out_sig.append(mix(hashes[place]) | np.uint64(1))
+        token, slot, owner, band, segment, length, two, _ = found
+        total = (band << 32 | segment).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        np.add.at(total, slot, token)
+        filled = length > 0
+        out_row.append(owner[filled])
+        out_sig.append(mix(total[filled]))
+        wide = (two & (length > 1))[slot]
+        out_row.append(owner[slot[wide]])
+        out_sig.append(mix(total[slot[wide]] - token[wide]))
     return np.concatenate(out_row), np.concatenate(out_sig).view(np.int64)
 
 
+def spare(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How many signatures of each row may be left out before a linked partner could be missed: 0 or less where its segments do not carry the guarantee at all."""
+    out = np.full(len(begin) - 1, 1 << 40, np.int64)
+    for shift in (0, 1) if len(hashes) else ():
+        found = _slots(hashes, begin, shift)
+        if found is None:
+            continue
+        _, _, owner, _, _, length, two, h = found
+        worth = np.bincount(owner, np.where(two & (length > 1), 2, length > 0), len(out)).astype(np.int64)
+        twos = np.bincount(owner, two, len(out)) > 0
+        rest = worth - h
+        there = np.bincount(owner, minlength=len(out)) > 0
+        out = np.where(there, np.minimum(out, np.where(twos & (rest > 0), (rest + 1) // 2, rest)), out)
+    return out
+
+
+def parity(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """``PARITY`` words a row: bit i is the parity of the row's shingles that hash to i. Two sets differ in at least as many shingles as bits."""
+    rows = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    bit = (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = np.bincount(rows * (64 * PARITY) + bit, minlength=(len(begin) - 1) * 64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(-1, PARITY)
+
+
 def _sizes(batches):
     powers = Powers()
     for batch in text_slices(batches, 2, 1 << 20):
         hashes, begin = shingle_sets(*utf8(batch.column(2)), powers)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(begin)), pa.array(classes(hashes, begin))], names=["id", "rid", "n_shingles", "cls"])
+        own, check = classes(hashes, begin)
+        bits = parity(hashes, begin)
+        arrays = [batch.column(0), batch.column(1), *(pa.array(x) for x in (np.diff(begin), own, check, spare(hashes, begin))), *(pa.array(bits[:, k].copy()) for k in range(PARITY))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "rid", "n_shingles", "cls", "chk", "spare", *_BITS])
 
 
-def _signed(batches):
+def _parted(own: np.ndarray, check: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """Class numbers, those in ``clash`` told apart by their second hash."""
+    if not len(clash):
+        return own
+    return np.where(np.isin(own, clash), mix(own.view(np.uint64) * np.uint64(0xA24BAED4963EE407) + check.view(np.uint64)).view(np.int64), own)
+
+
+def _once(batch, powers: Powers, clash: np.ndarray):
+    """Classes, shingles and beginnings of a batch's sets, each class once (others empty)."""
+    hashes, begin = shingle_sets(*utf8(batch.column(0)), powers)
+    own = _parted(*classes(hashes, begin), clash)
+    once = np.zeros(len(own), bool)
+    once[np.unique(own, return_index=True)[1]] = True
+    return own, hashes[np.repeat(once, np.diff(begin))], np.append(0, np.cumsum(np.where(once, np.diff(begin), 0)))
+
+
+def _signed(clash: np.ndarray):
+    def run(batches):
+        powers = Powers()
+        for batch in text_slices(batches, 0, 1 << 20):
+            own, hashes, begin = _once(batch, powers, clash)
+            row, sig = signatures(hashes, begin)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(own[row])], names=["sig", "cls"])
+
+    return run
+
+
+def _shingled(batches):
+    """(cls, shingle) from (cls, items): the sets of packed texts."""
     powers = Powers()
-    for batch in text_slices(batches, 0, 1 << 20):
-        hashes, begin = shingle_sets(*utf8(batch.column(0)), powers)
-        own = classes(hashes, begin)
-        first = np.unique(own, return_index=True)[1]  # equal sets of a batch are signed once
-        once = np.zeros(len(own), bool)
-        once[first] = True
-        size = np.where(once, np.diff(begin), 0)
-        kept = np.repeat(once, np.diff(begin))
-        row, sig = signatures(hashes[kept], np.append(0, np.cumsum(size)))
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(own[row])], names=["sig", "cls"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = _unpacked(part.column(1).to_pylist(), powers)
+            cls = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+            if len(cls):
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "shingle"])
 
 
 def _groups(batches):
@@ -225,9 +279,35 @@ def _groups(batches):
         last = (sig[n], cls[n], hub[n], written)
 
 
-def _packed(batches):
-    for batch in text_slices(batches, 1, 4 << 20):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["rid", "items"])
+def _packed(sieve):
+    """Packed texts of the rows whose key may be wanted."""
+
+    def run(batches):
+        bits = sieve.value
+        for batch in text_slices(batches, 1, 4 << 20):
+            at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(SIEVE_BITS - 1)
+            batch = batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["rid", "items"])
+
+    return run
+
+
+def _marks(batches):
+    """(word, bits) of a bitmap that marks row keys."""
+    for batch in batches:
+        at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(SIEVE_BITS - 1)
+        word, where = np.unique((at >> np.uint64(6)).astype(np.int64), return_inverse=True)
+        bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(bits, where, np.uint64(1) << (at & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def _sieve(rids: DataFrame) -> Shared:
+    """A bitmap of ``SIEVE_BITS`` bits (its size is fixed) that passes every row key in ``rids``, and few others while those are few."""
+    bits = np.zeros(SIEVE_BITS // 64, np.uint64)
+    rows = rids.select("rid").mapInArrow(_marks, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return Shared(rids.sparkSession, bits)
 
 
 def _unpacked(items: list[bytes], powers: Powers) -> list[np.ndarray]:
@@ -274,43 +354,105 @@ def _verify(batches):
 # --- the join ---------------------------------------------------------------------------------------
 
 
-def _texts_of(pairs: DataFrame, sizes: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
-    """(cls, items) of the classes in ``pairs``: the packed text of one document of each."""
-    wanted = pairs.select(F.col("hub").alias("cls")).unionByName(pairs.select("cls")).distinct()
-    first = sizes.join(wanted, "cls").groupBy("cls").agg(F.min("rid").alias("rid"))
-    packed = base.select("rid", "text").mapInArrow(_packed, "rid bigint, items binary").join(first, "rid").select("cls", "items")
-    return packed if unique else packed.dropDuplicates(["cls"])
+def texts_of(wanted: DataFrame, real: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
+    """(cls, items) of the classes in ``wanted``: the packed text of one document of each."""
+    first = materialise(real.join(wanted.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("rid").alias("rid")), "first")
+    packed = base.select("rid", "text").mapInArrow(_packed(_sieve(first)), "rid bigint, items binary").join(first, "rid").select("cls", "items")
+    return materialise(packed if unique else packed.dropDuplicates(["cls"]), "texts")
 
 
-def verify(pairs: DataFrame, sizes: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
+def verify(pairs: DataFrame, real: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
     """The linked ones among ``pairs`` (hub, cls), as (a, b)."""
-    sets = materialise(_texts_of(pairs, sizes, base, unique), "texts")
+    sets = texts_of(pairs.select("cls").unionByName(pairs.select(F.col("hub").alias("cls"))), real, base, unique)
     count = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(count, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(sets, "cls")
     centres = count.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("cls", "hub"), "hub")
     rows = members.select("hub", "salt", "cls", F.lit(1).alias("member"), "items").unionByName(centres.select("hub", "salt", F.col("hub").alias("cls"), F.lit(0).alias("member"), "items"))
-    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify, "a bigint, b bigint")
+    return materialise(rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify, "a bigint, b bigint"), "links")
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether the sizes and parities of two classes (structs ``x`` and ``y``) allow a link: sets of 80 % similarity differ in at most a ninth of the sum of their sizes."""
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS), F.lit(0))
+    return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (differ * (LEAST[0] + LEAST[1]) <= (n + m) * (LEAST[1] - LEAST[0]))
 
 
-def _cross_pairs(multi: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (hub, cls) that share a signature and lie in different components, without those in ``done``."""
-    known = multi.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    known = materialise(known, "members")
-    state = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high")
-    mixed = materialise(known.join(state.select("sig", "many"), "sig"), "mixed")
+def _with_sets(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (hub, cls) whose sizes and parities allow a link."""
+    x, y = (facts.select(F.col("cls").alias(name), F.struct("n_shingles", *_BITS).alias(to)) for name, to in (("hub", "x"), ("cls", "y")))
+    return pairs.join(x, "hub").join(y, "cls").where(_may_link("x", "y")).select("hub", "cls")
 
-    def pairs(frame: DataFrame, key: str) -> DataFrame:
-        x = frame.select(key, F.col("cls").alias("hub"), F.col("component").alias("c1"))
-        y = frame.select(key, "cls", F.col("component").alias("c2"))
-        return x.join(y, key).where("hub < cls and c1 <> c2").select("hub", "cls")
 
-    even = F.col("sig").bitwiseAND(F.lit(1)) == 0
-    large = (F.col("many") > REFINE_OVER) & even
-    small = pairs(mixed.where(~large), "sig")
-    big = mixed.where(large)
-    second = big.join(known.select(F.col("sig").alias("sig2"), "cls").where(F.col("sig2").bitwiseAND(F.lit(1)) == 0), "cls").where("sig <> sig2")
-    second = second.withColumn("key", F.xxhash64(F.least("sig", "sig2"), F.greatest("sig", "sig2"))).select("key", "cls", "component").distinct()
-    return small.unionByName(pairs(second, "key")).distinct().join(done, ["hub", "cls"], "left_anti")
+def _labelled(multi: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, cls, component) of the signatures whose classes lie in different components, with their smallest component and how many there are (at most counted to ``REFINE_OVER`` + 1)."""
+    known = materialise(multi.select("sig", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "members")
+    each = known.groupBy("sig", "component").agg(F.min("cls").alias("least"), F.count("*").alias("many"))
+    state = each.groupBy("sig").agg(F.count("*").alias("components"), F.sum("many").alias("many"), F.min(F.struct("component", "least")).alias("first")).where("components > 1")
+    return materialise(known.join(state, "sig").select("sig", "cls", "component", "components", "many", F.col("first.component").alias("low"), F.col("first.least").alias("hub")), "mixed")
+
+
+def _paired(rows: DataFrame, key: str, facts: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (hub, cls) of ``rows`` (key, cls, component) that share a key, lie in different components and may link, without those in ``done``."""
+    rich = rows.join(facts, "cls").select(key, "cls", "component", F.struct("n_shingles", *_BITS).alias("s"))
+    x = rich.select(key, F.col("cls").alias("hub"), F.col("component").alias("c1"), F.col("s").alias("x"))
+    y = rich.select(key, "cls", F.col("component").alias("c2"), F.col("s").alias("y"))
+    joined = x.join(y, (x[key] == y[key]) & (F.col("hub") < F.col("cls")) & (F.col("c1") != F.col("c2")) & _may_link("x", "y"))
+    return joined.select("hub", "cls").distinct().join(done, ["hub", "cls"], "left_anti")
+
+
+def _rarest(short: DataFrame, real: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
+    """(shingle, cls, component) of the classes in ``short`` (cls, component): of each its rarest shingles among them.
+
+    With shingles in one order of frequency, two sets of similarity t share one among each's first n - ceil(t n) + 1,
+    so no pair of these classes is lost, and a passage that very many share seldom stands so far in front.
+    """
+    shingled = materialise(texts_of(short, real, base, unique).mapInArrow(_shingled, "cls bigint, shingle bigint"), "shingles")
+    counted = shingled.join(shingled.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    ranked = counted.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # bounded by the document
+    size = F.size("all")
+    front = (size - F.ceil(size * LEAST[0] / LEAST[1]) + 1).cast("int")
+    return ranked.select("cls", F.explode(F.slice("all", F.lit(1), front)).alias("own")).where("own.n > 1").join(short, "cls").select(F.col("own.shingle").alias("shingle"), "cls", "component")
+
+
+def class_links(base: DataFrame, unique: bool, real: DataFrame, clash: np.ndarray) -> DataFrame:
+    """(node, component) of the classes that are linked with others; ``real`` has the rows with shingles."""
+    signed = base.select("text").mapInArrow(_signed(clash), "sig bigint, cls bigint")
+    multi = materialise(signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_groups, "sig bigint, cls bigint, hub bigint"), "signatures")
+    facts = materialise(real.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "spare", *_BITS))).join(multi.select("cls").distinct(), "cls", "left_semi"), "facts")
+
+    shares = multi.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
+    top = shares.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "hub"))), 1, STARS).alias("hubs"))  # no more than its signatures
+    stars = materialise(_with_sets(top.select("cls", F.explode("hubs.hub").alias("hub")), facts), "stars")
+    links = verify(stars, real, base, unique)
+    labels = components(links)
+    mixed = _labelled(multi, labels)
+
+    # classes that are still apart meet the first class of the signature's smallest component
+    second = mixed.where("component <> low").select(F.least("hub", "cls").alias("hub"), F.greatest("hub", "cls").alias("cls")).distinct()
+    second = materialise(_with_sets(second, facts).join(stars, ["hub", "cls"], "left_anti"), "stars")
+    done = stars
+    if not second.isEmpty():
+        links = links.unionByName(verify(second, real, base, unique))
+        labels = components(links)
+        mixed, done = _labelled(multi, labels), stars.unionByName(second)
+
+    # what is left is exhausted: signatures of few components directly; the others are allocated nothing, and classes that
+    # then miss the guarantee meet by their rarest shingles
+    hot = F.col("components") > REFINE_OVER
+    few = _paired(mixed.where(~hot).select("sig", "cls", "component"), "sig", facts, done)
+    lost = mixed.where(hot).groupBy("cls").agg(F.count("*").alias("lost"))
+    bare = real.where("spare <= 0").select("cls", "spare").distinct()
+    needy = facts.join(lost, "cls").where("lost >= spare").select("cls").unionByName(bare.select("cls")).distinct()
+    short = materialise(needy.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "short")
+    rare = few.limit(0)
+    if not short.isEmpty():
+        every = real.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", *_BITS)))
+        rare = _paired(_rarest(short, real, base, unique), "shingle", every, done)
+    more = materialise(few.unionByName(rare).distinct(), "pairs")
+    if not more.isEmpty():
+        labels = components(links.unionByName(verify(more, real, base, unique)))
+    return labels
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -322,17 +464,15 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     base, unique = keyed(docs, id_col, text_col)
     kind = base.schema["id"].dataType.simpleString()
-    sizes = materialise(base.select("id", "rid", "text").mapInArrow(_sizes, f"id {kind}, rid bigint, n_shingles bigint, cls bigint"), "sizes")
-    signed = base.select("text").mapInArrow(_signed, "sig bigint, cls bigint")
-    multi = materialise(signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_groups, "sig bigint, cls bigint, hub bigint"), "signatures")
+    made = base.select("id", "rid", "text").mapInArrow(_sizes, f"id {kind}, rid bigint, n_shingles bigint, cls bigint, chk bigint, spare bigint, {', '.join(f'{b} bigint' for b in _BITS)}")
+    sizes = materialise(made, "sizes")
+    double = sizes.groupBy("cls").agg(F.min("chk").alias("low"), F.max("chk").alias("high")).where("low <> high").select("cls")
+    clash = np.sort(np.array([r["cls"] for r in double.collect()], np.int64))  # n**2 / 2**65 of n different sets are expected
+    if len(clash):
+        part = F.pandas_udf(lambda c, k: c.__class__(_parted(c.to_numpy(), k.to_numpy(), clash)), "bigint")
+        sizes = materialise(sizes.withColumn("cls", part("cls", "chk")), "sizes")
     real = sizes.where("n_shingles > 0")
-    hubs = F.slice(F.array_sort(F.collect_set("hub")), 1, STARS)  # as many as a class has signatures at most
-    stars = materialise(multi.where("cls <> hub").groupBy("cls").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("hub"), "cls"), "stars")
-    links = materialise(verify(stars, real, base, unique), "links")
-    labels = components(links)
-    more = materialise(_cross_pairs(multi, labels, stars), "pairs")
-    if not more.isEmpty():
-        labels = components(links.unionByName(verify(more, real, base, unique)))
+    labels = class_links(base, unique, real, clash)
     grouped = real.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     found = grouped.join(least, "component").select("id", "rid", "n_shingles", "cls", "component_id")
