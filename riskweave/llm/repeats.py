@@ -104,6 +104,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), key.alias("rid")), unique
 
 
+def by_row(base: DataFrame) -> DataFrame:
+    """(rid, text) of rows with unique keys: one and the same plan wherever rows are joined, so that texts are shuffled once."""
+    return base.select("rid", "text").where("rid is not null")
+
+
+def with_ranges(base: DataFrame, unique: bool, found: DataFrame) -> DataFrame:
+    """(id, text, ranges) of every row."""
+    if not unique:
+        return base.join(found, "rid", "left").select("id", "text", "ranges")
+    kind = base.schema["id"].dataType  # unique keys are the ids themselves
+    return by_row(base).join(found, "rid", "left").select(F.col("rid").cast(kind).alias("id"), "text", "ranges")
+
+
 def _anchors(form: Symbols):
     def run(batches):
         powers = Powers()
@@ -222,7 +235,7 @@ def _ranges(rids, lows, highs) -> pa.RecordBatch:
 
 def repeated_ranges(base: DataFrame, unique: bool, form: Symbols, make: Callable[[], object], batch_symbols: int) -> DataFrame:
     """(rid, ranges): per document the symbol ranges covered by windows that also start elsewhere; documents without any are absent. ``base`` and ``unique`` are what ``keyed`` returns."""
-    text = base.select("rid", "text") if unique else base.select("rid", "text").distinct()
+    text = by_row(base) if unique else base.select("rid", "text").distinct()
     anchors = text.mapInArrow(_anchors(form), "key bigint, rid bigint, pack bigint")
     shared = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rid bigint, pack bigint")
     wanted = shared.groupBy("rid").agg(F.collect_list(F.struct("key", "pack")).alias("found"))  # bounded by the document

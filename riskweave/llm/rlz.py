@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm.common import read
-from riskweave.llm.repeats import Symbols, keyed, repeated_ranges, union_ranges
+from riskweave.llm.repeats import Symbols, keyed, repeated_ranges, union_ranges, with_ranges
 
 WINDOW = 35
 K = 12
@@ -167,7 +167,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     base, unique = keyed(docs, id_col, text_col)
     found = repeated_ranges(base, unique, FORM, RelativeParse, BLOCK_BYTES)
-    joined = base.join(found, "rid", "left").select("id", "text", "ranges")
+    joined = with_ranges(base, unique, found)
     kind = base.schema["id"].dataType.simpleString()
 
     def run(batches):

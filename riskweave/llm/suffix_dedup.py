@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm.common import read
-from riskweave.llm.repeats import Symbols, keyed, repeated_ranges, union_ranges
+from riskweave.llm.repeats import Symbols, keyed, repeated_ranges, union_ranges, with_ranges
 
 LENGTH = 200
 K = 64
@@ -111,7 +111,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     base, unique = keyed(docs, id_col, text_col)
     found = repeated_ranges(base, unique, FORM, SuffixFamily, BATCH_BYTES)
-    joined = base.join(found, "rid", "left").select("id", "text", "ranges")
+    joined = with_ranges(base, unique, found)
     kind = base.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", spans array<struct<low:bigint,high:bigint>>, kept string" * text
     span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
