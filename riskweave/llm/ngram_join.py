@@ -384,12 +384,15 @@ def _with_sets(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(x, "hub").join(y, "cls").where(_may_link("x", "y")).select("hub", "cls")
 
 
-def _labelled(multi: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, cls, component) of the signatures whose classes lie in different components, with their smallest component and how many there are (at most counted to ``REFINE_OVER`` + 1)."""
-    known = materialise(multi.select("sig", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "members")
-    each = known.groupBy("sig", "component").agg(F.min("cls").alias("least"), F.count("*").alias("many"))
-    state = each.groupBy("sig").agg(F.count("*").alias("components"), F.sum("many").alias("many"), F.min(F.struct("component", "least")).alias("first")).where("components > 1")
-    return materialise(known.join(state, "sig").select("sig", "cls", "component", "components", "many", F.col("first.component").alias("low"), F.col("first.least").alias("hub")), "mixed")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, cls, component) of the signatures whose classes lie in different components, with how many those are, the smallest, and its first class."""
+    known = members.select("sig", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    known = known.repartition("sig")  # one shuffle for both sides of the join
+    apart = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig", "low")
+    mixed = materialise(known.join(apart, "sig").select("sig", "cls", "component", "low"), "mixed")
+    each = mixed.groupBy("sig", "component").agg(F.min("cls").alias("least"))
+    state = each.groupBy("sig").agg(F.count("*").alias("components"), F.min(F.struct("component", "least")).alias("first"))
+    return materialise(mixed.join(state.select("sig", "components", F.col("first.least").alias("hub")), "sig"), "mixed")
 
 
 def _paired(rows: DataFrame, key: str, facts: DataFrame, done: DataFrame) -> DataFrame:
@@ -435,7 +438,7 @@ def class_links(base: DataFrame, unique: bool, real: DataFrame, clash: np.ndarra
     if not second.isEmpty():
         links = links.unionByName(verify(second, real, base, unique))
         labels = components(links)
-        mixed, done = _labelled(multi, labels), stars.unionByName(second)
+        mixed, done = _labelled(mixed, labels), stars.unionByName(second)
 
     # what is left is exhausted: signatures of few components directly; the others are allocated nothing, and classes that
     # then miss the guarantee meet by their rarest shingles
