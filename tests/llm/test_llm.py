@@ -231,15 +231,16 @@ def test_language_model(spark, rows, docs, empty):
     assert lm.score(docs, language, counts).count() == docs.count()
 
 
-def test_language_model_keeps_every_ngram_that_occurs_twice(spark):
+@pytest.mark.parametrize("longest", [2, 3])
+def test_language_model_keeps_every_ngram_that_occurs_twice(spark, longest):
     rng = random.Random(12)
     made = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 60)))) for i in range(400)]
     made += [(1000 + i, "common words " * 2000) for i in range(110)]  # over 400,000 tokens, so a share of 1 / 200,000 would ask for three
     made += [(2000 + i, f"seldom seen phrase {i}") for i in range(2)]
     frame = spark.createDataFrame(made, "doc_id long, text string")
-    language, counts = lm.train(frame.select("text"))
+    language, counts = lm.train(frame.select("text"), order=longest)
     auto = language.automaton
-    for order in (2, 3):
+    for order in range(2, longest + 1):
         seen = {}
         for _, t in made:
             w = ["<s>", *t.split(), "</s>"]
@@ -247,7 +248,7 @@ def test_language_model_keeps_every_ngram_that_occurs_twice(spark):
                 seen[tuple(w[k : k + order])] = seen.get(tuple(w[k : k + order]), 0) + 1
         table = language._parts[order - 1]
         assert sorted(r["c"] for r in table.collect()) == sorted(n for n in seen.values() if n > 1)
-    whole, dealt = ({tuple(r) for r in lm.gram_counts(frame.select("text"), 2, size).collect()} for size in (1 << 30, 100_000))
+    whole, dealt = ({tuple(r) for r in lm.gram_counts(frame.select("text"), 2, size, longest).collect()} for size in (1 << 30, 100_000))
     assert whole == dealt  # counted in one block and in many
     probe = spark.createDataFrame(made[:50] + made[-2:] + [(9000, "seldom seen unheard of phrase"), (9001, None)], "doc_id long, text string")
     c = {r["token"]: r["c"] for r in counts.collect()}
