@@ -39,7 +39,24 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # shuffles behind the table can go now; Spark removes them once they are garbage
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.table_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind ``df``, which ``materialise`` returned; nothing that is still to be evaluated may read it."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.table_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 class Shared:
@@ -177,10 +194,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, e = e, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.max("u"), F.min("v")).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))

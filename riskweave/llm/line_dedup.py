@@ -4,10 +4,12 @@ Lines (between newlines) are compared in a normal form: lower case, runs of othe
 space. Equal forms are one line from the start. Unless it has few words, a form's character shingles for the signature start at its words
 (the first ``ANCHOR`` characters from there on), are hashed, and the smallest ``SKETCH`` hashes are its sketch; every
 run of ``ROWS`` neighbouring hashes of the sketch is a band key, so a pair of similarity 0.8 shares each of about
-nine bands with probability one half. Lines of a bucket are first paired with its first line and with the line before
-them, and each pair is verified by the exact Jaccard similarity of all ``SHINGLE``-character shingles. Verified links
-are united by distributed union-find; lines that share a band but still lie in different components are compared as
-well, and united again. The first line of a component, by document id and position, stays. Forms of any length count; lines without letters and digits have an empty form and are left alone.
+nine bands with probability one half. Lines of a bucket are first paired with its first line, then with the first of
+the bucket's smallest other component; sizes and parity bitmaps of the shingles rule out pairs that cannot reach the
+threshold, the others are verified by the exact Jaccard similarity of all ``SHINGLE``-character shingles. Verified links are
+united by distributed union-find. Buckets that still hold several components are exhausted: a few components directly,
+lines of buckets with many by their rarest shingles. The first line of a component, by document id and position, stays.
+Forms of any length count; lines without letters and digits have an empty form and are left alone.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import components, materialise, read
+from riskweave.llm.apart import BITS, PARITY, mixed, paired, rarest, sifted, spokes
+from riskweave.llm.common import components, discard, materialise, read, unused
 from riskweave.llm.repeats import row_key
 
 LEAST_CHARS = 1
@@ -26,8 +29,8 @@ SKETCH = 11
 ROWS = 3
 #: Lines of fewer word starts than the first are sketched over all their shingles, of more than the second at word starts, others both ways.
 FEW = (10, 13)
-#: Buckets of more lines are refined by shingles before lines of different components are compared.
-REFINE_OVER = 10
+#: Lines of buckets with more components than this meet by their rarest shingles instead.
+REFINE_OVER = 8
 
 
 def normal_form(line: Column) -> Column:
@@ -75,74 +78,83 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> DataFrame:
-    """(rid, at, line, form): the lines of every row with their normal forms, but for forms under ``least_chars`` characters."""
-    raw = docs.select(key.alias("rid"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("at", "raw")).where(F.length("raw") >= least_chars)
-    forms = raw.select("rid", "at", normal_form(F.col("raw")).alias("form")).where(F.length("form") >= least_chars)
-    return forms.select("rid", "at", F.xxhash64("form").alias("line"), "form")
+    """(rid, at, form): the normal forms of every row's lines, but for forms under ``least_chars`` characters. A text is folded in one pass."""
+    folded = F.regexp_replace(F.lower(F.col(f"`{text_col}`").cast("string")), r"[^\p{L}\p{N}\n]+", " ")
+    lines = docs.select(key.alias("rid"), F.posexplode(F.split(folded, "\n")).alias("at", "raw")).select("rid", "at", F.trim("raw").alias("form"))
+    return lines.where(F.length("form") >= max(1, least_chars))
 
 
 def _verify(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of lines whose shingles' Jaccard similarity reaches the threshold."""
-    shingled = distinct.select("line", "form").join(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "line")
-    shingled = materialise(shingled.select("line", "form", F.size(_shingles(F.col("form"))).alias("size")), "shingled")
-    left = shingled.select(F.col("line").alias("a"), F.col("form").alias("fa"), F.col("size").alias("na"))
-    right = shingled.select(F.col("line").alias("b"), F.col("form").alias("fb"), F.col("size").alias("nb"))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9  # two sets' similarity is at most the ratio of their sizes
-    near = near & (F.least("na", "nb") > 0)
-    return pairs.join(left, "a").join(right, "b").where(F.when(near, similarity(F.col("fa"), F.col("fb"))) >= threshold).select("a", "b")
-
-
-def _cross_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that share a band and lie in different components, without those in ``done``.
-
-    Of a bucket of more than ``REFINE_OVER`` lines only pairs that share a shingle of their prefixes: with shingles
-    ordered from the rarest, two sets of similarity t share one among each's first n - ceil(t n) + 1, so none is lost.
-    """
-    known = shared.select("band", "line").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    known = materialise(known, "members")
-    state = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high")
-    mixed = materialise(known.join(state.select("band", "many"), "band"), "mixed")
-
-    def pairs(frame: DataFrame, key: str) -> DataFrame:
-        x = frame.select(key, F.col("line").alias("a"), F.col("component").alias("c1"))
-        y = frame.select(key, F.col("line").alias("b"), F.col("component").alias("c2"))
-        return x.join(y, key).where("a < b and c1 <> c2").select("a", "b")
-
-    small = pairs(mixed.where(F.col("many") <= REFINE_OVER), "band")
-    big = mixed.where(F.col("many") > REFINE_OVER).select("line", "component").distinct().join(distinct.select("line", "form"), "line")
-    big = materialise(big.select("line", "component", F.explode(F.array_distinct(F.transform(_shingles(F.col("form")), lambda w: F.xxhash64(w)))).alias("shingle")), "shingles")
-    rare = big.join(big.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
-    ranked = rare.groupBy("line", "component").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # bounded by the line
-    size = F.size("all")
-    prefix = ranked.select("line", "component", F.explode(F.slice("all", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("own"))
-    large = pairs(prefix.where("own.n > 1").select("line", "component", F.col("own.shingle").alias("shingle")), "shingle")
-    return small.unionByName(large).distinct().join(done, ["a", "b"], "left_anti")
+    """The pairs (hub, cls) of lines whose shingles' Jaccard similarity reaches the threshold, as (a, b)."""
+    left = distinct.select(F.col("line").alias("hub"), F.col("form").alias("fa"))
+    right = distinct.select(F.col("line").alias("cls"), F.col("form").alias("fb"))
+    return materialise(pairs.join(left, "hub").join(right, "cls").where(similarity(F.col("fa"), F.col("fb")) >= threshold).select(F.col("hub").alias("a"), F.col("cls").alias("b")), "links")
+
+
+def _facts(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(cls, form, n_shingles, parity bitmap) of the lines in ``lines`` (cls)."""
+    own = distinct.select(F.col("line").alias("cls"), "form").join(lines.distinct(), "cls")
+    each = own.select("cls", F.explode(_shingles(F.col("form"))).alias("shingle")).select("cls", F.xxhash64("shingle").alias("h"))
+    one = lambda k: F.when(F.pmod(F.col("h"), F.lit(PARITY)) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.shiftright("h", 16).bitwiseAND(F.lit(63))).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    found = each.groupBy("cls").agg(F.count("*").alias("n_shingles"), *(F.bit_xor(one(k)).alias(b) for k, b in enumerate(BITS)))
+    return materialise(found, "facts")
+
+
+def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the lines that are linked with others; ``shared`` has (sig, cls, hub): a bucket, one of its lines and its first line."""
+    facts = _facts(shared.select("cls"), distinct)
+    known = materialise(distinct.select("line", "form").join(facts.select(F.col("cls").alias("line")), "line"), "candidates")
+    stars = materialise(sifted(shared.where("cls <> hub").select("hub", "cls").distinct(), facts, threshold), "stars")
+    links = _verify(stars, known, threshold)
+    labels = components(links)
+    left = mixed(shared, labels)
+    second = materialise(sifted(spokes(left), facts, threshold).join(stars, ["hub", "cls"], "left_anti"), "stars")
+    done = stars
+    if not second.isEmpty():
+        links = links.unionByName(_verify(second, known, threshold))
+        labels = components(links)
+        left, done = mixed(left, labels), stars.unionByName(second)
+    hot = F.col("components") > REFINE_OVER
+    few = paired(left.where(~hot), "sig", facts, done, threshold)
+    short = materialise(left.where(hot).select("cls", "component").distinct(), "short")
+    rare = few.limit(0)
+    if not short.isEmpty():
+        forms = known.withColumnRenamed("line", "cls").join(short, "cls")
+        shingled = materialise(forms.select("cls", F.explode(_shingles(F.col("form"))).alias("s")).select("cls", F.xxhash64("s").alias("shingle")), "shingles")
+        rare = paired(rarest(shingled, short, threshold), "shingle", facts, done, threshold)
+    more = materialise(few.unionByName(rare).distinct(), "pairs")
+    if not more.isEmpty():
+        labels = components(links.unionByName(_verify(more, known, threshold)))
+    return labels
 
 
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(line, component, first_id, copies) of every distinct normal form, and (rid, at, line) of every line.
 
-    ``line`` is the 64-bit hash of the form; first_id the smallest row key that has it (the id where ids are unique
-    whole numbers, else a hash of id and text), copies how often it stands. Null texts have no lines.
+    Forms are grouped as texts; ``line`` is the form's 64-bit hash, mixed with a second one where two forms share it.
+    first_id is the smallest row key that has the form (the id where ids are unique whole numbers, else a hash of id
+    and text), copies how often it stands. Null texts have no lines.
     """
     key, _ = row_key(docs, id_col, text_col)
-    lines = materialise(_lines(docs, key, text_col, least_chars), "lines")
-    distinct = materialise(lines.groupBy("line").agg(F.min("rid").alias("first_id"), F.count("*").alias("copies"), F.min("form").alias("form")), "forms")
-
-    keys = distinct.select("line", F.explode(_keys(F.col("form"))).alias("band"))
-    bucket = Window.partitionBy("band").orderBy("line")
-    hub = F.first("line").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    shared = keys.select("band", "line", F.lag("line").over(bucket).alias("before"), F.lead("line").over(bucket).alias("after"), hub.alias("hub"))
-    shared = materialise(shared.where("before is not null or after is not null").drop("after"), "buckets")
-    pairs = shared.where("before is not null").select("line", F.explode(F.array_distinct(F.array("before", "hub"))).alias("a")).select("a", F.col("line").alias("b"))
-    pairs = materialise(pairs.where("a <> b").distinct(), "pairs")
-    links = materialise(_verify(pairs, distinct, threshold), "links")
-    labels = components(links)
-    more = materialise(_cross_pairs(shared, labels, pairs, distinct, threshold), "pairs")
-    if not more.isEmpty():
-        labels = components(links.unionByName(_verify(more, distinct, threshold)))
+    raw = materialise(_lines(docs, key, text_col, least_chars), "lines")
+    distinct = raw.groupBy("form").agg(F.min("rid").alias("first_id"), F.count("*").alias("copies"))
+    distinct = materialise(distinct.select(F.xxhash64("form").alias("line"), "first_id", "copies", "form"), "forms")
+    clash = [r["line"] for r in distinct.groupBy("line").count().where("count > 1").select("line").collect()]  # n**2 / 2**65 of n forms are expected
+    number = F.xxhash64("form")
+    if clash:
+        number = F.when(number.isin(clash), F.xxhash64(number, F.lit(1), F.reverse("form"))).otherwise(number)
+        distinct = materialise(distinct.withColumn("line", number), "forms")
+    lines = materialise(raw.select("rid", "at", number.alias("line")), "lines")
+    discard(raw)
+
+    keys = distinct.select(F.col("line").alias("cls"), F.explode(_keys(F.col("form"))).alias("sig"))
+    bucket = Window.partitionBy("sig")
+    shared = keys.select("sig", "cls", F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("last")).where("hub <> last").drop("last")
+    labels = _links(materialise(shared, "buckets"), distinct, threshold)
     found = distinct.drop("form").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    return found, lines.drop("form")
+    found = materialise(found, "groups")
+    discard(distinct)
+    return found, lines
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD, count: str | None = None) -> DataFrame:
@@ -154,23 +166,21 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     key, _ = row_key(docs, id_col, text_col)
     groups, lines = line_groups(docs, id_col=id_col, text_col=text_col, least_chars=least_chars, threshold=threshold)
-    groups = materialise(groups, "groups")
-    owner = groups.groupBy("component").agg(F.min("first_id").alias("owner"))
+    owner = groups.groupBy("component").agg(F.min("first_id").alias("owner"), F.sum("copies").alias("all")).where("all > 1").select("component", "owner")
     repeated = groups.join(owner, "component").select("line", "component", "owner")
     text = F.col(f"`{text_col}`").cast("string")
-    owned = lines.join(repeated, "line")
     # everything of a row's lines of one component but the first in the owner goes
-    mine = owned.groupBy("rid", "component", "owner").agg(F.array_sort(F.collect_set("at")).alias("places"))  # bounded by the document
+    mine = lines.join(repeated, "line").groupBy("rid", "component", "owner").agg(F.array_sort(F.collect_set("at")).alias("places"))  # bounded by the document
     extra = mine.select("rid", F.when(F.col("rid") == F.col("owner"), F.slice("places", 2, 1 << 30)).otherwise(F.col("places")).alias("places")).where(F.size("places") > 0)
-    gone = extra.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("__gone")).withColumnRenamed("rid", "__rid")
-    joined = docs.withColumn("__rid", key).join(gone, "__rid", "left")
-    split = F.split(text, "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    clean = F.when(F.col("__gone").isNull(), text).otherwise(kept)
+    rid, gone = unused(docs, "rid"), unused(docs, "gone")
+    removed = materialise(extra.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias(gone)).withColumnRenamed("rid", rid), "removed")
+    joined = docs.withColumn(rid, key).join(removed, rid, "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    clean = F.when(F.col(gone).isNull(), text).otherwise(kept)
     value = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: clean}
     if "n_chars" in value:
-        value["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("bigint"))
-    added = [F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias(count)] if count else []
+        value["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("bigint"))
+    added = [F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(count)] if count else []
     return joined.select(*[value[c].alias(c) for c in docs.columns], *added)
 
 

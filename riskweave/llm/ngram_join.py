@@ -25,25 +25,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import Powers, Shared, components, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, utf8
+from riskweave.llm.apart import BITS, PARITY, mixed, paired, rarest, sifted, spokes
+from riskweave.llm.common import Powers, Shared, components, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, unused, utf8
 from riskweave.llm.repeats import keyed
 
 SHINGLE = 5
 #: Linked when LEAST[1] * intersection >= LEAST[0] * union.
 LEAST = (80, 100)
+THRESHOLD = LEAST[0] / LEAST[1]
 #: Segments beyond the H + 1 of the guarantee: so many may be hot before a class has to be indexed otherwise.
 RESERVE = 2
 #: A signature shared by more components than this is hot: it is allocated nothing.
 REFINE_OVER = 8
 #: At first each class is compared with this many classes, each the smallest of signatures that both have.
 STARS = 2
-#: Words of a class's parity bitmap, and bits of the bitmap that sifts rows before texts are shuffled.
-PARITY = 8
-_BITS = [f"p{k}" for k in range(PARITY)]
-SIEVE_BITS = 1 << 23
+#: Bits of the bitmap that sifts rows before texts are shuffled.
+SIEVEBITS = 1 << 23
 #: A star centre's pairs are dealt into groups of about this many.
 SALT_ROWS = 1000
 
@@ -206,7 +206,7 @@ def _sizes(batches):
         own, check = classes(hashes, begin)
         bits = parity(hashes, begin)
         arrays = [batch.column(0), batch.column(1), *(pa.array(x) for x in (np.diff(begin), own, check, spare(hashes, begin))), *(pa.array(bits[:, k].copy()) for k in range(PARITY))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "rid", "n_shingles", "cls", "chk", "spare", *_BITS])
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "rid", "n_shingles", "cls", "chk", "spare", *BITS])
 
 
 def _parted(own: np.ndarray, check: np.ndarray, clash: np.ndarray) -> np.ndarray:
@@ -285,7 +285,7 @@ def _packed(sieve):
     def run(batches):
         bits = sieve.value
         for batch in text_slices(batches, 1, 4 << 20):
-            at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(SIEVE_BITS - 1)
+            at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(SIEVEBITS - 1)
             batch = batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["rid", "items"])
 
@@ -295,7 +295,7 @@ def _packed(sieve):
 def _marks(batches):
     """(word, bits) of a bitmap that marks row keys."""
     for batch in batches:
-        at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(SIEVE_BITS - 1)
+        at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(SIEVEBITS - 1)
         word, where = np.unique((at >> np.uint64(6)).astype(np.int64), return_inverse=True)
         bits = np.zeros(len(word), np.uint64)
         np.bitwise_or.at(bits, where, np.uint64(1) << (at & np.uint64(63)))
@@ -303,8 +303,8 @@ def _marks(batches):
 
 
 def _sieve(rids: DataFrame) -> Shared:
-    """A bitmap of ``SIEVE_BITS`` bits (its size is fixed) that passes every row key in ``rids``, and few others while those are few."""
-    bits = np.zeros(SIEVE_BITS // 64, np.uint64)
+    """A bitmap of ``SIEVEBITS`` bits (its size is fixed) that passes every row key in ``rids``, and few others while those are few."""
+    bits = np.zeros(SIEVEBITS // 64, np.uint64)
     rows = rids.select("rid").mapInArrow(_marks, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return Shared(rids.sparkSession, bits)
@@ -371,87 +371,40 @@ def verify(pairs: DataFrame, real: DataFrame, base: DataFrame, unique: bool) ->
     return materialise(rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify, "a bigint, b bigint"), "links")
 
 
-def _may_link(x: str, y: str) -> Column:
-    """Whether the sizes and parities of two classes (structs ``x`` and ``y``) allow a link: sets of 80 % similarity differ in at most a ninth of the sum of their sizes."""
-    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS), F.lit(0))
-    return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (differ * (LEAST[0] + LEAST[1]) <= (n + m) * (LEAST[1] - LEAST[0]))
-
-
-def _with_sets(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (hub, cls) whose sizes and parities allow a link."""
-    x, y = (facts.select(F.col("cls").alias(name), F.struct("n_shingles", *_BITS).alias(to)) for name, to in (("hub", "x"), ("cls", "y")))
-    return pairs.join(x, "hub").join(y, "cls").where(_may_link("x", "y")).select("hub", "cls")
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, cls, component) of the signatures whose classes lie in different components, with how many those are, the smallest, and its first class."""
-    known = members.select("sig", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    known = known.repartition("sig")  # one shuffle for both sides of the join
-    apart = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig", "low")
-    mixed = materialise(known.join(apart, "sig").select("sig", "cls", "component", "low"), "mixed")
-    each = mixed.groupBy("sig", "component").agg(F.min("cls").alias("least"))
-    state = each.groupBy("sig").agg(F.count("*").alias("components"), F.min(F.struct("component", "least")).alias("first"))
-    return materialise(mixed.join(state.select("sig", "components", F.col("first.least").alias("hub")), "sig"), "mixed")
-
-
-def _paired(rows: DataFrame, key: str, facts: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (hub, cls) of ``rows`` (key, cls, component) that share a key, lie in different components and may link, without those in ``done``."""
-    rich = rows.join(facts, "cls").select(key, "cls", "component", F.struct("n_shingles", *_BITS).alias("s"))
-    x = rich.select(key, F.col("cls").alias("hub"), F.col("component").alias("c1"), F.col("s").alias("x"))
-    y = rich.select(key, "cls", F.col("component").alias("c2"), F.col("s").alias("y"))
-    joined = x.join(y, (x[key] == y[key]) & (F.col("hub") < F.col("cls")) & (F.col("c1") != F.col("c2")) & _may_link("x", "y"))
-    return joined.select("hub", "cls").distinct().join(done, ["hub", "cls"], "left_anti")
-
-
-def _rarest(short: DataFrame, real: DataFrame, base: DataFrame, unique: bool) -> DataFrame:
-    """(shingle, cls, component) of the classes in ``short`` (cls, component): of each its rarest shingles among them.
-
-    With shingles in one order of frequency, two sets of similarity t share one among each's first n - ceil(t n) + 1,
-    so no pair of these classes is lost, and a passage that very many share seldom stands so far in front.
-    """
-    shingled = materialise(texts_of(short, real, base, unique).mapInArrow(_shingled, "cls bigint, shingle bigint"), "shingles")
-    counted = shingled.join(shingled.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
-    ranked = counted.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # bounded by the document
-    size = F.size("all")
-    front = (size - F.ceil(size * LEAST[0] / LEAST[1]) + 1).cast("int")
-    return ranked.select("cls", F.explode(F.slice("all", F.lit(1), front)).alias("own")).where("own.n > 1").join(short, "cls").select(F.col("own.shingle").alias("shingle"), "cls", "component")
-
-
 def class_links(base: DataFrame, unique: bool, real: DataFrame, clash: np.ndarray) -> DataFrame:
     """(node, component) of the classes that are linked with others; ``real`` has the rows with shingles."""
     signed = base.select("text").mapInArrow(_signed(clash), "sig bigint, cls bigint")
     multi = materialise(signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_groups, "sig bigint, cls bigint, hub bigint"), "signatures")
-    facts = materialise(real.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "spare", *_BITS))).join(multi.select("cls").distinct(), "cls", "left_semi"), "facts")
+    facts = materialise(real.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "spare", *BITS))).join(multi.select("cls").distinct(), "cls", "left_semi"), "facts")
 
     shares = multi.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
     top = shares.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "hub"))), 1, STARS).alias("hubs"))  # no more than its signatures
-    stars = materialise(_with_sets(top.select("cls", F.explode("hubs.hub").alias("hub")), facts), "stars")
+    stars = materialise(sifted(top.select("cls", F.explode("hubs.hub").alias("hub")), facts, THRESHOLD), "stars")
     links = verify(stars, real, base, unique)
     labels = components(links)
-    mixed = _labelled(multi, labels)
+    left = mixed(multi, labels)
 
     # classes that are still apart meet the first class of the signature's smallest component
-    second = mixed.where("component <> low").select(F.least("hub", "cls").alias("hub"), F.greatest("hub", "cls").alias("cls")).distinct()
-    second = materialise(_with_sets(second, facts).join(stars, ["hub", "cls"], "left_anti"), "stars")
+    second = materialise(sifted(spokes(left), facts, THRESHOLD).join(stars, ["hub", "cls"], "left_anti"), "stars")
     done = stars
     if not second.isEmpty():
         links = links.unionByName(verify(second, real, base, unique))
         labels = components(links)
-        mixed, done = _labelled(mixed, labels), stars.unionByName(second)
+        left, done = mixed(left, labels), stars.unionByName(second)
 
     # what is left is exhausted: signatures of few components directly; the others are allocated nothing, and classes that
     # then miss the guarantee meet by their rarest shingles
     hot = F.col("components") > REFINE_OVER
-    few = _paired(mixed.where(~hot).select("sig", "cls", "component"), "sig", facts, done)
-    lost = mixed.where(hot).groupBy("cls").agg(F.count("*").alias("lost"))
+    few = paired(left.where(~hot), "sig", facts, done, THRESHOLD)
+    lost = left.where(hot).groupBy("cls").agg(F.count("*").alias("lost"))
     bare = real.where("spare <= 0").select("cls", "spare").distinct()
     needy = facts.join(lost, "cls").where("lost >= spare").select("cls").unionByName(bare.select("cls")).distinct()
     short = materialise(needy.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "short")
     rare = few.limit(0)
     if not short.isEmpty():
-        every = real.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", *_BITS)))
-        rare = _paired(_rarest(short, real, base, unique), "shingle", every, done)
+        every = real.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", *BITS)))
+        shingled = materialise(texts_of(short, real, base, unique).mapInArrow(_shingled, "cls bigint, shingle bigint"), "shingles")
+        rare = paired(rarest(shingled, short, THRESHOLD), "shingle", every, done, THRESHOLD)
     more = materialise(few.unionByName(rare).distinct(), "pairs")
     if not more.isEmpty():
         labels = components(links.unionByName(verify(more, real, base, unique)))
@@ -467,7 +420,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     base, unique = keyed(docs, id_col, text_col)
     kind = base.schema["id"].dataType.simpleString()
-    made = base.select("id", "rid", "text").mapInArrow(_sizes, f"id {kind}, rid bigint, n_shingles bigint, cls bigint, chk bigint, spare bigint, {', '.join(f'{b} bigint' for b in _BITS)}")
+    made = base.select("id", "rid", "text").mapInArrow(_sizes, f"id {kind}, rid bigint, n_shingles bigint, cls bigint, chk bigint, spare bigint, {', '.join(f'{b} bigint' for b in BITS)}")
     sizes = materialise(made, "sizes")
     double = sizes.groupBy("cls").agg(F.min("chk").alias("low"), F.max("chk").alias("high")).where("low <> high").select("cls")
     clash = np.sort(np.array([r["cls"] for r in double.collect()], np.int64))  # n**2 / 2**65 of n different sets are expected
@@ -489,10 +442,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     if stays.count() == stays.select("id").distinct().count() and stays.where("id is null").isEmpty():
         held = docs.join(stays.select(F.col("id").alias(id_col)), id_col, "left_semi")
         return held if held.groupBy(id_col).count().where("count > 1").isEmpty() else held.dropDuplicates([id_col])
-    rows, _ = keyed(docs, id_col, text_col)  # ids repeat: rows are told apart by id and text
-    keep = found.where("id <=> component_id or n_shingles = 0").groupBy("id", "cls").agg(F.min("rid").alias("rid")).select("rid")
-    own = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.withColumn("__rid", own).join(keep.withColumnRenamed("rid", "__rid"), "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")
+    keep = found.where("id <=> component_id or n_shingles = 0").groupBy("id", "cls").agg(F.min("rid").alias("rid")).select("rid")  # ids repeat: rows are told apart by id and text
+    own, name = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), unused(docs, "rid")
+    return docs.withColumn(name, own).join(keep.withColumnRenamed("rid", name), name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
