@@ -56,6 +56,16 @@ def paired(rows: DataFrame, key: str, facts: DataFrame, done: DataFrame, thresho
     return joined.select("hub", "cls").distinct().join(done, ["hub", "cls"], "left_anti")
 
 
+def between(pairs: DataFrame, labels: DataFrame, *, once: bool = False) -> DataFrame:
+    """The pairs (hub, cls) whose ends lie in different components; with ``once``, one of each two components."""
+    c1 = labels.select(F.col("node").alias("hub"), F.col("component").alias("c1"))
+    c2 = labels.select(F.col("node").alias("cls"), F.col("component").alias("c2"))
+    found = pairs.join(c1, "hub", "left").join(c2, "cls", "left").withColumns({"c1": F.coalesce("c1", "hub"), "c2": F.coalesce("c2", "cls")}).where("c1 <> c2")
+    if once:
+        found = found.groupBy(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).agg(F.min(F.struct("hub", "cls")).alias("pair")).select("pair.hub", "pair.cls")
+    return found.select("hub", "cls")
+
+
 def rarest(shingled: DataFrame, short: DataFrame, threshold: float) -> DataFrame:
     """(shingle, cls, component) of the classes in ``short`` (cls, component): of each its rarest shingles among ``shingled`` (cls, shingle), which has the sets of just these.
 
@@ -63,7 +73,7 @@ def rarest(shingled: DataFrame, short: DataFrame, threshold: float) -> DataFrame
     so no pair of these classes is lost, and a passage that very many share seldom stands so far in front.
     """
     counted = shingled.join(shingled.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
-    ranked = counted.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # bounded by the document
+    ranked = counted.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # bounded by the document
     size = F.size("all")
     front = (size - F.ceil(size * threshold - 1e-6) + 1).cast("int")
     return ranked.select("cls", F.explode(F.slice("all", F.lit(1), front)).alias("own")).where("own.n > 1").join(short, "cls").select(F.col("own.shingle").alias("shingle"), "cls", "component")

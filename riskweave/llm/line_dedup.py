@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.apart import BITS, PARITY, mixed, paired, rarest, sifted, spokes
+from riskweave.llm.apart import BITS, PARITY, between, mixed, paired, rarest, sifted, spokes
 from riskweave.llm.common import components, discard, materialise, read, unused
 from riskweave.llm.repeats import row_key
 
@@ -33,8 +33,9 @@ FEW = (10, 13)
 REFINE_OVER = 8
 
 
-def normal_form(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def normal_form(text: Column) -> Column:
+    """Lower case, runs of other than letters and digits as one space; lines stay lines. Single spaces need no replacement, so they match nothing."""
+    return F.regexp_replace(F.lower(text), r"(?: *[^\p{L}\p{N}\n ]+)+ *|  +", " ")
 
 
 def _let(x: Column, f) -> Column:
@@ -43,12 +44,12 @@ def _let(x: Column, f) -> Column:
 
 
 def _smallest(shingles: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.transform(shingles, lambda w: F.xxhash64(w)))), 1, SKETCH)
+    return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda w: F.xxhash64(w)))), 1, SKETCH)
 
 
 def _keys(form: Column) -> Column:
     """Band keys: from the shingles at word starts where there are ``FEW[0]`` or more, from all shingles where there are ``FEW[1]`` or fewer; between, from both."""
-    starts = F.array_distinct(F.regexp_extract_all(form, F.lit(f"(?s)(?:^| )(?=(.{{1,{ANCHOR}}}))"), F.lit(1)))
+    starts = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), form), F.lit(f"(?s) (?=(.{{1,{ANCHOR}}}))"), F.lit(1)))
     none = F.array().cast("array<bigint>")
     return _let(starts, lambda x: F.array_distinct(F.concat(
         F.when(F.size(x) >= FEW[0], _let(_smallest(x), _bands)).otherwise(none), F.when(F.size(x) <= FEW[1], _let(_smallest(_shingles(form)), _bands)).otherwise(none)
@@ -79,7 +80,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> DataFrame:
     """(rid, at, form): the normal forms of every row's lines, but for forms under ``least_chars`` characters. A text is folded in one pass."""
-    folded = F.regexp_replace(F.lower(F.col(f"`{text_col}`").cast("string")), r"[^\p{L}\p{N}\n]+", " ")
+    folded = normal_form(F.col(f"`{text_col}`").cast("string"))
     lines = docs.select(key.alias("rid"), F.posexplode(F.split(folded, "\n")).alias("at", "raw")).select("rid", "at", F.trim("raw").alias("form"))
     return lines.where(F.length("form") >= max(1, least_chars))
 
@@ -123,8 +124,13 @@ def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
         shingled = materialise(forms.select("cls", F.explode(_shingles(F.col("form"))).alias("s")).select("cls", F.xxhash64("s").alias("shingle")), "shingles")
         rare = paired(rarest(shingled, short, threshold), "shingle", facts, done, threshold)
     more = materialise(few.unionByName(rare).distinct(), "pairs")
-    if not more.isEmpty():
-        labels = components(links.unionByName(_verify(more, known, threshold)))
+    if not more.isEmpty():  # one pair of each two components first; what that does not unite, all at once
+        single = materialise(between(more, labels, once=True), "pairs")
+        links = links.unionByName(_verify(single, known, threshold))
+        labels = components(links)
+        rest = materialise(between(more.join(single, ["hub", "cls"], "left_anti"), labels), "pairs")
+        if not rest.isEmpty():
+            labels = components(links.unionByName(_verify(rest, known, threshold)))
     return labels
 
 

@@ -378,7 +378,7 @@ def class_links(base: DataFrame, unique: bool, real: DataFrame, clash: np.ndarra
     facts = materialise(real.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "spare", *BITS))).join(multi.select("cls").distinct(), "cls", "left_semi"), "facts")
 
     shares = multi.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
-    top = shares.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "hub"))), 1, STARS).alias("hubs"))  # no more than its signatures
+    top = shares.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "hub"))), 1, STARS).alias("hubs"))  # no more than its signatures
     stars = materialise(sifted(top.select("cls", F.explode("hubs.hub").alias("hub")), facts, THRESHOLD), "stars")
     links = verify(stars, real, base, unique)
     labels = components(links)
