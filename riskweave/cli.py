@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave.errors import InputError
 from riskweave.functions import special
-from riskweave.functions.spectra import ExponentialSpectrum, PowerSpectrum, ShortfallSpectrum, WangSpectrum
+from riskweave.functions.spectra import ExponentialSpectrum, PowerSpectrum, TailSpectrum, WangSpectrum
 from riskweave.operators import (
     backtest, bounds, cleaning, contributions, copula, covariance, drawdown, entropy, expectile, extreme, factors, frames, historical, horizon, mixture, parametric, quadratic, realised, saddlepoint,
     scoring, series, spectral, stress, volatility,
@@ -68,7 +68,7 @@ def risk(spark, a):
         shape = {"skewness": m["skewness"], "excess_kurtosis": m["excess_kurtosis"]}
     model = _rows(parametric.portfolio_risk(x.w, x.covariance(), series.moments(x.panel).select("series", "mean"), a.confidence, d, **shape))[0]
     own = _rows(historical.historical_risk(x.book(), a.confidence))[0]
-    out = {"distribution": str(d), **model, **{f"historical_{k}": own[k] for k in ("value_at_risk", "expected_shortfall", "effective_sample")}}
+    out = {"distribution": str(d), **model, **{f"historical_{k}": own[k] for k in ("value_at_risk", "expected_tail_loss", "effective_sample")}}
     if a.periods:
         out["annualised_volatility"] = out["volatility"] * math.sqrt(a.periods)
     return [out]
@@ -79,7 +79,7 @@ def contributions_(spark, a):
     c = x.covariance()
     if a.measure == "volatility":
         return _rows(contributions.volatility_contributions(x.w, c).orderBy("series"))
-    return _rows(contributions.risk_contributions(x.w, c, series.moments(x.panel), a.confidence, of_expected_shortfall=a.measure == "es").orderBy("series"))
+    return _rows(contributions.risk_contributions(x.w, c, series.moments(x.panel), a.confidence, of_expected_tail_loss=a.measure == "es").orderBy("series"))
 
 
 def parity(spark, a):
@@ -102,7 +102,7 @@ def curvature(spark, a):
         e = quadratic.Exposure(e.delta, e.gamma, -0.5 * float(np.trace(e.gamma @ m)))
     f = quadratic.standard_form(e, m)
     r = quadratic.quadratic_risk(f, a.confidence)
-    return [{"value_at_risk": r.value_at_risk, "expected_shortfall": r.expected_shortfall, "delta_normal": -quadratic.delta_normal_quantile(f, 1 - a.confidence), "skewness": r.skewness, "floor": r.floor}]
+    return [{"value_at_risk": r.value_at_risk, "expected_tail_loss": r.expected_tail_loss, "delta_normal": -quadratic.delta_normal_quantile(f, 1 - a.confidence), "skewness": r.skewness, "floor": r.floor}]
 
 
 def drawdown_(spark, a):
@@ -124,17 +124,17 @@ def volatility_(spark, a):
     kind = volatility.Innovation.STUDENT_T if a.innovation == "student-t" or (a.innovation == "auto" and volatility.fat_tail_test(r, variance_targeting=a.variance_targeting).fat) else volatility.Innovation.NORMAL
     g = volatility.fit_garch(r, innovation=kind, variance_targeting=a.variance_targeting, strict=False)
     own = g.risk(confidence=a.confidence, last_return=float(r[-1]))
-    out = {"innovation": str(kind), "omega": g.omega, "alpha": g.alpha, "beta": g.beta, "degrees": g.degrees, "half_life": g.half_life, "value_at_risk": own.value_at_risk, "expected_shortfall": own.expected_shortfall, "horizon_volatility": math.sqrt(g.horizon_variance(a.horizon, last_return=float(r[-1])))}
+    out = {"innovation": str(kind), "omega": g.omega, "alpha": g.alpha, "beta": g.beta, "degrees": g.degrees, "half_life": g.half_life, "value_at_risk": own.value_at_risk, "expected_tail_loss": own.expected_tail_loss, "horizon_volatility": math.sqrt(g.horizon_variance(a.horizon, last_return=float(r[-1])))}
     if a.paths:
         h = horizon.horizon_risk(spark, g, r, steps=a.horizon, confidence=a.confidence, paths=a.paths, innovations=horizon.Innovations(a.draw), seed=a.seed, convention=series.Convention(a.convention))
-        out |= {"horizon_value_at_risk": h.value_at_risk, "horizon_expected_shortfall": h.expected_shortfall, "standard_error": h.standard_error}
+        out |= {"horizon_value_at_risk": h.value_at_risk, "horizon_expected_tail_loss": h.expected_tail_loss, "standard_error": h.standard_error}
     return [out]
 
 
 def tail(spark, a):
     r = Input(spark, a).column(a.column)
     fit = extreme.fit_tail(-r, tail_fraction=a.tail_fraction, threshold=a.threshold, method=extreme.TailMethod(a.method))
-    out = {"shape": fit.shape, "scale": fit.scale, "threshold": fit.threshold, "exceedances": fit.exceedances, "value_at_risk": fit.quantile(a.confidence), "expected_shortfall": fit.expected_shortfall(a.confidence) if fit.shape < 1 else None, "historical": float(-np.quantile(r, 1 - a.confidence))}
+    out = {"shape": fit.shape, "scale": fit.scale, "threshold": fit.threshold, "exceedances": fit.exceedances, "value_at_risk": fit.quantile(a.confidence), "expected_tail_loss": fit.expected_tail_loss(a.confidence) if fit.shape < 1 else None, "historical": float(-np.quantile(r, 1 - a.confidence))}
     if a.curve:
         losses = spark.createDataFrame([("all", float(-v)) for v in r], "series string, loss double")
         return {"fit": out, "curve": _rows(extreme.mean_excess_curve(losses, a.curve).orderBy("threshold"))}
@@ -145,7 +145,7 @@ def copula_(spark, a):
     x = Input(spark, a)
     r = copula.copula_risk(x.panel.select("series", "t", "r"), x.weights, a.confidence, copula.Family(a.family), copula.Marginal(a.marginal), a.degrees, a.paths, a.seed)
     pairs = sorted(r.copula.tail_dependence(), key=lambda t: -t.coefficient)[: a.pairs]
-    return {"risk": {"value_at_risk": r.value_at_risk, "expected_shortfall": r.expected_shortfall, "degrees": r.copula.degrees_of_freedom, "premium": r.tail_dependence_premium, "standard_error": r.standard_error}, "pairs": [dataclasses.asdict(p) for p in pairs]}
+    return {"risk": {"value_at_risk": r.value_at_risk, "expected_tail_loss": r.expected_tail_loss, "degrees": r.copula.degrees_of_freedom, "premium": r.tail_dependence_premium, "standard_error": r.standard_error}, "pairs": [dataclasses.asdict(p) for p in pairs]}
 
 
 def score(spark, a):
@@ -164,20 +164,20 @@ def validate(spark, a):
 def expectile_(spark, a):
     r = -Input(spark, a).column(None)
     m, s = float(r.mean()), float(r.std(ddof=1))
-    es = float(parametric.parametric(mean=-m, volatility=s, confidence=a.confidence).expected_shortfall)
+    es = float(parametric.parametric(mean=-m, volatility=s, confidence=a.confidence).expected_tail_loss)
     match = expectile.matching_level(es, lambda p: expectile.normal_expectile(mean=m, volatility=s, level=p).value)
-    return [{"sample": expectile.sample_expectile(r, a.level).value, "normal": expectile.normal_expectile(mean=m, volatility=s, level=a.level).value, "student_t": expectile.student_t_expectile(mean=m, volatility=s, level=a.level, degrees=a.degrees).value, "level_matching_es": match.level, "sample_at_that_level": expectile.sample_expectile(r, match.level).value, "expected_shortfall": es}]
+    return [{"sample": expectile.sample_expectile(r, a.level).value, "normal": expectile.normal_expectile(mean=m, volatility=s, level=a.level).value, "student_t": expectile.student_t_expectile(mean=m, volatility=s, level=a.level, degrees=a.degrees).value, "level_matching_es": match.level, "sample_at_that_level": expectile.sample_expectile(r, match.level).value, "expected_tail_loss": es}]
 
 
 def spectrum(spark, a):
     r = Input(spark, a).column(None)
-    charge = -spectral.spectral_risk(r, ShortfallSpectrum(1 - a.confidence))
+    charge = -spectral.spectral_risk(r, TailSpectrum(1 - a.confidence))
     frame = spark.createDataFrame([("all", k, float(v)) for k, v in enumerate(r)], "series string, t long, r double")
 
     def matched(make, low, high):
         return make(special._root(lambda k: -spectral.spectral_risk(r, make(k)) - charge, low, high, 60))
 
-    found = [ShortfallSpectrum(1 - a.confidence), matched(ExponentialSpectrum, 1e-6, 500.0), PowerSpectrum(a.exponent) if a.exponent else matched(PowerSpectrum, 1.0, 500.0), matched(WangSpectrum, 0.0, 8.0)]
+    found = [TailSpectrum(1 - a.confidence), matched(ExponentialSpectrum, 1e-6, 500.0), PowerSpectrum(a.exponent) if a.exponent else matched(PowerSpectrum, 1.0, 500.0), matched(WangSpectrum, 0.0, 8.0)]
     return [{"spectrum": s.name, "charge": -spectral.spectral_risk(r, s), "deep_share": spectral.tail_shares(frame, s, a.deep).first()["share"]} for s in found]
 
 
@@ -186,7 +186,7 @@ def portfolio(spark, a):
     levels = [a.level] if a.level is not None else [p.mean * k for k in (1, 1.5, 2, 3) if p.mean * k < p.maximum]
     exact = saddlepoint.exact_distribution(p, unit=p.span) if p.span and p.maximum / p.span < 20_000 else None
     out = [{"level": x, "saddlepoint": saddlepoint.exceedance_probability(p, x), "normal": saddlepoint.normal_tail(p, x), "exact": saddlepoint.exact_tail(exact, x, unit=p.span) if exact is not None else None} for x in levels]
-    c = saddlepoint.shortfall_contributions(p, levels[-1])
+    c = saddlepoint.tail_loss_contributions(p, levels[-1])
     top = sorted(zip(p.p, p.e, c, strict=True), key=lambda t: -t[2])[: a.top]
     return {"tail": out, "contributions": [{"probability": float(q), "exposure": float(e), "contribution": float(v)} for q, e, v in top]}
 
@@ -242,7 +242,7 @@ def regime(spark, a):
     r = -Input(spark, a).column(None)
     f = mixture.fit_mixture(r, a.components, floor=a.floor)
     out = mixture.mixture_risk(f.mixture, a.confidence)
-    payload = {"components": [dataclasses.asdict(c) for c in f.mixture.components], "value_at_risk": out.value_at_risk, "expected_shortfall": out.expected_shortfall, "responsibility": out.responsibility, "averaged": out.averaged}
+    payload = {"components": [dataclasses.asdict(c) for c in f.mixture.components], "value_at_risk": out.value_at_risk, "expected_tail_loss": out.expected_tail_loss, "responsibility": out.responsibility, "averaged": out.averaged}
     if a.components == 2:
         chain = (a.stay_calm, a.stay_stressed)
         h = mixture.mixture_risk(mixture.horizon_mixture(*f.mixture.components, chain, mixture.stationary(chain), a.horizon), a.confidence)

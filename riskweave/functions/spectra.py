@@ -26,13 +26,13 @@ def _pow(a, b):
 
 
 @dataclass(frozen=True)
-class ShortfallSpectrum:
+class TailSpectrum:
     probability: float
 
     def __post_init__(self) -> None:
         need(0 < self.probability <= 1, BadSpectrum, "the probability must lie in (0, 1]")
 
-    name = property(lambda self: f"expected shortfall at {1 - self.probability:.4%}")
+    name = property(lambda self: f"expected tail loss at {1 - self.probability:.4%}")
     is_coherent = property(lambda self: True)
     breaks = property(lambda self: (self.probability,))
 
@@ -105,7 +105,7 @@ class WangSpectrum:
 
 @dataclass(frozen=True)
 class MixtureSpectrum:
-    """A convex mix of shortfall spectra: pairs (probability, weight), weights in proportion."""
+    """A convex mix of tail spectra: pairs (probability, weight), weights in proportion."""
 
     components: tuple
 
@@ -118,10 +118,10 @@ class MixtureSpectrum:
     breaks = property(lambda self: tuple(sorted({p for p, _ in self.components})))
 
     def density(self, level: float) -> float:
-        return sum(w * ShortfallSpectrum(p).density(level) for p, w in self.components) / self.total
+        return sum(w * TailSpectrum(p).density(level) for p, w in self.components) / self.total
 
     def mass(self, lower, upper):
         out = 0.0
         for p, w in self.components:
-            out = out + ShortfallSpectrum(p).mass(lower, upper) * (w / self.total)
+            out = out + TailSpectrum(p).mass(lower, upper) * (w / self.total)
         return out

@@ -100,9 +100,9 @@ def traffic_light(breaches: DataFrame, confidence: float) -> DataFrame:
     return out.withColumn("plus_factor", F.when(supervisory, plus))
 
 
-def expected_shortfall_test(forecasts: DataFrame, confidence: float) -> DataFrame:
+def expected_tail_loss_test(forecasts: DataFrame, confidence: float) -> DataFrame:
     """(series, observations, breaches, conditional, unconditional, realised_ratio, direction): Z1 and Z2 over the breaches."""
-    bad = F.when(F.col("es") < F.col("var"), F.raise_error("an expected shortfall is below its value at risk")).otherwise(F.col("es"))
+    bad = F.when(F.col("es") < F.col("var"), F.raise_error("an expected tail loss is below its value at risk")).otherwise(F.col("es"))
     hit = F.col("r") < -F.col("var")
     part = F.when(hit, F.col("r") / bad).otherwise(F.when(bad > 0, 0.0).otherwise(0.0))
     s = forecasts.groupBy("series").agg(F.count("*").alias("observations"), F.count_if(hit).alias("breaches"), F.sum(part).alias("s"))
@@ -115,7 +115,7 @@ def expected_shortfall_test(forecasts: DataFrame, confidence: float) -> DataFram
     return out.withColumn("realised_ratio", ratio).withColumn("direction", direction)
 
 
-def simulate_expected_shortfall_null(forecasts: DataFrame, confidence: float, distribution: Distribution = Distribution.NORMAL, degrees: float = 5.0, replications: int = 2000, seed: int = 0) -> DataFrame:
+def simulate_expected_tail_loss_null(forecasts: DataFrame, confidence: float, distribution: Distribution = Distribution.NORMAL, degrees: float = 5.0, replications: int = 2000, seed: int = 0) -> DataFrame:
     """(series, replication, conditional, unconditional) under correct forecasts.
 
     Only breaches matter: a uniform below the tail probability is one, and its loss is its quantile over the tail's,
@@ -149,11 +149,11 @@ def validate(forecasts: DataFrame, confidence: float, replications: int = 0, see
     tests = coverage_tests(hits, confidence).drop("observations", "count")
     out = traffic_light(hits, confidence).join(tests, "series")
     if "es" in forecasts.columns:
-        z = expected_shortfall_test(forecasts, confidence).drop("observations")
+        z = expected_tail_loss_test(forecasts, confidence).drop("observations")
         z = z.withColumnRenamed("conditional", "es_conditional").withColumnRenamed("unconditional", "es_unconditional")
         out = out.join(z, "series")
         if replications:
-            null = simulate_expected_shortfall_null(forecasts, confidence, replications=replications, seed=seed, **shape)
+            null = simulate_expected_tail_loss_null(forecasts, confidence, replications=replications, seed=seed, **shape)
             worse = null.join(z.select("series", "es_unconditional"), "series").groupBy("series").agg(((F.count_if(F.col("unconditional") <= F.col("es_unconditional")) + 1) / (replications + 1)).alias("es_p_value"))
             out = out.join(worse, "series")
     return out

@@ -29,12 +29,12 @@ def volatility_contributions(weights: DataFrame, covariance: DataFrame) -> DataF
 
 
 def risk_contributions(
-    weights: DataFrame, covariance: DataFrame, means: DataFrame | None = None, confidence: float = 0.99, distribution: Distribution = Distribution.NORMAL, of_expected_shortfall: bool = False, scale: float | None = None, **shape,
+    weights: DataFrame, covariance: DataFrame, means: DataFrame | None = None, confidence: float = 0.99, distribution: Distribution = Distribution.NORMAL, of_expected_tail_loss: bool = False, scale: float | None = None, **shape,
 ) -> DataFrame:
-    """Euler contributions to parametric value at risk or expected shortfall: marginal scale * (S w)_i / volatility - mean_i."""
+    """Euler contributions to parametric value at risk or expected tail loss: marginal scale * (S w)_i / volatility - mean_i."""
     if scale is None:
         q, tail = unit_tail(confidence, distribution, **shape)
-        scale = -tail if of_expected_shortfall else -q
+        scale = -tail if of_expected_tail_loss else -q
     sw = matrix_vector(covariance, weights).withColumnRenamed("i", "series").join(weights, "series")
     if means is not None:
         sw = sw.join(means.select("series", "mean"), "series", "left")
@@ -46,8 +46,8 @@ def risk_contributions(
     return _allocated(rows.withColumn("total", scale * F.col("volatility") - F.sum(F.col("w") * F.col("mean")).over(every)))
 
 
-def historical_shortfall_contributions(panel: DataFrame, weights: DataFrame, confidence: float = 0.99) -> DataFrame:
-    """Euler contributions to the portfolio's historical expected shortfall: each asset's mean over the portfolio's own tail."""
+def historical_tail_loss_contributions(panel: DataFrame, weights: DataFrame, confidence: float = 0.99) -> DataFrame:
+    """Euler contributions to the portfolio's historical expected tail loss: each asset's mean over the portfolio's own tail."""
     alpha = 1 - confidence
     book = portfolio(panel, weights)
     order = Window.partitionBy("series").orderBy("r", "t")

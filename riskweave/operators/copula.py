@@ -16,7 +16,7 @@ from riskweave.functions import linalg, special
 from riskweave.operators.extreme import fit_tail
 from riskweave.operators.frames import matrix, need, require_rows
 from riskweave.operators.historical import historical_risk
-from riskweave.operators.ranks import elliptical_correlation, kendall_matrix
+from riskweave.operators.ranks import elliptical_correlation, kendall_matrix, ranks_of
 from riskweave.operators.series import aligned
 
 # Fixed values.
@@ -112,9 +112,8 @@ def student_t_copula_log_likelihood(uniforms, correlation, degrees_of_freedom: f
 
 
 def pseudo_observations(panel: DataFrame) -> DataFrame:
-    """(series, t, u): rank / (n + 1)."""
-    w = Window.partitionBy("series").orderBy("r", "t")
-    return panel.select("series", "t", (F.row_number().over(w) / (F.count("*").over(Window.partitionBy("series")) + 1)).alias("u"))
+    """(series, t, u): rank / (n + 1); tied values share their mean rank."""
+    return ranks_of(panel).select("series", "t", (F.col("rank") / (F.count("*").over(Window.partitionBy("series")) + 1)).alias("u"))
 
 
 def _uniforms(panel: DataFrame, names: list) -> np.ndarray:
@@ -188,9 +187,9 @@ def joint_exceedance_rate(uniforms: DataFrame, quantile: float = 0.01) -> DataFr
 @dataclass(frozen=True)
 class CopulaRisk:
     value_at_risk: float
-    expected_shortfall: float
+    expected_tail_loss: float
     gaussian_value_at_risk: float
-    gaussian_expected_shortfall: float
+    gaussian_expected_tail_loss: float
     copula: FittedCopula
     marginal: Marginal
     paths: int
@@ -199,9 +198,9 @@ class CopulaRisk:
 
     @property
     def tail_dependence_premium(self) -> float:
-        if not self.gaussian_expected_shortfall:
-            raise NoGaussianBaseline("the Gaussian copula shows no shortfall")
-        return (self.expected_shortfall - self.gaussian_expected_shortfall) / self.gaussian_expected_shortfall
+        if not self.gaussian_expected_tail_loss:
+            raise NoGaussianBaseline("the Gaussian copula shows no tail loss")
+        return (self.expected_tail_loss - self.gaussian_expected_tail_loss) / self.gaussian_expected_tail_loss
 
 
 def copula_risk(
@@ -244,6 +243,6 @@ def copula_risk(
     risk = {r["series"]: r for r in historical_risk(rows, confidence).collect()}
     batch = [r["value_at_risk"] for k, r in risk.items() if k.startswith("batch")]
     return CopulaRisk(
-        risk["own"]["value_at_risk"], risk["own"]["expected_shortfall"], risk["gauss"]["value_at_risk"], risk["gauss"]["expected_shortfall"], fitted, marginal, paths, tuple(w),
+        risk["own"]["value_at_risk"], risk["own"]["expected_tail_loss"], risk["gauss"]["value_at_risk"], risk["gauss"]["expected_tail_loss"], fitted, marginal, paths, tuple(w),
         float(np.std(batch, ddof=1) / math.sqrt(len(batch))),
     )

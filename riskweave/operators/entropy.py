@@ -153,16 +153,16 @@ def weighted_quantile(frame: DataFrame, probability: float, value: str = "r", w:
     return _cumulative(frame, value, w).where(F.col("cum") >= probability - 1e-15).groupBy("series").agg(F.min("x").alias("quantile"))
 
 
-def weighted_expected_shortfall(frame: DataFrame, probability: float, value: str = "r", w: str = "w") -> DataFrame:
+def weighted_expected_tail_loss(frame: DataFrame, probability: float, value: str = "r", w: str = "w") -> DataFrame:
     """(series, tail_mean, mass): the mean up to and including the scenario at which the probability is reached."""
     rows = _cumulative(frame, value, w).where(F.col("cum") - F.col("w") < probability - 1e-15)
     return rows.groupBy("series").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("tail_mean"), F.sum("w").alias("mass"))
 
 
 def stressed_risk(frame: DataFrame, confidence: float, value: str = "r", w: str = "w") -> DataFrame:
-    """(series, value_at_risk, expected_shortfall, mean, volatility) under the weights."""
+    """(series, value_at_risk, expected_tail_loss, mean, volatility) under the weights."""
     alpha = 1 - confidence
     x = F.col(value)
     m = frame.groupBy("series").agg((F.sum(F.col(w) * x) / F.sum(w)).alias("mean"), (F.sum(F.col(w) * x * x) / F.sum(w)).alias("square"))
-    both = weighted_quantile(frame, alpha, value, w).join(weighted_expected_shortfall(frame, alpha, value, w), "series").join(m, "series")
-    return both.select("series", (-F.col("quantile")).alias("value_at_risk"), (-F.col("tail_mean")).alias("expected_shortfall"), "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("volatility"))
+    both = weighted_quantile(frame, alpha, value, w).join(weighted_expected_tail_loss(frame, alpha, value, w), "series").join(m, "series")
+    return both.select("series", (-F.col("quantile")).alias("value_at_risk"), (-F.col("tail_mean")).alias("expected_tail_loss"), "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("volatility"))

@@ -119,7 +119,7 @@ class GeneralisedPareto:
             return self.threshold - self.scale * math.log(ratio)
         return self.threshold + self.scale / self.shape * math.expm1(-self.shape * math.log(ratio))
 
-    def expected_shortfall(self, confidence: float) -> float:
+    def expected_tail_loss(self, confidence: float) -> float:
         need(self.shape < 1, UndefinedTailMean, "the tail has no mean")
         q = self.quantile(confidence)
         return (q + self.scale - self.shape * self.threshold) / (1 - self.shape)
@@ -194,19 +194,19 @@ def pwm_tails(losses: DataFrame, tail_fraction: float = 0.05) -> DataFrame:
 
 
 def tail_risk(tails: DataFrame, confidence: float) -> DataFrame:
-    """Adds quantile, value_at_risk and expected_shortfall (null where the shape is 1 or more) to fitted tails."""
+    """Adds quantile, value_at_risk and expected_tail_loss (null where the shape is 1 or more) to fitted tails."""
     ratio = (1 - confidence) * F.col("observations") / F.col("exceedances")
     q = F.col("threshold") + F.when(F.abs("shape") < SHAPE_EPSILON, -F.col("scale") * F.ln(ratio)).otherwise(F.col("scale") * F.try_divide(F.expm1(-F.col("shape") * F.ln(ratio)), F.col("shape")))
     inside = F.when(ratio <= 1, q)
     es = F.when(F.col("shape") < 1, (F.col("value_at_risk") + F.col("scale") - F.col("shape") * F.col("threshold")) / F.nullif(1 - F.col("shape"), F.lit(0.0)))
-    return tails.withColumn("value_at_risk", inside).withColumn("expected_shortfall", es).withColumn("quantile", -F.col("value_at_risk")).withColumn("confidence", F.lit(confidence))
+    return tails.withColumn("value_at_risk", inside).withColumn("expected_tail_loss", es).withColumn("quantile", -F.col("value_at_risk")).withColumn("confidence", F.lit(confidence))
 
 
 _TAIL = "series string, threshold double, exceedances bigint, observations bigint, shape double, scale double, log_likelihood double"
 
 
 def extreme_risk(panel: DataFrame, confidence: float, tail_fraction: float = 0.05, method: TailMethod = TailMethod.MAXIMUM_LIKELIHOOD, minimum_exceedances: int = MINIMUM_EXCEEDANCES) -> DataFrame:
-    """Fitted tail, value at risk, expected shortfall and observed_beyond of each series; likelihood fits run one series to a task, over its exceedances alone."""
+    """Fitted tail, value at risk, expected tail loss and observed_beyond of each series; likelihood fits run one series to a task, over its exceedances alone."""
     losses = losses_of(panel)
     if method == TailMethod.PROBABILITY_WEIGHTED_MOMENTS:
         tails = pwm_tails(losses, tail_fraction)

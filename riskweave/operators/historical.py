@@ -55,14 +55,14 @@ def tail_weight(probability: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n") * probability - (F.col("rn") - 1)))
 
 
-def sample_expected_shortfall(panel: DataFrame, probability: float, value: str = "r") -> DataFrame:
+def sample_expected_tail_loss(panel: DataFrame, probability: float, value: str = "r") -> DataFrame:
     """(series, tail_mean, used): mean of the worst n * probability observations, the last one in part."""
     w = tail_weight(probability)
     return ranked(panel, value).where(F.col("rn") - 1 < F.col("n") * probability).groupBy("series").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("tail_mean"), F.count("*").alias("used"))
 
 
 def historical_risk(panel: DataFrame, confidence: float = 0.99, method: QuantileMethod = QuantileMethod.LINEAR, value: str = "r") -> DataFrame:
-    """(series, value_at_risk, expected_shortfall, quantile, observations, tail_observations, effective_sample)."""
+    """(series, value_at_risk, expected_tail_loss, quantile, observations, tail_observations, effective_sample)."""
     need(0 < confidence < 1, OutOfDomain, "a confidence must lie strictly between 0 and 1")
     alpha = 1 - confidence
     w = tail_weight(alpha)
@@ -76,13 +76,13 @@ def historical_risk(panel: DataFrame, confidence: float = 0.99, method: Quantile
         quantile = _pick(F.array_sort(F.collect_list(value)), alpha, method)
     out = rows.groupBy("series").agg(quantile.alias("quantile"), *sums)
     return out.select(
-        "series", (-F.col("quantile")).alias("value_at_risk"), (-F.col("tail_mean")).alias("expected_shortfall"), "quantile", F.lit(confidence).alias("confidence"),
+        "series", (-F.col("quantile")).alias("value_at_risk"), (-F.col("tail_mean")).alias("expected_tail_loss"), "quantile", F.lit(confidence).alias("confidence"),
         "observations", "tail_observations", (F.col("observations") * alpha).alias("effective_sample"),
     )
 
 
 def bootstrap_interval(
-    panel: DataFrame, confidence: float = 0.99, level: float = 0.95, resamples: int = DEFAULT_RESAMPLES, seed: int = 0, of_expected_shortfall: bool = False,
+    panel: DataFrame, confidence: float = 0.99, level: float = 0.95, resamples: int = DEFAULT_RESAMPLES, seed: int = 0, of_expected_tail_loss: bool = False,
 ) -> DataFrame:
     """(series, estimate, lower, upper, level, resamples, width, relative_width): percentile bootstrap.
 
@@ -94,10 +94,10 @@ def bootstrap_interval(
     runs = base.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draw = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("xs", (F.pmod(F.xxhash64(F.lit(seed), F.col("b"), i), F.col("n")) + 1).cast("int")))
     runs = runs.repartition("series", "b").select("series", "b", "n", F.array_sort(draw).alias("ys"))
-    if of_expected_shortfall:
+    if of_expected_tail_loss:
         m = F.col("n") * alpha
         stat = -F.aggregate(F.transform("ys", lambda y, i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), m - i)) * y), F.lit(0.0), lambda a, x: a + x) / m
-        point = sample_expected_shortfall(panel, alpha).select("series", (-F.col("tail_mean")).alias("estimate"))
+        point = sample_expected_tail_loss(panel, alpha).select("series", (-F.col("tail_mean")).alias("estimate"))
     else:
         stat = -_pick(F.col("ys"), alpha, QuantileMethod.LINEAR)
         point = empirical_quantile(panel, alpha).select("series", (-F.col("quantile")).alias("estimate"))
@@ -131,9 +131,9 @@ def filtered_historical_risk(panel: DataFrame, confidence: float = 0.99, decay:
     return historical_risk(scaled, confidence).join(vols, "series").withColumn("scaling", F.try_divide(F.col("current_volatility"), F.col("average_volatility")))
 
 
-def check_subadditivity(panel: DataFrame, confidence: float = 0.99, expected_shortfall: bool = False) -> DataFrame:
+def check_subadditivity(panel: DataFrame, confidence: float = 0.99, expected_tail_loss: bool = False) -> DataFrame:
     """(measure, combined, sum_of_parts, penalty, subadditive): the risk of the per-period sum against the sum of risks."""
-    measure = "expected_shortfall" if expected_shortfall else "value_at_risk"
+    measure = "expected_tail_loss" if expected_tail_loss else "value_at_risk"
     both = panel.select(F.lit("part").alias("kind"), "series", "t", "r").unionByName(panel.groupBy("t").agg(F.sum("r").alias("r")).select(F.lit("sum").alias("kind"), F.lit("\x00sum").alias("series"), "t", "r"))
     risk = historical_risk(both.select("series", "t", "r"), confidence)
     total = F.sum(F.when(F.col("series") == "\x00sum", F.col(measure)).otherwise(0.0))
@@ -144,4 +144,4 @@ def check_subadditivity(panel: DataFrame, confidence: float = 0.99, expected_sho
 
 def as_risk(estimate: DataFrame) -> DataFrame:
     """Historical risk in the columns of parametric risk."""
-    return estimate.select("series", "value_at_risk", "expected_shortfall", "quantile", "confidence", F.lit("historical").alias("distribution"), F.lit(1.0).alias("horizon"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("volatility"))
+    return estimate.select("series", "value_at_risk", "expected_tail_loss", "quantile", "confidence", F.lit("historical").alias("distribution"), F.lit(1.0).alias("horizon"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("volatility"))

@@ -31,7 +31,7 @@ class Innovations(StrEnum):
 @dataclass(frozen=True)
 class HorizonRisk:
     value_at_risk: float
-    expected_shortfall: float
+    expected_tail_loss: float
     additive_value_at_risk: float
     additive_volatility: float
     convention: Convention
@@ -106,6 +106,6 @@ def horizon_risk(
     batch = [r["value_at_risk"] for k, r in risk.items() if k.startswith("batch")]
     one = fitted.risk(confidence=confidence, last_return=float(np.asarray(returns, float)[-1])).value_at_risk
     return HorizonRisk(
-        risk["all"]["value_at_risk"], risk["all"]["expected_shortfall"], risk["added"]["value_at_risk"], spread["sd"], convention, steps, paths, one,
+        risk["all"]["value_at_risk"], risk["all"]["expected_tail_loss"], risk["added"]["value_at_risk"], spread["sd"], convention, steps, paths, one,
         math.sqrt(steps * first), float(np.std(batch, ddof=1) / math.sqrt(len(batch))), spread["ruined"],
     )

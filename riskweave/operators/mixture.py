@@ -111,13 +111,13 @@ class NormalMixture:
 class MixtureRisk:
     confidence: float
     value_at_risk: float
-    expected_shortfall: float
+    expected_tail_loss: float
     responsibility: tuple
     averaged: float
 
     tail_probability = property(lambda self: 1 - self.confidence)
-    averaging_error = property(lambda self: self.averaged / self.expected_shortfall - 1)
-    tail_ratio = property(lambda self: self.expected_shortfall / self.value_at_risk)
+    averaging_error = property(lambda self: self.averaged / self.expected_tail_loss - 1)
+    tail_ratio = property(lambda self: self.expected_tail_loss / self.value_at_risk)
 
 
 def responsibilities(mixture: NormalMixture, loss: float) -> tuple[float, ...]:
@@ -126,15 +126,15 @@ def responsibilities(mixture: NormalMixture, loss: float) -> tuple[float, ...]:
     return tuple(c.weight * c.survival(loss) / total for c in mixture.components)
 
 
-def averaged_shortfall(mixture: NormalMixture, confidence: float) -> float:
-    """The weighted mean of the components' own shortfalls: the wrong number, for comparison."""
+def averaged_tail_loss(mixture: NormalMixture, confidence: float) -> float:
+    """The weighted mean of the components' own tail losses: the wrong number, for comparison."""
     z = special.normal_ppf(confidence)
     return sum(c.weight * (c.mean + c.deviation * special.normal_pdf(z) / (1 - confidence)) for c in mixture.components)
 
 
 def mixture_risk(mixture: NormalMixture, confidence: float) -> MixtureRisk:
     v = mixture.quantile(confidence)
-    return MixtureRisk(confidence, v, mixture.partial_mean(v) / mixture.survival(v), responsibilities(mixture, v), averaged_shortfall(mixture, confidence))
+    return MixtureRisk(confidence, v, mixture.partial_mean(v) / mixture.survival(v), responsibilities(mixture, v), averaged_tail_loss(mixture, confidence))
 
 
 def tail_ratio(mixture: NormalMixture, confidence: float) -> float:
@@ -171,8 +171,10 @@ def fit_mixture(sample, components: int = 2, *, floor: float = DEFAULT_FLOOR, to
     """Expectation maximisation from the midpoints of quantile bands."""
     x = np.sort(np.asarray(sample, float))
     need(components >= 1 and len(x) >= 2 * components, BadMixture, "too few losses for so many components")
-    mean = np.quantile(x, (np.arange(components) + 0.5) / components)
-    sd, weight = np.full(components, max(x.std(), floor)), np.full(components, 1 / components)
+    need(bool(np.isfinite(x).all()), BadMixture, "losses must be finite")
+    need(x[0] < x[-1], BadMixture, "equal losses have no components")
+    mean = x[(2 * np.arange(components) + 1) * len(x) // (2 * components)]
+    sd, weight = np.full(components, max(x.std(ddof=1), floor)), np.full(components, 1 / components)
     before, done, k = -math.inf, False, 0
     for k in range(1, iterations + 1):
         log = np.log(weight) - np.log(sd) - 0.5 * ((x[:, None] - mean) / sd) ** 2 - 0.5 * math.log(2 * math.pi)
@@ -180,7 +182,7 @@ def fit_mixture(sample, components: int = 2, *, floor: float = DEFAULT_FLOOR, to
         like = np.exp(log - top)
         total = like.sum(axis=1, keepdims=True)
         now = float((np.log(total) + top).sum())
-        if abs(now - before) <= tolerance * (abs(now) + tolerance):
+        if abs(now - before) <= tolerance * (1 + abs(now)):
             done = True
             break
         before = now

@@ -166,7 +166,7 @@ def exceedance_probability(portfolio: LossPortfolio, level: float) -> float:
     return tail_probability(portfolio, level).probability
 
 
-def shortfall_contributions(portfolio: LossPortfolio, level: float) -> np.ndarray:
+def tail_loss_contributions(portfolio: LossPortfolio, level: float) -> np.ndarray:
     """E[loss of one obligor; L > level] for each distinct obligor: e p P(rest > level - e)."""
     out = []
     for k, (p, e) in enumerate(zip(portfolio.p, portfolio.e, strict=True)):
@@ -177,10 +177,10 @@ def shortfall_contributions(portfolio: LossPortfolio, level: float) -> np.ndarra
     return np.array(out, float)
 
 
-def saddlepoint_shortfall(portfolio: LossPortfolio, level: float) -> float:
+def saddlepoint_tail_loss(portfolio: LossPortfolio, level: float) -> float:
     chance = exceedance_probability(portfolio, level)
     need(chance > 0, SaddlepointError, "nothing lies beyond the level")
-    return float((portfolio.count * shortfall_contributions(portfolio, level)).sum() / chance)
+    return float((portfolio.count * tail_loss_contributions(portfolio, level)).sum() / chance)
 
 
 def exact_distribution(portfolio: LossPortfolio, *, unit: float = 1.0) -> np.ndarray:
@@ -201,7 +201,7 @@ def exact_tail(masses, level: float, *, unit: float = 1.0) -> float:
     return float(m[np.arange(len(m)) * unit > level + 1e-12].sum())
 
 
-def exact_shortfall(masses, level: float, *, unit: float = 1.0) -> float:
+def exact_tail_loss(masses, level: float, *, unit: float = 1.0) -> float:
     m = np.asarray(masses, float)
     x = np.arange(len(m)) * unit
     far = x > level + 1e-12

@@ -16,7 +16,7 @@ def quantile_loss(forecasts: DataFrame, confidence: float, var: str = "var") ->
 
 
 def fz0_loss(forecasts: DataFrame, confidence: float, var: str = "var", es: str = "es") -> DataFrame:
-    """(series, t, score): the joint loss of value at risk and expected shortfall that is homogeneous of degree 0. Both must be positive."""
+    """(series, t, score): the joint loss of value at risk and expected tail loss that is homogeneous of degree 0. Both must be positive."""
     v, e = F.col(var), F.col(es)
     ok = F.when((v > 0) & (e >= v), e).otherwise(F.raise_error("forecasts must satisfy 0 < var <= es"))
     return forecasts.select("series", "t", (F.greatest(-F.col("r") - v, F.lit(0.0)) / ((1 - confidence) * ok) + v / ok + F.ln(ok) - 1).alias("score"))

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from riskweave.errors import BadSpectrum
 from riskweave.functions import special
-from riskweave.functions.spectra import ExponentialSpectrum, MixtureSpectrum, PowerSpectrum, ShortfallSpectrum, WangSpectrum
+from riskweave.functions.spectra import ExponentialSpectrum, MixtureSpectrum, PowerSpectrum, TailSpectrum, WangSpectrum
 from riskweave.operators.frames import need
 from riskweave.operators.historical import ranked
 
-Spectrum = ShortfallSpectrum | ExponentialSpectrum | PowerSpectrum | WangSpectrum | MixtureSpectrum
+Spectrum = TailSpectrum | ExponentialSpectrum | PowerSpectrum | WangSpectrum | MixtureSpectrum
 
 
 def spectral_risks(panel: DataFrame, spectra: dict[str, Spectrum], value: str = "r") -> DataFrame:

@@ -102,9 +102,9 @@ def _(spark, d):
 
 # --- historical -------------------------------------------------------------------------------
 
-_HIST = f"""SELECT series, -quantile_cont(r, {ALPHA}) AS value_at_risk, -sum(greatest(0.0, least(1.0, n * {ALPHA} - (rn - 1))) * r) / sum(greatest(0.0, least(1.0, n * {ALPHA} - (rn - 1)))) AS expected_shortfall,
+_HIST = f"""SELECT series, -quantile_cont(r, {ALPHA}) AS value_at_risk, -sum(greatest(0.0, least(1.0, n * {ALPHA} - (rn - 1))) * r) / sum(greatest(0.0, least(1.0, n * {ALPHA} - (rn - 1)))) AS expected_tail_loss,
 quantile_cont(r, {ALPHA}) AS quantile, {CONF}::DOUBLE AS confidence, count(*) AS observations, CAST(sum(CASE WHEN n * {ALPHA} > rn - 1 THEN 1 ELSE 0 END) AS BIGINT) AS tail_observations, count(*) * {ALPHA} AS effective_sample FROM ranked GROUP BY series"""
-_HIST_D = "value_at_risk expected_shortfall quantile confidence effective_sample"
+_HIST_D = "value_at_risk expected_tail_loss quantile confidence effective_sample"
 
 
 @query("historical_var_es", f"{I.PANEL_LI}, {_RANKED}", _HIST, _HIST_D)
@@ -132,7 +132,7 @@ es AS (SELECT series, -sum(greatest(0.0, least(1.0, n * {ALPHA} - (rn - 1))) * r
 
 @query(
     "subadditivity", _SUB,
-    "SELECT 'expected_shortfall' AS measure, sum(CASE WHEN series = '+' THEN v ELSE 0 END) AS combined, sum(CASE WHEN series <> '+' THEN v ELSE 0 END) AS sum_of_parts, sum(CASE WHEN series = '+' THEN v ELSE -v END) AS penalty, sum(CASE WHEN series = '+' THEN v ELSE -v END) <= 1e-9 AS subadditive FROM es",
+    "SELECT 'expected_tail_loss' AS measure, sum(CASE WHEN series = '+' THEN v ELSE 0 END) AS combined, sum(CASE WHEN series <> '+' THEN v ELSE 0 END) AS sum_of_parts, sum(CASE WHEN series = '+' THEN v ELSE -v END) AS penalty, sum(CASE WHEN series = '+' THEN v ELSE -v END) <= 1e-9 AS subadditive FROM es",
     "combined sum_of_parts penalty",
 )
 def _(spark, d):
@@ -160,7 +160,7 @@ def _(spark, d):
 
 @query("bootstrap_interval")
 def _(spark, d):
-    return historical.bootstrap_interval(I.panel_li(spark, d), 0.95, resamples=200)
+    return historical.bootstrap_interval(I.panel_li(spark, d), 0.95)
 
 
 # --- second moments -----------------------------------------------------------------------------
@@ -210,8 +210,8 @@ _TAIL = special.normal_pdf(special.normal_ppf(0.01)) / 0.01
 
 @query(
     "parametric_normal", I.PANEL_LI,
-    f"SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, -(avg(r) + stddev_samp(r) * ({special.normal_ppf(0.01)!r})) AS value_at_risk, -(avg(r) - stddev_samp(r) * {_TAIL!r}) AS expected_shortfall, avg(r) + stddev_samp(r) * ({special.normal_ppf(0.01)!r}) AS quantile FROM panel GROUP BY 1",
-    "mean volatility value_at_risk expected_shortfall quantile",
+    f"SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, -(avg(r) + stddev_samp(r) * ({special.normal_ppf(0.01)!r})) AS value_at_risk, -(avg(r) - stddev_samp(r) * {_TAIL!r}) AS expected_tail_loss, avg(r) + stddev_samp(r) * ({special.normal_ppf(0.01)!r}) AS quantile FROM panel GROUP BY 1",
+    "mean volatility value_at_risk expected_tail_loss quantile",
 )
 def _(spark, d):
     return parametric.parametric_risk(I.panel_li(spark, d))
@@ -222,8 +222,8 @@ _TQ, _TT = parametric.unit_tail(0.99, parametric.Distribution.STUDENT_T, 5.0)
 
 @query(
     "parametric_student_t", I.PANEL_LI,
-    f"SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, -(avg(r) + stddev_samp(r) * ({_TQ!r})) AS value_at_risk, -(avg(r) + stddev_samp(r) * ({_TT!r})) AS expected_shortfall, avg(r) + stddev_samp(r) * ({_TQ!r}) AS quantile FROM panel GROUP BY 1",
-    "mean volatility value_at_risk expected_shortfall quantile",
+    f"SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, -(avg(r) + stddev_samp(r) * ({_TQ!r})) AS value_at_risk, -(avg(r) + stddev_samp(r) * ({_TT!r})) AS expected_tail_loss, avg(r) + stddev_samp(r) * ({_TQ!r}) AS quantile FROM panel GROUP BY 1",
+    "mean volatility value_at_risk expected_tail_loss quantile",
 )
 def _(spark, d):
     return parametric.parametric_risk(I.panel_li(spark, d), distribution=parametric.Distribution.STUDENT_T)
@@ -238,8 +238,8 @@ _F = special.normal_pdf(_Z)
 c AS (SELECT *, -skewness / 6 AS c0, 1 - excess_kurtosis / 8 + 5 * skewness * skewness / 36 AS c1, skewness / 6 AS c2, excess_kurtosis / 24 - skewness * skewness / 18 AS c3 FROM m),
 g AS (SELECT series, bool_and(c1 + 2 * c2 * z + 3 * c3 * z * z > 0) AS ok FROM c, (SELECT -4.0::DOUBLE + ({_Z!r} + 4.0) * i / 400 AS z FROM range(401) t(i)) GROUP BY 1),
 q AS (SELECT c.*, CASE WHEN ok THEN c0 + ({_Z!r}) * (c1 + ({_Z!r}) * (c2 + ({_Z!r}) * c3)) END AS q, CASE WHEN ok THEN (c0 * 0.05 - c1 * {_F!r} + c2 * (0.05 - ({_Z!r}) * {_F!r}) - c3 * ({_Z * _Z!r} + 2) * {_F!r}) / 0.05 END AS tl FROM c JOIN g USING (series))""",
-    "SELECT series, mean, volatility, -(mean + volatility * q) AS value_at_risk, -(mean + volatility * tl) AS expected_shortfall, mean + volatility * q AS quantile, skewness, excess_kurtosis FROM q",
-    "mean volatility value_at_risk expected_shortfall quantile skewness excess_kurtosis",
+    "SELECT series, mean, volatility, -(mean + volatility * q) AS value_at_risk, -(mean + volatility * tl) AS expected_tail_loss, mean + volatility * q AS quantile, skewness, excess_kurtosis FROM q",
+    "mean volatility value_at_risk expected_tail_loss quantile skewness excess_kurtosis",
 )
 def _(spark, d):
     return parametric.parametric_risk(I.panel_ord_m(spark, d), 0.95, parametric.Distribution.CORNISH_FISHER)
@@ -265,8 +265,8 @@ def _(spark, d):
 
 @query(
     "portfolio_risk", f"{_SW}, mu AS (SELECT sum(w * m) AS mean FROM (SELECT series, avg(r) AS m FROM panel GROUP BY 1) JOIN w USING (series))",
-    f"SELECT mean, volatility, -(mean + volatility * ({special.normal_ppf(0.01)!r})) AS value_at_risk, -(mean - volatility * {_TAIL!r}) AS expected_shortfall, mean + volatility * ({special.normal_ppf(0.01)!r}) AS quantile FROM mu, vol",
-    "mean volatility value_at_risk expected_shortfall quantile",
+    f"SELECT mean, volatility, -(mean + volatility * ({special.normal_ppf(0.01)!r})) AS value_at_risk, -(mean - volatility * {_TAIL!r}) AS expected_tail_loss, mean + volatility * ({special.normal_ppf(0.01)!r}) AS quantile FROM mu, vol",
+    "mean volatility value_at_risk expected_tail_loss quantile",
 )
 def _(spark, d):
     p = _aligned_m(spark, d)
@@ -289,7 +289,7 @@ def _(spark, d):
     "SELECT series, w, marginal, w * marginal AS component, sum(w * marginal) OVER () AS total, w * marginal / sum(w * marginal) OVER () AS share FROM mm JOIN w USING (series)", _EULER_D,
 )
 def _(spark, d):
-    return contributions.historical_shortfall_contributions(I.panel_li(spark, d), frames.weights_frame(spark, WEIGHTS), CONF)
+    return contributions.historical_tail_loss_contributions(I.panel_li(spark, d), frames.weights_frame(spark, WEIGHTS), CONF)
 
 
 # --- paths -----------------------------------------------------------------------------------------
@@ -441,12 +441,12 @@ def _(spark, d):
     f"SELECT series, observations, breaches, s / breaches + 1 AS conditional, s / (observations * {ALPHA}) + 1 AS unconditional, -s / breaches AS realised_ratio FROM z", "conditional unconditional realised_ratio",
 )
 def _(spark, d):
-    return backtest.expected_shortfall_test(I.forecasts(spark, d), CONF).drop("direction")
+    return backtest.expected_tail_loss_test(I.forecasts(spark, d), CONF).drop("direction")
 
 
-@query("expected_shortfall_null")
+@query("expected_tail_loss_null")
 def _(spark, d):
-    return backtest.simulate_expected_shortfall_null(I.forecasts(spark, d), CONF, replications=50)
+    return backtest.simulate_expected_tail_loss_null(I.forecasts(spark, d), CONF)
 
 
 @query("validate")
@@ -509,9 +509,9 @@ def _(spark, d):
 
 # --- weighted tails ---------------------------------------------------------------------------------------
 
-_SP = {"shortfall": spectra.ShortfallSpectrum(0.05), "exponential": spectra.ExponentialSpectrum(20.0), "power": spectra.PowerSpectrum(10.0), "mixture": spectra.MixtureSpectrum(((0.01, 1.0), (0.1, 2.0)))}
+_SP = {"tail": spectra.TailSpectrum(0.05), "exponential": spectra.ExponentialSpectrum(20.0), "power": spectra.PowerSpectrum(10.0), "mixture": spectra.MixtureSpectrum(((0.01, 1.0), (0.1, 2.0)))}
 _MASS = {
-    "shortfall": "(least(b, 0.05) - least(a, 0.05)) / 0.05", "exponential": f"(exp(-20 * a) - exp(-20 * b)) / {-math.expm1(-20.0)!r}", "power": "pow(1 - a, 10) - pow(1 - b, 10)",
+    "tail": "(least(b, 0.05) - least(a, 0.05)) / 0.05", "exponential": f"(exp(-20 * a) - exp(-20 * b)) / {-math.expm1(-20.0)!r}", "power": "pow(1 - a, 10) - pow(1 - b, 10)",
     "mixture": "(least(b, 0.01) - least(a, 0.01)) / 0.01 / 3 + (least(b, 0.1) - least(a, 0.1)) / 0.1 * 2 / 3",
 }
 _AB = f"{I.PANEL_LI}, {_RANKED}, ab AS (SELECT series, r, (rn - 1) / n::DOUBLE AS a, rn / n::DOUBLE AS b, avg(r) OVER (PARTITION BY series) AS mean FROM ranked)"
@@ -560,14 +560,14 @@ def _(spark, d):
     return entropy.weighted_quantile(_weighted_li(spark, d), 0.05)
 
 
-@query("weighted_expected_shortfall", _WT, "SELECT series, sum(w * r) / sum(w) AS tail_mean, sum(w) AS mass FROM cu WHERE cum - w < 0.05 - 1e-15 GROUP BY 1", "tail_mean mass")
+@query("weighted_expected_tail_loss", _WT, "SELECT series, sum(w * r) / sum(w) AS tail_mean, sum(w) AS mass FROM cu WHERE cum - w < 0.05 - 1e-15 GROUP BY 1", "tail_mean mass")
 def _(spark, d):
-    return entropy.weighted_expected_shortfall(_weighted_li(spark, d), 0.05)
+    return entropy.weighted_expected_tail_loss(_weighted_li(spark, d), 0.05)
 
 
 @query(
     "stressed_risk", f"{_WT}, m AS (SELECT series, sum(w * r) AS mean, sum(w * r * r) AS sq FROM wt GROUP BY 1), q AS (SELECT series, min(r) AS q FROM cu WHERE cum >= 0.05 - 1e-15 GROUP BY 1), tl AS (SELECT series, sum(w * r) / sum(w) AS tm FROM cu WHERE cum - w < 0.05 - 1e-15 GROUP BY 1)",
-    "SELECT series, -q AS value_at_risk, -tm AS expected_shortfall, mean, sqrt(greatest(0.0, sq - mean * mean)) AS volatility FROM m JOIN q USING (series) JOIN tl USING (series)", "value_at_risk expected_shortfall mean volatility",
+    "SELECT series, -q AS value_at_risk, -tm AS expected_tail_loss, mean, sqrt(greatest(0.0, sq - mean * mean)) AS volatility FROM m JOIN q USING (series) JOIN tl USING (series)", "value_at_risk expected_tail_loss mean volatility",
 )
 def _(spark, d):
     return entropy.stressed_risk(_weighted_li(spark, d), 0.95)
@@ -633,12 +633,12 @@ def _(spark, d):
 
 @query(
     "extreme_risk_pwm", f"{_PWM}, v AS (SELECT *, threshold + scale * (pow(0.01 * observations / exceedances, -shape) - 1) / shape AS value_at_risk FROM g), bb AS (SELECT series, sum((loss >= value_at_risk)::INT)::BIGINT AS observed_beyond FROM ls JOIN v USING (series) GROUP BY 1)",
-    "SELECT series, shape, scale, value_at_risk, (value_at_risk + scale - shape * threshold) / (1 - shape) AS expected_shortfall, observed_beyond, observed_beyond = 0 AS is_extrapolated FROM v JOIN bb USING (series)",
-    "shape scale value_at_risk expected_shortfall",
+    "SELECT series, shape, scale, value_at_risk, (value_at_risk + scale - shape * threshold) / (1 - shape) AS expected_tail_loss, observed_beyond, observed_beyond = 0 AS is_extrapolated FROM v JOIN bb USING (series)",
+    "shape scale value_at_risk expected_tail_loss",
 )
 def _(spark, d):
     x = extreme.extreme_risk(I.panel_li(spark, d), 0.99, 0.1, extreme.TailMethod.PROBABILITY_WEIGHTED_MOMENTS)
-    return x.select("series", "shape", "scale", "value_at_risk", "expected_shortfall", "observed_beyond", "is_extrapolated")
+    return x.select("series", "shape", "scale", "value_at_risk", "expected_tail_loss", "observed_beyond", "is_extrapolated")
 
 
 @query("extreme_risk_mle")
@@ -678,8 +678,8 @@ def _(spark, d):
 def _(spark, d):
     x = series.ReturnSeries(I.panel_li(spark, d), "A").values()
     g = volatility.fit_garch(x, strict=False)
-    h = horizon.horizon_risk(spark, g, x, steps=10, paths=2000)
-    return spark.createDataFrame([(h.value_at_risk, h.expected_shortfall, h.additive_value_at_risk, h.standard_error, h.compounding_factor)], "value_at_risk double, expected_shortfall double, additive_value_at_risk double, standard_error double, compounding_factor double")
+    h = horizon.horizon_risk(spark, g, x, steps=10)
+    return spark.createDataFrame([(h.value_at_risk, h.expected_tail_loss, h.additive_value_at_risk, h.standard_error, h.compounding_factor)], "value_at_risk double, expected_tail_loss double, additive_value_at_risk double, standard_error double, compounding_factor double")
 
 
 _F1 = f"""{I.PANEL_ORD_A}, f AS (SELECT t, avg(r) AS f FROM panel GROUP BY 1), b AS (SELECT series, t, r, f FROM panel JOIN f USING (t)),
@@ -790,7 +790,7 @@ def _(spark, d):
     e, m = _book(spark, d)
     f = quadratic.standard_form(e, m)
     r = quadratic.quadratic_risk(f, 0.99)
-    return spark.createDataFrame([(r.value_at_risk, r.expected_shortfall, r.skewness, -quadratic.delta_normal_quantile(f, 0.01))], "value_at_risk double, expected_shortfall double, skewness double, delta_normal double")
+    return spark.createDataFrame([(r.value_at_risk, r.expected_tail_loss, r.skewness, -quadratic.delta_normal_quantile(f, 0.01))], "value_at_risk double, expected_tail_loss double, skewness double, delta_normal double")
 
 
 @query("worst_case_scenario")
@@ -824,7 +824,7 @@ def _(spark, d):
 def _(spark, d):
     h = mixture.horizon_mixture(mixture.Component(1, 0.0, 1.0), mixture.Component(1, 0.2, 3.0), (0.98, 0.9), mixture.stationary((0.98, 0.9)), 10)
     r = mixture.mixture_risk(h, 0.99)
-    return spark.createDataFrame([(r.value_at_risk, r.expected_shortfall, r.averaging_error)], "value_at_risk double, expected_shortfall double, averaging_error double")
+    return spark.createDataFrame([(r.value_at_risk, r.expected_tail_loss, r.averaging_error)], "value_at_risk double, expected_tail_loss double, averaging_error double")
 
 
 @query("dependence_bounds")
@@ -842,5 +842,5 @@ def _(spark, d):
 
 @query("copula_risk")
 def _(spark, d):
-    r = copula.copula_risk(I.panel_li(spark, d), WEIGHTS, paths=2000, degrees_of_freedom=5.0)
-    return spark.createDataFrame([(r.value_at_risk, r.expected_shortfall, r.gaussian_expected_shortfall, r.tail_dependence_premium)], "value_at_risk double, expected_shortfall double, gaussian_expected_shortfall double, premium double")
+    r = copula.copula_risk(I.panel_li(spark, d), WEIGHTS, degrees_of_freedom=5.0)
+    return spark.createDataFrame([(r.value_at_risk, r.expected_tail_loss, r.gaussian_expected_tail_loss, r.tail_dependence_premium)], "value_at_risk double, expected_tail_loss double, gaussian_expected_tail_loss double, premium double")

@@ -74,7 +74,10 @@ def read_forecasts(spark: SparkSession, path: str, returns: str = "return", var:
     wanted = {"r": returns, "var": var} | ({"es": es} if es and es in raw.columns else {})
     if missing := [c for c in wanted.values() if c not in raw.columns]:
         raise InputError(f"no column {missing[0]}")
-    return raw.select(F.lit("portfolio").alias("series"), F.monotonically_increasing_id().alias("t"), *[F.col(c).try_cast("double").alias(k) for k, c in wanted.items()])
+    parsed = raw.select(F.lit("portfolio").alias("series"), F.monotonically_increasing_id().alias("t"), *[F.col(f"`{c}`").try_cast("double").alias(k) for k, c in wanted.items()])
+    bad = reduce(lambda a, b: a | b, [F.col(k).isNull() | F.isnan(k) | (F.abs(k) == float("inf")) for k in wanted])
+    _refuse(parsed.withColumnRenamed("t", "line"), bad, "a forecast that is not a finite number")
+    return parsed
 
 
 def read_bars(spark: SparkSession, path: str, name: str = "bars") -> DataFrame:

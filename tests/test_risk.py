@@ -19,7 +19,7 @@ def test_published_quantiles():
     assert abs(special.normal_pdf(special.normal_ppf(0.975)) / 0.025 - 2.337803) < 1e-6
     for v, var, es in ((8, 2.5084, 2.5720), (5, 2.6065, 2.7278), (4, 2.6495, 2.8239), (3, 2.6216, 2.9096)):
         assert abs(parametric.student_t_risk(mean=0, volatility=1, confidence=0.99, degrees=v).value_at_risk - var) < 1e-4
-        assert abs(parametric.student_t_risk(mean=0, volatility=1, confidence=0.975, degrees=v).expected_shortfall - es) < 1e-4
+        assert abs(parametric.student_t_risk(mean=0, volatility=1, confidence=0.975, degrees=v).expected_tail_loss - es) < 1e-4
     for k, r in ((1, 2.576), (3, 3.368), (10, 4.818), (50, 8.727)):
         assert abs(stress.radius_for(0.99, k) - r) < 1e-3
     assert abs(special.chi_square_cdf(9, 50) / 1.85e-11 - 1) < 0.01
@@ -42,7 +42,7 @@ def test_normal_columns(spark):
 def test_tail_of_a_small_sample(spark):
     p = panel_of(spark, a=[-0.04, -0.03, -0.02, 0.0, 0.01, 0.02, 0.03, 0.05, 0.06, 0.07])
     r = historical.historical_risk(p, 0.85).first()
-    assert abs(r["expected_shortfall"] - (0.04 + 0.5 * 0.03) / 1.5) < 1e-12
+    assert abs(r["expected_tail_loss"] - (0.04 + 0.5 * 0.03) / 1.5) < 1e-12
     assert abs(r["quantile"] - np.quantile([-0.04, -0.03, -0.02, 0.0, 0.01, 0.02, 0.03, 0.05, 0.06, 0.07], 0.15)) < 1e-12
 
 
@@ -98,9 +98,9 @@ def test_expectiles():
 
 
 def test_spectra():
-    for s in (spectra.ShortfallSpectrum(0.05), spectra.ExponentialSpectrum(20), spectra.PowerSpectrum(4), spectra.WangSpectrum(1.0), spectra.MixtureSpectrum(((0.01, 1), (0.1, 3)))):
+    for s in (spectra.TailSpectrum(0.05), spectra.ExponentialSpectrum(20), spectra.PowerSpectrum(4), spectra.WangSpectrum(1.0), spectra.MixtureSpectrum(((0.01, 1), (0.1, 3)))):
         assert abs(s.mass(0.0, 1.0) - 1) < 1e-12
-    assert abs(spectral.normal_spectral(mean=0, volatility=1, spectrum=spectra.ShortfallSpectrum(0.025)) + 2.337803) < 1e-5
+    assert abs(spectral.normal_spectral(mean=0, volatility=1, spectrum=spectra.TailSpectrum(0.025)) + 2.337803) < 1e-5
     assert spectral.check_coherence([1, 2, 3, 4], [4, 1, 3, 2], spectra.ExponentialSpectrum(5)).subadditive
 
 
@@ -108,7 +108,7 @@ def test_mixture_risk_is_not_an_average():
     m = mixture.NormalMixture.two_regime(stress=0.1, stress_deviation=3)
     assert abs(m.survival(m.quantile(0.99)) - 0.01) < 1e-12
     r = mixture.mixture_risk(m, 0.99)
-    assert r.averaged < r.expected_shortfall and abs(sum(r.responsibility) - 1) < 1e-12
+    assert r.averaged < r.expected_tail_loss and abs(sum(r.responsibility) - 1) < 1e-12
     assert abs(mixture.convolve(m, m).variance - 2 * m.variance) < 1e-12
     law = mixture.occupation_law((0.9, 0.8), (0.5, 0.5), 6)
     assert abs(sum(law.probability) - 1) < 1e-12
@@ -123,7 +123,7 @@ def test_saddlepoint_against_convolution():
     exact = saddlepoint.exact_distribution(p)
     for level in (10, 20, 30, 45):
         assert abs(saddlepoint.exceedance_probability(p, level) / saddlepoint.exact_tail(exact, level) - 1) < 0.02
-    assert abs(saddlepoint.saddlepoint_shortfall(p, 30) / saddlepoint.exact_shortfall(exact, 30) - 1) < 0.02
+    assert abs(saddlepoint.saddlepoint_tail_loss(p, 30) / saddlepoint.exact_tail_loss(exact, 30) - 1) < 0.02
 
 
 def test_tails():
@@ -175,3 +175,42 @@ def test_entropy_pool(spark):
 
 def test_bars():
     assert abs(realised.tick_bias_factor(64) ** 0.5 - 0.909) < 1e-3
+
+
+def test_tied_returns_share_their_rank(spark):
+    from riskweave.operators import copula
+
+    frame = spark.createDataFrame([("a", k, r) for k, r in enumerate([0.1, 0.1, -0.2, 0.3])], "series string, t long, r double")
+    got = {r["t"]: r["u"] for r in copula.pseudo_observations(frame).collect()}
+    assert got == {0: 0.5, 1: 0.5, 2: 0.2, 3: 0.8}
+
+
+def test_mixing_tolerance_and_zero_mean():
+    from types import SimpleNamespace as N
+
+    from riskweave.operators import bounds
+
+    case = lambda mean, lower: bounds.WorstCase(lower, mean, mean, mean, N(points=100, mean=mean))
+    assert case(1.0, 0.985).mixes() and not case(1.0, 0.97).mixes()
+    assert case(0.0, -0.01).mixes() and not case(0.0, -0.5).mixes()
+
+
+def test_mixture_refuses_samples_without_components():
+    from riskweave.errors import BadMixture
+    from riskweave.operators import mixture
+
+    for sample in ([1.0] * 10, [1.0, float("nan"), 2.0, 3.0, 4.0], [1.0, 2.0]):
+        with pytest.raises(BadMixture):
+            mixture.fit_mixture(sample)
+
+
+def test_forecasts_refuse_bad_cells(spark, tmp_path):
+    from riskweave.errors import InputError
+    from riskweave.sources import readers
+
+    for cell in ("x", "", "inf", "nan"):
+        (tmp_path / "f.csv").write_text(f"return,var,es\n0.01,0.02,0.03\n0.01,{cell},0.03\n")
+        with pytest.raises(InputError):
+            readers.read_forecasts(spark, str(tmp_path / "f.csv"))
+    (tmp_path / "f.csv").write_text("return,var,es\n0.01,0.02,0.03\n")
+    assert readers.read_forecasts(spark, str(tmp_path / "f.csv")).count() == 1
