@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import decontaminate, fingerprint, line_dedup, lm, mixing, ngram_join, rlz, suffix_dedup, toxicity, urls
+from riskweave.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -20,5 +23,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
     "op10_lm_score": lm.query,
 }
-
-ORACLES: dict[str, str] = {}
