@@ -34,33 +34,31 @@ REFINE_OVER = 8
 
 
 def normal_form(text: Column) -> Column:
-    """Lower case, runs of other than letters and digits as one space; lines stay lines. Single spaces need no replacement, so they match nothing."""
-    return F.regexp_replace(F.lower(text), r"(?: *[^\p{L}\p{N}\n ]+)+ *|  +", " ")
-
-
-def _let(x: Column, f) -> Column:
-    """f(x) with x evaluated once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
+    """Lower case, runs of other than letters and digits as one space; lines stay lines."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
 def _smallest(shingles: Column) -> Column:
     return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda w: F.xxhash64(w)))), 1, SKETCH)
 
 
-def _keys(form: Column) -> Column:
-    """Band keys: from the shingles at word starts where there are ``FEW[0]`` or more, from all shingles where there are ``FEW[1]`` or fewer; between, from both."""
-    starts = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), form), F.lit(f"(?s) (?=(.{{1,{ANCHOR}}}))"), F.lit(1)))
+def _keys(forms: DataFrame) -> DataFrame:
+    """(cls, sig) from (cls, form): band keys, from the shingles at word starts where there are ``FEW[0]`` or more, from all shingles where there are ``FEW[1]`` or fewer; between, from both."""
+    starts = F.regexp_extract_all(F.concat(F.lit(" "), F.col("form")), F.lit(f"(?s) (?=(.{{1,{ANCHOR}}}))"), F.lit(1))
     none = F.array().cast("array<bigint>")
-    return _let(starts, lambda x: F.array_distinct(F.concat(
-        F.when(F.size(x) >= FEW[0], _let(_smallest(x), _bands)).otherwise(none), F.when(F.size(x) <= FEW[1], _let(_smallest(_shingles(form)), _bands)).otherwise(none)
-    )))
+    found = forms.select("cls", "form", starts.alias("starts"))
+    some = F.when(F.size("starts") >= FEW[0], _smallest(F.col("starts"))).otherwise(none)
+    every = F.when(F.size("starts") <= FEW[1], _smallest(_shingles(F.col("form")))).otherwise(none)
+    sketched = found.select("cls", some.alias("some"), every.alias("every"))
+    return sketched.select("cls", F.explode(F.concat(_bands(F.col("some")), _bands(F.col("every")))).alias("sig"))
 
 
 def _bands(sketch: Column) -> Column:
     """Hashes of neighbouring runs of the sketch; of a short sketch, one hash of all of it and of each with one left out."""
     n = F.size(sketch)
     none = F.array().cast("array<bigint>")
-    runs = F.transform(F.sequence(F.lit(1), n - ROWS + 1), lambda i: F.xxhash64(*[F.element_at(sketch, (i + k).cast("int")) for k in range(ROWS)]))
+    run = lambda i: F.xxhash64(*[F.get(sketch, F.lit(i + k)) for k in range(ROWS)])
+    runs = F.slice(F.array(*[run(i) for i in range(SKETCH - ROWS + 1)]), F.lit(1), F.greatest(n - ROWS + 1, F.lit(0)))
     whole = F.array(F.xxhash64(F.lit("short"), sketch))
     less = F.transform(sketch, lambda x: F.xxhash64(F.lit("short"), F.array_remove(sketch, x)))
     return F.concat(F.when(n > 2 * ROWS, runs).otherwise(none), F.when((n > 0) & (n <= 2 * ROWS + 1), F.concat(whole, less)).otherwise(none))
@@ -71,11 +69,10 @@ def _shingles(form: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(form, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the character shingles of two forms."""
-    pair = F.struct(_shingles(a).alias("x"), _shingles(b).alias("y"))
-    sizes = _let(pair, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("sum")))
-    return _let(sizes, lambda n: n["both"] / (n["sum"] - n["both"]))
+def _shared(a: Column, b: Column) -> Column:
+    """How many distinct character shingles two forms have in common."""
+    every = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.size(F.array_intersect(every(a), every(b)))
 
 
 def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> DataFrame:
@@ -85,11 +82,12 @@ def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> Dat
     return lines.where(F.length("form") >= max(1, least_chars))
 
 
-def _verify(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+def _verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """The pairs (hub, cls) of lines whose shingles' Jaccard similarity reaches the threshold, as (a, b)."""
-    left = distinct.select(F.col("line").alias("hub"), F.col("form").alias("fa"))
-    right = distinct.select(F.col("line").alias("cls"), F.col("form").alias("fb"))
-    return materialise(pairs.join(left, "hub").join(right, "cls").where(similarity(F.col("fa"), F.col("fb")) >= threshold).select(F.col("hub").alias("a"), F.col("cls").alias("b")), "links")
+    left = known.select(F.col("line").alias("hub"), F.col("form").alias("fa"), F.col("n_shingles").alias("na"))
+    right = known.select(F.col("line").alias("cls"), F.col("form").alias("fb"), F.col("n_shingles").alias("nb"))
+    counted = pairs.join(left, "hub").join(right, "cls").select(F.col("hub").alias("a"), F.col("cls").alias("b"), _shared(F.col("fa"), F.col("fb")).alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
+    return materialise(counted.where(F.col("both") * (1 + threshold) >= F.col("sum") * threshold - 1e-9).select("a", "b"), "links")
 
 
 def _facts(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -104,7 +102,7 @@ def _facts(lines: DataFrame, distinct: DataFrame) -> DataFrame:
 def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the lines that are linked with others; ``shared`` has (sig, cls, hub): a bucket, one of its lines and its first line."""
     facts = _facts(shared.select("cls"), distinct)
-    known = materialise(distinct.select("line", "form").join(facts.select(F.col("cls").alias("line")), "line"), "candidates")
+    known = materialise(distinct.select("line", "form").join(facts.select(F.col("cls").alias("line"), "n_shingles"), "line"), "candidates")
     stars = materialise(sifted(shared.where("cls <> hub").select("hub", "cls").distinct(), facts, threshold), "stars")
     links = _verify(stars, known, threshold)
     labels = components(links)
@@ -153,7 +151,7 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = materialise(raw.select("rid", "at", number.alias("line")), "lines")
     discard(raw)
 
-    keys = distinct.select(F.col("line").alias("cls"), F.explode(_keys(F.col("form"))).alias("sig"))
+    keys = _keys(distinct.select(F.col("line").alias("cls"), "form"))
     bucket = Window.partitionBy("sig")
     shared = keys.select("sig", "cls", F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("last")).where("hub <> last").drop("last")
     labels = _links(materialise(shared, "buckets"), distinct, threshold)
