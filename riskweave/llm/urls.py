@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import materialise, read
+from riskweave.llm.common import discard, materialise, read
 
 #: Fixed values: (host, path prefix, verdict).
 RULES = [
@@ -23,7 +23,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 DAMPING = 0.85
-ROUNDS = 30
+#: Only a guard: a round shrinks what changes by the damping, so a fixed point comes long before.
+ROUNDS = 1000
 TOLERANCE = 1e-6
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,26 +56,30 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 
 def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(src, dst, weight) between different hosts: each host's absolute links, shared out over their targets."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"), F.lit(1))
-    links = pages.where(F.col(html_col).contains("://")).select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(found, host_of))).alias("dst"))
+    found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"), F.lit(1))
+    found = F.transform(found, lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))  # no scheme: the page's own
+    links = pages.where(F.col(html_col).contains("//")).select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(found, host_of))).alias("dst"))
     links = links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
     total = links.groupBy("src").agg(F.sum("n").alias("all"))
     return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
 
 
 def propagate(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """r = seed + damping * (links' r), to a fixed point: (host, r). ``seeds`` is (host, seed); ``links`` (src, dst, weight)."""
-    r = seeds.select("host", F.col("seed").alias("r"))
-    for k in range(rounds):
+    """r = seed + damping * (links' r), until no host changes by ``tolerance``: (host, r). ``seeds`` is (host, seed); ``links`` (src, dst, weight). Raises where ``rounds`` do not suffice."""
+    r, last = seeds.select("host", F.col("seed").alias("r")), None
+    for _ in range(rounds):
         flow = links.join(r, links["src"] == r["host"]).groupBy("dst").agg(F.sum(F.col("weight") * F.col("r")).alias("flow"))
         moved = seeds.join(flow, seeds["host"] == flow["dst"], "full").select(
             F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("flow", F.lit(0.0))).alias("now")
         )
         step = materialise(moved.join(r, "host", "left").select("host", F.col("now").alias("r"), F.abs(F.col("now") - F.coalesce("r", F.lit(0.0))).alias("change")), "rank")
         r = step.select("host", "r")
+        if last is not None:
+            discard(last)
+        last = step
         if (step.agg(F.max("change")).first()[0] or 0.0) < tolerance:
-            break
-    return r
+            return r
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
 def filter_urls(

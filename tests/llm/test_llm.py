@@ -295,3 +295,29 @@ def test_lines_of_few_words(spark):
     groups, lines = line_dedup.line_groups(spark.createDataFrame(made, "doc_id long, text string"))
     found = {r["rid"]: r["component"] for r in lines.join(groups, "line").collect()}
     assert sum(found[2 * k] == found[2 * k + 1] for k in range(200)) >= 196
+
+
+def test_propagation_on_a_cycle_reaches_its_fixed_point(spark):
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    got = {r["host"]: r["r"] for r in urls.propagate(seeds, links, damping=0.5).collect()}
+    assert abs(got["a"] - 4 / 3) < 1e-5 and abs(got["b"] - 2 / 3) < 1e-5
+    with pytest.raises(RuntimeError):
+        urls.propagate(seeds, links, damping=0.5, rounds=3)
+    pages = spark.createDataFrame([("h.org", "<a href=\"//x.net/1\"><a href='https://y.net'><a href=/own>")], "host string, html string")
+    assert {r["dst"] for r in urls.host_links(pages).collect()} == {"x.net", "y.net"}
+
+
+def test_sets_that_share_a_class_hash_are_told_apart():
+    own, check = np.array([5, 5, 7]), np.array([1, 2, 3])
+    got = ngram_join._parted(own, check, np.array([5]))
+    assert len(set(got.tolist())) == 3 and got[2] == 7
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 200, 900):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 2**63, n // 6, dtype=np.uint64)]))
+        bits = ngram_join.parity(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
+        assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(np.setxor1d(a, b))
