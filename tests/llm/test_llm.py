@@ -208,7 +208,7 @@ def test_language_model(spark, rows, docs, empty):
     rng = random.Random(4)
     made = [(i, " ".join(rng.choice([["the", "cat", "sat"], ["a", "dog", "ran"]])[k] for _ in range(20) for k in range(3))) for i in range(60)]
     frame = spark.createDataFrame(made, "doc_id long, text string")
-    language, counts = lm.train(frame.select("text"))
+    language, counts = lm.train(frame.select("text"), keep_grams=True)
     got = lm.score(frame, language, counts).collect()
     assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)  # logs: nearer to 0
     auto = language.automaton
@@ -238,7 +238,7 @@ def test_language_model_keeps_every_ngram_that_occurs_twice(spark, longest):
     made += [(1000 + i, "common words " * 2000) for i in range(110)]  # over 400,000 tokens, so a share of 1 / 200,000 would ask for three
     made += [(2000 + i, f"seldom seen phrase {i}") for i in range(2)]
     frame = spark.createDataFrame(made, "doc_id long, text string")
-    language, counts = lm.train(frame.select("text"), order=longest)
+    language, counts = lm.train(frame.select("text"), order=longest, keep_grams=True)
     auto = language.automaton
     for order in range(2, longest + 1):
         seen = {}
