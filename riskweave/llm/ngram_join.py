@@ -105,8 +105,9 @@ def shingle_sets(raw, starts, ends, powers: Powers) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(len(count)), grams)
     at = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams) + first[row]
     hashes = span_hash(prefix, at, at + np.minimum(count, SHINGLE)[row], powers)
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
+    edge = np.append(0, np.cumsum(grams)).tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        hashes[a:b].sort()  # several times as fast as np.lexsort over all rows
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
     row, hashes = row[keep], hashes[keep]
