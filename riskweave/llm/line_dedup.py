@@ -100,19 +100,23 @@ def _facts(lines: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of the lines that are linked with others; ``shared`` has (sig, cls, hub): a bucket, one of its lines and its first line."""
+    """(node, component) of the lines that are linked with others; ``shared`` has (sig, cls, hub): a bucket, one of its lines and its first line. It comes from ``materialise``; its table goes."""
     facts = _facts(shared.select("cls"), distinct)
     known = materialise(distinct.select("line", "form").join(facts.select(F.col("cls").alias("line"), "n_shingles"), "line"), "candidates")
     stars = materialise(sifted(shared.where("cls <> hub").select("hub", "cls").distinct(), facts, threshold), "stars")
     links = _verify(stars, known, threshold)
     labels = components(links)
     left = mixed(shared, labels)
+    scrap = [shared, facts, known, stars, links, left]
     second = materialise(sifted(spokes(left), facts, threshold).join(stars, ["hub", "cls"], "left_anti"), "stars")
     done = stars
+    scrap.append(second)
     if not second.isEmpty():
-        links = links.unionByName(_verify(second, known, threshold))
+        scrap.append(_verify(second, known, threshold))
+        links = links.unionByName(scrap[-1])
         labels = components(links)
         left, done = mixed(left, labels), stars.unionByName(second)
+        scrap.append(left)
     hot = F.col("components") > REFINE_OVER
     few = paired(left.where(~hot), "sig", facts, done, threshold)
     short = materialise(left.where(hot).select("cls", "component").distinct(), "short")
@@ -121,14 +125,21 @@ def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
         forms = known.withColumnRenamed("line", "cls").join(short, "cls")
         shingled = materialise(forms.select("cls", F.explode(_shingles(F.col("form"))).alias("s")).select("cls", F.xxhash64("s").alias("shingle")), "shingles")
         rare = paired(rarest(shingled, short, threshold), "shingle", facts, done, threshold)
+        scrap.append(shingled)
     more = materialise(few.unionByName(rare).distinct(), "pairs")
+    scrap += [short, more]
     if not more.isEmpty():  # one pair of each two components first; what that does not unite, all at once
         single = materialise(between(more, labels, once=True), "pairs")
-        links = links.unionByName(_verify(single, known, threshold))
+        scrap += [single, _verify(single, known, threshold)]
+        links = links.unionByName(scrap[-1])
         labels = components(links)
         rest = materialise(between(more.join(single, ["hub", "cls"], "left_anti"), labels), "pairs")
+        scrap.append(rest)
         if not rest.isEmpty():
-            labels = components(links.unionByName(_verify(rest, known, threshold)))
+            scrap.append(_verify(rest, known, threshold))
+            labels = components(links.unionByName(scrap[-1]))
+    for table in scrap:  # the labels read none of these: components ends with a table of its own
+        discard(table)
     return labels
 
 
