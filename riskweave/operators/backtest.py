@@ -7,8 +7,9 @@ from enum import StrEnum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.errors import BadForecast
 from riskweave.functions import columns, special
-from riskweave.operators.frames import by_time
+from riskweave.operators.frames import by_time, need
 from riskweave.operators.parametric import Distribution, unit_tail
 
 # The supervisory scheme.
@@ -79,6 +80,19 @@ def conditional_coverage(breaches: DataFrame, confidence: float) -> DataFrame:
     return coverage_tests(breaches, confidence).select("series", F.col("conditional").alias("statistic"), F.col("conditional_p").alias("p_value"), F.lit(2).alias("degrees"), "advisory")
 
 
+def rejects_at(tests: DataFrame, level: float) -> DataFrame:
+    """Adds ``rejects``, p_value < level, to a frame of one test."""
+    need(0 < level < 1, BadForecast, "a significance level must lie strictly between 0 and 1")
+    return tests.withColumn("rejects", F.col("p_value") < level)
+
+
+def rejected_at(tests: DataFrame, level: float = 0.05) -> DataFrame:
+    """(series, rejected): the names of the coverage tests that reject, from ``coverage_tests`` or ``validate``."""
+    need(0 < level < 1, BadForecast, "a significance level must lie strictly between 0 and 1")
+    names = ("unconditional", "independence", "conditional")
+    return tests.select("series", F.array_compact(F.array(*[F.when(F.col(f"{n}_p") < level, F.lit(n)) for n in names])).alias("rejected"))
+
+
 def traffic_light(breaches: DataFrame, confidence: float) -> DataFrame:
     """(series, observations, count, cumulative_probability, zone, plus_factor): P(X <= count) under the forecast; the plus factor is set only in the supervisory case."""
     t = breaches.groupBy("series").agg(F.count("*").alias("observations"), F.count_if("breach").alias("count"))

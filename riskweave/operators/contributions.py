@@ -58,6 +58,26 @@ def historical_tail_loss_contributions(panel: DataFrame, weights: DataFrame, con
     return _allocated(means.withColumn("total", F.sum(F.col("w") * F.col("marginal")).over(Window.partitionBy(F.lit(1)))))
 
 
+def checked_allocation(allocation: DataFrame) -> DataFrame:
+    """The allocation; an asset without a weight, a marginal or a component fails in the plan."""
+    whole = F.col("w").isNotNull() & F.col("marginal").isNotNull() & F.col("component").isNotNull()
+    return allocation.withColumn("component", F.when(whole, F.col("component")).otherwise(F.raise_error(F.concat(F.lit("an incomplete allocation: "), F.col("series").cast("string")))))
+
+
+def euler_identity(allocation: DataFrame) -> DataFrame:
+    """One row (assets, total, sum_of_components, identity_error, has_negative_contribution)."""
+    rows = checked_allocation(allocation)
+    sums = rows.agg(F.count("*").alias("assets"), F.max("total").alias("total"), F.sum("component").alias("sum_of_components"), F.bool_or(F.col("component") < 0).alias("has_negative_contribution"))
+    return sums.withColumn("identity_error", F.abs(F.col("sum_of_components") - F.col("total")))
+
+
+def contribution_of(allocation: DataFrame, name: str) -> float:
+    """One asset's component."""
+    found = allocation.where(F.col("series") == name).select("component").first()
+    need(found is not None, KeyError, name)
+    return found[0]
+
+
 def diversification(allocation: DataFrame, covariance: DataFrame) -> DataFrame:
     """One row (diversification_ratio, effective_bets, concentration, largest) of a volatility allocation; null where a weight or share is negative."""
     sd = covariance.where("i = j").select(F.col("i").alias("series"), F.sqrt("v").alias("sd"))

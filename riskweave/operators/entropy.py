@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.errors import ViewsInfeasible, ViewsNotIdentified
+from riskweave.errors import TooShort, ViewsInfeasible, ViewsNotIdentified
 from riskweave.operators.frames import need
 
 # Fixed values.
@@ -26,6 +26,10 @@ class View:
     target: float
     label: str = ""
 
+    def __post_init__(self) -> None:
+        need(bool(self.column), ViewsInfeasible, "a view needs a column")
+        need(math.isfinite(self.target), ViewsInfeasible, f"a view must be finite, got {self.target}")
+
     def named(self, position: int) -> str:
         return self.label or f"view {position}"
 
@@ -86,6 +90,7 @@ def pool(scenarios: DataFrame, views: list[View], prior: str | None = None, *, t
     k = len(views)
     stats = scenarios.agg(F.count("*").alias("n"), *[f(v.column).alias(f"{n}{i}") for i, v in enumerate(views) for n, f in (("lo", F.min), ("hi", F.max))], *([F.sum(prior).alias("total")] if prior else [])).first()
     n = stats["n"]
+    need(n > 0, TooShort, "a view needs at least one scenario")
     low, high = np.array([stats[f"lo{i}"] for i in range(k)], float), np.array([stats[f"hi{i}"] for i in range(k)], float)
     target = np.array([v.target for v in views], float)
     span = high - low

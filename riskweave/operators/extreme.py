@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.errors import ImpossibleFit, NotEnoughTail, OutsideTheFit, UndefinedTailMean
+from riskweave.errors import ImpossibleFit, NotEnoughTail, OutOfDomain, OutsideTheFit, UndefinedTailMean
 from riskweave.operators.frames import need
 
 # Fixed values.
@@ -193,11 +193,14 @@ def pwm_tails(losses: DataFrame, tail_fraction: float = 0.05) -> DataFrame:
     return a.select("series", "threshold", "exceedances", "observations", (2 - F.try_divide(F.col("a0"), d)).alias("shape"), F.try_divide(2 * F.col("a0") * F.col("a1"), d).alias("scale"))
 
 
-def tail_risk(tails: DataFrame, confidence: float) -> DataFrame:
-    """Adds quantile, value_at_risk and expected_tail_loss (null where the shape is 1 or more) to fitted tails."""
+def tail_risk(tails: DataFrame, confidence: float, *, strict: bool = False) -> DataFrame:
+    """Adds quantile, value_at_risk and expected_tail_loss (null where the shape is 1 or more) to fitted tails. A confidence inside a series' body gives null, or with ``strict`` fails in the plan."""
+    need(0 < confidence < 1, OutOfDomain, "a confidence must lie strictly between 0 and 1")
     ratio = (1 - confidence) * F.col("observations") / F.col("exceedances")
     q = F.col("threshold") + F.when(F.abs("shape") < SHAPE_EPSILON, -F.col("scale") * F.ln(ratio)).otherwise(F.col("scale") * F.try_divide(F.expm1(-F.col("shape") * F.ln(ratio)), F.col("shape")))
     inside = F.when(ratio <= 1, q)
+    if strict:
+        inside = inside.otherwise(F.raise_error(F.concat(F.lit("the fitted tail says nothing at this confidence about "), F.col("series").cast("string"))))
     es = F.when(F.col("shape") < 1, (F.col("value_at_risk") + F.col("scale") - F.col("shape") * F.col("threshold")) / F.nullif(1 - F.col("shape"), F.lit(0.0)))
     return tails.withColumn("value_at_risk", inside).withColumn("expected_tail_loss", es).withColumn("quantile", -F.col("value_at_risk")).withColumn("confidence", F.lit(confidence))
 

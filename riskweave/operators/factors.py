@@ -167,4 +167,24 @@ def attribute_risk(weights: DataFrame, model: FactorModel) -> DataFrame:
     )
 
 
-__all__ = ["FactorModel", "Regression", "attribute_risk", "fit_factor_model", "regress", "single_factor"]
+def attribution_identity(attribution: DataFrame) -> DataFrame:
+    """One row (total, factor_contribution, specific_contribution, sum_of_parts, identity_error)."""
+    specific = F.try_divide(F.max("specific_volatility") * F.max("specific_volatility"), F.max("total"))
+    sums = attribution.agg(F.max("total").alias("total"), F.sum("component").alias("factor_contribution"), specific.alias("specific_contribution"))
+    sums = sums.withColumn("sum_of_parts", F.col("factor_contribution") + F.col("specific_contribution"))
+    return sums.withColumn("identity_error", F.abs(F.col("sum_of_parts") - F.col("total")))
+
+
+def attribution_of(attribution: DataFrame, factor: str) -> float:
+    """One factor's component."""
+    found = attribution.where(F.col("factor") == factor).select("component").first()
+    need(found is not None, KeyError, factor)
+    return found[0]
+
+
+def largest_factor(attribution: DataFrame) -> DataFrame:
+    """One row (factor, component): the largest in absolute size; ties go to the first name."""
+    return attribution.orderBy(F.desc(F.abs("component")), "factor").limit(1).select("factor", "component")
+
+
+__all__ = ["FactorModel", "Regression", "attribute_risk", "attribution_identity", "attribution_of", "fit_factor_model", "largest_factor", "regress", "single_factor"]

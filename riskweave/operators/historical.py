@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.errors import OutOfDomain
-from riskweave.operators.frames import need, of_series
+from riskweave.operators.frames import need, of_series, variance_recursion
 
 # Fixed values.
 DEFAULT_DECAY = 0.94
@@ -109,16 +109,8 @@ def bootstrap_interval(
 
 def ewma_volatility(panel: DataFrame, decay: float = DEFAULT_DECAY) -> DataFrame:
     """(series, t, r, volatility, next_volatility): the forecast made before each return, seeded with the whole sample's ML variance."""
-    steps = F.array_sort(F.collect_list(F.struct("t", "r")))
-    rows = panel.groupBy("series").agg(steps.alias("path"), F.var_pop("r").alias("v0"))  # one series' periods
-    empty = F.array().cast("array<double>")
-    run = F.aggregate(
-        "path", F.struct(F.col("v0").alias("v"), empty.alias("seen")),
-        lambda s, x: F.struct((decay * s["v"] + (1 - decay) * x["r"] * x["r"]).alias("v"), F.concat(s["seen"], F.array(s["v"])).alias("seen")),
-    )
-    out = rows.select("series", "path", run.alias("run"))
-    out = out.select("series", F.sqrt("run.v").alias("next_volatility"), F.explode(F.arrays_zip("path", F.col("run.seen").alias("v"))).alias("x"))
-    return out.select("series", F.col("x.path.t").alias("t"), F.col("x.path.r").alias("r"), F.sqrt("x.v").alias("volatility"), "next_volatility")
+    run = variance_recursion(panel, F.var_pop("r").over(of_series()), constant=0.0, on_square=1 - decay, on_variance=decay)
+    return run.select("series", "t", "r", F.sqrt("v").alias("volatility"), F.sqrt("next_v").alias("next_volatility"))
 
 
 def filtered_historical_risk(panel: DataFrame, confidence: float = 0.99, decay: float = DEFAULT_DECAY, volatilities: DataFrame | None = None) -> DataFrame:
@@ -145,3 +137,8 @@ def check_subadditivity(panel: DataFrame, confidence: float = 0.99, expected_tai
 def as_risk(estimate: DataFrame) -> DataFrame:
     """Historical risk in the columns of parametric risk."""
     return estimate.select("series", "value_at_risk", "expected_tail_loss", "quantile", "confidence", F.lit("historical").alias("distribution"), F.lit(1.0).alias("horizon"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("volatility"))
+
+
+def with_tail_probability(estimate: DataFrame) -> DataFrame:
+    """Adds tail_probability, 1 - confidence, to any risk frame (historical, extreme)."""
+    return estimate.withColumn("tail_probability", 1 - F.col("confidence"))

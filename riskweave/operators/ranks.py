@@ -87,15 +87,6 @@ def kendall_matrix(panel: DataFrame) -> DataFrame:
     return _full(_pairs(panel, "r").groupBy("i", "j").applyInPandas(pair, "i string, j string, v double"), panel)
 
 
-def kendall_native(panel: DataFrame) -> DataFrame:
-    """(i, j, v), i < j: tau-b by comparing periods with each other in one plan; for panels of up to a few thousand periods."""
-    p = _pairs(panel, "r")
-    q = p.select("i", "j", F.col("t").alias("u"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    sx, sy = F.signum(F.col("x") - F.col("x2")), F.signum(F.col("y") - F.col("y2"))
-    s = p.join(q, ["i", "j"]).where("t < u").groupBy("i", "j").agg(F.sum(sx * sy).alias("c"), F.sum(sx * sx).alias("a"), F.sum(sy * sy).alias("b"))
-    return s.select("i", "j", F.coalesce(F.try_divide(F.col("c"), F.sqrt(F.col("a") * F.col("b"))), F.lit(0.0)).alias("v"))
-
-
 def correlation_from_kendall(tau: float) -> float:
     return math.sin(math.pi * tau / 2)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from enum import StrEnum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.errors import BadBar
@@ -37,6 +37,43 @@ def checked_bars(bars: DataFrame) -> DataFrame:
     return bars.withColumn("low", F.when(good, lo).otherwise(F.raise_error(F.concat(F.lit("not a bar: "), F.to_json(F.struct(o, h, lo, c))))))
 
 
+def bars_from_rows(spark: SparkSession, name: str, rows) -> DataFrame:
+    """(series, t, open, high, low, close) of (open, high, low, close) rows; the first that is no bar is named by its position."""
+    built = []
+    for t, row in enumerate(rows):
+        need(len(row) == 4, BadBar, f"{name}: row {t} has {len(row)} values, expected 4")
+        o, h, lo, c = map(float, row)
+        need(0 < lo <= min(o, c) <= max(o, c) <= h < math.inf, BadBar, f"{name}: row {t} is not a bar")
+        built.append((name, t, o, h, lo, c))
+    need(bool(built), BadBar, f"{name}: no bars")
+    return spark.createDataFrame(built, "series string, t bigint, open double, high double, low double, close double")
+
+
+class Bars:
+    """A bar frame with its length, its bars in order of time and its closes."""
+
+    def __init__(self, frame: DataFrame) -> None:
+        self.frame = checked_bars(frame)
+
+    @classmethod
+    def from_rows(cls, spark: SparkSession, name: str, rows) -> Bars:
+        return cls(bars_from_rows(spark, name, rows))
+
+    def __len__(self) -> int:
+        return self.frame.count()
+
+    def __iter__(self):
+        return iter(self.frame.orderBy("series", "t").toLocalIterator())
+
+    @property
+    def closes(self) -> DataFrame:
+        """(series, t, close)."""
+        return self.frame.select("series", "t", "close")
+
+    def overnight(self) -> DataFrame:
+        return overnight(self.frame)
+
+
 def overnight(bars: DataFrame) -> DataFrame:
     """Adds ``gap``, ln(open / previous close); null in the first bar."""
     return bars.withColumn("gap", F.ln(F.col("open") / F.lag("close").over(by_time())))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave.errors import GarchDidNotConverge
 from riskweave.functions import special
-from riskweave.operators.frames import require_rows
+from riskweave.operators.frames import of_series, require_rows, variance_recursion
 from riskweave.operators.parametric import Distribution, Risk, parametric
 
 # Fixed values.
@@ -30,16 +30,10 @@ class Innovation(StrEnum):
 
 
 def garch_variances(panel: DataFrame, *, omega: float, alpha: float, beta: float, mean: float = 0.0, seed: float | None = None) -> DataFrame:
-    """(series, t, r, variance, next_variance): an ordered fold per series, seeded with the ML variance of the sample."""
-    rows = panel.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "r"))).alias("path"), (F.var_pop("r") if seed is None else F.first(F.lit(float(seed)))).alias("v0"))
-    empty = F.array().cast("array<double>")
-    run = F.aggregate(
-        "path", F.struct(F.col("v0").alias("v"), empty.alias("seen")),
-        lambda s, x: F.struct((omega + alpha * (x["r"] - mean) * (x["r"] - mean) + beta * s["v"]).alias("v"), F.concat(s["seen"], F.array(s["v"])).alias("seen")),
-    )
-    out = rows.select("series", "path", run.alias("run"))
-    out = out.select("series", F.col("run.v").alias("next_variance"), F.explode(F.arrays_zip("path", F.col("run.seen").alias("v"))).alias("x"))
-    return out.select("series", F.col("x.path.t").alias("t"), F.col("x.path.r").alias("r"), F.col("x.v").alias("variance"), "next_variance")
+    """(series, t, r, variance, next_variance): a recursion along each series, seeded with the ML variance of the sample."""
+    start = F.var_pop("r").over(of_series()) if seed is None else F.lit(float(seed))
+    run = variance_recursion(panel, start, constant=omega, on_square=alpha, on_variance=beta, mean=mean)
+    return run.withColumnsRenamed({"v": "variance", "next_v": "next_variance"})
 
 
 def variances(returns, omega: float, alpha: float, beta: float, mean: float = 0.0, seed: float | None = None) -> np.ndarray:

@@ -380,7 +380,7 @@ kt AS (SELECT p.i, p.j, sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(si
 
 @query("kendall", _KT, "SELECT i, j, v FROM kt WHERE i < j", "v")
 def _(spark, d):
-    return ranks.kendall_native(_aligned_m(spark, d))
+    return ranks.kendall_matrix(_aligned_m(spark, d)).where("i < j")
 
 
 @query("kendall_matrix", _KT, "SELECT i, j, v FROM kt", "v")
@@ -390,7 +390,7 @@ def _(spark, d):
 
 @query("rank_inversions", _KT, f"SELECT i, j, sin({math.pi!r} * v / 2) AS from_kendall FROM kt WHERE i < j", "from_kendall")
 def _(spark, d):
-    return ranks.kendall_native(_aligned_m(spark, d)).select("i", "j", F.sin(F.col("v") * math.pi / 2).alias("from_kendall"))
+    return ranks.kendall_matrix(_aligned_m(spark, d)).where("i < j").select("i", "j", F.sin(F.col("v") * math.pi / 2).alias("from_kendall"))
 
 
 # --- backtests and scores -----------------------------------------------------------------------------

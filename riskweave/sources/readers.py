@@ -59,7 +59,7 @@ def read_returns(spark: SparkSession, path: str, convention: Convention = Conven
     _refuse(body, reduce(lambda a, b: a | b, wrong), "a cell that is not a finite number")
     wide = body.select(F.col("line").cast("bigint").alias("t"), (F.col("cells")[0] if labelled else F.col("line").cast("string")).alias("label"), *[v.alias(f"c{k}") for k, v in enumerate(values)])
     _refuse(wide.withColumnRenamed("t", "line"), reduce(lambda a, b: a | b, [F.col(f"c{k}") <= -1 for k in range(len(names))]), "a return of -1 or less")
-    typical = wide.agg(*[F.element_at(F.array_sort(F.collect_list(F.abs(f"c{k}"))), (F.floor(F.count("*") / 2) + 1).cast("int")) for k in range(len(names))]).first()
+    typical = wide.agg(*[F.percentile_approx(F.abs(f"c{k}"), 0.5) for k in range(len(names))]).first()
     for name, size in zip(names, typical, strict=True):
         if size > 1:
             raise InputError(f"{name}: prices or percentages, not returns")

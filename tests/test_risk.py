@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.errors import BadBar, BadForecast, OutOfDomain, ViewsInfeasible
 from riskweave.functions import columns, linalg, special, spectra
-from riskweave.operators import bounds, cleaning, contributions, drawdown, entropy, expectile, extreme, historical, mixture, parametric, quadratic, ranks, realised, saddlepoint, series, spectral, stress, volatility
+from riskweave.operators import backtest, bounds, cleaning, contributions, drawdown, entropy, expectile, extreme, factors, historical, mixture, parametric, quadratic, ranks, realised, saddlepoint, series, spectral, stress, volatility
 
 
 def panel_of(spark, **columns_):
@@ -214,3 +215,79 @@ def test_forecasts_refuse_bad_cells(spark, tmp_path):
             readers.read_forecasts(spark, str(tmp_path / "f.csv"))
     (tmp_path / "f.csv").write_text("return,var,es\n0.01,0.02,0.03\n")
     assert readers.read_forecasts(spark, str(tmp_path / "f.csv")).count() == 1
+
+
+def test_identity_of_an_allocation(spark):
+    weights = spark.createDataFrame([("a", 0.6), ("b", -0.4)], "series string, w double")
+    cov = spark.createDataFrame([("a", "a", 0.04), ("a", "b", 0.03), ("b", "a", 0.03), ("b", "b", 0.09)], "i string, j string, v double")
+    out = contributions.volatility_contributions(weights, cov)
+    row = contributions.euler_identity(out).first()
+    vol = math.sqrt(0.36 * 0.04 + 0.16 * 0.09 - 2 * 0.24 * 0.03)
+    assert row["assets"] == 2 and abs(row["total"] - vol) < 1e-15 and row["identity_error"] < 1e-15 and not row["has_negative_contribution"]
+    assert abs(contributions.contribution_of(out, "a") - 0.6 * (0.6 * 0.04 - 0.4 * 0.03) / vol) < 1e-15
+    with pytest.raises(KeyError):
+        contributions.contribution_of(out, "c")
+    with pytest.raises(Exception, match="an incomplete allocation: a"):
+        contributions.euler_identity(out.withColumn("w", F.when(F.col("series") != "a", F.col("w")))).collect()
+
+
+def test_identity_of_an_attribution(spark):
+    rng = np.random.default_rng(3)
+    f = rng.normal(size=(200, 2)) * 0.01
+    own = f @ np.array([[1.0, 0.2, -0.5], [0.1, 0.8, 0.3]]) + rng.normal(size=(200, 3)) * 0.004
+    model = factors.fit_factor_model(panel_of(spark, a=own[:, 0], b=own[:, 1], c=own[:, 2]), panel_of(spark, f=f[:, 0], g=f[:, 1]))
+    out = factors.attribute_risk(spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "series string, w double"), model).cache()
+    row = factors.attribution_identity(out).first()
+    assert row["identity_error"] < 1e-12 and row["specific_contribution"] > 0
+    parts = {r["factor"]: r["component"] for r in out.collect()}
+    assert factors.attribution_of(out, "g") == parts["g"]
+    assert tuple(factors.largest_factor(out).first()) == max(parts.items(), key=lambda x: abs(x[1]))
+
+
+def test_rejections(spark):
+    rows = [("s", t, -0.02 if t % 10 == 0 else 0.01, 0.015) for t in range(200)] + [("u", t, -0.02 if t in (20, 110) else 0.01, 0.015) for t in range(200)]
+    tests = backtest.coverage_tests(backtest.exceedances(spark.createDataFrame(rows, "series string, t long, r double, var double")), 0.99).cache()
+    named = {r["series"]: r["rejected"] for r in backtest.rejected_at(tests).collect()}
+    assert "unconditional" in named["s"] and "conditional" in named["s"] and named["u"] == []
+    one = {r["series"]: r["rejects"] for r in backtest.rejects_at(tests.select("series", F.col("unconditional_p").alias("p_value")), 0.05).collect()}
+    assert one == {"s": True, "u": False}
+    with pytest.raises(BadForecast):
+        backtest.rejected_at(tests, 1.0)
+
+
+def test_bars_of_rows(spark):
+    bars = realised.Bars.from_rows(spark, "x", [(10, 12, 9, 11), (11, 11.5, 10.5, 11)])
+    assert len(bars) == 2 and [b["close"] for b in bars] == [11.0, 11.0] and bars.closes.columns == ["series", "t", "close"]
+    assert abs(bars.overnight().where("t = 1").first()["gap"]) < 1e-15
+    for rows, said in (([(10, 12, 9, 11), (10, 9, 8, 9)], "row 1"), ([(1, 2, 3)], "3 values"), ([], "no bars")):
+        with pytest.raises(BadBar, match=said):
+            realised.bars_from_rows(spark, "x", rows)
+
+
+def test_construction_guards(spark):
+    with pytest.raises(OutOfDomain):
+        bounds.LossTail(lambda p: p, upper_endpoint=0.0, lower_endpoint=1.0)
+    with pytest.raises(OutOfDomain):
+        bounds.uniform_loss().value_at_risk(1.0)
+    with pytest.raises(ViewsInfeasible):
+        entropy.mean_view("x", math.nan)
+    tails = spark.createDataFrame([("a", 0.1, 0.02, 0.03, 50, 1000)], "series string, shape double, scale double, threshold double, exceedances bigint, observations bigint")
+    assert extreme.tail_risk(tails, 0.9).first()["value_at_risk"] is None
+    with pytest.raises(Exception, match="says nothing"):
+        extreme.tail_risk(tails, 0.9, strict=True).collect()
+    assert abs(historical.with_tail_probability(extreme.tail_risk(tails, 0.99)).first()["tail_probability"] - 0.01) < 1e-15
+
+
+def test_variance_filters_against_loops(spark):
+    rng = np.random.default_rng(8)
+    xs, ys = rng.normal(size=60) * 0.01, rng.normal(size=3) * 0.02
+    p = panel_of(spark, a=xs, b=ys).orderBy(F.desc("t"))
+    ewma, garch = historical.ewma_volatility(p, 0.9).collect(), volatility.garch_variances(p, omega=1e-6, alpha=0.1, beta=0.85, mean=0.001).collect()
+    assert len(ewma) == len(garch) == 63
+    for name, x in (("a", xs), ("b", ys)):
+        v = float(np.var(x))
+        want = volatility.variances(x, 1e-6, 0.1, 0.85, 0.001)
+        for r, g, k in zip(sorted((r for r in ewma if r["series"] == name), key=lambda r: r["t"]), sorted((r for r in garch if r["series"] == name), key=lambda r: r["t"]), range(len(x)), strict=True):
+            assert abs(r["volatility"] / math.sqrt(v) - 1) < 1e-12 and abs(g["variance"] / want[k] - 1) < 1e-12
+            v = 0.9 * v + 0.1 * x[k] ** 2
+        assert abs(r["next_volatility"] / math.sqrt(v) - 1) < 1e-12
