@@ -184,11 +184,13 @@ def spectrum(spark, a):
 def portfolio(spark, a):
     p = saddlepoint.grouped(readers.read_obligors(spark, a.obligors))
     levels = [a.level] if a.level is not None else [p.mean * k for k in (1, 1.5, 2, 3) if p.mean * k < p.maximum]
-    exact = saddlepoint.exact_distribution(p, unit=p.span) if p.span and p.maximum / p.span < 20_000 else None
+    fits = bool(p.span) and p.maximum / p.span < a.exact_points
+    exact = saddlepoint.exact_distribution(p, unit=p.span) if fits else None
     out = [{"level": x, "saddlepoint": saddlepoint.exceedance_probability(p, x), "normal": saddlepoint.normal_tail(p, x), "exact": saddlepoint.exact_tail(exact, x, unit=p.span) if exact is not None else None} for x in levels]
     c = saddlepoint.tail_loss_contributions(p, levels[-1])
     top = sorted(zip(p.p, p.e, c, strict=True), key=lambda t: -t[2])[: a.top]
-    return {"tail": out, "contributions": [{"probability": float(q), "exposure": float(e), "contribution": float(v)} for q, e, v in top]}
+    note = {} if fits else {"note": "no exact column: exposures on no lattice" if not p.span else f"no exact column: {p.maximum / p.span:.0f} lattice points, see --exact-points"}
+    return {"tail": out, **note, "contributions": [{"probability": float(q), "exposure": float(e), "contribution": float(v)} for q, e, v in top]}
 
 
 def bounds_(spark, a):
@@ -294,7 +296,7 @@ def parser() -> argparse.ArgumentParser:
     add("validate", validate, c, ("--returns-column", str, "return"), ("--var-column", str, "var"), ("--es-column", str, None), ("--replications", int, 0), ("--distribution", str, "normal"), ("--degrees", float, 5.0), ("--seed", int, 0), file="forecasts")
     add("expectile", expectile_, w, ("--level", float, 0.99), ("--confidence", float, 0.975), ("--degrees", float, 5.0))
     add("spectrum", spectrum, w, ("--confidence", float, 0.975), ("--deep", float, 0.005), ("--exponent", float, None))
-    add("portfolio", portfolio, ("--level", float, None), ("--top", int, 10), file="obligors")
+    add("portfolio", portfolio, ("--level", float, None), ("--top", int, 10), ("--exact-points", int, 20_000), file="obligors")
     add("bounds", bounds_, w, s, c, ("--points", int, 512))
     add("clean", clean, ("--show", int, 10), ("--compare", bool, False), ("--split", float, 0.5))
     add("worst-case", worst_case, s, c, *book, ("--radius", float, None))

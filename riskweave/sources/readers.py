@@ -20,7 +20,7 @@ from riskweave.operators.series import Convention, from_columns
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     """(line, cells) of the lines that are not blank; line counts all lines of a file from 1."""
     text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return text.where(F.trim("value") != "").select((F.col("line") + 1).alias("line"), F.transform(F.split("value", ","), F.trim).alias("cells"))
+    return text.where(F.trim("value") != "").select((F.col("line") + 1).alias("line"), F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("cells"))
 
 
 def _refuse(frame: DataFrame, bad: Column, what: str) -> None:
@@ -83,7 +83,7 @@ def read_forecasts(spark: SparkSession, path: str, returns: str = "return", var:
 def read_bars(spark: SparkSession, path: str, name: str = "bars") -> DataFrame:
     """(series, t, open, high, low, close): the last four cells of each line, with or without a header."""
     rows = _rows(spark, path)
-    cells = [F.element_at("cells", -4 + k).try_cast("double") for k in range(4)]
+    cells = [F.try_element_at("cells", F.lit(-4 + k)).try_cast("double") for k in range(4)]
     parsed = rows.select(F.col("line").cast("bigint").alias("t"), *[c.alias(n) for c, n in zip(cells, ("open", "high", "low", "close"), strict=True)])
     start = parsed.agg(F.min("t")).first()[0]
     body = parsed.where((F.col("t") > start) | F.col("open").isNotNull())
