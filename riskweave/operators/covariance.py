@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import linalg
@@ -27,8 +27,10 @@ def _pairs(panel: DataFrame) -> DataFrame:
 
 
 def mirrored(upper: DataFrame) -> DataFrame:
-    others = [c for c in upper.columns if c not in ("i", "j")]
-    return upper.unionByName(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), *others))
+    """Both halves of a matrix from its upper one, in one pass over it."""
+    own, other = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    both = upper.select(F.explode(F.when(F.col("i") < F.col("j"), F.array(own, other)).otherwise(F.array(own))).alias("__at"), *[c for c in upper.columns if c not in ("i", "j")])
+    return both.select(*[F.col(f"__at.{c}").alias(c) if c in ("i", "j") else F.col(c) for c in upper.columns])
 
 
 def sample_covariance(panel: DataFrame, ddof: int = 1) -> DataFrame:
@@ -65,38 +67,53 @@ def blend(sample: DataFrame, target: DataFrame, intensity: float) -> DataFrame:
     return both.select("i", "j", (intensity * F.col("u") + (1 - intensity) * F.col("v")).alias("v"))
 
 
+def _pair_moments(panel: DataFrame) -> DataFrame:
+    """(i, j, n, s, sii, sjj, xy2, x3y, xy3), i <= j: the moments of demeaned pairs that shrinkage needs, in one aggregation."""
+    x, y = F.col("x"), F.col("y")
+    avg = lambda c, name: F.avg(c).alias(name)
+    return _pairs(panel).groupBy("i", "j").agg(
+        F.count("*").alias("n"), avg(x * y, "s"), avg(x * x, "sii"), avg(y * y, "sjj"), avg(x * x * y * y, "xy2"), avg(x * x * x * y, "x3y"), avg(x * y * y * y, "xy3")
+    )
+
+
+def _size() -> Column:
+    """The product of a pair's deviations; the square roots first, so that tiny variances do not vanish."""
+    return F.sqrt("sii") * F.sqrt("sjj")
+
+
 def shrinkage(panel: DataFrame) -> DataFrame:
-    """One row (periods, pi, rho, gamma, average_correlation, unclamped_intensity, intensity) of constant-correlation shrinkage, from ML moments."""
-    pairs = _pairs(panel)
-    ml = pairs.groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.count("*").alias("n"))
-    sd = ml.where("i = j").select("i", F.col("s").alias("sii"))
-    sdj = sd.select(F.col("i").alias("j"), F.col("sii").alias("sjj"))
-    wide = ml.join(sd, "i").join(sdj, "j")
-    size = F.sqrt(F.col("sii") * F.col("sjj"))
-    rbar = wide.where("i < j").agg(F.coalesce(F.avg(F.when(size == 0, 0.0).otherwise(F.col("s") / F.nullif(size, F.lit(0.0)))), F.lit(0.0)).alias("rbar"))
-    x, y, s = F.col("x"), F.col("y"), F.col("s")
-    deviation = pairs.join(wide, ["i", "j"]).groupBy("i", "j").agg(
-        F.avg((x * y - s) * (x * y - s)).alias("pi"),
-        F.avg((x * x - F.col("sii")) * (x * y - s)).alias("ti"), F.avg((y * y - F.col("sjj")) * (x * y - s)).alias("tj"),
-        F.first("s").alias("s"), F.first("sii").alias("sii"), F.first("sjj").alias("sjj"), F.first("n").alias("n"),
-    ).crossJoin(F.broadcast(rbar))  # fmt: skip  (rbar is one row)
-    off = F.when(F.col("i") < F.col("j"), 2.0).otherwise(0.0)
-    twice = F.when(F.col("i") < F.col("j"), 2.0).otherwise(1.0)
+    """One row (periods, pi, rho, gamma, average_correlation, unclamped_intensity, intensity) of constant-correlation shrinkage of an aligned panel, from ML moments.
+
+    rho and gamma are polynomials in the average correlation, so one pass over the pairs' moments gives their
+    coefficients. A gamma within rounding of zero (always with two assets) counts as zero: sample and target are one, and the intensity is 1.
+    """
+    s, size, off = F.col("s"), _size(), F.col("i") < F.col("j")
+    pi, ti, tj = F.col("xy2") - s * s, F.col("x3y") - F.col("sii") * s, F.col("xy3") - F.col("sjj") * s
     ratio = lambda a, b: F.sqrt(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)))
-    rho = F.when(F.col("i") == F.col("j"), F.col("pi")).otherwise(F.col("rbar") * (ratio("sjj", "sii") * F.col("ti") + ratio("sii", "sjj") * F.col("tj")))
-    gap = F.col("rbar") * F.sqrt(F.col("sii") * F.col("sjj")) - F.col("s")
-    out = deviation.agg(F.max("n").alias("periods"), F.sum(twice * F.col("pi")).alias("pi"), F.sum(rho).alias("rho"), F.sum(off * gap * gap).alias("gamma"), F.max("rbar").alias("average_correlation"))
-    kappa = F.coalesce(F.try_divide(F.col("pi") - F.col("rho"), F.col("gamma") * F.col("periods")), F.lit(0.0))
+    over = lambda c: F.coalesce(F.sum(F.when(off, c)), F.lit(0.0))
+    sums = _pair_moments(panel).agg(
+        F.max("n").alias("periods"), F.coalesce(F.avg(F.when(off, F.coalesce(F.try_divide(s, size), F.lit(0.0)))), F.lit(0.0)).alias("average_correlation"),
+        F.sum(F.when(off, 2 * pi).otherwise(pi)).alias("pi"), F.coalesce(F.sum(F.when(~off, pi)), F.lit(0.0)).alias("own"),
+        over(ratio("sjj", "sii") * ti + ratio("sii", "sjj") * tj).alias("cross"),
+        (2 * over(size * size)).alias("g2"), (2 * over(size * s)).alias("g1"), (2 * over(s * s)).alias("g0"), F.count_if(off).alias("pairs"),
+    )
+    r = F.col("average_correlation")
+    gamma = r * r * F.col("g2") - 2 * r * F.col("g1") + F.col("g0")
+    gamma = F.when((F.col("pairs") <= 1) | (gamma <= 1e-14 * F.col("g0")), 0.0).otherwise(gamma)
+    out = sums.select("periods", "pi", (F.col("own") + r * F.col("cross")).alias("rho"), gamma.alias("gamma"), "average_correlation")
+    kappa = F.coalesce(F.try_divide(F.col("pi") - F.col("rho"), F.col("gamma") * F.col("periods")), F.lit(1.0))
     return out.withColumn("unclamped_intensity", kappa).withColumn("intensity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), kappa))).withColumn("clamped", F.col("unclamped_intensity") != F.col("intensity"))
 
 
 def ledoit_wolf(panel: DataFrame) -> DataFrame:
-    """(i, j, v, sample, target, intensity): the unbiased covariance shrunk towards constant correlation."""
-    sample = sample_covariance(panel)
-    target = constant_correlation_target(sample)
-    k = shrinkage(panel).select("intensity")
-    both = sample.select("i", "j", F.col("v").alias("sample")).join(target.select("i", "j", F.col("v").alias("target")), ["i", "j"]).crossJoin(F.broadcast(k))  # k is one row
-    return both.select("i", "j", (F.col("intensity") * F.col("target") + (1 - F.col("intensity")) * F.col("sample")).alias("v"), "sample", "target", "intensity")
+    """(i, j, v, sample, target, intensity): the unbiased covariance shrunk towards constant correlation; two passes over the pairs, no join of the matrix with itself."""
+    unbiased = F.col("n") / (F.col("n") - 1)
+    k = shrinkage(panel).select("intensity", "average_correlation")
+    rows = _pair_moments(panel).crossJoin(F.broadcast(k))  # k is one row
+    sample = unbiased * F.col("s")
+    target = F.when(F.col("i") == F.col("j"), sample).otherwise(unbiased * F.col("average_correlation") * _size())
+    both = rows.select("i", "j", sample.alias("sample"), target.alias("target"), "intensity")
+    return mirrored(both.select("i", "j", (F.col("intensity") * F.col("target") + (1 - F.col("intensity")) * F.col("sample")).alias("v"), "sample", "target", "intensity"))
 
 
 def _weighted(covariance: DataFrame, weights: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskweave.errors import BadBar, BadForecast, OutOfDomain, ViewsInfeasible
 from riskweave.functions import columns, linalg, special, spectra
-from riskweave.operators import backtest, bounds, cleaning, contributions, drawdown, entropy, expectile, extreme, factors, historical, mixture, parametric, quadratic, ranks, realised, saddlepoint, series, spectral, stress, volatility
+from riskweave.operators import backtest, bounds, cleaning, contributions, covariance, drawdown, entropy, expectile, extreme, factors, historical, mixture, parametric, quadratic, ranks, realised, saddlepoint, series, spectral, stress, volatility
 
 
 def panel_of(spark, **columns_):
@@ -291,3 +291,22 @@ def test_variance_filters_against_loops(spark):
             assert abs(r["volatility"] / math.sqrt(v) - 1) < 1e-12 and abs(g["variance"] / want[k] - 1) < 1e-12
             v = 0.9 * v + 0.1 * x[k] ** 2
         assert abs(r["next_volatility"] / math.sqrt(v) - 1) < 1e-12
+
+
+def test_shrinkage_of_few_assets(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 1)) * 0.01 + rng.normal(size=(80, 3)) * 0.01
+    two = covariance.ledoit_wolf(panel_of(spark, a=x[:, 0], b=x[:, 1])).collect()
+    assert len(two) == 4 and all(r["intensity"] == 1.0 and abs(r["v"] - r["sample"]) < 1e-18 for r in two)
+    d = x - x.mean(axis=0)
+    s = d.T @ d / 80
+    size = np.sqrt(np.outer(np.diag(s), np.diag(s)))
+    r = (s / size)[np.triu_indices(3, 1)].mean()
+    off, pi = ~np.eye(3, dtype=bool), ((d[:, :, None] * d[:, None, :] - s) ** 2).mean(axis=0)
+    theta = ((d[:, :, None] ** 2 - np.diag(s)[:, None]) * (d[:, :, None] * d[:, None, :] - s)).mean(axis=0)
+    rho = np.diag(pi).sum() + (off * r * np.sqrt(np.diag(s) / np.diag(s)[:, None]) * theta).sum()
+    gamma = (off * (r * size - s) ** 2).sum()
+    k = float(np.clip((pi.sum() - rho) / gamma / 80, 0, 1))
+    want = (k * np.where(off, r * size, s) + (1 - k) * s) * 80 / 79
+    got = {(q["i"], q["j"]): q["v"] for q in covariance.ledoit_wolf(panel_of(spark, a=x[:, 0], b=x[:, 1], c=x[:, 2])).collect()}
+    assert all(abs(got["abc"[i], "abc"[j]] - want[i, j]) < 1e-15 for i in range(3) for j in range(3))
