@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import decontaminate, fingerprint, hard_negatives, lexical, line_dedup, lm, mixing, ngram_join, rlz, suffix_dedup, toxicity, urls
+from riskweave.llm import decontaminate, fingerprint, hard_negatives, lexical, line_dedup, lm, mixing, ngram_join, rlz, secret_scan, suffix_dedup, toxicity, urls
 from riskweave.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
     "op10_lm_score": lm.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_secret_scan": secret_scan.query,
     "op13_lexical_search": lexical.query,
 }
