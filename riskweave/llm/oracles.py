@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from riskweave.llm import secret_scan
+
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,4 +78,36 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10"""
 
-ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_suffix_dedup": SUFFIX, "op6_rlz_dedup": RLZ, "op7_ngram_join": JOIN, "op11_hard_negatives": NEGATIVES, "op13_lexical_search": LEXICAL}
+_ASSIGN = secret_scan.ASSIGN.replace("'", "''")
+_KINDS = {0: ("am", "ag", _ASSIGN, "av[i]", "length(av[i]) >= 6"), 1: ("km", "kg", secret_scan.ACCESS, "km[i]", "true"), 2: ("hm", "hg", secret_scan.HEX, "hm[i]", "true")}
+#: From matches and the gaps around them: where match i starts, and the text with its kept matches blanked.
+_START = "(list_sum(list_transform({1}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({0}[1:i - 1], lambda x: length(x))), 0))::BIGINT"
+_BLANK = "array_to_string(list_transform({1}, lambda g, i: g || coalesce(CASE WHEN {2} THEN repeat(' ', length({0}[i])) ELSE {0}[i] END, '')), '')"
+
+
+def _split(text: str, pattern: str, hits: str, gaps: str) -> str:
+    return f"regexp_extract_all({text}, '{pattern}') AS {hits}, regexp_split_to_array({text}, '{pattern}') AS {gaps}"
+
+
+SECRETS = f"""
+WITH a AS (SELECT doc_id, {", ".join(_split("coalesce(text, '')", pattern, hits, gaps) for hits, gaps, pattern, *_ in _KINDS.values())}, regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2) AS av FROM documents),
+s AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS kind, {hits}[i] AS m, {value} AS v, {_START.format(hits, gaps)} AS start FROM (SELECT *, unnest(range(1, len({hits}) + 1)) AS i FROM a) WHERE {keep}" for k, (hits, gaps, _, value, keep) in _KINDS.items())}),
+c1 AS (SELECT doc_id, {_BLANK.format("am", "ag", "length(av[i]) >= 6")} AS t FROM a),
+c2 AS (SELECT doc_id, {_BLANK.format("km", "kg", "true")} AS t FROM (SELECT doc_id, {_split("t", secret_scan.ACCESS, "km", "kg")} FROM c1)),
+c3 AS (SELECT doc_id, {_BLANK.format("hm", "hg", "true")} AS t FROM (SELECT doc_id, {_split("t", secret_scan.HEX, "hm", "hg")} FROM c2)),
+r AS (SELECT doc_id, rm[i] AS run, {_START.format("rm", "rg")} AS start FROM (SELECT *, unnest(range(1, len(rm) + 1)) AS i FROM (SELECT doc_id, {_split("t", secret_scan.RUN, "rm", "rg")} FROM c3))),
+samples AS (SELECT v AS x, true AS random FROM s UNION ALL SELECT to_base64(unhex(sha256(doc_id::VARCHAR))), true FROM documents UNION ALL SELECT run, false FROM r WHERE NOT regexp_matches(run, '{secret_scan.MIXED}')),
+n AS (SELECT random, CASE WHEN i = 1 THEN '' ELSE substr(x, i - 1, 1) END AS p, substr(x, i, 1) AS c, count(*) AS n FROM (SELECT random, x, unnest(range(1, length(x) + 1)) AS i FROM samples) GROUP BY ALL),
+z AS (SELECT random, p, sum(n) AS n FROM n GROUP BY ALL),
+l AS (SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS c),
+y AS (SELECT random, c, (coalesce(sum(n), 0) + 0.5::DOUBLE) / (sum(coalesce(sum(n), 0)) OVER (PARTITION BY random) + 34::DOUBLE) AS alone FROM l CROSS JOIN (VALUES (true), (false)) v(random) LEFT JOIN n USING (random, c) GROUP BY random, c),
+e AS (SELECT random, p, c, (coalesce(n.n, 0) + 8 * alone) / (coalesce(z.n, 0) + 8) AS share FROM y CROSS JOIN (SELECT c AS p FROM l UNION ALL SELECT '') LEFT JOIN n USING (random, p, c) LEFT JOIN z USING (random, p)),
+w AS (SELECT x.p, x.c, floor(1000 * log2(x.share / y.share) + 0.5)::BIGINT AS bits FROM e x JOIN e y ON x.p = y.p AND x.c = y.c AND x.random AND NOT y.random),
+f AS (SELECT doc_id, start, start + length(run) AS stop FROM (SELECT *, unnest(range(1, length(run) + 1)) AS i FROM r WHERE length(run) >= 20)
+  JOIN w ON w.p = CASE WHEN i = 1 THEN '' ELSE substr(run, i - 1, 1) END AND w.c = substr(run, i, 1) GROUP BY doc_id, start, run HAVING sum(bits) >= 20000),
+u AS (SELECT doc_id, kind, start, start + length(m) AS stop FROM s UNION ALL SELECT doc_id, 3, start, stop FROM f),
+o AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop AS said FROM u) GROUP BY doc_id)
+SELECT a.doc_id, coalesce(o.a, 0)::BIGINT AS n_assign, coalesce(o.k, 0)::BIGINT AS n_access, coalesce(o.h, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM a LEFT JOIN o USING (doc_id)"""
+
+ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_suffix_dedup": SUFFIX, "op6_rlz_dedup": RLZ, "op7_ngram_join": JOIN, "op11_hard_negatives": NEGATIVES, "op12_secret_scan": SECRETS, "op13_lexical_search": LEXICAL}
