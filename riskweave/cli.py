@@ -15,7 +15,7 @@ from riskweave.errors import InputError
 from riskweave.functions import special
 from riskweave.functions.spectra import ExponentialSpectrum, PowerSpectrum, TailSpectrum, WangSpectrum
 from riskweave.operators import (
-    backtest, bounds, cleaning, contributions, copula, covariance, drawdown, entropy, expectile, extreme, factors, frames, historical, horizon, mixture, parametric, quadratic, realised, saddlepoint,
+    backtest, bounds, cleaning, contributions, copula, covariance, drawdown, entropy, expectile, extreme, factors, frames, historical, horizon, lossgrid, mixture, parametric, quadratic, realised, saddlepoint,
     scoring, series, spectral, stress, volatility,
 )
 from riskweave.sources import readers
@@ -182,11 +182,12 @@ def spectrum(spark, a):
 
 
 def portfolio(spark, a):
-    p = saddlepoint.grouped(readers.read_obligors(spark, a.obligors))
+    obligors = readers.read_obligors(spark, a.obligors)
+    p = saddlepoint.grouped(obligors)
     levels = [a.level] if a.level is not None else [p.mean * k for k in (1, 1.5, 2, 3) if p.mean * k < p.maximum]
     fits = bool(p.span) and p.maximum / p.span < a.exact_points
-    exact = saddlepoint.exact_distribution(p, unit=p.span) if fits else None
-    out = [{"level": x, "saddlepoint": saddlepoint.exceedance_probability(p, x), "normal": saddlepoint.normal_tail(p, x), "exact": saddlepoint.exact_tail(exact, x, unit=p.span) if exact is not None else None} for x in levels]
+    exact = {r["level"]: r["probability"] for r in lossgrid.exact_tail(lossgrid.exact_masses(obligors, unit=p.span), levels, p.span).collect()} if fits else {}
+    out = [{"level": x, "saddlepoint": saddlepoint.exceedance_probability(p, x), "normal": saddlepoint.normal_tail(p, x), "exact": exact.get(float(x))} for x in levels]
     c = saddlepoint.tail_loss_contributions(p, levels[-1])
     top = sorted(zip(p.p, p.e, c, strict=True), key=lambda t: -t[2])[: a.top]
     note = {} if fits else {"note": "no exact column: exposures on no lattice" if not p.span else f"no exact column: {p.maximum / p.span:.0f} lattice points, see --exact-points"}

@@ -6,11 +6,11 @@ so ten thousand series cost one query. Raw facts must be aggregated to periods b
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
 from riskweave.errors import Misaligned, TooShort
 
@@ -33,20 +33,15 @@ def at_least(frame: DataFrame, minimum: int, what: str, series: str = "series")
     return frame.withColumn("__n", F.when(n < minimum, F.raise_error(F.concat(F.lit(f"{what} needs {minimum} observations; "), F.col(series).cast("string"), F.lit(" has "), n.cast("string")))).otherwise(n)).where("__n >= 0").drop("__n")
 
 
-def variance_recursion(panel: DataFrame, start: Column, *, constant: float, on_square: float, on_variance: float, mean: float = 0.0) -> DataFrame:
-    """(series, t, r, v, next_v): v' = constant + on_square (r - mean)^2 + on_variance v from ``start``; v holds before each return, next_v after the last. One pass over a series' periods, one series to a task."""
-    rows = panel.select("series", "t", "r", start.alias("v"))
-    schema = StructType(list(rows.schema.fields)).add("next_v", DoubleType())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        v, before = float(pdf["v"].iloc[0]), []
-        for e in (pdf["r"].to_numpy(float) - mean).tolist():
-            before.append(v)
-            v = constant + on_square * e * e + on_variance * v
-        return pdf.assign(v=before, next_v=v)
-
-    return rows.groupBy("series").applyInPandas(run, schema)
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, evaluated once and read back from the folder of ``spark.checkpoint.dir``, which driver and executors share; unset, a local session gets one of its own."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        need(bool(found) or context.master.startswith("local"), ValueError, "spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="riskweave-checkpoints-"))
+    return frame.checkpoint()
 
 
 def matrix(frame: DataFrame, i: str = "i", j: str = "j", v: str = "v") -> tuple[list, np.ndarray]:

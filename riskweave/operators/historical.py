@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.errors import OutOfDomain
-from riskweave.operators.frames import need, of_series, variance_recursion
+from riskweave.operators.frames import need, of_series
+from riskweave.operators.recursion import affine
 
 # Fixed values.
 DEFAULT_DECAY = 0.94
@@ -109,7 +110,7 @@ def bootstrap_interval(
 
 def ewma_volatility(panel: DataFrame, decay: float = DEFAULT_DECAY) -> DataFrame:
     """(series, t, r, volatility, next_volatility): the forecast made before each return, seeded with the whole sample's ML variance."""
-    run = variance_recursion(panel, F.var_pop("r").over(of_series()), constant=0.0, on_square=1 - decay, on_variance=decay)
+    run = affine(panel, (1 - decay) * F.col("r") * F.col("r"), decay, F.var_pop("r"))
     return run.select("series", "t", "r", F.sqrt("v").alias("volatility"), F.sqrt("next_v").alias("next_volatility"))
 
 

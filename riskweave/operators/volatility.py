@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from riskweave.errors import GarchDidNotConverge
 from riskweave.functions import special
-from riskweave.operators.frames import of_series, require_rows, variance_recursion
+from riskweave.operators.frames import require_rows
 from riskweave.operators.parametric import Distribution, Risk, parametric
+from riskweave.operators.recursion import affine
 
 # Fixed values.
 MIN_OBSERVATIONS = 100
@@ -31,8 +32,9 @@ class Innovation(StrEnum):
 
 def garch_variances(panel: DataFrame, *, omega: float, alpha: float, beta: float, mean: float = 0.0, seed: float | None = None) -> DataFrame:
     """(series, t, r, variance, next_variance): a recursion along each series, seeded with the ML variance of the sample."""
-    start = F.var_pop("r").over(of_series()) if seed is None else F.lit(float(seed))
-    run = variance_recursion(panel, start, constant=omega, on_square=alpha, on_variance=beta, mean=mean)
+    start = F.var_pop("r") if seed is None else F.max(F.lit(float(seed)))
+    shock = F.col("r") - mean
+    run = affine(panel, omega + alpha * shock * shock, beta, start)
     return run.withColumnsRenamed({"v": "variance", "next_v": "next_variance"})
 
 

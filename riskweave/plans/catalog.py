@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import columns, special, spectra
 from riskweave.operators import (
-    backtest, bounds, cleaning, contributions, copula, covariance, drawdown, entropy, expectile, extreme, factors, frames, historical, horizon, mixture, parametric, quadratic, ranks, realised,
+    backtest, bounds, cleaning, contributions, copula, covariance, drawdown, entropy, expectile, extreme, factors, frames, historical, horizon, lossgrid, mixture, parametric, quadratic, ranks, realised,
     saddlepoint, scoring, series, spectral, stress, volatility,
 )
 from riskweave.plans import inputs as I  # noqa: E741, N812
@@ -742,6 +742,43 @@ def _(spark, d):
     return spark.createDataFrame([(float(x), saddlepoint.exceedance_probability(p, x), saddlepoint.normal_tail(p, x)) for x in levels], "level double, probability double, normal double")
 
 
+#: Masses by one convolution step an obligor, and their tails.
+_MASSES = f"""{I.OBLIGORS}, o AS (SELECT probability AS p, CAST(exposure AS BIGINT) AS k, row_number() OVER (ORDER BY obligor) AS i FROM obligors),
+RECURSIVE c AS (SELECT 0::BIGINT AS i, [1.0::DOUBLE] AS m UNION ALL
+  SELECT o.i, list_transform(list_zip(list_concat(list_transform(m, lambda x: x * (1 - p)), list_transform(range(0, k), lambda x: 0.0::DOUBLE)), list_concat(list_transform(range(0, k), lambda x: 0.0::DOUBLE), list_transform(m, lambda x: x * p))), lambda z: z[1] + z[2]) FROM c JOIN o ON o.i = c.i + 1),
+masses AS MATERIALIZED (SELECT x, mass, coalesce(sum(mass) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tail FROM (SELECT unnest(m) AS mass, unnest(range(0, len(m))) AS x FROM c WHERE i = (SELECT count(*) FROM o))),
+level AS (SELECT CAST(round(sum(p * k) + 2 * sqrt(sum(p * (1 - p) * k * k))) AS BIGINT) AS a FROM o)"""
+
+
+def _obligor_level(obligors) -> float:
+    m = saddlepoint.portfolio_moments(obligors).first()
+    return float(round(m["mean"] + 2 * math.sqrt(m["variance"])))
+
+
+@query("obligor_exact", _MASSES, "SELECT CAST(x AS DOUBLE) AS loss, mass, tail FROM masses WHERE mass >= 1e-9", "mass tail")
+def _(spark, d):
+    return lossgrid.tails(lossgrid.exact_masses(I.obligors(spark, d))).where("mass >= 1e-9")
+
+
+@query(
+    "obligor_exact_tail", f"{_MASSES}, l AS (SELECT a + 0.0 AS level FROM level UNION ALL SELECT 0.0)", "SELECT level, sum(mass) AS probability, sum(mass * x) / sum(mass) AS tail_loss FROM l JOIN masses ON x > level GROUP BY level", "level probability tail_loss",
+)
+def _(spark, d):
+    o = I.obligors(spark, d)
+    return lossgrid.exact_tail(lossgrid.exact_masses(o), [0.0, _obligor_level(o)])
+
+
+@query(
+    "obligor_contributions", f"""{_MASSES}, q AS (SELECT DISTINCT p, k, a FROM o, level),
+g AS (SELECT p, k, a, (a - k) % k AS y, (tail - p) / (1 - p) AS g FROM q JOIN masses ON x = (a - k) % k WHERE a >= k UNION ALL
+  SELECT p, k, a, y + k, (tail - p * g) / (1 - p) FROM g JOIN masses ON x = y + k WHERE y + k <= a - k)""",
+    "SELECT obligor, probability, exposure, exposure * probability * coalesce(g, 1) / (SELECT sum(mass) FROM masses, level WHERE x > a) AS contribution FROM obligors CROSS JOIN level LEFT JOIN g ON g.p = probability AND g.k = exposure AND y = level.a - g.k", "probability exposure contribution",
+)
+def _(spark, d):
+    o = I.obligors(spark, d)
+    return lossgrid.tail_contributions(o, _obligor_level(o))
+
+
 @query(
     "mp_band", f"{I.PANEL_ORD_A}, n AS (SELECT count(DISTINCT series) AS n, count(DISTINCT t) AS t FROM panel)", "SELECT n AS assets, t AS observations, (1 - sqrt(n / t::DOUBLE)) ** 2 AS lower, (1 + sqrt(n / t::DOUBLE)) ** 2 AS upper, sqrt(n / t::DOUBLE) AS detection FROM n", "lower upper detection",
 )
