@@ -1,7 +1,6 @@
 """Second moments as matrix-long frames (i, j, v), Ledoit-Wolf shrinkage and diagnostics.
 
-Pairs come from the panel joined to itself on the period, i <= j, and are aggregated at once; the mirrored half is
-added after the aggregation. Weights, means and eigenvectors meet the matrix by joins or, for the small square that
+Pairs come from outer products of chunks of periods (see ``gram``), i <= j; the mirrored half is added afterwards. Weights, means and eigenvectors meet the matrix by joins or, for the small square that
 is left, as arrays on the driver.
 """
 
@@ -14,16 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import linalg
-from riskweave.operators.frames import matrix
-from riskweave.operators.series import demeaned
-
-
-def _pairs(panel: DataFrame) -> DataFrame:
-    """(t, i, j, x, y) with x and y demeaned, i <= j."""
-    d = demeaned(panel.select("series", "t", "r"))
-    a = d.select("t", F.col("series").alias("i"), F.col("r").alias("x"))
-    b = d.select("t", F.col("series").alias("j"), F.col("r").alias("y"))
-    return a.join(b, "t").where("i <= j")
+from riskweave.operators.frames import cut, matrix
+from riskweave.operators.gram import pair_moments
 
 
 def mirrored(upper: DataFrame) -> DataFrame:
@@ -35,7 +26,7 @@ def mirrored(upper: DataFrame) -> DataFrame:
 
 def sample_covariance(panel: DataFrame, ddof: int = 1) -> DataFrame:
     """(i, j, v) of an aligned panel, both halves."""
-    return mirrored(_pairs(panel).groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) / (F.count("*") - ddof)).alias("v")))
+    return mirrored(pair_moments(panel).select("i", "j", (F.col("s") * F.col("n") / (F.col("n") - ddof)).alias("v")))
 
 
 def _with_sd(covariance: DataFrame) -> DataFrame:
@@ -67,21 +58,12 @@ def blend(sample: DataFrame, target: DataFrame, intensity: float) -> DataFrame:
     return both.select("i", "j", (intensity * F.col("u") + (1 - intensity) * F.col("v")).alias("v"))
 
 
-def _pair_moments(panel: DataFrame) -> DataFrame:
-    """(i, j, n, s, sii, sjj, xy2, x3y, xy3), i <= j: the moments of demeaned pairs that shrinkage needs, in one aggregation."""
-    x, y = F.col("x"), F.col("y")
-    avg = lambda c, name: F.avg(c).alias(name)
-    return _pairs(panel).groupBy("i", "j").agg(
-        F.count("*").alias("n"), avg(x * y, "s"), avg(x * x, "sii"), avg(y * y, "sjj"), avg(x * x * y * y, "xy2"), avg(x * x * x * y, "x3y"), avg(x * y * y * y, "xy3")
-    )
-
-
 def _size() -> Column:
     """The product of a pair's deviations; the square roots first, so that tiny variances do not vanish."""
     return F.sqrt("sii") * F.sqrt("sjj")
 
 
-def shrinkage(panel: DataFrame) -> DataFrame:
+def shrinkage(panel: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One row (periods, pi, rho, gamma, average_correlation, unclamped_intensity, intensity) of constant-correlation shrinkage of an aligned panel, from ML moments.
 
     rho and gamma are polynomials in the average correlation, so one pass over the pairs' moments gives their
@@ -91,7 +73,7 @@ def shrinkage(panel: DataFrame) -> DataFrame:
     pi, ti, tj = F.col("xy2") - s * s, F.col("x3y") - F.col("sii") * s, F.col("xy3") - F.col("sjj") * s
     ratio = lambda a, b: F.sqrt(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)))
     over = lambda c: F.coalesce(F.sum(F.when(off, c)), F.lit(0.0))
-    sums = _pair_moments(panel).agg(
+    sums = (pair_moments(panel) if pairs is None else pairs).agg(
         F.max("n").alias("periods"), F.coalesce(F.avg(F.when(off, F.coalesce(F.try_divide(s, size), F.lit(0.0)))), F.lit(0.0)).alias("average_correlation"),
         F.sum(F.when(off, 2 * pi).otherwise(pi)).alias("pi"), F.coalesce(F.sum(F.when(~off, pi)), F.lit(0.0)).alias("own"),
         over(ratio("sjj", "sii") * ti + ratio("sii", "sjj") * tj).alias("cross"),
@@ -106,10 +88,11 @@ def shrinkage(panel: DataFrame) -> DataFrame:
 
 
 def ledoit_wolf(panel: DataFrame) -> DataFrame:
-    """(i, j, v, sample, target, intensity): the unbiased covariance shrunk towards constant correlation; two passes over the pairs, no join of the matrix with itself."""
+    """(i, j, v, sample, target, intensity): the unbiased covariance shrunk towards constant correlation; the pairs' moments are read twice, the panel once."""
     unbiased = F.col("n") / (F.col("n") - 1)
-    k = shrinkage(panel).select("intensity", "average_correlation")
-    rows = _pair_moments(panel).crossJoin(F.broadcast(k))  # k is one row
+    pairs = cut(pair_moments(panel))
+    k = shrinkage(panel, pairs).select("intensity", "average_correlation")
+    rows = pairs.crossJoin(F.broadcast(k))  # k is one row
     sample = unbiased * F.col("s")
     target = F.when(F.col("i") == F.col("j"), sample).otherwise(unbiased * F.col("average_correlation") * _size())
     both = rows.select("i", "j", sample.alias("sample"), target.alias("target"), "intensity")

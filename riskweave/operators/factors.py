@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.errors import TooShort
 from riskweave.functions import linalg
-from riskweave.operators.covariance import quadratic_form, sample_covariance
-from riskweave.operators.frames import need
+from riskweave.operators.covariance import mirrored, sample_covariance
+from riskweave.operators.frames import cut, need
+from riskweave.operators.gram import pair_moments
+from riskweave.operators.recursion import CHUNK, chunked
 
 
 def single_factor(assets: DataFrame, factor: DataFrame) -> DataFrame:
@@ -85,23 +89,65 @@ def regress(asset, factors, *, names=None, asset_name: str = "asset", intercept:
     return Regression(asset_name, tuple(names or range(x.shape[1])), float(coef[0]) if intercept else 0.0, coef[1:] if intercept else coef, e, s2, se, 1 - float(e @ e) / total if total else 0.0, intercept)
 
 
-_FIT = "series string, factor string, beta double, alpha double, specific_variance double, r_squared double, durbin_watson double, observations bigint"
+#: What is left of a chunk of periods: the triangles of [1, factors, return] and of its differences, and its two ends.
+_PART = "series {0}, chunk bigint, n bigint, levels array<double>, steps array<double>, first array<double>, last array<double>"
+_FIT = "series {0}, factor string, beta double, alpha double, specific_variance double, r_squared double, durbin_watson double, observations bigint"
 
 
-def fit_factor_model(assets: DataFrame, factors: DataFrame, intercept: bool = True) -> FactorModel:
-    """One regression per asset, each in its own task: the assets' rows are joined with the factors of the period first."""
-    names = sorted(r[0] for r in factors.select("series").distinct().collect())
-    wide = factors.groupBy("t").pivot("series", names).agg(F.first("r"))
-    arrays = wide.where(" and ".join(f"`{n}` is not null" for n in names)).select("t", F.array(*[F.col(f"`{n}`") for n in names]).alias("fs"))
-    both = assets.select("series", "t", "r").join(arrays, "t")
+def _reducer(intercept: bool):
+    """The triangular factor of a chunk's design and return side by side: as good as its rows for any regression on them."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        table = table.take(pc.sort_indices(table, sort_keys=[("t", "ascending")]))
+        y = np.asarray(table["r"].combine_chunks())
+        x = np.asarray(table["fs"].combine_chunks().flatten()).reshape(len(y), -1)
+        both = np.column_stack([x, y])
+        levels = np.linalg.qr(np.column_stack([np.ones(len(y)), both]) if intercept else both, mode="r")
+        steps = np.linalg.qr(np.diff(both, axis=0), mode="r") if len(y) > 1 else np.zeros((0, both.shape[1]))
+        lists = [pa.ListArray.from_arrays(pa.array([0, m.size], pa.int32()), pa.array(m.ravel())) for m in (levels, steps, both[0], both[-1])]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], table.schema.field("series").type), pa.array([key[1].as_py()], pa.int64()), pa.array([len(y)], pa.int64()), *lists], names=["series", "chunk", "n", "levels", "steps", "first", "last"])
+
+    return run
+
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        out = regress(pdf["r"].to_numpy(), np.vstack(pdf["fs"].to_numpy()), names=names, intercept=intercept)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "factor": names, "beta": out.betas, "alpha": out.alpha, "specific_variance": out.specific_variance, "r_squared": out.r_squared, "durbin_watson": out.durbin_watson, "observations": len(pdf)})
+def _solver(names: list[str], intercept: bool):
+    """One regression from the triangles of its chunks, stacked."""
 
-    exposures = both.groupBy("series").applyInPandas(fit, _FIT)
-    return FactorModel(exposures, sample_covariance(factors), both, names)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        parts = sorted(table.to_pylist(), key=lambda p: p["chunk"])
+        k, width = len(names), len(names) + intercept
+        levels = np.concatenate([np.reshape(p["levels"], (-1, width + 1)) for p in parts])
+        between = [np.subtract(b["first"], a["last"]) for a, b in zip(parts, parts[1:], strict=False)]
+        steps = np.concatenate([np.reshape(p["steps"], (-1, k + 1)) for p in parts] + [np.reshape(between, (-1, k + 1))])
+        n = sum(p["n"] for p in parts)
+        need(n > width, TooShort, "a regression needs more periods than coefficients")
+        levels = np.linalg.qr(levels, mode="r")
+        levels = np.vstack([levels, np.zeros((width + 1 - len(levels), width + 1))])
+        coef, _ = linalg.least_squares(levels[:, :width], levels[:, width])
+        rest = levels[:, width] - levels[:, :width] @ coef
+        sse, total = float(rest @ rest), float((levels[intercept:, width] ** 2).sum())
+        betas, alpha = (coef[1:], float(coef[0])) if intercept else (coef, 0.0)
+        moves = steps[:, k] - steps[:, :k] @ betas
+        one = [alpha, sse / (n - width), 1 - sse / total if total else 0.0, float(moves @ moves) / sse if sse else float("nan")]
+        columns = [pa.array([key[0].as_py()] * k, table.schema.field("series").type), pa.array(names), pa.array(betas), *(pa.array([x] * k, pa.float64()) for x in one), pa.array([n] * k, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["series", "factor", "beta", "alpha", "specific_variance", "r_squared", "durbin_watson", "observations"])
+
+    return run
+
+
+def fit_factor_model(assets: DataFrame, factors: DataFrame, intercept: bool = True) -> FactorModel:
+    """One regression per asset over the periods that it and all factors have. Chunks of periods are reduced to triangles, whose stack is solved per asset, so a long series is many tasks."""
+    names = sorted(r[0] for r in factors.select("series").distinct().collect())
+    by_name = F.transform(F.array_sort(F.collect_list(F.struct("series", "r"))), lambda x: x["r"])
+    arrays = factors.where("r is not null").groupBy("t").agg(by_name.alias("fs")).where(F.size("fs") == len(names))
+    rows = assets.select("series", "t", "r").where("r is not null")
+    both = chunked(rows, CHUNK).join(arrays, "t").select("series", "chunk", "t", "r", "fs")
+    kind = assets.schema["series"].dataType.simpleString()
+    parts = both.groupBy("series", "chunk").applyInArrow(_reducer(intercept), _PART.format(kind))
+    exposures = cut(parts.groupBy("series").applyInArrow(_solver(names, intercept), _FIT.format(kind)))  # a row for each asset and factor
+    return FactorModel(exposures, cut(sample_covariance(factors)), both.drop("chunk"), names)
 
 
 class FactorModel:
@@ -143,11 +189,8 @@ class FactorModel:
         return self.rows.join(betas, "series").select("series", "t", (F.col("r") - F.col("alpha") - dot).alias("r"))
 
     def residual_correlations(self) -> DataFrame:
-        e = self.residuals()
-        x = e.select("t", F.col("series").alias("i"), F.col("r").alias("x"))
-        y = e.select("t", F.col("series").alias("j"), F.col("r").alias("y"))
-        s = x.join(y, "t").groupBy("i", "j").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-        return s.select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")), F.lit(0.0))).alias("v"))
+        both = mirrored(pair_moments(self.residuals()).select("i", "j", "s", (F.sqrt("sii") * F.sqrt("sjj")).alias("size")))
+        return both.select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce(F.try_divide("s", "size"), F.lit(0.0))).alias("v"))
 
     def worst_residual_correlation(self) -> DataFrame:
         return self.residual_correlations().where("i < j").orderBy(F.desc(F.abs("v")), "i", "j").limit(1)
@@ -158,9 +201,9 @@ def attribute_risk(weights: DataFrame, model: FactorModel) -> DataFrame:
     x = model.portfolio_exposures(weights)
     fx = model.covariance.join(x.select(F.col("series").alias("j"), "w"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("w")).alias("fx")).withColumnRenamed("i", "series")
     spec = model.specific().join(weights, "series").agg(F.sum(F.col("w") * F.col("w") * F.col("d")).alias("s2"))
-    common = quadratic_form(x, model.covariance).withColumnRenamed("variance", "f2")
-    one = common.crossJoin(spec)  # one row each
-    rows = x.join(fx, "series").crossJoin(F.broadcast(one)).withColumn("total", F.sqrt(F.col("f2") + F.col("s2")))
+    parts = x.join(fx, "series").select("series", "w", "fx", F.lit(0.0).alias("s2")).unionByName(spec.select(F.lit(None).cast("string").alias("series"), F.lit(0.0).alias("w"), F.lit(0.0).alias("fx"), "s2"))
+    whole = Window.partitionBy(F.lit(0))  # a row for each factor, and one
+    rows = parts.withColumn("f2", F.sum(F.col("w") * F.col("fx")).over(whole)).withColumn("s2", F.sum("s2").over(whole)).where("series is not null").withColumn("total", F.sqrt(F.col("f2") + F.col("s2")))
     return rows.select(
         F.col("series").alias("factor"), F.col("w").alias("exposure"), F.try_divide(F.col("w") * F.col("fx"), F.col("total")).alias("component"), "total",
         F.sqrt("f2").alias("factor_volatility"), F.sqrt("s2").alias("specific_volatility"), F.try_divide(F.col("f2"), F.col("f2") + F.col("s2")).alias("factor_share"),

@@ -32,14 +32,14 @@ def clock(t: Column, kind: DataType) -> Column:
     return F.lit(0.0)
 
 
-def chunked(panel: DataFrame, size: int, *also: Column) -> tuple[DataFrame, DataFrame]:
-    """The panel with ``chunk``, and one row a series with its ends, number of periods and the aggregates ``also``."""
+def chunked(panel: DataFrame, size: int, *also: Column) -> DataFrame:
+    """The panel with ``chunk`` and the aggregates ``also`` of each series."""
     at = clock(F.col("t"), panel.schema["t"].dataType)
     ends = panel.groupBy("series").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n"), *also)
     parts = F.ceil(F.col("n") / size)
     share = F.when(F.col("hi") > F.col("lo"), (at - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     chunk = F.least(F.floor(share * parts), parts - 1).cast("bigint")
-    return panel.join(ends.select("series", "lo", "hi", "n"), "series").withColumn("chunk", chunk).drop("lo", "hi", "n"), ends
+    return panel.join(ends, "series").withColumn("chunk", chunk).drop("lo", "hi", "n")
 
 
 def affine(panel: DataFrame, a: Column, b: float, start: Column, *, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
@@ -48,19 +48,19 @@ def affine(panel: DataFrame, a: Column, b: float, start: Column, *, chunk: int =
     ``a`` is a column of the panel's rows. Periods of a series are ordered by t, equal ones by r.
     """
     run = max(1, min(run, int(LOGS / abs(math.log(b))) if b not in (0.0, 1.0) else (1 if b == 0.0 else run)))
-    rows, ends = chunked(panel.select("series", "t", "r"), chunk, start.cast("double").alias("v0"))
+    rows = chunked(panel.select("series", "t", "r"), chunk, start.cast("double").alias("v0"))
     place = (F.row_number().over(Window.partitionBy("series", "chunk").orderBy("t", "r")) - 1).cast("bigint")
     rows = rows.withColumn("k", place).withColumn("run", F.floor(F.col("k") / run)).withColumn("j", F.col("k") % run)
     scaled = a * F.pow(F.lit(float(b)), -F.col("j"))
     before = Window.partitionBy("series", "chunk", "run").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    maps = rows.groupBy("series", "chunk", "run").agg(F.count("*").alias("m"), F.sum(scaled).alias("s"))
-    maps = maps.select("series", F.struct("chunk", "run", (F.col("s") * F.pow(F.lit(float(b)), F.col("m") - 1)).alias("a"), F.pow(F.lit(float(b)), F.col("m")).alias("b")).alias("map"))
-    carried = maps.groupBy("series").agg(F.array_sort(F.collect_list("map")).alias("maps")).join(ends.select("series", "v0"), "series")
+    maps = rows.groupBy("series", "chunk", "run").agg(F.count("*").alias("m"), F.sum(scaled).alias("s"), F.max("v0").alias("v0"))
+    maps = maps.select("series", "v0", F.struct("chunk", "run", (F.col("s") * F.pow(F.lit(float(b)), F.col("m") - 1)).alias("a"), F.pow(F.lit(float(b)), F.col("m")).alias("b")).alias("map"))
+    carried = maps.groupBy("series").agg(F.array_sort(F.collect_list("map")).alias("maps"), F.max("v0").alias("v0"))
     carried = carried.select("series", _composed(F.col("maps"), F.col("v0")).alias("c"))
     enters = carried.select("series", F.col("c.v").alias("next_v"), F.explode("c.enters").alias("e")).select("series", "e.chunk", "e.run", F.col("e.v").alias("enter"), "next_v")
     inside = F.coalesce(F.sum(scaled).over(before), F.lit(0.0)) * F.pow(F.lit(float(b)), F.col("j") - 1)
     rows = rows.withColumn("inside", F.when(F.col("j") > 0, inside).otherwise(0.0))
-    return rows.join(enters, ["series", "chunk", "run"]).select("series", "t", "r", (F.col("inside") + F.pow(F.lit(float(b)), F.col("j")) * F.col("enter")).alias("v"), "next_v")
+    return rows.join(enters, ["series", "chunk", "run"]).select("series", "t", "r", (F.col("inside") + F.pow(F.lit(float(b)), F.col("j")) * F.coalesce("enter", "v0")).alias("v"), "next_v")  # v0 keeps both uses of the rows one shuffle
 
 
 def _composed(maps: Column, start: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.errors import SaddlepointError
-from riskweave.operators import lossgrid, recursion, saddlepoint
+from riskweave.operators import factors, gram, lossgrid, recursion, saddlepoint
 
 
 def book(spark, rows):
@@ -121,3 +121,46 @@ def test_binomial_masses():
         got = lossgrid.binomial(n, p)
         assert abs(got.sum() - 1) < 1e-12 and abs((got * np.arange(n + 1)).sum() - n * p) < 1e-8
         assert want is None or np.allclose(got, want, rtol=1e-11, atol=0)
+
+
+@pytest.mark.parametrize("blocks", [None, 1, 3])
+def test_pair_moments_by_blocks(spark, blocks):
+    rng = random.Random(6)
+    rows = [(f"s{k:02d}", t, rng.gauss(0, 1 + k / 9)) for k in range(11) for t in range(60) if not (k == 4 and t % 5 == 0)] + [("s01", None, 1.0), ("s02", 61, None), ("lone", 999, 0.5)]
+    panel = spark.createDataFrame(rows, "series string, t long, r double")
+    got = {(r["i"], r["j"]): r for r in gram.pair_moments(panel, blocks).collect()}
+    own = {}
+    for s, t, r in rows:
+        if r is not None and t is not None:
+            own.setdefault(s, {})[t] = r
+    mean = {s: sum(x.values()) / len(x) for s, x in own.items()}
+    pairs = [(i, j) for i in own for j in own if i <= j and set(own[i]) & set(own[j])]
+    assert set(got) == set(pairs)
+    for i, j in pairs:
+        both = sorted(set(own[i]) & set(own[j]))
+        x, y = (np.array([own[s][t] - mean[s] for t in both]) for s in (i, j))
+        want = (len(both), (x * y).mean(), (x * x).mean(), (y * y).mean(), (x * x * y * y).mean(), (x**3 * y).mean(), (x * y**3).mean())
+        assert np.allclose([got[i, j][c] for c in gram.NAMES], want, rtol=1e-10, atol=1e-12)
+    assert gram.pair_moments(panel.where("false")).count() == 0
+    dates = gram.pair_moments(panel.selectExpr("try_cast(substr(series, 2) as int) as series", "date_add(date'2024-01-01', cast(t as int)) as t", "r").where("series is not null"), blocks)
+    assert dict(dates.dtypes)["i"] == "int" and dates.where("i > j").count() == 0
+
+
+@pytest.mark.parametrize("intercept", [True, False])
+@pytest.mark.parametrize("chunk", [1 << 16, 9])
+def test_regressions_from_triangles(spark, monkeypatch, intercept, chunk):
+    monkeypatch.setattr(factors, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    f = rng.normal(0, 0.01, (90, 3)) + 5
+    y = {"a": f @ [0.5, -1, 2] + rng.normal(0, 0.01, 90), "b": rng.normal(0, 1, 90)}
+    rows = [(s, t, float(v)) for s, x in y.items() for t, v in enumerate(x) if not (s == "b" and t > 70)] + [("a", 500, 1.0)]
+    panel = spark.createDataFrame(rows, "series string, t long, r double")
+    market = spark.createDataFrame([(n, t, float(f[t, k])) for k, n in enumerate("xyz") for t in range(90)] + [("x", 600, 1.0)], "series string, t long, r double")
+    model = factors.fit_factor_model(panel, market, intercept)
+    for s, n in (("a", 90), ("b", 71)):
+        want = factors.regress(y[s][:n], f[:n], names=list("xyz"), intercept=intercept)
+        got = {r["factor"]: r for r in model.regression(s).collect()}
+        assert [k for k in sorted(got)] == list("xyz")
+        assert np.allclose([got[k]["beta"] for k in "xyz"], want.betas, rtol=1e-6)
+        one = got["x"]
+        assert np.allclose([one["alpha"], one["specific_variance"], one["r_squared"], one["durbin_watson"], one["observations"]], [want.alpha, want.specific_variance, want.r_squared, want.durbin_watson, n], rtol=1e-6)
