@@ -109,8 +109,33 @@ def _path(xs: Column, part) -> Column:
     return F.aggregate(xs, start, step)["d"]
 
 
+#: Log growth that stands for a total loss: its exponential is 0.
+_RUIN = -1000.0
+
+
 def rolling_maximum_drawdown(panel: DataFrame, window: int) -> DataFrame:
-    return rolling(panel, window, lambda xs: _path(xs, lambda d, x: F.greatest(d, x)), "max_drawdown")
+    """(series, t, max_drawdown) of each full window, in time that does not depend on its length.
+
+    Periods fall into blocks of ``window``, so a window is a block's tail and the next one's head (or a whole block). A
+    segment's state is its log growth, its highest and lowest log wealth and its deepest log drawdown, from a start of 0;
+    states of all heads and tails are running extremes within a block, and two of them make a window.
+    """
+    growth = F.when(F.col("r") > -1, F.log1p("r")).otherwise(_RUIN)
+    rows = panel.select("series", "t", growth.alias("x"), (F.row_number().over(by_time()) - 1).cast("bigint").alias("k"))
+    rows = rows.withColumn("block", F.floor(F.col("k") / window))
+    head = Window.partitionBy("series", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy("series", "block").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum("x").over(head))
+    heads = rows.withColumn("low", F.min("s").over(head)).withColumn("peak", F.greatest(F.max("s").over(head), F.lit(0.0)))
+    heads = heads.withColumn("deep", F.min(F.col("s") - F.col("peak")).over(head)).select("series", "t", "k", "low", "deep")
+    before = F.col("s") - F.col("x")  # log wealth at the block's start up to the tail's
+    tails = rows.withColumn("top", F.max("s").over(tail)).withColumn("least", F.min("s").over(tail)).withColumn("end", F.first("s").over(tail))
+    tails = tails.withColumn("tail_deep", F.min(F.col("least") - before).over(tail))
+    tails = tails.select("series", (F.col("k") + window - 1).alias("k"), (F.col("end") - before).alias("tail_growth"), F.greatest(F.col("top") - before, F.lit(0.0)).alias("tail_top"), "tail_deep")
+    both = heads.where(F.col("k") >= window - 1).join(tails, ["series", "k"])
+    whole = F.col("k") % window == window - 1
+    deep = F.when(whole, F.col("deep")).otherwise(F.least("deep", "tail_deep", F.col("tail_growth") + F.col("low") - F.col("tail_top")))
+    return both.select("series", "t", F.greatest(F.lit(0.0), -F.expm1(deep)).alias("max_drawdown"))
 
 
 def rolling_ulcer_index(panel: DataFrame, window: int) -> DataFrame:

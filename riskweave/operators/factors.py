@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -147,14 +148,19 @@ def fit_factor_model(assets: DataFrame, factors: DataFrame, intercept: bool = Tr
     kind = assets.schema["series"].dataType.simpleString()
     parts = both.groupBy("series", "chunk").applyInArrow(_reducer(intercept), _PART.format(kind))
     exposures = cut(parts.groupBy("series").applyInArrow(_solver(names, intercept), _FIT.format(kind)))  # a row for each asset and factor
-    return FactorModel(exposures, cut(sample_covariance(factors)), both.drop("chunk"), names)
+    return FactorModel(exposures, factors, both.drop("chunk"), names)
 
 
 class FactorModel:
-    """exposures (series, factor, beta, alpha, specific_variance, ...), factor covariance (i, j, v) and the rows they were fitted on."""
+    """exposures (series, factor, beta, alpha, specific_variance, ...), the factors' panel and the rows they were fitted on."""
 
-    def __init__(self, exposures: DataFrame, covariance: DataFrame, rows: DataFrame, factors: list[str]) -> None:
-        self.exposures, self.covariance, self.rows, self.factor_names = exposures, covariance, rows, factors
+    def __init__(self, exposures: DataFrame, panel: DataFrame, rows: DataFrame, factors: list[str]) -> None:
+        self.exposures, self.panel, self.rows, self.factor_names = exposures, panel, rows, factors
+
+    @cached_property
+    def covariance(self) -> DataFrame:
+        """(i, j, v) of the factors, evaluated once."""
+        return cut(sample_covariance(self.panel))
 
     @property
     def assets(self) -> int:

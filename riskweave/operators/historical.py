@@ -45,10 +45,24 @@ def empirical_quantile(panel: DataFrame, probability: float, method: QuantileMet
     return panel.groupBy("series").agg(_pick(F.array_sort(F.collect_list(value)), probability, method).alias("quantile"))
 
 
-def ranked(panel: DataFrame, value: str = "r") -> DataFrame:
-    """The panel with ``rn`` (1 = worst) and ``n`` per series: one sort that every tail measure reads."""
+#: Ranks of an approximate quantile are off by at most n / ACCURACY; series of at most EXACT times that are ranked whole.
+ACCURACY, EXACT = 10_000, 5
+
+
+def ranked(panel: DataFrame, value: str = "r", upto: float | None = None) -> DataFrame:
+    """The panel with ``rn`` (1 = worst) and ``n`` per series: one sort that every tail measure reads.
+
+    With ``upto`` only the worst rows matter: all of rank up to ``upto`` * n + 2 are there, and of a long series few more.
+    An approximate quantile above that bounds them, so a hot series is never sorted whole.
+    """
     order = Window.partitionBy("series").orderBy(value, *(["t"] if "t" in panel.columns else []))
-    return panel.withColumn("rn", F.row_number().over(order).cast("bigint")).withColumn("n", F.count("*").over(of_series()))
+    place = F.row_number().over(order).cast("bigint")
+    if upto is None:
+        return panel.withColumn("rn", place).withColumn("n", F.count("*").over(of_series()))
+    over = min(1.0, upto + 2 / ACCURACY)
+    bound = F.when(F.count("*") > EXACT * ACCURACY, F.percentile_approx(value, F.lit(over), F.lit(ACCURACY)))
+    sizes = panel.groupBy("series").agg(F.count("*").alias("n"), bound.alias("__bound"))
+    return panel.join(sizes, "series").where(F.col("__bound").isNull() | (F.col(value) <= F.col("__bound"))).drop("__bound").withColumn("rn", place)
 
 
 def tail_weight(probability: float) -> Column:
@@ -59,7 +73,7 @@ def tail_weight(probability: float) -> Column:
 def sample_expected_tail_loss(panel: DataFrame, probability: float, value: str = "r") -> DataFrame:
     """(series, tail_mean, used): mean of the worst n * probability observations, the last one in part."""
     w = tail_weight(probability)
-    return ranked(panel, value).where(F.col("rn") - 1 < F.col("n") * probability).groupBy("series").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("tail_mean"), F.count("*").alias("used"))
+    return ranked(panel, value, probability).where(F.col("rn") - 1 < F.col("n") * probability).groupBy("series").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("tail_mean"), F.count("*").alias("used"))
 
 
 def historical_risk(panel: DataFrame, confidence: float = 0.99, method: QuantileMethod = QuantileMethod.LINEAR, value: str = "r") -> DataFrame:
@@ -67,8 +81,8 @@ def historical_risk(panel: DataFrame, confidence: float = 0.99, method: Quantile
     need(0 < confidence < 1, OutOfDomain, "a confidence must lie strictly between 0 and 1")
     alpha = 1 - confidence
     w = tail_weight(alpha)
-    sums = [F.count("*").alias("observations"), (F.sum(w * F.col(value)) / F.sum(w)).alias("tail_mean"), F.sum((w > 0).cast("bigint")).alias("tail_observations")]
-    rows = ranked(panel, value)
+    sums = [F.max("n").alias("observations"), (F.sum(w * F.col(value)) / F.sum(w)).alias("tail_mean"), F.sum((w > 0).cast("bigint")).alias("tail_observations")]
+    rows = ranked(panel, value, alpha if method == QuantileMethod.LINEAR else None)
     if method == QuantileMethod.LINEAR:
         h = (F.col("n") - 1) * alpha
         low, part = F.floor(h), h - F.floor(h)

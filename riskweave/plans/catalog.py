@@ -170,7 +170,7 @@ _CORR = f"{_COV}, corr AS (SELECT c.i, c.j, CASE WHEN c.i = c.j THEN 1.0 ELSE c.
 
 
 def _aligned_m(spark, d):
-    return series.aligned(I.panel_ord_m(spark, d))
+    return frames.cut(series.aligned(I.panel_ord_m(spark, d)))
 
 
 @query("covariance_long", _COV, "SELECT i, j, v FROM cov", "v")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.errors import SaddlepointError
-from riskweave.operators import factors, gram, lossgrid, recursion, saddlepoint
+from riskweave.operators import drawdown, factors, gram, historical, lossgrid, recursion, saddlepoint
 
 
 def book(spark, rows):
@@ -164,3 +164,35 @@ def test_regressions_from_triangles(spark, monkeypatch, intercept, chunk):
         assert np.allclose([got[k]["beta"] for k in "xyz"], want.betas, rtol=1e-6)
         one = got["x"]
         assert np.allclose([one["alpha"], one["specific_variance"], one["r_squared"], one["durbin_watson"], one["observations"]], [want.alpha, want.specific_variance, want.r_squared, want.durbin_watson, n], rtol=1e-6)
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 60, 150])
+def test_rolling_drawdowns_of_any_length(spark, window):
+    rng = random.Random(window)
+    own = {"a": [rng.gauss(0, 0.05) for _ in range(150)], "b": [0.01] * 40, "c": [-1.0 if k == 30 else rng.gauss(0, 0.1) for k in range(90)], "d": []}
+    panel = spark.createDataFrame([(s, 3 * t, r) for s, x in own.items() for t, r in enumerate(x)], "series string, t long, r double")
+    got = {(r["series"], r["t"] // 3): r["max_drawdown"] for r in drawdown.rolling_maximum_drawdown(panel, window).collect()}
+    want = {}
+    for s, x in own.items():
+        for t in range(window - 1, len(x)):
+            w = peak = 1.0
+            deep = 0.0
+            for r in x[t - window + 1 : t + 1]:
+                w *= 1 + r
+                peak = max(peak, w)
+                deep = max(deep, (peak - w) / peak)
+            want[s, t] = deep
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-10 for k in want)
+
+
+def test_tails_of_long_series_are_ranked_alone(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [("hot", t, round(rng.gauss(0, 1), 2)) for t in range(4000)] + [("cold", t, rng.gauss(0, 1)) for t in range(50)]
+    panel = spark.createDataFrame(rows, "series string, t long, r double")
+    whole = sorted(map(tuple, historical.historical_risk(panel, 0.975).collect()))
+    etl = sorted(map(tuple, historical.sample_expected_tail_loss(panel, 0.03).collect()))
+    monkeypatch.setattr(historical, "ACCURACY", 200)
+    few = historical.ranked(panel, "r", 0.025)
+    assert few.where("series = 'hot'").count() < 400 and few.where("series = 'cold'").count() == 50
+    assert sorted(map(tuple, historical.historical_risk(panel, 0.975).collect())) == whole
+    assert sorted(map(tuple, historical.sample_expected_tail_loss(panel, 0.03).collect())) == etl
