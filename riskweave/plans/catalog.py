@@ -8,7 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns, special, spectra
@@ -205,39 +206,49 @@ def _(spark, d):
     return covariance.ledoit_wolf(_aligned_m(spark, d))
 
 
-_TAIL = special.normal_pdf(special.normal_ppf(0.01)) / 0.01
+def _phi(z: str) -> str:
+    """The normal distribution function in SQL: 1/2 + density * (z + z^3 / 3 + z^5 / 15 + ..)."""
+    size = f"(2 * i + 1) * ln(abs({z}) + 1e-300) - lgamma(2 * i + 2) + i * ln(2::DOUBLE) + lgamma(i + 1)"
+    return f"(0.5::DOUBLE + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda i: exp({size}))))"
+
+
+def _bisected(name: str, levels: str, cdf: Callable[[str], str], low: float, high: float) -> str:
+    """SQL of the quantiles (p, z) of a distribution function by bisection."""
+    inside = f"{cdf('((lo + hi) / 2)')} < p"
+    return f"""RECURSIVE {name}_steps AS (SELECT p, {low}::DOUBLE AS lo, {high}::DOUBLE AS hi, 0 AS k FROM (VALUES {levels}) v(p) UNION ALL
+SELECT p, CASE WHEN {inside} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {inside} THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM {name}_steps WHERE k < 60), {name} AS (SELECT p, (lo + hi) / 2 AS z FROM {name}_steps WHERE k = 60)"""
+
+
+#: Normal quantiles and tail means; those of Student's t with 5 degrees, scaled to variance 1; the radius of 5 normal factors.
+_NQ = _bisected("nq", "(0.01::DOUBLE), (0.05::DOUBLE)", _phi, -6, 6) + ", ntail AS (SELECT p, z AS q, -exp(-z * z / 2) / sqrt(2 * pi()) / p AS tl FROM nq)"
+_T5 = _bisected("tq", "(0.01::DOUBLE)", lambda x: f"(0.5::DOUBLE + (atan({x} / sqrt(5)) + {x} / sqrt(5) / (1 + {x} * {x} / 5) * (1 + 2 / (3 + 3 * {x} * {x} / 5))) / pi())", -20, 0)
+_T5 += ", ttail AS (SELECT p, sqrt(0.6) * z AS q, -sqrt(0.6) * (5 + z * z) / 4 * 8 / (3 * pi() * sqrt(5)) / pow(1 + z * z / 5, 3) / p AS tl FROM tq)"
+_R5 = _bisected("radius", "(0.99::DOUBLE)", lambda r: f"(2 * {_phi(r)} - 1 - sqrt(2 / pi()) * {r} * exp(-{r} * {r} / 2) * (1 + {r} * {r} / 3))", 0, 9)
 
 
 @query(
-    "parametric_normal", I.PANEL_LI,
-    f"SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, -(avg(r) + stddev_samp(r) * ({special.normal_ppf(0.01)!r})) AS value_at_risk, -(avg(r) - stddev_samp(r) * {_TAIL!r}) AS expected_tail_loss, avg(r) + stddev_samp(r) * ({special.normal_ppf(0.01)!r}) AS quantile FROM panel GROUP BY 1",
+    "parametric_normal", f"{_NQ}, {I.PANEL_LI}, m AS (SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility FROM panel GROUP BY 1)",
+    "SELECT series, mean, volatility, -(mean + volatility * q) AS value_at_risk, -(mean + volatility * tl) AS expected_tail_loss, mean + volatility * q AS quantile FROM m, ntail WHERE p = 0.01",
     "mean volatility value_at_risk expected_tail_loss quantile",
 )
 def _(spark, d):
     return parametric.parametric_risk(I.panel_li(spark, d))
 
 
-_TQ, _TT = parametric.unit_tail(0.99, parametric.Distribution.STUDENT_T, 5.0)
-
-
 @query(
-    "parametric_student_t", I.PANEL_LI,
-    f"SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, -(avg(r) + stddev_samp(r) * ({_TQ!r})) AS value_at_risk, -(avg(r) + stddev_samp(r) * ({_TT!r})) AS expected_tail_loss, avg(r) + stddev_samp(r) * ({_TQ!r}) AS quantile FROM panel GROUP BY 1",
+    "parametric_student_t", f"{_T5}, {I.PANEL_LI}, m AS (SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility FROM panel GROUP BY 1)",
+    "SELECT series, mean, volatility, -(mean + volatility * q) AS value_at_risk, -(mean + volatility * tl) AS expected_tail_loss, mean + volatility * q AS quantile FROM m, ttail",
     "mean volatility value_at_risk expected_tail_loss quantile",
 )
 def _(spark, d):
     return parametric.parametric_risk(I.panel_li(spark, d), distribution=parametric.Distribution.STUDENT_T)
 
 
-_Z = special.normal_ppf(0.05)
-_F = special.normal_pdf(_Z)
-
-
 @query(
-    "cornish_fisher", f"""{I.PANEL_ORD_M}, m AS (SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, skewness(r) AS skewness, kurtosis(r) AS excess_kurtosis FROM panel GROUP BY 1),
+    "cornish_fisher", f"""{_NQ}, {I.PANEL_ORD_M}, m AS (SELECT series, avg(r) AS mean, stddev_samp(r) AS volatility, skewness(r) AS skewness, kurtosis(r) AS excess_kurtosis FROM panel GROUP BY 1),
 c AS (SELECT *, -skewness / 6 AS c0, 1 - excess_kurtosis / 8 + 5 * skewness * skewness / 36 AS c1, skewness / 6 AS c2, excess_kurtosis / 24 - skewness * skewness / 18 AS c3 FROM m),
-g AS (SELECT series, bool_and(c1 + 2 * c2 * z + 3 * c3 * z * z > 0) AS ok FROM c, (SELECT -4.0::DOUBLE + ({_Z!r} + 4.0) * i / 400 AS z FROM range(401) t(i)) GROUP BY 1),
-q AS (SELECT c.*, CASE WHEN ok THEN c0 + ({_Z!r}) * (c1 + ({_Z!r}) * (c2 + ({_Z!r}) * c3)) END AS q, CASE WHEN ok THEN (c0 * 0.05 - c1 * {_F!r} + c2 * (0.05 - ({_Z!r}) * {_F!r}) - c3 * ({_Z * _Z!r} + 2) * {_F!r}) / 0.05 END AS tl FROM c JOIN g USING (series))""",
+n AS (SELECT q AS z, -tl * 0.05 AS f FROM ntail WHERE p = 0.05), g AS (SELECT series, bool_and(c1 + 2 * c2 * x + 3 * c3 * x * x > 0) AS ok FROM c, (SELECT -4.0::DOUBLE + (z + 4.0) * i / 400 AS x FROM n, range(401) t(i)) GROUP BY 1),
+q AS (SELECT c.*, CASE WHEN ok THEN c0 + z * (c1 + z * (c2 + z * c3)) END AS q, CASE WHEN ok THEN (c0 * 0.05 - c1 * f + c2 * (0.05 - z * f) - c3 * (z * z + 2) * f) / 0.05 END AS tl FROM c JOIN g USING (series), n)""",
     "SELECT series, mean, volatility, -(mean + volatility * q) AS value_at_risk, -(mean + volatility * tl) AS expected_tail_loss, mean + volatility * q AS quantile, skewness, excess_kurtosis FROM q",
     "mean volatility value_at_risk expected_tail_loss quantile skewness excess_kurtosis",
 )
@@ -264,8 +275,8 @@ def _(spark, d):
 
 
 @query(
-    "portfolio_risk", f"{_SW}, mu AS (SELECT sum(w * m) AS mean FROM (SELECT series, avg(r) AS m FROM panel GROUP BY 1) JOIN w USING (series))",
-    f"SELECT mean, volatility, -(mean + volatility * ({special.normal_ppf(0.01)!r})) AS value_at_risk, -(mean - volatility * {_TAIL!r}) AS expected_tail_loss, mean + volatility * ({special.normal_ppf(0.01)!r}) AS quantile FROM mu, vol",
+    "portfolio_risk", f"{_NQ}, {_SW}, mu AS (SELECT sum(w * m) AS mean FROM (SELECT series, avg(r) AS m FROM panel GROUP BY 1) JOIN w USING (series))",
+    "SELECT mean, volatility, -(mean + volatility * q) AS value_at_risk, -(mean + volatility * tl) AS expected_tail_loss, mean + volatility * q AS quantile FROM mu, vol, ntail WHERE p = 0.01",
     "mean volatility value_at_risk expected_tail_loss quantile",
 )
 def _(spark, d):
@@ -421,7 +432,7 @@ def _(spark, d):
     return backtest.coverage_tests(backtest.exceedances(I.forecasts(spark, d)), CONF).drop("unconditional_p", "independence_p")
 
 
-@query("coverage_p_values", _COVER, f"SELECT series, {columns.erfc_sql('sqrt(unconditional / 2)')} AS unconditional_p, {columns.erfc_sql('sqrt(independence / 2)')} AS independence_p FROM s", "unconditional_p independence_p")
+@query("coverage_p_values", _COVER, f"SELECT series, 2 - 2 * {_phi('sqrt(unconditional)')} AS unconditional_p, 2 - 2 * {_phi('sqrt(independence)')} AS independence_p FROM s", "unconditional_p independence_p")
 def _(spark, d):
     return backtest.coverage_tests(backtest.exceedances(I.forecasts(spark, d)), CONF).select("series", "unconditional_p", "independence_p")
 
@@ -430,18 +441,35 @@ def _(spark, d):
     "traffic_light", f"""RECURSIVE {_BR}, c AS (SELECT series, count(*) AS n, sum(breach::INT)::BIGINT AS x FROM br GROUP BY 1),
 m AS (SELECT series, n, x, 0::BIGINT AS k, exp(n * ln(1 - {ALPHA}::DOUBLE)) AS mass, exp(n * ln(1 - {ALPHA}::DOUBLE)) AS total FROM c
 UNION ALL SELECT series, n, x, k + 1, mass * (n - k) / (k + 1) * ({ALPHA}::DOUBLE / {CONF}::DOUBLE), total + mass * (n - k) / (k + 1) * ({ALPHA}::DOUBLE / {CONF}::DOUBLE) FROM m WHERE k < x)""",
-    "SELECT series, n AS observations, x AS count, least(1.0, total) AS cumulative_probability, CASE WHEN total < 0.95 THEN 'green' WHEN total < 0.9999 THEN 'yellow' ELSE 'red' END AS zone FROM m WHERE k = x", "cumulative_probability",
+    "SELECT series, n AS observations, x AS count, least(1.0, total) AS cumulative_probability, CASE WHEN total < 0.95 THEN 'green' WHEN total < 0.9999 THEN 'yellow' ELSE 'red' END AS zone, CAST(NULL AS DOUBLE) AS plus_factor FROM m WHERE k = x", "cumulative_probability",
+)
+def _(spark, d):
+    return backtest.traffic_light(backtest.exceedances(I.forecasts(spark, d)), CONF)
+
+
+#: The supervisory case: 250 forecasts at 99 %, the last ones of each series.
+_SUPERVISORY = f"""RECURSIVE {_FC}, br AS (SELECT series, r < -var AS breach FROM forecasts QUALIFY row_number() OVER (PARTITION BY series ORDER BY t DESC) <= 250), c AS (SELECT series, count(*) AS n, sum(breach::INT)::BIGINT AS x FROM br GROUP BY 1),
+m AS (SELECT series, n, x, 0::BIGINT AS k, exp(n * ln(0.99::DOUBLE)) AS mass, exp(n * ln(0.99::DOUBLE)) AS total FROM c UNION ALL SELECT series, n, x, k + 1, mass * (n - k) / (k + 1) / 99, total + mass * (n - k) / (k + 1) / 99 FROM m WHERE k < x),
+z AS (SELECT series, n, x, least(1.0, total) AS total FROM m WHERE k = x)"""
+
+
+@query(
+    "traffic_light_supervisory", _SUPERVISORY,
+    """SELECT series, n AS observations, x AS count, total AS cumulative_probability, CASE WHEN total < 0.95 THEN 'green' WHEN total < 0.9999 THEN 'yellow' ELSE 'red' END AS zone,
+CASE WHEN n = 250 THEN CASE WHEN total >= 0.9999 THEN 1.0 ELSE coalesce([0.4, 0.5, 0.65, 0.75, 0.85][CASE WHEN x >= 5 THEN x - 4 END], 0.0) END END AS plus_factor FROM z""", "cumulative_probability plus_factor",
 )
 def _(spark, d):
-    return backtest.traffic_light(backtest.exceedances(I.forecasts(spark, d)), CONF).drop("plus_factor")
+    last = Window.partitionBy("series").orderBy(F.desc("t"))
+    f = I.forecasts(spark, d).withColumn("k", F.row_number().over(last)).where("k <= 250").drop("k")
+    return backtest.traffic_light(backtest.exceedances(f), 0.99)
 
 
 @query(
     "acerbi_szekely", f"{_BR}, z AS (SELECT series, count(*) AS observations, sum(breach::INT)::BIGINT AS breaches, sum(CASE WHEN breach THEN r / es ELSE 0 END) AS s FROM br GROUP BY 1)",
-    f"SELECT series, observations, breaches, s / breaches + 1 AS conditional, s / (observations * {ALPHA}) + 1 AS unconditional, -s / breaches AS realised_ratio FROM z", "conditional unconditional realised_ratio",
+    f"SELECT series, observations, breaches, s / breaches + 1 AS conditional, s / (observations * {ALPHA}) + 1 AS unconditional, -s / breaches AS realised_ratio, CASE WHEN breaches = 0 THEN 'no breaches' WHEN abs(-s / breaches - 1) <= 0.03 THEN 'in line' WHEN -s / breaches > 1 THEN 'understated' ELSE 'overstated' END AS direction FROM z", "conditional unconditional realised_ratio",
 )
 def _(spark, d):
-    return backtest.expected_tail_loss_test(I.forecasts(spark, d), CONF).drop("direction")
+    return backtest.expected_tail_loss_test(I.forecasts(spark, d), CONF)
 
 
 @query("expected_tail_loss_null")
@@ -574,30 +602,32 @@ def _(spark, d):
 
 
 @query(
-    "relative_entropy", f"{I.PANEL_LI}, wt AS (SELECT (t % 7 + 1)::DOUBLE / sum(t % 7 + 1) OVER () AS w, count(*) OVER () AS n FROM panel WHERE series = 'A')",
+    "relative_entropy", f"{I.PANEL_LI}, wt AS (SELECT (t % 7 + 1)::DOUBLE / sum(t % 7 + 1) OVER () AS w, count(*) OVER () AS n FROM panel)",
     "SELECT sum(w * ln(w * n)) AS relative_entropy, exp(-sum(w * ln(w))) AS effective_scenarios FROM wt", "relative_entropy effective_scenarios",
 )
 def _(spark, d):
-    return entropy.relative_entropy(_weighted_li(spark, d).where("series = 'A'"))
+    rows = I.panel_li(spark, d).withColumn("w", (F.pmod(F.col("t"), F.lit(7)) + 1).cast("double"))
+    total = rows.agg(F.sum("w").alias("total"))
+    return entropy.relative_entropy(rows.crossJoin(F.broadcast(total)).withColumn("w", F.col("w") / F.col("total")))  # total is one row
 
 
 @query(
-    "probability_view", f"{I.PANEL_LI}, s AS (SELECT t, r, r < 0 AS inside, 1.0::DOUBLE / count(*) OVER () AS p FROM panel WHERE series = 'A'), m AS (SELECT sum(CASE WHEN inside THEN p ELSE 0 END) AS mi FROM s)",
-    "SELECT t, r, CASE WHEN inside THEN p * 0.6 / mi ELSE p * 0.4 / (1 - mi) END AS w FROM s, m", "r w",
+    "probability_view", f"{I.PANEL_LI}, s AS (SELECT series, t, r, r < 0 AS inside, 1.0::DOUBLE / count(*) OVER () AS p FROM panel), m AS (SELECT sum(CASE WHEN inside THEN p ELSE 0 END) AS mi FROM s)",
+    "SELECT series, t, r, CASE WHEN inside THEN p * 0.6 / mi ELSE p * 0.4 / (1 - mi) END AS w FROM s, m", "r w",
 )
 def _(spark, d):
-    p = I.panel_li(spark, d).where("series = 'A'")
+    p = I.panel_li(spark, d)
     n = p.agg(F.count("*").alias("n"))
-    s = p.crossJoin(F.broadcast(n)).select("t", "r", (F.col("r") < 0).alias("inside"), (1.0 / F.col("n")).alias("p"))  # n is one row
-    return entropy.tilt_to_probability(s, "inside", 0.6).select("t", "r", "w")
+    s = p.crossJoin(F.broadcast(n)).select("series", "t", "r", (F.col("r") < 0).alias("inside"), (1.0 / F.col("n")).alias("p"))  # n is one row
+    return entropy.tilt_to_probability(s, "inside", 0.6).select("series", "t", "r", "w")
 
 
 @query("entropy_pool")
 def _(spark, d):
-    p = I.panel_li(spark, d).where("series = 'A'").select("t", "r", (F.col("r") * F.col("r")).alias("r2")).cache()
+    p = frames.cut(I.panel_li(spark, d).select("series", "t", "r", (F.col("r") * F.col("r")).alias("r2")))
     m = p.agg(F.avg("r"), F.stddev_samp("r"), F.avg("r2")).first()
     post = entropy.pool(p, [entropy.mean_view("r", m[0] - 0.2 * m[1]), entropy.mean_view("r2", 1.2 * m[2])])
-    return post.scenarios.select("t", "r", "w")
+    return post.scenarios.select("series", "t", "r", "w")
 
 
 @query(
@@ -652,9 +682,9 @@ _GARCH = f"""RECURSIVE {I.PANEL_LI}, o AS (SELECT series, t, r, row_number() OVE
 e AS (SELECT series, t, r, k, v0 AS v FROM o WHERE k = 1 UNION ALL SELECT o.series, o.t, o.r, o.k, 1e-4::DOUBLE + 0.08::DOUBLE * e.r * e.r + 0.9::DOUBLE * e.v FROM e JOIN o ON o.series = e.series AND o.k = e.k + 1)"""
 
 
-@query("garch_variances_fixed", _GARCH, "SELECT series, t, r, v AS variance FROM e", "r variance")
+@query("garch_variances_fixed", _GARCH, "SELECT series, t, r, v AS variance, last_value(1e-4::DOUBLE + 0.08::DOUBLE * r * r + 0.9::DOUBLE * v) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_variance FROM e", "r variance next_variance")
 def _(spark, d):
-    return volatility.garch_variances(I.panel_li(spark, d), omega=1e-4, alpha=0.08, beta=0.9).drop("next_variance")
+    return volatility.garch_variances(I.panel_li(spark, d), omega=1e-4, alpha=0.08, beta=0.9)
 
 
 @query("garch_fit")
@@ -669,17 +699,21 @@ def _(spark, d):
 
 @query("fat_tail_test")
 def _(spark, d):
-    x = series.ReturnSeries(I.panel_li(spark, d), "A").values()
-    t = volatility.fat_tail_test(x)
-    return spark.createDataFrame([(t.statistic, t.p_value, t.degrees, t.fat)], "statistic double, p_value double, degrees double, fat boolean")
+    def test(pdf):
+        t = volatility.fat_tail_test(pdf.sort_values("t")["r"].to_numpy())
+        return pd.DataFrame({"series": pdf["series"].iloc[:1], "statistic": t.statistic, "p_value": t.p_value, "degrees": t.degrees, "fat": t.fat})
+
+    return I.panel_li(spark, d).groupBy("series").applyInPandas(test, "series string, statistic double, p_value double, degrees double, fat boolean")
 
 
 @query("horizon_risk")
 def _(spark, d):
-    x = series.ReturnSeries(I.panel_li(spark, d), "A").values()
-    g = volatility.fit_garch(x, strict=False)
-    h = horizon.horizon_risk(spark, g, x, steps=10)
-    return spark.createDataFrame([(h.value_at_risk, h.expected_tail_loss, h.additive_value_at_risk, h.standard_error, h.compounding_factor)], "value_at_risk double, expected_tail_loss double, additive_value_at_risk double, standard_error double, compounding_factor double")
+    panel, rows = frames.cut(I.panel_li(spark, d)), []
+    for name in sorted(r[0] for r in panel.select("series").distinct().collect()):
+        x = series.ReturnSeries(panel, name).values()
+        h = horizon.horizon_risk(spark, volatility.fit_garch(x, strict=False), x, steps=10)
+        rows.append((name, h.value_at_risk, h.expected_tail_loss, h.additive_value_at_risk, h.standard_error, h.compounding_factor))
+    return spark.createDataFrame(rows, "series string, value_at_risk double, expected_tail_loss double, additive_value_at_risk double, standard_error double, compounding_factor double")
 
 
 _F1 = f"""{I.PANEL_ORD_A}, f AS (SELECT t, avg(r) AS f FROM panel GROUP BY 1), b AS (SELECT series, t, r, f FROM panel JOIN f USING (t)),
@@ -837,10 +871,11 @@ def _(spark, d):
     return spark.createDataFrame([(stress.worst_case_scenario(e, m, r).loss, stress.one_at_a_time(e, m, r).worst, r)], "loss double, one_at_a_time double, radius double")
 
 
-@query("linear_maximum_loss", f"{_SW}", f"SELECT {stress.radius_for(0.99, 5)!r} * volatility AS loss FROM vol", "loss")
+@query("linear_maximum_loss", f"{_R5}, {_SW}", "SELECT z * volatility AS loss FROM radius, vol", "loss")
 def _(spark, d):
-    p = _aligned_m(spark, d)
-    return covariance.quadratic_form(_equal(p), covariance.sample_covariance(p)).select((F.lit(stress.radius_for(0.99, 5)) * F.sqrt("variance")).alias("loss"))
+    names, m = frames.matrix(covariance.sample_covariance(_aligned_m(spark, d)))
+    loss = stress.linear_maximum_loss([1 / len(names)] * len(names), m, stress.radius_for(0.99, len(names)))
+    return spark.createDataFrame([(float(loss),)], "loss double")
 
 
 @query(
