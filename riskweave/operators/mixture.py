@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave.errors import BadMixture
 from riskweave.functions import special
-from riskweave.operators.frames import need
+from riskweave.operators.frames import cut, need
 
 # Fixed values.
 NEGLIGIBLE = 1e-15
@@ -204,6 +204,64 @@ def fit_mixtures(losses: DataFrame, components: int = 2, floor: float = DEFAULT_
     return losses.groupBy("series").applyInPandas(fit, "series string, component int, weight double, mean double, deviation double, log_likelihood double, converged boolean")
 
 
+def starting_mixtures(losses: DataFrame, components: int = 2, floor: float = DEFAULT_FLOOR) -> DataFrame:
+    """(series, n, centre, parts): equal weights, the midpoints of quantile bands less the series' mean, and the sample's deviation; parts is an array of (weight, mean, deviation)."""
+    need(components >= 1, BadMixture, "a mixture needs a component")
+    bands = [F.expr(f"percentile_disc({(2 * k + 1) / (2 * components)!r}) WITHIN GROUP (ORDER BY loss)") for k in range(components)]
+    sizes = losses.groupBy("series").agg(F.count("*").alias("n"), F.avg("loss").alias("centre"), F.greatest(F.stddev_samp("loss"), F.lit(floor)).alias("sd"), F.array(*bands).alias("bands"))
+    part = lambda b: F.struct(F.lit(1.0 / components).alias("weight"), (b - F.col("centre")).alias("mean"), F.col("sd").alias("deviation"))
+    return sizes.select("series", "n", "centre", F.transform("bands", part).alias("parts"))
+
+
+def expectation_step(losses: DataFrame, mixtures: DataFrame, components: int, floor: float = DEFAULT_FLOOR) -> DataFrame:
+    """(series, n, centre, parts, log_likelihood): one step of expectation maximisation for all series at once, one aggregation.
+
+    The log likelihood is that of the mixtures that went in. Losses are taken less the series' mean, so that second
+    moments keep their digits; partial sums are combined before the shuffle, so a long series is no hot task.
+    """
+    x = F.col("loss") - F.col("centre")
+    log = F.transform("parts", lambda c: F.ln(c["weight"]) - F.ln(c["deviation"]) - F.pow((x - c["mean"]) / c["deviation"], 2) / 2 - 0.5 * math.log(2 * math.pi))
+    rows = losses.select("series", "loss").join(mixtures.select("series", "n", "centre", "parts"), "series").select("series", "n", "centre", x.alias("x"), log.alias("log"))
+    rows = rows.withColumn("top", F.array_max("log")).withColumn("like", F.transform("log", lambda v: F.exp(v - F.col("top")))).withColumn("total", F.aggregate("like", F.lit(0.0), lambda s, v: s + v))
+    sums = [F.sum(F.get("like", k) / F.col("total") * F.pow(F.col("x"), d)).alias(f"s{d}_{k}") for k in range(components) for d in range(3)]
+    out = rows.groupBy("series").agg(F.max("n").alias("n"), F.max("centre").alias("centre"), F.sum(F.ln("total") + F.col("top")).alias("log_likelihood"), *sums)
+
+    def part(k):
+        n = F.greatest(F.col(f"s0_{k}"), F.lit(1e-300))
+        mean = F.col(f"s1_{k}") / n
+        spread = F.sqrt(F.greatest(F.col(f"s2_{k}") / n - mean * mean, F.lit(0.0)))
+        return F.struct(F.greatest(n / F.col("n"), F.lit(1e-300)).alias("weight"), mean.alias("mean"), F.greatest(spread, F.lit(floor)).alias("deviation"))
+
+    return out.select("series", "n", "centre", F.array(*[part(k) for k in range(components)]).alias("parts"), "log_likelihood")
+
+
+def fit_by_steps(losses: DataFrame, components: int = 2, *, floor: float = DEFAULT_FLOOR, steps: int = 500, tolerance: float = 1e-10, every: int = 5) -> DataFrame:
+    """(series, component, weight, mean, deviation, log_likelihood): all series together, for long ones; ``fit_mixtures`` suits many short ones.
+
+    Parameters are cut from their lineage after ``every`` steps, where the fit stops if no series' log likelihood moves by
+    more than ``tolerance``, relative to its size. A series of equal losses or fewer than two a component is refused.
+    """
+    need(floor > 0 and steps >= 1, BadMixture, "a fit needs a positive floor and a step")
+    odd = F.when((F.count("*") < 2 * components) | (F.min("loss") >= F.max("loss")), F.raise_error("equal losses, or too few, have no components"))
+    losses = cut(losses.select("series", "loss"))
+    losses.groupBy("series").agg(odd.alias("odd")).where("odd is not null").count()
+    now = cut(starting_mixtures(losses, components, floor))
+    done = 0
+    while done < steps:
+        before = None
+        for _ in range(min(every, steps - done)):
+            before, now = now, expectation_step(losses, now, components, floor)
+            done += 1
+        now = cut(now)
+        if "log_likelihood" in before.columns:
+            last = before.select("series", F.col("log_likelihood").alias("b")).join(now, "series").agg(F.max(F.abs(F.col("log_likelihood") - F.col("b")) / (1 + F.abs("log_likelihood")))).first()[0]
+            if last is None or last <= tolerance:
+                break
+    ordered = F.array_sort("parts", lambda a, b: F.when(a["deviation"] < b["deviation"], -1).when(a["deviation"] > b["deviation"], 1).otherwise(0))
+    rows = now.select("series", "centre", "log_likelihood", F.posexplode(ordered).alias("component", "p"))
+    return rows.select("series", "component", "p.weight", (F.col("p.mean") + F.col("centre")).alias("mean"), "p.deviation", "log_likelihood")
+
+
 @dataclass(frozen=True)
 class Occupation:
     """How many of the periods are stressed."""

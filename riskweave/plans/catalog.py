@@ -333,7 +333,11 @@ def _(spark, d):
     return drawdown.drawdowns(I.panel_li(spark, d), minimum_depth=0.02).select("series", "depth", "peak_at", "trough_at", "recovery_at", "rank")
 
 
-@query("longest_underwater")
+@query(
+    "longest_underwater", f"""{_WEALTH}, isl AS (SELECT *, sum(CASE WHEN wealth >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY k) AS island, min(CASE WHEN wealth >= peak THEN k END) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM dd),
+ep AS (SELECT series, max(drawdown) AS depth, min(k) AS peak_at, arg_min(k, (-drawdown, k)) AS trough_at, max(nt) AS recovery_at FROM isl GROUP BY series, island HAVING max(drawdown) > 0)""",
+    "SELECT series, depth, peak_at, trough_at, recovery_at, coalesce(recovery_at, trough_at) - peak_at AS underwater_periods FROM ep QUALIFY row_number() OVER (PARTITION BY series ORDER BY coalesce(recovery_at, trough_at) - peak_at DESC, depth DESC, peak_at) = 1", "depth",
+)
 def _(spark, d):
     return drawdown.longest_underwater(I.panel_li(spark, d))
 
@@ -887,6 +891,21 @@ def _(spark, d):
     return mixture.convolve_frames(spark.createDataFrame([(0.9, 0.0, 1.0), (0.1, 1.0, 3.0)], schema), spark.createDataFrame([(0.8, 0.5, 2.0), (0.2, -1.0, 1.0)], schema))
 
 
+_EM_STEPS, _LN_TAU = 10, "0.5 * ln(2 * pi())"
+#: Steps of expectation maximisation: each joins every loss with both components and adds up.
+_EM = f"""RECURSIVE {I.PANEL_LI}, ls AS (SELECT series, -r AS loss FROM panel), c AS (SELECT series, count(*) AS n, avg(loss) AS centre, stddev_samp(loss) AS sd, quantile_disc(loss, 0.25) AS a, quantile_disc(loss, 0.75) AS b FROM ls GROUP BY 1),
+x AS (SELECT series, n, loss - centre AS x FROM ls JOIN c USING (series)),
+em AS (SELECT series, 0 AS step, 0.5::DOUBLE AS w1, a - centre AS m1, sd AS s1, 0.5::DOUBLE AS w2, b - centre AS m2, sd AS s2, 0.0::DOUBLE AS ll FROM c UNION ALL
+SELECT series, step + 1, sum(p) / max(n), sum(p * x) / sum(p), sqrt(sum(p * x * x) / sum(p) - (sum(p * x) / sum(p)) ** 2), sum(1 - p) / max(n), sum((1 - p) * x) / sum(1 - p), sqrt(sum((1 - p) * x * x) / sum(1 - p) - (sum((1 - p) * x) / sum(1 - p)) ** 2), sum(ln(l1 + l2))
+FROM (SELECT series, step, n, x, l1, l2, l1 / (l1 + l2) AS p FROM (SELECT em.*, n, x, w1 / s1 * exp(-(x - m1) * (x - m1) / s1 / s1 / 2 - {_LN_TAU}) AS l1, w2 / s2 * exp(-(x - m2) * (x - m2) / s2 / s2 / 2 - {_LN_TAU}) AS l2 FROM em JOIN x USING (series) WHERE step < {_EM_STEPS})) GROUP BY series, step),
+parts AS (SELECT series, w1 AS weight, m1 + centre AS mean, s1 AS deviation, ll AS log_likelihood FROM em JOIN c USING (series) WHERE step = {_EM_STEPS} UNION ALL SELECT series, w2, m2 + centre, s2, ll FROM em JOIN c USING (series) WHERE step = {_EM_STEPS})"""
+
+
+@query("mixture_steps", _EM, "SELECT series, row_number() OVER (PARTITION BY series ORDER BY deviation) - 1 AS component, weight, mean, deviation, log_likelihood FROM parts", "weight mean deviation log_likelihood")
+def _(spark, d):
+    return mixture.fit_by_steps(extreme.losses_of(I.panel_li(spark, d)), steps=_EM_STEPS, every=5, tolerance=0.0)
+
+
 @query("mixture_fit")
 def _(spark, d):
     return mixture.fit_mixtures(extreme.losses_of(I.panel_li(spark, d)))

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.errors import SaddlepointError
-from riskweave.operators import drawdown, factors, gram, historical, lossgrid, recursion, saddlepoint
+from riskweave.errors import BadMixture, SaddlepointError
+from riskweave.operators import drawdown, factors, gram, historical, lossgrid, mixture, recursion, saddlepoint
 
 
 def book(spark, rows):
@@ -196,3 +196,29 @@ def test_tails_of_long_series_are_ranked_alone(spark, monkeypatch):
     assert few.where("series = 'hot'").count() < 400 and few.where("series = 'cold'").count() == 50
     assert sorted(map(tuple, historical.historical_risk(panel, 0.975).collect())) == whole
     assert sorted(map(tuple, historical.sample_expected_tail_loss(panel, 0.03).collect())) == etl
+
+
+def test_mixtures_of_all_series_by_steps(spark):
+    rng = np.random.default_rng(12)
+    own = {"a": np.where(rng.random(400) < 0.3, rng.normal(0.05, 0.04, 400), rng.normal(0, 0.01, 400)), "b": rng.normal(5, 1, 300)}
+    losses = spark.createDataFrame([(s, float(x)) for s, v in own.items() for x in v], "series string, loss double")
+    got = mixture.fit_by_steps(losses, steps=12, every=4, tolerance=0.0).orderBy("series", "component").collect()
+    for s in own:
+        x = np.sort(own[s])
+        mean, sd, weight = x[[math.ceil(q * len(x)) - 1 for q in (0.25, 0.75)]], np.full(2, x.std(ddof=1)), np.full(2, 0.5)
+        for _ in range(12):
+            like = weight / sd * np.exp(-(((x[:, None] - mean) / sd) ** 2) / 2) / math.sqrt(2 * math.pi)
+            fit = np.log(like.sum(axis=1)).sum()
+            r = like / like.sum(axis=1, keepdims=True)
+            weight, mean = r.mean(axis=0), (r * x[:, None]).sum(axis=0) / r.sum(axis=0)
+            sd = np.sqrt((r * (x[:, None] - mean) ** 2).sum(axis=0) / r.sum(axis=0))
+        mine = [r for r in got if r["series"] == s]
+        order = np.argsort(sd)
+        assert np.allclose([(r["weight"], r["mean"], r["deviation"]) for r in mine], np.column_stack([weight, mean, sd])[order], rtol=1e-7)
+        assert abs(mine[0]["log_likelihood"] / fit - 1) < 1e-9
+    early = mixture.fit_by_steps(losses, steps=400, every=3, tolerance=0.1).collect()
+    assert len(early) == 4
+    with pytest.raises(Exception, match="equal losses"):
+        mixture.fit_by_steps(spark.createDataFrame([("c", 1.0)] * 9, "series string, loss double"))
+    with pytest.raises(BadMixture):
+        mixture.fit_by_steps(losses, floor=0.0)
