@@ -68,8 +68,8 @@ class Shard:
         impact = weights[terms] * (1_000_000_000 * tf // (1000 * tf + 8 * length_terms(n, n_docs, total)[doc]))
         order = np.argsort(terms, kind="stable")
         doc, impact, terms = doc[order], impact[order], terms[order]
-        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(terms)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[: len(terms)])
+        ends = np.append(starts, len(terms))[1:]
         self.lists = {}
         for t, a, b in zip(terms[starts].tolist(), starts.tolist(), ends.tolist(), strict=True):
             if weights[t] > 0:
