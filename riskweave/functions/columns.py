@@ -1,7 +1,7 @@
-"""Normal distribution functions as Column arithmetic, and the same arithmetic as SQL.
+"""Normal distribution functions as Column arithmetic.
 
 Spark has no error function. erfc(z) for z >= 0 is t * exp(-z**2 + g(t)) with t = 2 / (2 + z); g is smooth on [0, 1]
-and interpolated at Chebyshev points when the module loads. Each factory works on Columns and on SQL strings alike.
+and interpolated at Chebyshev points when the module loads.
 """
 
 from __future__ import annotations
@@ -55,23 +55,10 @@ def erfc(x: Column) -> Column:
     return let(x, at)
 
 
-def erfc_sql(x: str) -> str:
-    """The same in DuckDB: a list reduction of the Clenshaw recurrence (as two coupled numbers in one list)."""
-    coefs = ", ".join(f"[CAST({float(c)!r} AS DOUBLE), 0.0]" for c in _CHEB[:0:-1])
-    y = f"(2 * (2 / (abs({x}) + 2)) - 1)"
-    b = f"list_reduce([[CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE)], {coefs}], lambda s, c: [2 * {y} * s[1] - s[2] + c[1], s[1]])"
-    half = f"(2 / (abs({x}) + 2)) * exp(-({x}) * ({x}) + {y} * ({b})[1] - ({b})[2] + {float(_CHEB[0])!r})"
-    return f"(CASE WHEN {x} >= 0 THEN {half} ELSE 2 - {half} END)"
-
-
 def cdf(x: Column) -> Column:
     return erfc(-x / math.sqrt(2)) / 2
 
 
-def cdf_sql(x: str) -> str:
-    return f"({erfc_sql(f'(-({x}) / {math.sqrt(2)!r})')} / 2)"
-
-
 def pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 

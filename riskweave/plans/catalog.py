@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions import columns, special, spectra
+from riskweave.functions import spectra
 from riskweave.operators import (
     backtest, bounds, cleaning, contributions, copula, covariance, drawdown, entropy, expectile, extreme, factors, frames, historical, horizon, lossgrid, mixture, parametric, quadratic, ranks, realised,
     saddlepoint, scoring, series, spectral, stress, volatility,
