@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from enum import StrEnum
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from riskweave.errors import NoGaussianBaseline, NotIdentified
 from riskweave.functions import linalg, special
 from riskweave.operators.extreme import fit_tail
-from riskweave.operators.frames import matrix, need, require_rows
+from riskweave.operators.frames import cut, matrix, need, require_rows
 from riskweave.operators.historical import historical_risk
 from riskweave.operators.ranks import elliptical_correlation, kendall_matrix, ranks_of
 from riskweave.operators.series import aligned
@@ -116,33 +117,45 @@ def pseudo_observations(panel: DataFrame) -> DataFrame:
     return ranks_of(panel).select("series", "t", (F.col("rank") / (F.count("*").over(Window.partitionBy("series")) + 1)).alias("u"))
 
 
-def _uniforms(panel: DataFrame, names: list) -> np.ndarray:
-    rows = pseudo_observations(panel).groupBy("t").pivot("series", names).agg(F.first("u")).orderBy("t").drop("t")
-    return rows.toPandas().to_numpy(float)  # one row per period of at most 40 assets
+def _periods(panel: DataFrame) -> DataFrame:
+    """(u): an array of each period's uniforms in the order of the names, evaluated once."""
+    by_name = F.transform(F.array_sort(F.collect_list(F.struct("series", "u"))), lambda x: x["u"])
+    return cut(pseudo_observations(panel).groupBy("t").agg(by_name.alias("u")).select("u"))
+
+
+def log_likelihoods(periods: DataFrame, correlation: np.ndarray, degrees: list[float | None]) -> tuple[int, list[float]]:
+    """How many periods there are, and the log likelihood for each number of degrees (None: Gaussian), in one job: sums over blocks of periods, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+            own = [gaussian_copula_log_likelihood(u, correlation) if v is None else student_t_copula_log_likelihood(u, correlation, v) for v in degrees]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), pa.array(own), pa.array([len(u)] * len(own), pa.int64())], names=["k", "value", "n"])
+
+    sums = periods.mapInArrow(run, "k int, value double, n bigint").groupBy("k").agg(F.sum("value").alias("value"), F.sum("n").alias("n")).collect()  # a row for each number of degrees
+    value = {r["k"]: r["value"] for r in sums}
+    return max((r["n"] for r in sums), default=0), [value.get(k, 0.0) for k in range(len(degrees))]
 
 
 def fit_copula(panel: DataFrame, family: Family = Family.STUDENT_T, degrees_of_freedom: float | None = None) -> FittedCopula:
-    """Kendall's matrix is a plan; its inversion, repair and the profile over degrees are small and run on the driver."""
+    """Kendall's matrix and the profile over degrees are plans: a grid of degrees is one pass over the periods, and each narrower grid another. Only matrices of at most 40 assets come to the driver."""
     panel = aligned(panel)
     names, tau = matrix(kendall_matrix(panel))
     need(2 <= len(names) <= MAX_COPULA_ASSETS, NotIdentified, f"a copula needs 2 to {MAX_COPULA_ASSETS} assets")
-    u = _uniforms(panel, names)
-    require_rows(len(u), MIN_COPULA_OBSERVATIONS, "a copula")
     rho, projected = elliptical_correlation(tau)
-    gauss = gaussian_copula_log_likelihood(u, rho)
+    periods = _periods(panel)
+    n, (gauss,) = log_likelihoods(periods, rho, [None])
+    require_rows(n, MIN_COPULA_OBSERVATIONS, "a copula")
     if family == Family.GAUSSIAN:
-        return FittedCopula(family, names, rho, tau, None, len(u), gauss, gauss, projected)
+        return FittedCopula(family, names, rho, tau, None, n, gauss, gauss, projected)
     if degrees_of_freedom is None:
-        like = lambda v: student_t_copula_log_likelihood(u, rho, v)
-        grid = np.geomspace(MIN_COPULA_DEGREES, MAX_COPULA_DEGREES, GRID_POINTS)
-        best = int(np.argmax([like(v) for v in grid]))
-        a, b = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
-        g = (math.sqrt(5) - 1) / 2
-        while b - a > DEGREES_TOLERANCE:
-            c, d = b - g * (b - a), a + g * (b - a)
-            a, b = (c, b) if like(c) < like(d) else (a, d)
-        degrees_of_freedom = float((a + b) / 2)
-    return FittedCopula(family, names, rho, tau, degrees_of_freedom, len(u), student_t_copula_log_likelihood(u, rho, degrees_of_freedom), gauss, projected)
+        low, high = MIN_COPULA_DEGREES, MAX_COPULA_DEGREES
+        while high - low > DEGREES_TOLERANCE:
+            grid = np.geomspace(low, high, GRID_POINTS).tolist()
+            best = int(np.argmax(log_likelihoods(periods, rho, grid)[1]))
+            low, high = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
+        degrees_of_freedom = (low + high) / 2
+    return FittedCopula(family, names, rho, tau, degrees_of_freedom, n, log_likelihoods(periods, rho, [degrees_of_freedom])[1][0], gauss, projected)
 
 
 def _draws(ids: np.ndarray, seed: int, lower: np.ndarray, degrees: float | None) -> tuple[np.ndarray, np.ndarray | None]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.errors import BadMixture, SaddlepointError
-from riskweave.operators import drawdown, factors, gram, historical, lossgrid, mixture, recursion, saddlepoint
+from riskweave.operators import copula, drawdown, factors, gram, historical, lossgrid, mixture, recursion, saddlepoint
 
 
 def book(spark, rows):
@@ -222,3 +222,14 @@ def test_mixtures_of_all_series_by_steps(spark):
         mixture.fit_by_steps(spark.createDataFrame([("c", 1.0)] * 9, "series string, loss double"))
     with pytest.raises(BadMixture):
         mixture.fit_by_steps(losses, floor=0.0)
+
+
+def test_copula_likelihoods_by_blocks(spark):
+    rng = np.random.default_rng(7)
+    u = np.array([rng.permutation(60) + 1 for _ in range(3)]).T / 61
+    rho = np.array([[1, 0.3, 0.1], [0.3, 1, -0.2], [0.1, -0.2, 1]])
+    periods = spark.createDataFrame([([float(x) for x in row],) for row in u], "u array<double>").repartition(3)
+    n, (gauss, five, forty) = copula.log_likelihoods(periods, rho, [None, 5.0, 40.0])
+    assert n == 60 and abs(gauss - copula.gaussian_copula_log_likelihood(u, rho)) < 1e-9
+    assert all(abs(x - copula.student_t_copula_log_likelihood(u, rho, v)) < 1e-8 for x, v in ((five, 5.0), (forty, 40.0)))
+    assert copula.log_likelihoods(periods.where("false"), rho, [None]) == (0, [0.0])
