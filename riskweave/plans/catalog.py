@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -853,11 +854,12 @@ def _(spark, d):
 
 
 def _book(spark, d):
-    import numpy as np
-
-    _, m = frames.matrix(covariance.sample_covariance(_aligned_m(spark, d)))
-    n = len(m)
-    return quadratic.Exposure(np.linspace(1, -0.5, n), np.diag(np.linspace(2, -3, n))), m
+    """A book that holds each series in inverse proportion to its deviation, with its skewness as curvature."""
+    p = _aligned_m(spark, d)
+    names, m = frames.matrix(covariance.sample_covariance(p))
+    own = {r["series"]: r for r in series.moments(p).collect()}
+    size = [1 / own[n]["stdev"] for n in names]
+    return quadratic.Exposure(np.array(size) / sum(size), np.diag([own[n]["skewness"] for n in names])), m
 
 
 @query("quadratic_risk")
@@ -865,14 +867,14 @@ def _(spark, d):
     e, m = _book(spark, d)
     f = quadratic.standard_form(e, m)
     r = quadratic.quadratic_risk(f, 0.99)
-    return spark.createDataFrame([(r.value_at_risk, r.expected_tail_loss, r.skewness, -quadratic.delta_normal_quantile(f, 0.01))], "value_at_risk double, expected_tail_loss double, skewness double, delta_normal double")
+    return spark.createDataFrame([tuple(map(float, (r.value_at_risk, r.expected_tail_loss, r.skewness, -quadratic.delta_normal_quantile(f, 0.01))))], "value_at_risk double, expected_tail_loss double, skewness double, delta_normal double")
 
 
 @query("worst_case_scenario")
 def _(spark, d):
     e, m = _book(spark, d)
     r = stress.radius_for(0.99, len(m))
-    return spark.createDataFrame([(stress.worst_case_scenario(e, m, r).loss, stress.one_at_a_time(e, m, r).worst, r)], "loss double, one_at_a_time double, radius double")
+    return spark.createDataFrame([tuple(map(float, (stress.worst_case_scenario(e, m, r).loss, stress.one_at_a_time(e, m, r).worst, r)))], "loss double, one_at_a_time double, radius double")
 
 
 @query("linear_maximum_loss", f"{_R5}, {_SW}", "SELECT z * volatility AS loss FROM radius, vol", "loss")
@@ -883,12 +885,13 @@ def _(spark, d):
 
 
 @query(
-    "mixture_convolve", "a AS (SELECT * FROM (VALUES (0.9::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (0.1, 1.0, 3.0)) v(weight, mean, deviation)), b AS (SELECT * FROM (VALUES (0.8::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE), (0.2, -1.0, 1.0)) v(weight, mean, deviation))",
-    "SELECT a.weight * b.weight AS weight, a.mean + b.mean AS mean, sqrt(a.deviation * a.deviation + b.deviation * b.deviation) AS deviation FROM a, b", "weight mean deviation",
+    "mixture_convolve", f"{I.PANEL_LI}, h AS (SELECT series, t % 2 AS half, -avg(r) AS mean, stddev_samp(r) AS deviation FROM panel GROUP BY 1, 2), c AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY half) AS weight FROM h)",
+    "SELECT a.weight * b.weight AS weight, a.mean + b.mean AS mean, sqrt(a.deviation * a.deviation + b.deviation * b.deviation) AS deviation FROM c a JOIN c b ON a.half = 0 AND b.half = 1", "weight mean deviation",
 )
 def _(spark, d):
-    schema = "weight double, mean double, deviation double"
-    return mixture.convolve_frames(spark.createDataFrame([(0.9, 0.0, 1.0), (0.1, 1.0, 3.0)], schema), spark.createDataFrame([(0.8, 0.5, 2.0), (0.2, -1.0, 1.0)], schema))
+    h = I.panel_li(spark, d).groupBy("series", (F.col("t") % 2).alias("half")).agg((-F.avg("r")).alias("mean"), F.stddev_samp("r").alias("deviation"))
+    c = h.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("half"))).select("half", "weight", "mean", "deviation")
+    return mixture.convolve_frames(c.where("half = 0").drop("half"), c.where("half = 1").drop("half"))
 
 
 _EM_STEPS, _LN_TAU = 10, "0.5 * ln(2 * pi())"
@@ -913,9 +916,26 @@ def _(spark, d):
 
 @query("regime_horizon")
 def _(spark, d):
-    h = mixture.horizon_mixture(mixture.Component(1, 0.0, 1.0), mixture.Component(1, 0.2, 3.0), (0.98, 0.9), mixture.stationary((0.98, 0.9)), 10)
-    r = mixture.mixture_risk(h, 0.99)
-    return spark.createDataFrame([(r.value_at_risk, r.expected_tail_loss, r.averaging_error)], "value_at_risk double, expected_tail_loss double, averaging_error double")
+    """Calm and stressed periods of each series by the size of their returns, how long either lasts, and the loss over ten periods."""
+    rows = I.panel_li(spark, d)
+    middle = rows.groupBy("series").agg(F.percentile(F.abs("r"), F.lit(0.8)).alias("middle"))
+    rows = rows.join(middle, "series").select("series", "t", (-F.col("r")).alias("x"), (F.abs("r") > F.col("middle")).alias("stressed"))
+    rows = rows.withColumn("after", F.lead("stressed").over(Window.partitionBy("series").orderBy("t")))
+    kind = lambda f, c, s: f(F.when(F.col("stressed") == s, F.col(c)))
+    stay = lambda s: (F.count_if((F.col("stressed") == s) & (F.col("after") == s)) / F.count_if((F.col("stressed") == s) & F.col("after").isNotNull()))
+    stats = rows.groupBy("series").agg(*[c.alias(f"{n}{k}") for k, s in enumerate((False, True)) for n, c in (("mean", kind(F.avg, "x", s)), ("sd", kind(F.stddev_samp, "x", s)), ("stay", stay(s)))])
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                chain = (float(r.stay0), float(r.stay1))
+                h = mixture.horizon_mixture(mixture.Component(1, r.mean0, r.sd0), mixture.Component(1, r.mean1, r.sd1), chain, mixture.stationary(chain), 10)
+                risk = mixture.mixture_risk(h, 0.99)
+                out.append((r.series, risk.value_at_risk, risk.expected_tail_loss, risk.averaging_error))
+            yield pd.DataFrame(out, columns=["series", "value_at_risk", "expected_tail_loss", "averaging_error"])
+
+    return stats.mapInPandas(run, "series string, value_at_risk double, expected_tail_loss double, averaging_error double")
 
 
 @query("dependence_bounds")
