@@ -119,6 +119,18 @@ def matching_level(target: float, expectile_of: Callable[[float], float]) -> Mat
     return Match(level, target, expectile_of(level))
 
 
+def matching_levels(losses: DataFrame, targets: DataFrame) -> DataFrame:
+    """(series, target, level): the level whose expectile of a series' losses is its target (series, target), for all series in one aggregation.
+
+    At its own expectile the mean shortfall below and the mean excess above stand as level to 1 - level, so no search is
+    needed. A target outside a series' losses, or losses that all equal it, have no level: null.
+    """
+    gap = F.col("loss") - F.col("target")
+    sums = losses.join(targets.select("series", "target"), "series").groupBy("series", "target").agg(F.sum(F.greatest(-gap, F.lit(0.0))).alias("below"), F.sum(F.abs(gap)).alias("both"))
+    share = F.try_divide("below", "both")
+    return sums.select("series", "target", F.when((share > 0) & (share < 1), share).alias("level"))
+
+
 def subadditivity_gap(first, second, level: float) -> float:
     x, y = np.asarray(first, float), np.asarray(second, float)
     return sum(sample_expectile(v, level).value for v in (x, y)) - sample_expectile(x + y, level).value

@@ -580,6 +580,18 @@ def _(spark, d):
     return expectile.sample_expectiles(I.panel_li(spark, d).select("series", (-F.col("r")).alias("loss")), CONF)
 
 
+#: The level by 50 halvings: the mean of level * excess - (1 - level) * shortfall grows with the level.
+_LEVEL = f"""RECURSIVE {I.PANEL_LI}, ls AS (SELECT series, -r AS x FROM panel), g AS (SELECT series, quantile_disc(x, 0.975) AS target FROM ls GROUP BY 1),
+b AS (SELECT series, target, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM g UNION ALL
+SELECT series, target, CASE WHEN s < 0 THEN m ELSE lo END, CASE WHEN s < 0 THEN hi ELSE m END, step + 1 FROM (SELECT b.series, target, lo, hi, step, (lo + hi) / 2 AS m, sum(CASE WHEN x > target THEN (lo + hi) / 2 * (x - target) ELSE (1 - (lo + hi) / 2) * (x - target) END) AS s FROM b JOIN ls ON ls.series = b.series WHERE step < 50 GROUP BY ALL))"""
+
+
+@query("matching_levels", _LEVEL, "SELECT series, target, (lo + hi) / 2 AS level FROM b WHERE step = 50", "target level")
+def _(spark, d):
+    losses = I.panel_li(spark, d).select("series", (-F.col("r")).alias("loss"))
+    return expectile.matching_levels(losses, losses.groupBy("series").agg(F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY loss)").alias("target")))
+
+
 _WT = f"{I.PANEL_LI}, wt AS (SELECT series, t, r, (t % 7 + 1) / sum(t % 7 + 1) OVER (PARTITION BY series) AS w FROM panel), cu AS (SELECT *, sum(w) OVER (PARTITION BY series ORDER BY r, t) AS cum FROM wt)"
 
 

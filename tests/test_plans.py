@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.errors import BadMixture, SaddlepointError
-from riskweave.operators import copula, drawdown, factors, gram, historical, lossgrid, mixture, recursion, saddlepoint
+from riskweave.operators import copula, drawdown, expectile, factors, gram, historical, lossgrid, mixture, recursion, saddlepoint
 
 
 def book(spark, rows):
@@ -233,3 +233,15 @@ def test_copula_likelihoods_by_blocks(spark):
     assert n == 60 and abs(gauss - copula.gaussian_copula_log_likelihood(u, rho)) < 1e-9
     assert all(abs(x - copula.student_t_copula_log_likelihood(u, rho, v)) < 1e-8 for x, v in ((five, 5.0), (forty, 40.0)))
     assert copula.log_likelihoods(periods.where("false"), rho, [None]) == (0, [0.0])
+
+
+def test_levels_of_all_series_match_their_targets(spark):
+    rng = np.random.default_rng(9)
+    own = {"a": rng.normal(0, 1, 200), "b": rng.exponential(2, 90), "flat": np.full(5, 3.0)}
+    losses = spark.createDataFrame([(s, float(x)) for s, v in own.items() for x in v], "series string, loss double")
+    targets = {"a": 1.2, "b": 0.4, "flat": 3.0, "unknown": 1.0}
+    got = {r["series"]: r["level"] for r in expectile.matching_levels(losses, spark.createDataFrame(list(targets.items()), "series string, target double")).collect()}
+    assert set(got) == set(own) and got["flat"] is None
+    assert all(abs(expectile.sample_expectile(own[s], got[s]).value - targets[s]) < 1e-9 for s in "ab")
+    outside = expectile.matching_levels(losses, spark.createDataFrame([("a", 99.0)], "series string, target double")).first()
+    assert outside["level"] is None
