@@ -8,8 +8,8 @@ anchor are consecutive; together they are a tile. Steps, each a stream over a so
 1. anchors of all documents (key, row, tile), no text;
 2. keys that occur once cannot repeat and go: each anchor is compared with its neighbours in key order;
 3. the remaining tiles fetch their text from the documents and meet again by key;
-4. a matcher (a suffix-array index or a relative Lempel-Ziv parse) marks the windows that occur elsewhere; a tile
-   whose text came before is answered at once, so a large group of copies is never held;
+4. matchers (suffix-array indexes or relative Lempel-Ziv parses), each over a run of keys, mark the windows that occur
+   elsewhere; a tile whose text came before is answered at once, so a large group of copies is never held;
 5. the marked ranges go back to their documents.
 
 No candidate is dropped: a hash decides only where windows meet, the matcher compares symbols.
@@ -182,42 +182,73 @@ def _tiles_batch(out: dict) -> pa.RecordBatch:
 
 
 def _match(make: Callable[[], object], batch_symbols: int):
-    """Streams a partition's tiles through a matcher and yields marked symbol ranges (rid, low, high)."""
+    """Streams a partition's tiles, sorted by key, through matchers and yields marked symbol ranges (rid, low, high).
+
+    Equal windows have one key, so a matcher that holds ``batch_symbols`` ends with its key: tiles of other keys cannot match.
+    """
 
     def run(batches):
-        matcher = make()
-        number: dict[bytes, int] = {}
-        owner: list[tuple[int, int]] = []  # row and first window of each distinct tile
-        again: list[bool] = []
-        waiting: list[bytes] = []
-        size = 0
+        group = _Group(make())
+        last = None
         for batch in batches:
             rids, lows, highs = [], [], []
-            for rid, first, tile in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                k = number.get(tile)
-                if k is None:
-                    number[tile] = len(owner)
-                    owner.append((rid, first))
-                    again.append(False)
-                    waiting.append(tile)
-                    size += len(tile)
-                    continue
-                again[k] = True
-                rids.append(rid)
-                lows.append(first)
-                highs.append(first + matcher.symbols(tile))
+            for key, rid, first, tile in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if key != last:
+                    if group.held >= batch_symbols:
+                        yield from group.ranges()
+                        group = _Group(make())
+                    last = key
+                if group.repeated(tile, rid, first):
+                    rids.append(rid)
+                    lows.append(first)
+                    highs.append(first + group.matcher.symbols(tile))
+                elif group.size >= batch_symbols:
+                    group.add()
             if rids:
                 yield _ranges(rids, lows, highs)
-            if size >= batch_symbols:
-                matcher.add(waiting)
-                waiting, size = [], 0
-        if waiting:
-            matcher.add(waiting)
-        number.clear()
+        yield from group.ranges()
+
+    return run
+
+
+class _Group:
+    """The distinct tiles of some keys, each once, and their matcher."""
+
+    def __init__(self, matcher) -> None:
+        self.matcher = matcher
+        self.number: dict[bytes, int] = {}
+        self.owner: list[tuple[int, int]] = []  # row and first window of each distinct tile
+        self.again: list[bool] = []
+        self.waiting: list[bytes] = []
+        self.size = self.held = 0
+
+    def repeated(self, tile: bytes, rid: int, first: int) -> bool:
+        """Whether the tile came before; a new one waits for the matcher."""
+        k = self.number.get(tile)
+        if k is not None:
+            self.again[k] = True
+            return True
+        self.number[tile] = len(self.owner)
+        self.owner.append((rid, first))
+        self.again.append(False)
+        self.waiting.append(tile)
+        self.size += len(tile)
+        self.held += len(tile)
+        return False
+
+    def add(self) -> None:
+        if self.waiting:
+            self.matcher.add(self.waiting)
+        self.waiting, self.size = [], 0
+
+    def ranges(self):
+        """Marked ranges of the first row of each distinct tile."""
+        self.add()
+        self.number.clear()
         rids, lows, highs = [], [], []
-        for k, marked in enumerate(matcher.marked()):
-            rid, first = owner[k]
-            for low, high in [(0, marked[0])] if again[k] else marked[1]:
+        for k, marked in enumerate(self.matcher.marked()):
+            rid, first = self.owner[k]
+            for low, high in [(0, marked[0])] if self.again[k] else marked[1]:
                 rids.append(rid)
                 lows.append(first + low)
                 highs.append(first + high)
@@ -226,8 +257,6 @@ def _match(make: Callable[[], object], batch_symbols: int):
                 rids, lows, highs = [], [], []
         yield _ranges(rids, lows, highs)
 
-    return run
-
 
 def _ranges(rids, lows, highs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["rid", "low", "high"])
@@ -239,7 +268,7 @@ def repeated_ranges(base: DataFrame, unique: bool, form: Symbols, make: Callable
     anchors = text.mapInArrow(_anchors(form), "key bigint, rid bigint, pack bigint")
     shared = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rid bigint, pack bigint")
     wanted = shared.groupBy("rid").agg(F.collect_list(F.struct("key", "pack")).alias("found"))  # bounded by the document
-    meeting = text.join(wanted, "rid").mapInArrow(_fetch(form), "key bigint, rid bigint, first bigint, tile binary").repartition("key")
+    meeting = text.join(wanted, "rid").mapInArrow(_fetch(form), "key bigint, rid bigint, first bigint, tile binary").repartition("key").sortWithinPartitions("key")
     marked = meeting.mapInArrow(_match(make, batch_symbols), "rid bigint, low bigint, high bigint")
     return marked.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 

@@ -4,11 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave.llm import decontaminate, fingerprint, line_dedup, lm, mixing, ngram_join, rlz, suffix_dedup, toxicity, urls
 from riskweave.llm.common import components
+from riskweave.llm.repeats import _match as match
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -121,6 +123,23 @@ def test_repeats(spark, rows, docs, empty, module):
     assert len(set(map(tuple, module.repeats(again).collect()))) == 1  # the same row twice is one document
 
 
+def test_matchers_end_with_their_keys():
+    made = []
+
+    class Spy(rlz.RelativeParse):
+        def __init__(self):
+            super().__init__(window=3)
+            made.append(self)
+
+    tiles = [(key, 10 * key + row, row, f"{key}a {key}b {key}c {own}".encode()) for key in range(30) for row, own in enumerate(("x", "x", f"{key}y"))]
+    key, rid, first, tile = zip(*tiles, strict=True)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 7]) for c in (key, rid, first, tile)], names=["key", "rid", "first", "tile"]) for a in range(0, len(tiles), 7)]
+    found = {tuple(r.values()) for b in match(Spy, 60)(batches) for r in b.to_pylist()}
+    wanted = {(10 * k + row, row, row + n) for k in range(30) for row, n in ((0, 4), (1, 4), (2, 3))}
+    assert found == wanted
+    assert len(made) > 5 and max(sum(len(b.text) for b in m.blocks) for m in made) < 40  # one matcher held all keys before
+
+
 def test_suffix_levels_merge():
     rng = random.Random(5)
     tiles = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(64)]
