@@ -1,15 +1,16 @@
 """LM scoring (operator 10): a weighted backoff automaton over words.
 
 Tokens are words of a text plus one end. Every token's training count is gathered (its base model is additive
-smoothing over those counts), and every n-gram of up to ``ORDER`` tokens (two; three can be asked for) that occurs at
+smoothing over those counts), and every n-gram of up to ``ORDER`` tokens (three; two can be asked for) that occurs at
 least ``LEAST`` times. n-grams are the arcs of an automaton: a state is a history that some arc leaves, an arc carries its absolutely discounted log10
 probability, and each state has a failure arc to its longest proper suffix with the backoff weight that makes its
 distribution sum to one; at the root the base model answers.
 
 The automaton grows with the corpus and is a distributed table (key, c, back); nothing of it is broadcast or collected.
-Documents are dealt into blocks. A block asks for the keys of its distinct tokens, pairs and triples, sorted and packed
-by key range; each range of the table answers with counts and backoff weights in the order asked. n-grams are counted
-the same way: blocks send their distinct keys, and one block of those that sent a key is told its count and names it.
+Documents are dealt into blocks. A block asks for the keys of its distinct tokens and pairs, sorted and packed by key
+range; each range of the table answers with counts and backoff weights in the order asked. n-grams are counted the same
+way: blocks send their distinct keys and are told their counts, and one block of those that sent a key names it. A triple
+occurs no oftener than its two pairs, so triples are counted and asked for in a second step, where both pairs are arcs.
 A token's state is its longest history with an arc, so all tokens of a block are traversed at once: those that find no
 arc pay the backoff weight and follow the failure arc.
 """
@@ -23,6 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ from riskweave.llm.common import Powers, crc_fold, discard, materialise, mix, re
 
 #: n-grams that occur less often are no arcs.
 LEAST = 2
-#: Tokens of the longest n-grams, 2 or 3. With 3, the keys of triples alone are more than twice the size of the texts.
-ORDER = 2
+#: Tokens of the longest n-grams, 2 or 3.
+ORDER = 3
 DISCOUNT = 0.5
 ALPHA = 0.1
 BLOCK_BYTES = 12 << 20
@@ -86,31 +88,63 @@ def _keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return one, two, three, is_two, is_three
 
 
-def _grams(batches: list[pa.RecordBatch], column: int, order: int):
-    """(keys, keys of all tokens but the last, of all but the first) of the pairs and, of order 3, then of the triples of each stretch of rows."""
+def _grams(batches: list[pa.RecordBatch], column: int, pairs: np.ndarray | None = None):
+    """(keys, keys of all tokens but the last, of all but the first) of each stretch of rows: of its pairs or, given the sorted keys of the pairs that are arcs, of its triples of two such pairs."""
     powers = Powers()
     for part in text_slices(batches, column, 1 << 20):
         one, two, three, is_two, is_three = _keys(*tokens(*utf8(part.column(column)), powers))
-        yield tuple(tuple(x.view(np.uint64) for x in (key[good], np.roll(shorter, 1)[good], shorter[good])) for key, good, shorter in ((two, is_two, one), (three, is_three, two))[: order - 1])
+        if pairs is None:
+            yield two[is_two].view(np.uint64), np.roll(one, 1)[is_two].view(np.uint64), one[is_two].view(np.uint64)
+        else:
+            good = is_three & _both(_among(pairs, two.view(np.uint64)))
+            yield three[good].view(np.uint64), np.roll(two, 1)[good].view(np.uint64), two[good].view(np.uint64)
 
 
-def _census(parts: int, order: int):
-    """One request to each key range: the distinct keys of a block's pairs and triples, and how often each occurs there."""
+def _among(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are in the sorted ``key``."""
+    return key[np.minimum(_find(key, wanted), len(key) - 1)] == wanted if len(key) else np.zeros(len(wanted), bool)
+
+
+def _both(pair: np.ndarray) -> np.ndarray:
+    """Of each token, whether the pair that ends at it and the one that ends before it are marked."""
+    return pair & np.roll(pair, 1)
+
+
+def _sent(key: np.ndarray, n: np.ndarray, block: pa.Table, parts: int) -> pa.Table:
+    """One request to each key range: a block's sorted distinct keys, and how often each occurs there."""
+    part, at = np.unique(_part_of(key, parts), return_index=True)
+    requests = [_pack(x, p, parts) for x, p in zip(np.split(key, at[1:]), part.tolist(), strict=True)] if len(key) else []
+    counts = [_planes(x) for x in np.split(n, at[1:])] if len(key) else []
+    own = block["block"][0].as_py() if block.num_rows else 0
+    return pa.table({"block": pa.array(np.full(len(part), own, np.int32)), "part": pa.array(part, pa.int32()), "request": pa.array(requests, pa.binary()), "n": pa.array(counts, pa.binary())})
+
+
+def _counted(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _census(parts: int):
+    """Requests about a block's pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        found = [kind[0] for both in _grams(table.select(["text"]).to_batches(), 0, order) for kind in both]
-        key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        part, at = np.unique(_part_of(key, parts), return_index=True)
-        requests = [_pack(x, p, parts) for x, p in zip(np.split(key, at[1:]), part.tolist(), strict=True)] if len(key) else []
-        counts = [_planes(x) for x in np.split(n, at[1:])] if len(key) else []
-        block = table["block"][0].as_py() if table.num_rows else 0
-        return pa.table({"block": pa.array(np.full(len(part), block, np.int32)), "part": pa.array(part, pa.int32()), "request": pa.array(requests, pa.binary()), "n": pa.array(counts, pa.binary())})
+        return _sent(*_counted([key for key, _, _ in _grams(table.select(["text"]).to_batches(), 0)]), table, parts)
+
+    return run
+
+
+def _census_long(parts: int):
+    """Requests about a block's triples of two pairs that are arcs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches = left.select(["text"]).to_batches()
+        key, total, _ = _told(batches, parts, right)
+        return _sent(*_counted([key for key, _, _ in _grams(batches, 0, key[total > 0])]), left, parts)
 
     return run
 
 
 def _summed(parts: int, least: int):
-    """Answers one of the blocks that sent a key with the key's whole count, if that is ``least`` or more, and all others with 0."""
+    """Answers each block that sent a key with twice the key's whole count, if that is ``least`` or more, else with 0; one of the blocks, which shall name the key, with one more."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"].to_pylist()
@@ -119,48 +153,65 @@ def _summed(parts: int, least: int):
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        total = np.add.reduceat(n[order], head)
+        fresh = np.append(True, key[1:] != key[:-1])
+        total = np.add.reduceat(n[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
         reply = np.zeros(len(key), np.int64)
-        reply[order[head]] = np.where(total >= least, total, 0)
+        reply[order] = np.where(total >= least, 2 * total + fresh, 0)
         replies = [_planes(x) for x in np.split(reply, np.cumsum([len(k) for k in keys])[:-1])]
         return pa.table({"block": table["block"], "part": table["part"], "reply": pa.array(replies, pa.binary())})
 
     return run
 
 
+def _told(batches: list[pa.RecordBatch], parts: int, replies: pa.Table, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a block's pairs or triples (see ``_grams``), their whole counts, and which the block shall name."""
+    key = _distinct([key for key, _, _ in _grams(batches, 0, pairs)])
+    reply = np.zeros(len(key), np.int64)
+    for (a, b), packed in _places(key, parts, replies):
+        reply[a:b] = _from_planes(packed, b - a)
+    return key, reply >> 1, (reply & 1).astype(bool)
+
+
 def _kept(parts: int, longest: int):
-    """The n-grams that a block was answered about."""
+    """The n-grams that a block shall name."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = left.select(["text"]).to_batches()
-        found = [kind[0] for both in _grams(batches, 0, longest) for kind in both]
-        key = _distinct(found)
-        count = np.zeros(len(key), np.int64)
-        for (a, b), reply in _places(key, parts, right):
-            count[a:b] = _from_planes(reply, b - a)
-        key, count = key[count > 0], count[count > 0]
-        rows = {"n": np.zeros(len(key), np.int32), "hist": np.zeros(len(key), np.uint64), "low": np.zeros(len(key), np.uint64)}
-        if len(key):
-            for both in _grams(batches, 0, longest):
-                for order, (own, hist, low) in enumerate(both, 2):
-                    at = np.minimum(_find(key, own), len(key) - 1)
-                    hit = key[at] == own
-                    for name, x in (("n", order), ("hist", hist[hit]), ("low", low[hit])):
-                        rows[name][at[hit]] = x
-        return pa.table({"n": rows["n"], **{k: pa.array(x.view(np.int64)) for k, x in (("key", key), ("hist", rows["hist"]), ("low", rows["low"]), ("c", count))}})
+        out: dict[str, list] = {k: [] for k in ("n", "key", "hist", "low", "c")}
+        pairs = None
+        for order in range(2, longest + 1):
+            key, count, own = _told(batches, parts, right.filter(pa.compute.equal(right["n"], order)), pairs)
+            mine = key[own]
+            hist, low = np.zeros(len(mine), np.uint64), np.zeros(len(mine), np.uint64)
+            if len(mine):
+                for all_, before, after in _grams(batches, 0, pairs):
+                    at = np.minimum(_find(mine, all_), len(mine) - 1)
+                    hit = mine[at] == all_
+                    hist[at[hit]], low[at[hit]] = before[hit], after[hit]
+            for name, x in zip(out, (np.full(len(mine), order, np.int32), mine.view(np.int64), hist.view(np.int64), low.view(np.int64), count[own]), strict=True):
+                out[name].append(x)
+            pairs = key[count > 0]
+        return pa.table({k: pa.array(np.concatenate(v)) for k, v in out.items()})
 
     return run
 
 
 def gram_counts(texts: DataFrame, least: int, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
-    """(n, key, hist, low, c) of the pairs (n = 2) and, of order 3, triples that occur at least ``least`` times; hist and low are the keys of all tokens but the last and but the first."""
+    """(n, key, hist, low, c) of the pairs (n = 2) and, of order 3, triples that occur at least ``least`` times; hist and low are the keys of all tokens but the last and but the first.
+
+    Of order 3 ``texts`` is read more than once and must come in the same partitions each time, as files do.
+    """
     text = texts.select(F.col(texts.columns[0]).cast("string").alias("text"))
     blocks = max(1, -(-(text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     dealt = text.withColumn("block", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition("block")
-    sent = dealt.groupBy("block").applyInArrow(_census(blocks, order), "block int, part int, request binary, n binary")
-    replies = sent.groupBy("part").applyInArrow(_summed(blocks, least), "block int, part int, reply binary")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_kept(blocks, order), "n int, key bigint, hist bigint, low bigint, c bigint")
+    sent_as, told_as = "block int, part int, request binary, n binary", "block int, part int, reply binary"
+    replies = dealt.groupBy("block").applyInArrow(_census(blocks), sent_as).groupBy("part").applyInArrow(_summed(blocks, least), told_as)
+    told = replies.withColumn("n", F.lit(2))
+    if order > 2:
+        replies = materialise(replies, "replies")
+        sent = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_census_long(blocks), sent_as)
+        told = replies.withColumn("n", F.lit(2)).unionByName(sent.groupBy("part").applyInArrow(_summed(blocks, least), told_as).withColumn("n", F.lit(3)))
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_kept(blocks, order), "n int, key bigint, hist bigint, low bigint, c bigint")
 
 
 class Automaton:
@@ -230,10 +281,10 @@ class Automaton:
 
 
 class Language:
-    """What scoring needs besides the token counts: corpus totals and the table (key, c, back) of tokens, START and n-grams."""
+    """What scoring needs besides the token counts: corpus totals and the tables (key, c, back) of tokens, START and pairs, and of triples (order 3)."""
 
-    def __init__(self, n: int, v: int, documents: int, counts: DataFrame, pairs: DataFrame, triples: DataFrame, arcs: DataFrame, least: int, order: int) -> None:
-        self.n, self.v, self.documents, self.arcs, self.order = n, v, documents, arcs, order
+    def __init__(self, n: int, v: int, documents: int, counts: DataFrame, pairs: DataFrame, triples: DataFrame, arcs: DataFrame, long_arcs: DataFrame | None, least: int, order: int) -> None:
+        self.n, self.v, self.documents, self.arcs, self.long_arcs, self.order = n, v, documents, arcs, long_arcs, order
         self._parts = counts, pairs, triples, least
 
     @property
@@ -278,16 +329,19 @@ def train(texts: DataFrame, *, least: int = LEAST, order: int = ORDER, keep_gram
     one = counts.select("token", "c").unionByName(start).select(F.col("token").alias("key"), "c", ((F.col("c") + ALPHA) / (n + ALPHA * (v + 1))).alias("p"))
     two, back_one = _weighed(pairs, one)
     arcs = one.join(back_one, "key", "left").select("key", "c", "back")
-    last = two
+    ends_here = F.lit(None).cast("double").alias("back")
+    long_arcs = None
     if order > 2:
-        last, back_two = _weighed(triples, two)
+        three, back_two = _weighed(triples, two)
         arcs = arcs.unionByName(two.join(back_two, "key", "left").select("key", "c", "back"))
-    arcs = arcs.unionByName(last.select("key", "c", F.lit(None).cast("double").alias("back")))
+        long_arcs = three.select("key", "c", ends_here)
+    else:
+        arcs = arcs.unionByName(two.select("key", "c", ends_here))
     if not keep_grams:
         discard(grams)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # the shuffles behind these tables go before scoring makes its own
-    return Language(n, v, documents, counts, pairs, triples, arcs, least, order), counts
+    return Language(n, v, documents, counts, pairs, triples, arcs, long_arcs, least, order), counts
 
 
 _RESULT = "id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -297,18 +351,27 @@ def score(docs: DataFrame, language: Language, counts: DataFrame, *, id_col: str
     """(id, n_tokens, n_known, base_score, score) of every row; a null text is empty. Repeated rows are scored each for itself.
 
     Rows are dealt by hash into blocks of about ``block_bytes``; each block asks for its distinct keys, one request to
-    each of as many key ranges as there are blocks.
+    each of as many key ranges as there are blocks: first for tokens and pairs, then for the triples of two known pairs.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition("block")
-    asked = dealt.groupBy("block").applyInArrow(_ask(blocks, language.order), "block int, part int, request binary")
-    arcs = language.arcs.mapInArrow(_ranged(blocks), "part int, key bigint, c bigint, back double")
-    answers = asked.groupBy("part").cogroup(arcs.groupBy("part")).applyInArrow(_answer(blocks), "block int, part int, reply binary")
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("text", "id"), F.lit(blocks)).cast("int")).repartition("block")  # rows alone fix their block: they are dealt more than once
+    asked_as = "block int, part int, request binary"
+
+    def answers(asked: DataFrame, arcs: DataFrame) -> DataFrame:
+        ranged = arcs.mapInArrow(_ranged(blocks), "part int, key bigint, c bigint, back double")
+        return asked.groupBy("part").cogroup(ranged.groupBy("part")).applyInArrow(_answer(blocks), "block int, part int, reply binary")
+
+    known = answers(dealt.groupBy("block").applyInArrow(_ask(blocks), asked_as), language.arcs)
+    told = known.withColumn("n", F.lit(2))
+    if language.order > 2:
+        known = materialise(known, "answers")
+        asked = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_ask_long(blocks), asked_as)
+        told = known.withColumn("n", F.lit(2)).unionByName(answers(asked, language.long_arcs).withColumn("n", F.lit(3)))
     scored = _score(blocks, language.scale, language.order)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, _RESULT.format(kind=kind))
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, _RESULT.format(kind=kind))
 
 
 def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -359,7 +422,7 @@ def _find(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def _places(key: np.ndarray, parts: int, replies: pa.Table):
     """Of each reply, the stretch of a block's keys that it is about, and the reply."""
     part, at = np.unique(_part_of(key, parts), return_index=True)
-    begin = dict(zip(part.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True), strict=True))
+    begin = dict(zip(part.tolist(), zip(at.tolist(), np.append(at, len(key))[1:].tolist(), strict=True), strict=True))
     for p, reply in zip(replies["part"].to_pylist(), replies["reply"], strict=True):
         yield begin[p], reply.as_py()
 
@@ -381,22 +444,44 @@ def _read_reply(reply: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return c, back
 
 
-def _wanted(texts: list[pa.RecordBatch], column: int, order: int) -> np.ndarray:
-    """Sorted distinct keys of a block's tokens, pairs and, of order 3, triples."""
+def _wanted(texts: list[pa.RecordBatch], column: int) -> np.ndarray:
+    """Sorted distinct keys of a block's tokens and pairs."""
     powers, found = Powers(), []
     for part in text_slices(texts, column, 1 << 20):
-        one, two, three, is_two, is_three = _keys(*tokens(*utf8(part.column(column)), powers))
-        found += [_distinct([x.view(np.uint64)]) for x in (one, two[is_two], three[is_three])[:order]]
+        one, two, _, is_two, _ = _keys(*tokens(*utf8(part.column(column)), powers))
+        found += [_distinct([x.view(np.uint64)]) for x in (one, two[is_two])]
     return _distinct(found)
 
 
-def _ask(parts: int, order: int):
+def _known(texts: list[pa.RecordBatch], column: int, parts: int, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a block's tokens and pairs, their counts and their backoff weights."""
+    key = _wanted(texts, column)
+    count, back = np.zeros(len(key), np.int64), np.zeros(len(key))
+    for (a, b), reply in _places(key, parts, replies):
+        count[a:b], weight = _read_reply(reply, b - a)
+        back[a:b] = np.nan_to_num(weight)  # a history that no arc leaves is no state: its backoff costs nothing
+    return key, count, back
+
+
+def _asked(key: np.ndarray, block: pa.Table, parts: int) -> pa.Table:
+    part, at = np.unique(_part_of(key, parts), return_index=True)
+    requests = [_pack(x, p, parts) for x, p in zip(np.split(key, at[1:]), part.tolist(), strict=True)] if len(key) else []
+    own = block["block"][0].as_py() if block.num_rows else 0
+    return pa.table({"block": pa.array(np.full(len(part), own, np.int32)), "part": pa.array(part, pa.int32()), "request": pa.array(requests, pa.binary())})
+
+
+def _ask(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        key = _wanted(table.select(["text"]).to_batches(), 0, order)
-        part, at = np.unique(_part_of(key, parts), return_index=True)
-        requests = [_pack(x, p, parts) for x, p in zip(np.split(key, at[1:]), part.tolist(), strict=True)] if len(key) else []
-        block = table["block"][0].as_py() if table.num_rows else 0
-        return pa.table({"block": pa.array(np.full(len(part), block, np.int32)), "part": pa.array(part, pa.int32()), "request": pa.array(requests, pa.binary())})
+        return _asked(_wanted(table.select(["text"]).to_batches(), 0), table, parts)
+
+    return run
+
+
+def _ask_long(parts: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.select(["text"]).to_batches()
+        key, count, _ = _known(texts, 0, parts, right)
+        return _asked(_distinct([k for k, _, _ in _grams(texts, 0, key[count > 0])]), left, parts)
 
     return run
 
@@ -428,11 +513,14 @@ def _answer(parts: int):
 def _score(parts: int, scale: float, order: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.select(["id", "text"]).to_batches()
-        key = _wanted(texts, 1, order)
-        count, back = np.zeros(len(key), np.int64), np.zeros(len(key))
-        for (a, b), reply in _places(key, parts, right):
-            count[a:b], weight = _read_reply(reply, b - a)
-            back[a:b] = np.nan_to_num(weight)  # a history that no arc leaves is no state: its backoff costs nothing
+        first_step = pa.compute.equal(right["n"], 2)
+        key, count, back = _known(texts, 1, parts, right.filter(first_step))
+        long, long_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if order > 2:
+            long = _distinct([k for k, _, _ in _grams(texts, 1, key[count > 0])])
+            long_count = np.zeros(len(long), np.int64)
+            for (a, b), reply in _places(long, parts, right.filter(pa.compute.invert(first_step))):
+                long_count[a:b], _ = _read_reply(reply, b - a)
         powers = Powers()
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         ids_out = []
@@ -444,9 +532,9 @@ def _score(parts: int, scale: float, order: int):
             a = _find(key, one.view(np.uint64))
             b = np.where(is_two, 0, a)
             b[is_two] = _find(key, two[is_two].view(np.uint64))
-            c = a.copy()
-            c[is_three] = _find(key, three[is_three].view(np.uint64))
-            n_one, n_two, n_three = count[a], np.where(is_two, count[b], 0), np.where(is_three, count[c], 0)
+            n_one, n_two, n_three = count[a], np.where(is_two, count[b], 0), np.zeros(len(one), np.int64)
+            likely = is_three & _both(n_two > 0)
+            n_three[likely] = long_count[_find(long, three[likely].view(np.uint64))]
             logs = np.log10(n_one + ALPHA) - log_scale
             before = np.roll(n_one, 1), np.roll(n_two, 1)  # counts of the histories of one and of two tokens
             with np.errstate(divide="ignore", invalid="ignore"):

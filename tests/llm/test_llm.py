@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -250,6 +251,37 @@ def test_language_model(spark, rows, docs, empty):
     assert lm.score(docs, language, counts).count() == docs.count()
 
 
+def test_the_query_scores_with_triples(spark, tmp_path):
+    rng = random.Random(31)
+    made = [(i, " ".join(rng.choice(["a b c", "x b d"]) for _ in range(40))) for i in range(60)]  # what follows b hangs on what came before it
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {k: {} for k in (1, 2, 3)}
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in made}
+    for i, t in made:
+        w = ["<s>", *t.split(), "</s>"]
+        for k in seen if fold[i] else ():
+            for j in range(k == 1, len(w) - k + 1):
+                seen[k][tuple(w[j : j + k])] = seen[k].get(tuple(w[j : j + k]), 0) + 1
+    n, v = sum(seen[1].values()), len(seen[1])
+    arcs = {k: {g: c for g, c in seen[k].items() if c > 1} for k in (2, 3)}
+    seen[1]["<s>",] = sum(f != 0 for f in fold.values())
+
+    def p(gram):
+        if len(gram) == 1:
+            return (seen[1].get(gram, 0) + 0.1) / (n + 0.1 * (v + 1))
+        hist = gram[:-1]
+        if gram in arcs[len(gram)]:
+            return (arcs[len(gram)][gram] - 0.5) / seen[len(hist)][hist]
+        out = [g for g in arcs[len(gram)] if g[:-1] == hist]
+        return p(gram[1:]) * ((1 - sum(p(g) for g in out)) / (1 - sum(p(g[1:]) for g in out)) if out else 1)
+
+    for r in lm.query(spark, str(tmp_path)).collect():
+        w = ["<s>", *made[r["doc_id"]][1].split(), "</s>"]
+        grams = [tuple(w[max(0, j - 2) : j + 1]) for j in range(1, len(w))]
+        assert abs(r["base_score"] - sum(math.log10(p(g[-1:])) for g in grams)) < 1e-9
+        assert abs(r["score"] - sum(math.log10(p(g)) for g in grams)) < 1e-6
+
+
 @pytest.mark.parametrize("longest", [2, 3])
 def test_language_model_keeps_every_ngram_that_occurs_twice(spark, longest):
     rng = random.Random(12)
