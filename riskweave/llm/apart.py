@@ -16,6 +16,8 @@ from riskweave.llm.common import materialise
 #: Words of a class's parity bitmap.
 PARITY = 8
 BITS = [f"p{k}" for k in range(PARITY)]
+#: Of a class's rarest shingles, each row knows so many that come before its own.
+BEFORE = 8
 
 
 def may_link(x: str, y: str, threshold: float) -> Column:
@@ -48,11 +50,19 @@ def spokes(found: DataFrame) -> DataFrame:
 
 
 def paired(rows: DataFrame, key: str, facts: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (hub, cls) of ``rows`` (key, cls, component) that share a key, lie in different components and may link, without those in ``done``."""
-    rich = rows.join(facts, "cls").select(key, "cls", "component", F.struct("n_shingles", *BITS).alias("s"))
+    """Pairs (hub, cls) of ``rows`` (key, cls, component) that share a key, lie in different components and may link, without those in ``done``.
+
+    Rows of ``rarest`` have what comes before their shingle: a pair with one of that in common meets there too, so it comes
+    out at its first common shingle and at few others.
+    """
+    first = ["before"] if "before" in rows.columns else []
+    rich = rows.join(facts, "cls").select(key, "cls", "component", F.struct("n_shingles", *BITS, *first).alias("s"))
     x = rich.select(F.col(key).alias("k1"), F.col("cls").alias("hub"), F.col("component").alias("c1"), F.col("s").alias("x"))
     y = rich.select(F.col(key).alias("k2"), "cls", F.col("component").alias("c2"), F.col("s").alias("y"))
-    joined = x.join(y, (F.col("k1") == F.col("k2")) & (F.col("hub") < F.col("cls")) & (F.col("c1") != F.col("c2")) & may_link("x", "y", threshold))
+    meets = (F.col("k1") == F.col("k2")) & (F.col("hub") < F.col("cls")) & (F.col("c1") != F.col("c2")) & may_link("x", "y", threshold)
+    if first:
+        meets &= ~F.arrays_overlap("x.before", "y.before")
+    joined = x.join(y, meets)
     return joined.select("hub", "cls").distinct().join(done, ["hub", "cls"], "left_anti")
 
 
@@ -67,13 +77,18 @@ def between(pairs: DataFrame, labels: DataFrame, *, once: bool = False) -> DataF
 
 
 def rarest(shingled: DataFrame, short: DataFrame, threshold: float) -> DataFrame:
-    """(shingle, cls, component) of the classes in ``short`` (cls, component): of each its rarest shingles among ``shingled`` (cls, shingle), which has the sets of just these.
+    """(shingle, cls, component, before) of the classes in ``short`` (cls, component): of each its rarest shingles among ``shingled`` (cls, shingle), which has the sets of just these.
 
     With shingles in one order of frequency, two sets of similarity t share one among each's first n - ceil(t n) + 1,
-    so no pair of these classes is lost, and a passage that very many share seldom stands so far in front.
+    so no pair of these classes is lost, and a passage that very many share seldom stands so far in front. Shingles of one
+    class alone come first and are only counted. ``before`` has up to ``BEFORE`` shingles that come next before a row's own.
     """
-    counted = shingled.join(shingled.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    counted = shingled.join(shingled.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
     ranked = counted.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # bounded by the document
-    size = F.size("all")
-    front = (size - F.ceil(size * threshold - 1e-6) + 1).cast("int")
-    return ranked.select("cls", F.explode(F.slice("all", F.lit(1), front)).alias("own")).where("own.n > 1").join(short, "cls").select(F.col("own.shingle").alias("shingle"), "cls", "component")
+    sizes = shingled.groupBy("cls").agg(F.count("*").alias("size"))
+    alone = F.col("size") - F.size("all")
+    front = F.greatest(F.col("size") - F.ceil(F.col("size") * threshold - 1e-6) + 1 - alone, F.lit(0)).cast("int")
+    fronts = ranked.join(sizes, "cls").select("cls", F.slice("all.shingle", F.lit(1), front).alias("front"))
+    each = fronts.select("cls", "front", F.posexplode("front").alias("at", "shingle"))
+    before = F.slice("front", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    return each.select("cls", "shingle", before.alias("before")).join(short, "cls").select("shingle", "cls", "component", "before")

@@ -181,12 +181,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """Union-find over Spark joins: (node, component) for every node of ``edges``, component = its smallest reachable node.
 
     Alternates large-star and small-star steps; each is a minimum per node (combined before the shuffle) and a
-    join back, so no neighbour list is ever gathered. Every round is cut by a table in the shared folder. Null
-    ends and loops are left out; an empty input gives an empty result.
+    join back, so no neighbour list is ever gathered. Every round is cut by a table in the shared folder, the last one
+    when all edges are stars. Null ends and loops are left out; an empty input gives an empty result.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = materialise(e, "edges")
-    seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -196,11 +195,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, e = e, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         discard(before)
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.max("u"), F.min("v")).first()
-        if now == seen:
-            break
-        seen = now
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        links = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+        if not links.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("low") < 1)))).first()[0]:
+            break  # every node has one edge up, to a node that has none
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component), as ``components`` gives them, after more edges (a, b): only the components that these join are worked over. It is a table of its own."""
+    ca, cb = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    moved = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(moved).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.select("node", "component").unionByName(new.select("node", F.col("node").alias("component")))
+    return materialise(every.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "labels")

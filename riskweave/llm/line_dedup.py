@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.apart import BITS, PARITY, between, mixed, paired, rarest, sifted, spokes
-from riskweave.llm.common import components, discard, materialise, read, unused
+from riskweave.llm.common import components, discard, extended, materialise, read, unused
 from riskweave.llm.repeats import row_key
 
 LEAST_CHARS = 1
@@ -29,8 +29,9 @@ SKETCH = 11
 ROWS = 3
 #: Lines of fewer word starts than the first are sketched over all their shingles, of more than the second at word starts, others both ways.
 FEW = (10, 13)
-#: Lines of buckets with more components than this meet by their rarest shingles instead.
-REFINE_OVER = 8
+#: Lines of buckets with more components than this meet by their rarest shingles instead. Both ways find all pairs; a pair in a bucket
+#: costs a look at two bitmaps, a line's rarest shingles are dozens of rows, each in larger groups than its buckets.
+REFINE_OVER = 64
 
 
 def normal_form(text: Column) -> Column:
@@ -113,8 +114,7 @@ def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
     scrap.append(second)
     if not second.isEmpty():
         scrap.append(_verify(second, known, threshold))
-        links = links.unionByName(scrap[-1])
-        labels = components(links)
+        labels = extended(labels, scrap[-1])
         left, done = mixed(left, labels), stars.unionByName(second)
         scrap.append(left)
     hot = F.col("components") > REFINE_OVER
@@ -131,14 +131,13 @@ def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
     if not more.isEmpty():  # one pair of each two components first; what that does not unite, all at once
         single = materialise(between(more, labels, once=True), "pairs")
         scrap += [single, _verify(single, known, threshold)]
-        links = links.unionByName(scrap[-1])
-        labels = components(links)
+        labels = extended(labels, scrap[-1])
         rest = materialise(between(more.join(single, ["hub", "cls"], "left_anti"), labels), "pairs")
         scrap.append(rest)
         if not rest.isEmpty():
             scrap.append(_verify(rest, known, threshold))
-            labels = components(links.unionByName(scrap[-1]))
-    for table in scrap:  # the labels read none of these: components ends with a table of its own
+            labels = extended(labels, scrap[-1])
+    for table in scrap:  # the labels read none of these: components and extended end with tables of their own
         discard(table)
     return labels
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.apart import BITS, PARITY, mixed, paired, rarest, sifted, spokes
-from riskweave.llm.common import Powers, Shared, components, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, unused, utf8
+from riskweave.llm.common import Powers, Shared, components, discard, extended, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, unused, utf8
 from riskweave.llm.repeats import keyed
 
 SHINGLE = 5
@@ -369,7 +369,9 @@ def verify(pairs: DataFrame, real: DataFrame, base: DataFrame, unique: bool) ->
     members = pairs.join(count, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(sets, "cls")
     centres = count.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("cls", "hub"), "hub")
     rows = members.select("hub", "salt", "cls", F.lit(1).alias("member"), "items").unionByName(centres.select("hub", "salt", F.col("hub").alias("cls"), F.lit(0).alias("member"), "items"))
-    return materialise(rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify, "a bigint, b bigint"), "links")
+    links = materialise(rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify, "a bigint, b bigint"), "links")
+    discard(sets)
+    return links
 
 
 def class_links(base: DataFrame, unique: bool, real: DataFrame, clash: np.ndarray) -> DataFrame:
@@ -389,8 +391,7 @@ def class_links(base: DataFrame, unique: bool, real: DataFrame, clash: np.ndarra
     second = materialise(sifted(spokes(left), facts, THRESHOLD).join(stars, ["hub", "cls"], "left_anti"), "stars")
     done = stars
     if not second.isEmpty():
-        links = links.unionByName(verify(second, real, base, unique))
-        labels = components(links)
+        labels = extended(labels, verify(second, real, base, unique))
         left, done = mixed(left, labels), stars.unionByName(second)
 
     # what is left is exhausted: signatures of few components directly; the others are allocated nothing, and classes that
@@ -408,7 +409,7 @@ def class_links(base: DataFrame, unique: bool, real: DataFrame, clash: np.ndarra
         rare = paired(rarest(shingled, short, THRESHOLD), "shingle", every, done, THRESHOLD)
     more = materialise(few.unionByName(rare).distinct(), "pairs")
     if not more.isEmpty():
-        labels = components(links.unionByName(verify(more, real, base, unique)))
+        labels = extended(labels, verify(more, real, base, unique))
     return labels
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontaminate, fingerprint, line_dedup, lm, mixing, ngram_join, rlz, suffix_dedup, toxicity, urls
+from riskweave.llm import apart, common, decontaminate, fingerprint, line_dedup, lm, mixing, ngram_join, rlz, suffix_dedup, toxicity, urls
 from riskweave.llm.common import components
 from riskweave.llm.repeats import _match as match
 
@@ -190,6 +190,41 @@ def test_lines(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_pairs_come_out_at_their_first_common_shingle(spark):
+    rng = random.Random(17)
+    sets = {}
+    for g in range(12):
+        core = [rng.randrange(4000) for _ in range(60)]
+        for k in range(6):
+            sets[10 * g + k] = set(core) ^ {rng.randrange(4000) for _ in range(rng.randrange(14))}
+    shingled = spark.createDataFrame([(c, s) for c, x in sets.items() for s in x], "cls long, shingle long")
+    short = spark.createDataFrame([(c, c) for c in sets], "cls long, component long")
+    rows = apart.rarest(shingled, short, 0.8).cache()
+    x, y = (rows.select("shingle", F.col("cls").alias(c), F.col("before").alias(f"b{c}")) for c in "xy")
+    meet = x.join(y, "shingle").where("x < y")
+    met = {(r["x"], r["y"]) for r in meet.collect()}
+    out = [(r["x"], r["y"]) for r in meet.where("not arrays_overlap(bx, by)").collect()]
+    assert set(out) == met and len(out) < 1.2 * len(met) < 0.5 * meet.count()  # each pair came out at every common shingle before
+    one = {b: F.lit(0).cast("long").alias(b) for b in apart.BITS}
+    facts = shingled.groupBy("cls").agg(F.count("*").alias("n_shingles")).select("cls", "n_shingles", *one.values())
+    got = {tuple(r) for r in apart.paired(rows, "shingle", facts, short.limit(0).selectExpr("cls as hub", "cls"), 0.8).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(linked) > 50 and linked <= got
+
+
+def test_components_grow_and_end_with_stars(spark, monkeypatch):
+    rng = random.Random(23)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    first, more = (spark.createDataFrame(e, "a long, b long") for e in (edges[:150], edges[150:]))
+    whole = {tuple(r) for r in components(first.unionByName(more)).collect()}
+    assert {tuple(r) for r in common.extended(components(first), more).collect()} == whole
+    tables = []
+    table = common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: tables.append(name) or table(df, name))
+    stars = {tuple(r) for r in components(spark.createDataFrame([(9, 1), (8, 1), (7, 2)], "a long, b long")).collect()}
+    assert stars == {(9, 1), (8, 1), (1, 1), (7, 2), (2, 2)} and len(tables) == 2  # three before: a round to see that nothing changed
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (7, 7), (None, 3)] + [(200, k) for k in range(201, 230)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
