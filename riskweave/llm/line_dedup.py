@@ -4,11 +4,11 @@ Lines (between newlines) are compared in a normal form: lower case, runs of othe
 space. Equal forms are one line from the start. Unless it has few words, a form's character shingles for the signature start at its words
 (the first ``ANCHOR`` characters from there on), are hashed, and the smallest ``SKETCH`` hashes are its sketch; every
 run of ``ROWS`` neighbouring hashes of the sketch is a band key, so a pair of similarity 0.8 shares each of about
-nine bands with probability one half. Lines of a bucket are first paired with its first line, then with the first of
-the bucket's smallest other component; sizes and parity bitmaps of the shingles rule out pairs that cannot reach the
+nine bands with probability one half. Lines of a bucket are first paired with its first line, then each with the
+next of another component in an order that differs from bucket to bucket; sizes and parity bitmaps of the shingles rule out pairs that cannot reach the
 threshold, the others are verified by the exact Jaccard similarity of all ``SHINGLE``-character shingles. Verified links are
-united by distributed union-find. Buckets that still hold several components are exhausted: a few components directly,
-lines of buckets with many by their rarest shingles. The first line of a component, by document id and position, stays.
+united by distributed union-find. Buckets that still hold several components are exhausted, likeliest pairs first: directly if
+few lines are outside the largest component, else by the rarest shingles of all their lines. The first line of a component, by document id and position, stays.
 Forms of any length count; lines without letters and digits have an empty form and are left alone.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.apart import BITS, PARITY, between, mixed, paired, rarest, sifted, spokes
+from riskweave.llm.apart import BITS, PARITY, between, chained, likeliest, listed, meeting, mixed, rarest, sifted
 from riskweave.llm.common import components, discard, extended, materialise, read, unused
 from riskweave.llm.repeats import row_key
 
@@ -29,14 +29,14 @@ SKETCH = 11
 ROWS = 3
 #: Lines of fewer word starts than the first are sketched over all their shingles, of more than the second at word starts, others both ways.
 FEW = (10, 13)
-#: Lines of buckets with more components than this meet by their rarest shingles instead. Both ways find all pairs; a pair in a bucket
-#: costs a look at two bitmaps, a line's rarest shingles are dozens of rows, each in larger groups than its buckets.
-REFINE_OVER = 64
+#: Buckets with more lines than this outside their largest component meet by their rarest shingles instead. Both ways find all pairs; a
+#: line costs here as many looks at two bitmaps as lines are outside, there its shingles, which are hundreds of rows.
+REFINE_OVER = 4096
 
 
 def normal_form(text: Column) -> Column:
-    """Lower case, runs of other than letters and digits as one space; lines stay lines."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    """Lower case, runs of other than letters and digits as one space; lines stay lines. The pattern asks for a character's class only where it is none of the listed ones."""
+    return F.regexp_replace(F.lower(text), r"[[^abcdefghijklmnopqrstuvwxyz0123456789\n]&&[^\p{L}\p{N}]]+", " ")
 
 
 def _smallest(shingles: Column) -> Column:
@@ -49,7 +49,7 @@ def _keys(forms: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     found = forms.select("cls", "form", starts.alias("starts"))
     some = F.when(F.size("starts") >= FEW[0], _smallest(F.col("starts"))).otherwise(none)
-    every = F.when(F.size("starts") <= FEW[1], _smallest(_shingles(F.col("form")))).otherwise(none)
+    every = F.when(F.size("starts") <= FEW[1], _smallest(_grams(F.col("form")))).otherwise(none)
     sketched = found.select("cls", some.alias("some"), every.alias("every"))
     return sketched.select("cls", F.explode(F.concat(_bands(F.col("some")), _bands(F.col("every")))).alias("sig"))
 
@@ -65,15 +65,18 @@ def _bands(sketch: Column) -> Column:
     return F.concat(F.when(n > 2 * ROWS, runs).otherwise(none), F.when((n > 0) & (n <= 2 * ROWS + 1), F.concat(whole, less)).otherwise(none))
 
 
+def _grams(form: Column) -> Column:
+    """All character shingles; the lookahead finds overlapping ones in one pass over the text."""
+    return F.regexp_extract_all(form, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+
+
 def _shingles(form: Column) -> Column:
-    """All distinct character shingles; the lookahead finds overlapping ones in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(form, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    return F.array_distinct(_grams(form))
 
 
 def _shared(a: Column, b: Column) -> Column:
     """How many distinct character shingles two forms have in common."""
-    every = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.size(F.array_intersect(every(a), every(b)))
+    return F.size(F.array_intersect(_grams(a), _grams(b)))
 
 
 def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> DataFrame:
@@ -92,24 +95,25 @@ def _verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
 
 
 def _facts(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(cls, form, n_shingles, parity bitmap) of the lines in ``lines`` (cls)."""
+    """(cls, form, n_shingles, parity bitmap) of the lines in ``lines`` (cls). Both sides of the last join read one shuffle of the forms."""
     own = distinct.select(F.col("line").alias("cls"), "form").join(lines.distinct(), "cls")
     each = own.select("cls", F.explode(_shingles(F.col("form"))).alias("shingle")).select("cls", F.xxhash64("shingle").alias("h"))
     one = lambda k: F.when(F.pmod(F.col("h"), F.lit(PARITY)) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.shiftright("h", 16).bitwiseAND(F.lit(63))).cast("int"))).otherwise(F.lit(0).cast("bigint"))
     found = each.groupBy("cls").agg(F.count("*").alias("n_shingles"), *(F.bit_xor(one(k)).alias(b) for k, b in enumerate(BITS)))
-    return materialise(found, "facts")
+    return materialise(own.join(found, "cls"), "facts")
 
 
 def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the lines that are linked with others; ``shared`` has (sig, cls, hub): a bucket, one of its lines and its first line. It comes from ``materialise``; its table goes."""
-    facts = _facts(shared.select("cls"), distinct)
-    known = materialise(distinct.select("line", "form").join(facts.select(F.col("cls").alias("line"), "n_shingles"), "line"), "candidates")
+    every = _facts(shared.select("cls"), distinct)
+    facts, known = every.drop("form"), every.select(F.col("cls").alias("line"), "form", "n_shingles")
     stars = materialise(sifted(shared.where("cls <> hub").select("hub", "cls").distinct(), facts, threshold), "stars")
     links = _verify(stars, known, threshold)
     labels = components(links)
     left = mixed(shared, labels)
-    scrap = [shared, facts, known, stars, links, left]
-    second = materialise(sifted(spokes(left), facts, threshold).join(stars, ["hub", "cls"], "left_anti"), "stars")
+    scrap = [shared, every, stars, links, left]
+    left = left.where("classes > 2")  # the one pair of two lines was a star
+    second = materialise(sifted(chained(left), facts, threshold).join(stars, ["hub", "cls"], "left_anti"), "chains")
     done = stars
     scrap.append(second)
     if not second.isEmpty():
@@ -117,19 +121,19 @@ def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
         labels = extended(labels, scrap[-1])
         left, done = mixed(left, labels), stars.unionByName(second)
         scrap.append(left)
-    hot = F.col("components") > REFINE_OVER
-    few = paired(left.where(~hot), "sig", facts, done, threshold)
+    hot = F.col("others") > REFINE_OVER
+    few = meeting(listed(left.where(~hot)), "sig", facts, done, threshold)
     short = materialise(left.where(hot).select("cls", "component").distinct(), "short")
     rare = few.limit(0)
     if not short.isEmpty():
         forms = known.withColumnRenamed("line", "cls").join(short, "cls")
         shingled = materialise(forms.select("cls", F.explode(_shingles(F.col("form"))).alias("s")).select("cls", F.xxhash64("s").alias("shingle")), "shingles")
-        rare = paired(rarest(shingled, short, threshold), "shingle", facts, done, threshold)
+        rare = meeting(rarest(shingled, short, threshold), "shingle", facts, done, threshold)
         scrap.append(shingled)
     more = materialise(few.unionByName(rare).distinct(), "pairs")
     scrap += [short, more]
     if not more.isEmpty():  # one pair of each two components first; what that does not unite, all at once
-        single = materialise(between(more, labels, once=True), "pairs")
+        single = materialise(likeliest(more), "pairs")
         scrap += [single, _verify(single, known, threshold)]
         labels = extended(labels, scrap[-1])
         rest = materialise(between(more.join(single, ["hub", "cls"], "left_anti"), labels), "pairs")

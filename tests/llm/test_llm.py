@@ -212,6 +212,27 @@ def test_pairs_come_out_at_their_first_common_shingle(spark):
     assert len(linked) > 50 and linked <= got
 
 
+def test_a_group_of_near_copies_needs_few_pairs(spark, monkeypatch):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    base = [word() for _ in range(60)]
+    lines = []
+    for _ in range(240):
+        copy = list(base)
+        for k in rng.sample(range(60), rng.choice([2, 3, 4, 6])):
+            copy[k] = word()
+        lines.append(" ".join(copy))
+    seen = []
+    verify = line_dedup._verify
+    monkeypatch.setattr(line_dedup, "_verify", lambda pairs, *rest: seen.append(pairs.count()) or verify(pairs, *rest))
+    groups, found = line_dedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    of = {r["rid"]: r["component"] for r in found.join(groups, "line").collect()}
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in lines]
+    links = [(a, b) for a in range(240) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 2000 < len(links) < 27000 and all(of[a] == of[b] for a, b in links)
+    assert sum(seen) < 1600, seen  # 2,068 where lines only met the first line of a bucket and of its smallest other component
+
+
 def test_components_grow_and_end_with_stars(spark, monkeypatch):
     rng = random.Random(23)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
