@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 
+#: Words of the bitmap of ``marked``.
+MARKS = 1 << 19
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -59,6 +62,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with a last column ``marked`` (another name where that is taken): true where ``key`` is in ``wanted``, and for few others while those are few.
+
+    ``wanted``'s hashes are bits of a bitmap of ``MARKS`` words of 64, whose size is fixed; its words are broadcast, so that
+    rows which cannot be wanted need no shuffle. A null key is not marked.
+    """
+    word, bits, flag = (unused(rows, c) for c in ("word", "bits", "marked"))
+    place = F.pmod(F.xxhash64(key), F.lit(64 * MARKS))
+    bit = place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    known = wanted.where(F.col(key).isNotNull()).select(F.shiftright(place, 6).alias(word), one.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    found = rows.withColumn(word, F.shiftright(place, 6)).join(F.broadcast(known), word, "left")
+    yes = F.col(bits).bitwiseAND(one) != 0
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(key).isNotNull() & F.coalesce(yes, F.lit(False))).alias(flag))
+
+
 class Shared:
     """A broadcast object, pickled by value so that workers need no copy of this package. Its size must be bounded by its maker."""
 

@@ -1,7 +1,7 @@
 """Line dedup (operator 5), native: fuzzy lines by MinHash.
 
 Lines (between newlines) are compared in a normal form: lower case, runs of other than letters and digits as one
-space. Equal forms are one line from the start. Unless it has few words, a form's character shingles for the signature start at its words
+space. Equal forms, told by 124 bits of two hashes, are one line from the start. Unless it has few words, a form's character shingles for the signature start at its words
 (the first ``ANCHOR`` characters from there on), are hashed, and the smallest ``SKETCH`` hashes are its sketch; every
 run of ``ROWS`` neighbouring hashes of the sketch is a band key, so a pair of similarity 0.8 shares each of about
 nine bands with probability one half. Lines of a bucket are first paired with its first line, then each with the
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.apart import BITS, PARITY, between, chained, likeliest, listed, meeting, mixed, rarest, sifted
-from riskweave.llm.common import components, discard, extended, materialise, read, unused
+from riskweave.llm.common import components, discard, extended, marked, materialise, read, unused
 from riskweave.llm.repeats import row_key
 
 LEAST_CHARS = 1
@@ -88,24 +88,26 @@ def _lines(docs: DataFrame, key: Column, text_col: str, least_chars: int) -> Dat
 
 def _verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """The pairs (hub, cls) of lines whose shingles' Jaccard similarity reaches the threshold, as (a, b)."""
+    ends = pairs.select(F.explode(F.array("hub", "cls")).alias("line"))
+    known = marked(known, "line", ends).where("marked")
     left = known.select(F.col("line").alias("hub"), F.col("form").alias("fa"), F.col("n_shingles").alias("na"))
     right = known.select(F.col("line").alias("cls"), F.col("form").alias("fb"), F.col("n_shingles").alias("nb"))
     counted = pairs.join(left, "hub").join(right, "cls").select(F.col("hub").alias("a"), F.col("cls").alias("b"), _shared(F.col("fa"), F.col("fb")).alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
     return materialise(counted.where(F.col("both") * (1 + threshold) >= F.col("sum") * threshold - 1e-9).select("a", "b"), "links")
 
 
-def _facts(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _facts(lines: DataFrame, forms: DataFrame) -> DataFrame:
     """(cls, form, n_shingles, parity bitmap) of the lines in ``lines`` (cls). Both sides of the last join read one shuffle of the forms."""
-    own = distinct.select(F.col("line").alias("cls"), "form").join(lines.distinct(), "cls")
+    own = marked(forms, "cls", lines).where("marked").select("cls", "form").join(lines.distinct(), "cls")
     each = own.select("cls", F.explode(_shingles(F.col("form"))).alias("shingle")).select("cls", F.xxhash64("shingle").alias("h"))
     one = lambda k: F.when(F.pmod(F.col("h"), F.lit(PARITY)) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.shiftright("h", 16).bitwiseAND(F.lit(63))).cast("int"))).otherwise(F.lit(0).cast("bigint"))
     found = each.groupBy("cls").agg(F.count("*").alias("n_shingles"), *(F.bit_xor(one(k)).alias(b) for k, b in enumerate(BITS)))
     return materialise(own.join(found, "cls"), "facts")
 
 
-def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of the lines that are linked with others; ``shared`` has (sig, cls, hub): a bucket, one of its lines and its first line. It comes from ``materialise``; its table goes."""
-    every = _facts(shared.select("cls"), distinct)
+def _links(shared: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the lines that are linked with others; ``shared`` has (sig, cls, hub): a bucket, one of its lines and its first line. It comes from ``materialise``; its table goes. ``forms`` has (cls, form)."""
+    every = _facts(shared.select("cls"), forms)
     facts, known = every.drop("form"), every.select(F.col("cls").alias("line"), "form", "n_shingles")
     stars = materialise(sifted(shared.where("cls <> hub").select("hub", "cls").distinct(), facts, threshold), "stars")
     links = _verify(stars, known, threshold)
@@ -136,7 +138,7 @@ def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
         single = materialise(likeliest(more), "pairs")
         scrap += [single, _verify(single, known, threshold)]
         labels = extended(labels, scrap[-1])
-        rest = materialise(between(more.join(single, ["hub", "cls"], "left_anti"), labels), "pairs")
+        rest = materialise(between(more, labels).join(single, ["hub", "cls"], "left_anti"), "pairs")
         scrap.append(rest)
         if not rest.isEmpty():
             scrap.append(_verify(rest, known, threshold))
@@ -146,30 +148,45 @@ def _links(shared: DataFrame, distinct: DataFrame, threshold: float) -> DataFram
     return labels
 
 
+def _check(form: Column) -> Column:
+    """60 bits of a form's SHA-256."""
+    return F.conv(F.substring(F.sha2(form.cast("binary"), 256), 1, 15), 16, 10).cast("bigint")
+
+
+def _counted(raw: DataFrame) -> DataFrame:
+    """(line, first_id, copies, low, high) from (rid, at, line, form): low and high differ where several forms share a number."""
+    rows = raw.select("rid", "line", _check(F.col("form")).alias("check"))
+    return rows.groupBy("line").agg(F.min("rid").alias("first_id"), F.count("*").alias("copies"), F.min("check").alias("low"), F.max("check").alias("high"))
+
+
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(line, component, first_id, copies) of every distinct normal form, and (rid, at, line) of every line.
 
-    Forms are grouped as texts; ``line`` is the form's 64-bit hash, mixed with a second one where two forms share it.
-    first_id is the smallest row key that has the form (the id where ids are unique whole numbers, else a hash of id
-    and text), copies how often it stands. Null texts have no lines.
+    Forms are one line where a 64-bit hash and 60 bits of SHA-256 agree; ``line`` is the former, mixed with the latter where
+    forms share it. So texts of lines that stand once are not shuffled. first_id is the smallest row key that has the form
+    (the id where ids are unique whole numbers, else a hash of id and text), copies how often it stands. Null texts have no lines.
     """
     key, _ = row_key(docs, id_col, text_col)
-    raw = materialise(_lines(docs, key, text_col, least_chars), "lines")
-    distinct = raw.groupBy("form").agg(F.min("rid").alias("first_id"), F.count("*").alias("copies"))
-    distinct = materialise(distinct.select(F.xxhash64("form").alias("line"), "first_id", "copies", "form"), "forms")
-    clash = [r["line"] for r in distinct.groupBy("line").count().where("count > 1").select("line").collect()]  # n**2 / 2**65 of n forms are expected
-    number = F.xxhash64("form")
+    raw = materialise(_lines(docs, key, text_col, least_chars).withColumn("line", F.xxhash64("form")), "lines")
+    distinct = materialise(_counted(raw), "counts")
+    clash = [r["line"] for r in distinct.where("low <> high").select("line").collect()]  # n**2 / 2**65 of n forms are expected
     if clash:
-        number = F.when(number.isin(clash), F.xxhash64(number, F.lit(1), F.reverse("form"))).otherwise(number)
-        distinct = materialise(distinct.withColumn("line", number), "forms")
-    lines = materialise(raw.select("rid", "at", number.alias("line")), "lines")
-    discard(raw)
+        scrap = [raw, distinct]
+        raw = materialise(raw.withColumn("line", F.when(F.col("line").isin(clash), F.xxhash64("line", _check(F.col("form")))).otherwise(F.col("line"))), "lines")
+        distinct = materialise(_counted(raw), "counts")
+        for table in scrap:
+            discard(table)
+    parted = marked(raw.select(F.col("line").alias("cls"), "form"), "cls", distinct.where("copies > 1").select(F.col("line").alias("cls")))
+    several = materialise(parted.where("marked").select("cls", "form").distinct(), "several")
+    forms = parted.where("not marked").select("cls", "form").unionByName(several)
 
-    keys = _keys(distinct.select(F.col("line").alias("cls"), "form"))
     bucket = Window.partitionBy("sig")
-    shared = keys.select("sig", "cls", F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("last")).where("hub <> last").drop("last")
-    labels = _links(materialise(shared, "buckets"), distinct, threshold)
-    found = distinct.drop("form").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    shared = _keys(forms).select("sig", "cls", F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("last")).where("hub <> last").drop("last")
+    labels = _links(materialise(shared, "buckets"), forms, threshold)
+    lines = materialise(raw.select("rid", "at", "line"), "lines")
+    discard(raw)
+    discard(several)
+    found = distinct.drop("low", "high").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     found = materialise(found, "groups")
     discard(distinct)
     return found, lines
@@ -192,7 +209,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     extra = mine.select("rid", F.when(F.col("rid") == F.col("owner"), F.slice("places", 2, 1 << 30)).otherwise(F.col("places")).alias("places")).where(F.size("places") > 0)
     rid, gone = unused(docs, "rid"), unused(docs, "gone")
     removed = materialise(extra.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias(gone)).withColumnRenamed("rid", rid), "removed")
-    joined = docs.withColumn(rid, key).join(removed, rid, "left")
+    parted = marked(docs.withColumn(rid, key), rid, removed)  # texts that lose nothing stay where they are
+    flag = parted.columns[-1]
+    touched = parted.where(F.col(flag)).drop(flag).join(removed, rid, "left")
+    none = F.lit(None).cast(removed.schema[gone].dataType)
+    joined = parted.where(~F.col(flag)).drop(flag).withColumn(gone, none).unionByName(touched)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     clean = F.when(F.col(gone).isNull(), text).otherwise(kept)
     value = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: clean}

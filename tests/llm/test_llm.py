@@ -369,6 +369,42 @@ def test_language_model_keeps_every_ngram_that_occurs_twice(spark, longest):
             assert abs(r["score"] - auto.score([ids.get(x, -1) for x in h], base)) < 1e-9
 
 
+def test_only_wanted_rows_are_marked(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("if(id = 9, null, id) as k", "id as marked")
+    wanted = spark.range(0, 4000, 10).selectExpr("if(id = 0, null, id) as k")
+    got = common.marked(rows, "k", wanted)
+    assert got.columns == ["k", "marked", "marked_"] and got.count() == 4000
+    assert {r["k"] for r in got.where("marked_").collect()} == set(range(10, 4000, 10))  # of 33 million bits, these need no other's
+    monkeypatch.setattr(common, "MARKS", 2)
+    assert {r["k"] for r in common.marked(rows, "k", wanted).where("marked_").collect()} >= set(range(10, 4000, 10))
+
+
+@pytest.mark.parametrize("marks", [1, 1 << 19])
+def test_lines_that_stand_once_are_not_shuffled(spark, monkeypatch, marks):
+    rng = random.Random(41)
+    monkeypatch.setattr(common, "MARKS", marks)  # one word marks nearly all rows; the result is the same
+    lines = [prose(rng, 25) for _ in range(60)]
+    texts = ["\n".join(rng.choice(lines[:20]) for _ in range(3)) + "\n" + x for x in lines[20:]]
+    seen = []
+    table = line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: seen.append((name, table(df, name))) or seen[-1][1])
+    monkeypatch.setattr(line_dedup, "discard", lambda df: None)
+    groups, found = line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    copies = {}
+    for t in texts:
+        for x in t.split("\n"):
+            copies[x] = copies.get(x, 0) + 1
+    assert sorted(r["copies"] for r in groups.collect()) == sorted(copies.values()) and found.count() == sum(copies.values())
+    if marks > 1:  # before, all forms were grouped as texts
+        assert {name: df.count() for name, df in seen}["several"] == sum(n > 1 for n in copies.values()) < len(copies) - 30
+
+
+def test_forms_that_share_a_number_are_found(spark):
+    raw = spark.createDataFrame([(1, 0, 7, "a b"), (2, 0, 7, "a c"), (3, 0, 8, "a d"), (1, 1, 8, "a d")], "rid long, at int, line long, form string")
+    got = {r["line"]: r for r in line_dedup._counted(raw).collect()}
+    assert got[7]["low"] < got[7]["high"] and got[8]["low"] == got[8]["high"] and (got[8]["first_id"], got[8]["copies"]) == (1, 2)
+
+
 def test_lines_with_a_passage_in_common(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3 + rng.randrange(6)))
