@@ -6,11 +6,13 @@ least ``LEAST`` times. n-grams are the arcs of an automaton: a state is a histor
 probability, and each state has a failure arc to its longest proper suffix with the backoff weight that makes its
 distribution sum to one; at the root the base model answers.
 
-The automaton grows with the corpus and is a distributed table (key, c, back); nothing of it is broadcast or collected.
-Documents are dealt into blocks. A block asks for the keys of its distinct tokens and pairs, sorted and packed by key
-range; each range of the table answers with counts and backoff weights in the order asked. n-grams are counted the same
-way: blocks send their distinct keys and are told their counts, and one block of those that sent a key names it. A triple
-occurs no oftener than its two pairs, so triples are counted and asked for in a second step, where both pairs are arcs.
+The automaton grows with the corpus and is a distributed table of key ranges (keys, counts, backoff weights); nothing of it is broadcast or collected.
+Documents are cut into blocks of tokens, which are numbered and packed once, so that no later step reads a text again. A
+block asks for the keys of its distinct tokens and pairs, sorted and packed by key range; each range of the table answers
+with counts and backoff weights in the order asked. n-grams are counted the same way: blocks send their distinct keys and
+are told their counts, and one block of those that sent a key names it. A triple occurs no oftener than its two pairs, so
+triples are counted and asked for in a second step, where both pairs are arcs. The block that names an n-gram knows the
+counts of its history and suffix; a history's sums over its arcs, whole numbers, meet at the history's own key.
 A token's state is its longest history with an arc, so all tokens of a block are traversed at once: those that find no
 arc pay the backoff weight and follow the failure arc.
 """
@@ -19,12 +21,12 @@ from __future__ import annotations
 
 import gc
 import math
-import zlib
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ ORDER = 3
 DISCOUNT = 0.5
 ALPHA = 0.1
 BLOCK_BYTES = 12 << 20
+#: Blocks are scored in so many rounds, so that the requests and answers of one round only are on disk.
+ROUNDS = 2
 #: Hashes of the end token and of the start state, which no word's hash equals but by chance of 2**-64.
 END = np.int64(0x5E0D_E0D5_1A7B_33C1)
 START = np.int64(0x1157_A127_0CAB_77E9)
@@ -51,167 +55,249 @@ def tokens(raw, starts, ends, powers) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(len(first))
 
 
-def _count(batches):
-    """Partial counts of the training tokens of each stretch of rows."""
-    powers = Powers()
-    for batch in text_slices(batches, 0, 8 << 20):
-        h = []
-        for part in text_slices([batch], 0, 1 << 20):
-            h.append(tokens(*utf8(part.column(0)), powers)[0])
-        token, n = np.unique(np.concatenate(h), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], names=["token", "n"])
+def _joined(hist: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Key of the n-gram whose tokens but the last have the key ``hist`` and whose tokens but the first ``low``."""
+    return mix(hist.view(np.uint64) * np.uint64(0xA24BAED4963EE407) + mix(low.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, c) over all rows of the one-column frame ``texts``."""
-    return texts.mapInArrow(_count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("c"))
+# --- blocks of tokens -----------------------------------------------------------------------------
 
 
-def _joined(hist: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Key of the n-gram whose tokens but the last have the key ``hist`` and whose tokens but the first ``low``."""
-    return mix(hist.view(np.uint64) * np.uint64(0xA24BAED4963EE407) + mix(low.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+_BLOCK = "block bigint, size bigint, lengths binary, words binary, places binary"
 
 
-def _keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows' tokens, each row with START before it: keys of tokens, of pairs and triples that end at a token, and where pairs and triples lie within a row."""
-    at = first[:-1]
-    one = np.insert(h, at, START)
-    place = at + np.arange(len(at))
-    two, three = np.zeros_like(one), np.zeros_like(one)
-    two[1:] = _joined(one[:-1], one[1:])
-    three[2:] = _joined(two[1:-1], two[2:])
-    is_two = np.ones(len(one), bool)
-    is_two[place] = False
-    is_three = is_two.copy()
-    is_three[1:] &= is_two[:-1]
-    is_three[:1] = False
-    return one, two, three, is_two, is_three
+def _blocked(block_bytes: int, column: int, ids: bool = False):
+    """Packed blocks of about ``block_bytes`` of text: how many tokens each row has, the distinct tokens, and which of them stands where, START before each row; with ``ids``, column 0 too."""
 
+    def block(number: int, size: int, h: list, lengths: list, names: list) -> pa.RecordBatch:
+        length = np.concatenate(lengths)
+        one = np.insert(np.concatenate(h), np.cumsum(length) - length, START)
+        coded = pa.array(one.view(np.uint64)).dictionary_encode()  # several times as fast as a sort where few are distinct
+        words = coded.dictionary.to_numpy()
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, places = words[order], rank[coded.indices.to_numpy()]
+        out = {"block": pa.array([number]), "size": pa.array([size]), "lengths": _binary(_planes(length)), "words": _binary(_pack(words, 0, 1)), "places": _binary(_planes(places, 4))}
+        if ids:
+            at = np.array([0, len(length)], np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(at), pa.concat_arrays(names))
+        return pa.RecordBatch.from_pydict(out)
 
-def _grams(batches: list[pa.RecordBatch], column: int, pairs: np.ndarray | None = None):
-    """(keys, keys of all tokens but the last, of all but the first) of each stretch of rows: of its pairs or, given the sorted keys of the pairs that are arcs, of its triples of two such pairs."""
-    powers = Powers()
-    for part in text_slices(batches, column, 1 << 20):
-        one, two, three, is_two, is_three = _keys(*tokens(*utf8(part.column(column)), powers))
-        if pairs is None:
-            yield two[is_two].view(np.uint64), np.roll(one, 1)[is_two].view(np.uint64), one[is_two].view(np.uint64)
-        else:
-            good = is_three & _both(_among(pairs, two.view(np.uint64)))
-            yield three[good].view(np.uint64), np.roll(two, 1)[good].view(np.uint64), two[good].view(np.uint64)
+    def run(batches):
+        powers, number, size, held = Powers(), TaskContext.get().partitionId() << 32, 0, ([], [], [])
+        for part in text_slices(batches, column, min(block_bytes, 1 << 20)):
+            raw, starts, ends = utf8(part.column(column))
+            h, first = tokens(raw, starts, ends, powers)
+            for to, x in zip(held, (h, np.diff(first), part.column(0)), strict=True):
+                to.append(x)
+            size += int((ends - starts).sum())
+            if size >= block_bytes:
+                yield block(number, size, *held)
+                number, size, held = number + 1, 0, ([], [], [])
+        if held[0]:
+            yield block(number, size, *held)
 
+    return run
 
-def _among(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which of ``wanted`` are in the sorted ``key``."""
-    return key[np.minimum(_find(key, wanted), len(key) - 1)] == wanted if len(key) else np.zeros(len(wanted), bool)
 
+def _binary(x: bytes) -> pa.Array:
+    return pa.array([x], pa.binary())
 
-def _both(pair: np.ndarray) -> np.ndarray:
-    """Of each token, whether the pair that ends at it and the one that ends before it are marked."""
-    return pair & np.roll(pair, 1)
 
+class _Block:
+    """The tokens of a packed block: ``words`` has the distinct ones, ``at`` says which stands where, START before each row."""
+
+    def __init__(self, row) -> None:
+        self.number = row["block"][0].as_py()
+        self.words = _unpack(row["words"][0].as_py(), 0, 1)
+        self.lengths = _from_planes(row["lengths"][0].as_py())
+        self.at = _from_planes(row["places"][0].as_py(), 4).astype(np.int64)
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        self.is_two = np.ones(len(self.at), bool)
+        self.is_two[self.starts] = False
+        self.is_three = self.is_two & np.roll(self.is_two, 1)
+        one = self.words[self.at].view(np.int64)
+        self.two = np.zeros_like(one)
+        self.two[1:] = _joined(one[:-1], one[1:])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs' sorted keys, and of each place which one ends there (0 where none does)."""
+        key, which = np.unique(self.two[self.is_two].view(np.uint64), return_inverse=True)
+        at = np.zeros(len(self.at), np.int64)
+        at[self.is_two] = which
+        return key, at
+
+    def triples(self, arc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a triple of two pairs that are arcs ends (``arc``: of each place, whether the pair that ends there is one), and the triples' keys."""
+        place = np.flatnonzero(self.is_three & arc & np.roll(arc, 1))
+        return place, _joined(self.two[place - 1], self.two[place]).view(np.uint64)
 
-def _sent(key: np.ndarray, n: np.ndarray, block: pa.Table, parts: int) -> pa.Table:
-    """One request to each key range: a block's sorted distinct keys, and how often each occurs there."""
-    part, at = np.unique(_part_of(key, parts), return_index=True)
-    requests = [_pack(x, p, parts) for x, p in zip(np.split(key, at[1:]), part.tolist(), strict=True)] if len(key) else []
-    counts = [_planes(x) for x in np.split(n, at[1:])] if len(key) else []
-    own = block["block"][0].as_py() if block.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(part), own, np.int32)), "part": pa.array(part, pa.int32()), "request": pa.array(requests, pa.binary()), "n": pa.array(counts, pa.binary())})
 
+def _each(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield _Block(pa.Table.from_batches([batch.slice(k, 1)]))
 
-def _counted(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+def _vocabulary(batches):
+    """Partial counts of the tokens of each block."""
+    for block in _each(batches):
+        n = np.bincount(block.at, minlength=len(block.words))
+        real = block.words.view(np.int64) != START
+        yield pa.RecordBatch.from_arrays([pa.array(block.words.view(np.int64)[real]), pa.array(n[real])], names=["token", "n"])
+
+
+# --- counting ---------------------------------------------------------------------------------------
+
+
+def _sent(block: int, n: int, key: np.ndarray, times: np.ndarray | None, parts: int) -> pa.Table:
+    """One request to each key range about sorted distinct keys of ``n`` tokens, and how often each occurs in the block."""
+    part, at = np.unique(_part_of(key, parts), return_index=True)
+    requests = [_pack(x, p, parts) for x, p in zip(np.split(key, at[1:]), part.tolist(), strict=True)] if len(key) else []
+    out = {"block": pa.array(np.full(len(part), block, np.int64)), "n": pa.array(np.full(len(part), n, np.int32)), "part": pa.array(part, pa.int32()), "request": pa.array(requests, pa.binary())}
+    if times is not None:
+        out["times"] = pa.array([_planes(x) for x in np.split(times, at[1:])] if len(key) else [], pa.binary())
+    return pa.table(out)
 
 
 def _census(parts: int):
-    """Requests about a block's pairs."""
+    """Requests about a block's tokens and pairs."""
 
-    def run(table: pa.Table) -> pa.Table:
-        return _sent(*_counted([key for key, _, _ in _grams(table.select(["text"]).to_batches(), 0)]), table, parts)
+    def run(batches):
+        for block in _each(batches):
+            yield from _sent(block.number, 1, block.words, np.bincount(block.at, minlength=len(block.words)), parts).to_batches()
+            yield from _sent(block.number, 2, *np.unique(block.two[block.is_two].view(np.uint64), return_counts=True), parts).to_batches()
 
     return run
 
 
-def _census_long(parts: int):
+def _census_long(parts: int, least: int):
     """Requests about a block's triples of two pairs that are arcs."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        batches = left.select(["text"]).to_batches()
-        key, total, _ = _told(batches, parts, right)
-        return _sent(*_counted([key for key, _, _ in _grams(batches, 0, key[total > 0])]), left, parts)
+        block = _Block(left)
+        key, at = block.pairs()
+        total, _ = _told(key, 2, parts, right)
+        _, triple = block.triples(block.is_two & (total >= least)[at])
+        return _sent(block.number, 3, *np.unique(triple, return_counts=True), parts)
 
     return run
 
 
-def _summed(parts: int, least: int):
-    """Answers each block that sent a key with twice the key's whole count, if that is ``least`` or more, else with 0; one of the blocks, which shall name the key, with one more."""
+def _summed(parts: int):
+    """Answers each block that sent a key with twice the key's whole count; one of the blocks, which shall name the key, with one more."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"].to_pylist()
         keys = [_unpack(r.as_py(), p, parts) for r, p in zip(table["request"], part, strict=True)]
-        n = np.concatenate([_from_planes(x.as_py(), len(k)) for x, k in zip(table["n"], keys, strict=True)])
+        times = np.concatenate([_from_planes(x.as_py()) for x in table["times"]])
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         key = key[order]
         fresh = np.append(True, key[1:] != key[:-1])
-        total = np.add.reduceat(n[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        total = np.add.reduceat(times[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
         reply = np.zeros(len(key), np.int64)
-        reply[order] = np.where(total >= least, 2 * total + fresh, 0)
+        reply[order] = 2 * total + fresh
         replies = [_planes(x) for x in np.split(reply, np.cumsum([len(k) for k in keys])[:-1])]
-        return pa.table({"block": table["block"], "part": table["part"], "reply": pa.array(replies, pa.binary())})
+        return pa.table({"block": table["block"], "n": table["n"], "part": table["part"], "reply": pa.array(replies, pa.binary())})
 
     return run
 
 
-def _told(batches: list[pa.RecordBatch], parts: int, replies: pa.Table, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a block's pairs or triples (see ``_grams``), their whole counts, and which the block shall name."""
-    key = _distinct([key for key, _, _ in _grams(batches, 0, pairs)])
+def _told(key: np.ndarray, n: int, parts: int, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Whole counts of a block's sorted distinct keys of ``n`` tokens, and which of them the block shall name."""
     reply = np.zeros(len(key), np.int64)
-    for (a, b), packed in _places(key, parts, replies):
-        reply[a:b] = _from_planes(packed, b - a)
-    return key, reply >> 1, (reply & 1).astype(bool)
+    for (a, b), packed in _places(key, parts, replies, n):
+        reply[a:b] = _from_planes(packed)
+    return reply >> 1, (reply & 1).astype(bool)
+
+
+def _named(block: _Block, parts: int, least: int, order: int, replies: pa.Table):
+    """Of each order: n, the keys that a block shall name and their counts; then, but for tokens, keys of their histories and suffixes, and counts of the suffix and of the history's last token."""
+    count, own = _told(block.words, 1, parts, replies)
+    yield 1, block.words[own], count[own]
+    if order < 2:
+        return
+    key, at = block.pairs()
+    total, own = _told(key, 2, parts, replies)
+    own &= total >= least
+    place = np.zeros(len(key), np.int64)
+    place[at[block.is_two]] = np.flatnonzero(block.is_two)
+    place = place[own]
+    yield 2, key[own], total[own], block.words[block.at[place - 1]], block.words[block.at[place]], count[block.at[place]], count[block.at[place - 1]]
+    if order > 2:
+        where, triple = block.triples(block.is_two & (total >= least)[at])
+        long, which = np.unique(triple, return_inverse=True)
+        n, own = _told(long, 3, parts, replies)
+        own &= n >= least
+        place = np.zeros(len(long), np.int64)
+        place[which] = where
+        place = place[own]
+        yield 3, long[own], n[own], key[at[place - 1]], key[at[place]], total[at[place]], count[block.at[place - 1]]
 
 
-def _kept(parts: int, longest: int):
+def _kept(parts: int, least: int, order: int):
     """The n-grams that a block shall name."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        batches = left.select(["text"]).to_batches()
         out: dict[str, list] = {k: [] for k in ("n", "key", "hist", "low", "c")}
-        pairs = None
-        for order in range(2, longest + 1):
-            key, count, own = _told(batches, parts, right.filter(pa.compute.equal(right["n"], order)), pairs)
-            mine = key[own]
-            hist, low = np.zeros(len(mine), np.uint64), np.zeros(len(mine), np.uint64)
-            if len(mine):
-                for all_, before, after in _grams(batches, 0, pairs):
-                    at = np.minimum(_find(mine, all_), len(mine) - 1)
-                    hit = mine[at] == all_
-                    hist[at[hit]], low[at[hit]] = before[hit], after[hit]
-            for name, x in zip(out, (np.full(len(mine), order, np.int32), mine.view(np.int64), hist.view(np.int64), low.view(np.int64), count[own]), strict=True):
-                out[name].append(x)
-            pairs = key[count > 0]
+        for n, key, count, *rest in _named(_Block(left), parts, least, order, right):
+            if n > 1:
+                for name, x in zip(out, (np.full(len(key), n, np.int32), key.view(np.int64), rest[0].view(np.int64), rest[1].view(np.int64), count), strict=True):
+                    out[name].append(x)
         return pa.table({k: pa.array(np.concatenate(v)) for k, v in out.items()})
 
     return run
 
 
+class _Census:
+    """The packed blocks of a corpus and the whole counts of their n-grams, which two tables hold."""
+
+    def __init__(self, texts: DataFrame, least: int, block_bytes: int, order: int) -> None:
+        text = texts.select(F.col(texts.columns[0]).cast("string").alias("text"))
+        self.least, self.order = least, order
+        self.blocks = materialise(text.mapInArrow(_blocked(block_bytes, 0), _BLOCK), "blocks")
+        self.parts = max(1, -(-(self.blocks.agg(F.sum("size")).first()[0] or 0) // block_bytes))
+        self.tables = [self.blocks]
+
+    def tokens(self) -> DataFrame:
+        """(token, c)."""
+        return self.blocks.mapInArrow(_vocabulary, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("c"))
+
+    def told(self) -> DataFrame:
+        """(block, n, part, reply) of all orders."""
+        parts = self.parts
+        sent_as, told_as = "block bigint, n int, part int, request binary, times binary", "block bigint, n int, part int, reply binary"
+        replies = materialise(self._by(self.blocks.mapInArrow(_census(parts), sent_as), "part").applyInArrow(_summed(parts), told_as), "replies")
+        self.tables.append(replies)
+        if self.order < 3:
+            return replies
+        sent = self.with_replies(replies).applyInArrow(_census_long(parts, self.least), sent_as)
+        self.tables.append(materialise(self._by(sent, "part").applyInArrow(_summed(parts), told_as), "replies"))
+        return replies.unionByName(self.tables[-1])
+
+    def _by(self, rows: DataFrame, key: str):
+        return rows.repartition(self.parts, key).groupBy(key)
+
+    def with_replies(self, replies: DataFrame):
+        return self._by(self.blocks, "block").cogroup(self._by(replies, "block"))
+
+    def grams(self, told: DataFrame) -> DataFrame:
+        return self.with_replies(told).applyInArrow(_kept(self.parts, self.least, self.order), "n int, key bigint, hist bigint, low bigint, c bigint")
+
+    def discard(self) -> None:
+        for table in self.tables:
+            discard(table)
+
+
 def gram_counts(texts: DataFrame, least: int, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
-    """(n, key, hist, low, c) of the pairs (n = 2) and, of order 3, triples that occur at least ``least`` times; hist and low are the keys of all tokens but the last and but the first.
+    """(n, key, hist, low, c) of the pairs (n = 2) and, of order 3, triples that occur at least ``least`` times; hist and low are the keys of all tokens but the last and but the first."""
+    census = _Census(texts, least, block_bytes, order)
+    return census.grams(census.told())
 
-    Of order 3 ``texts`` is read more than once and must come in the same partitions each time, as files do.
-    """
-    text = texts.select(F.col(texts.columns[0]).cast("string").alias("text"))
-    blocks = max(1, -(-(text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    dealt = text.withColumn("block", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition("block")
-    sent_as, told_as = "block int, part int, request binary, n binary", "block int, part int, reply binary"
-    replies = dealt.groupBy("block").applyInArrow(_census(blocks), sent_as).groupBy("part").applyInArrow(_summed(blocks, least), told_as)
-    told = replies.withColumn("n", F.lit(2))
-    if order > 2:
-        replies = materialise(replies, "replies")
-        sent = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_census_long(blocks), sent_as)
-        told = replies.withColumn("n", F.lit(2)).unionByName(sent.groupBy("part").applyInArrow(_summed(blocks, least), told_as).withColumn("n", F.lit(3)))
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_kept(blocks, order), "n int, key bigint, hist bigint, low bigint, c bigint")
+
+# --- the automaton ----------------------------------------------------------------------------------
 
 
 class Automaton:
@@ -281,10 +367,10 @@ class Automaton:
 
 
 class Language:
-    """What scoring needs besides the token counts: corpus totals and the tables (key, c, back) of tokens, START and pairs, and of triples (order 3)."""
+    """What scoring needs: corpus totals and the table of key ranges (n, part, key, data), n = 2 for tokens, START and pairs, 3 for triples; ``parts`` is how many ranges there are."""
 
-    def __init__(self, n: int, v: int, documents: int, counts: DataFrame, pairs: DataFrame, triples: DataFrame, arcs: DataFrame, long_arcs: DataFrame | None, least: int, order: int) -> None:
-        self.n, self.v, self.documents, self.arcs, self.long_arcs, self.order = n, v, documents, arcs, long_arcs, order
+    def __init__(self, n: int, v: int, documents: int, counts: DataFrame, pairs: DataFrame | None, triples: DataFrame | None, arcs: DataFrame, parts: int, least: int, order: int) -> None:
+        self.n, self.v, self.documents, self.arcs, self.parts, self.order = n, v, documents, arcs, parts, order
         self._parts = counts, pairs, triples, least
 
     @property
@@ -304,44 +390,93 @@ class Language:
         return Automaton(words[:, 0].copy(), words[:, 1], self.documents, lambda c: (c + ALPHA) / self.scale, two, three)
 
 
-def _weighed(grams: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, hist, low, c) and the order below (key, c, p): the n-grams as (key, c, p), and (key, back) of their histories."""
-    low = lower.select(F.col("key").alias("low"), F.col("p").alias("under"))
-    hist = lower.select(F.col("key").alias("hist"), F.col("c").alias("seen"))
-    both = materialise(grams.join(low, "low").join(hist, "hist").select("key", "hist", "c", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("p"), "under"), "weighed")
-    rest = [F.greatest(1 - F.sum(x), F.lit(1e-9)) for x in ("p", "under")]
-    return both.select("key", "c", "p"), both.groupBy(F.col("hist").alias("key")).agg(F.log10(rest[0] / rest[1]).alias("back"))
+def _weights(parts: int, least: int, order: int):
+    """Of the n-grams that a block shall name, packed by key range: keys and counts, and of each history the number of its arcs, the sums of their counts and of their suffixes' counts, and its last token's count."""
+
+    def rows(n: int, of: int, key: np.ndarray, *columns: np.ndarray):
+        part, at = np.unique(_part_of(key, parts), return_index=True)
+        edge = np.append(at, len(key))
+        for p, a, b in zip(part.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield n, of, p, _pack(key[a:b], p, parts), _planes(np.concatenate([x[a:b] for x in columns]))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for n, key, count, *rest in _named(_Block(left), parts, least, order, right):
+            out += rows(max(n, 2), 0, key, count)
+            if n > 1:
+                hist, _, suffix, last = rest
+                from_, at = np.unique(hist, return_inverse=True)
+                sums = [np.zeros(len(from_), np.int64) for _ in range(4)]
+                for to, x in zip(sums, (1, count, suffix), strict=False):
+                    np.add.at(to, at, x)
+                sums[3][at] = last
+                out += rows(2, n - 1, from_, *sums)
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()
+        return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("n", "hist", "part", "key", "data"), columns, kinds, strict=True)})
+
+    return run
+
+
+def _range(parts: int, scale: float):
+    """A key range of the automaton: its sorted keys, their counts and the backoff weights of those that are histories."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, part = table["n"][0].as_py(), table["part"][0].as_py()
+        kinds = table["hist"].to_numpy()
+        keys = [_unpack(x.as_py(), part, parts) for x in table["key"]]
+        data = [_from_planes(x.as_py()).reshape(-1, len(k)) for x, k in zip(table["data"], keys, strict=True)]
+
+        def all_of(kind: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+            mine = np.flatnonzero(kinds == kind)
+            key = np.concatenate([np.zeros(0, np.uint64), *(keys[k] for k in mine)])
+            order = np.argsort(key)
+            return key[order], np.concatenate([np.zeros((columns, 0), np.int64), *(data[k] for k in mine)], axis=1)[:, order]
+
+        key, (c,) = all_of(0, 1)
+        back = np.full(len(key), np.nan)
+        for kind in (1, 2):
+            hist, sums = all_of(kind, 4)
+            if not len(hist):
+                continue
+            head = np.flatnonzero(np.append(True, hist[1:] != hist[:-1]))
+            arcs, counts, suffixes = (np.add.reduceat(x, head) for x in sums[:3])
+            at = np.searchsorted(key, hist[head])
+            under = (suffixes + ALPHA * arcs) / scale if kind == 1 else (suffixes - DISCOUNT * arcs) / sums[3][head]
+            rest = [np.maximum(1 - x, 1e-9) for x in ((counts - DISCOUNT * arcs) / c[at], under)]
+            back[at] = np.log10(rest[0] / rest[1])
+        return pa.table({"n": pa.array([n], pa.int32()), "part": pa.array([part], pa.int32()), "key": _binary(_pack(key, part, parts)), "data": _binary(_reply(c, back))})
+
+    return run
 
 
 def train(texts: DataFrame, *, least: int = LEAST, order: int = ORDER, keep_grams: bool = False) -> tuple[Language, DataFrame]:
     """Model and (token, c) table of the one-column frame of training texts; a null text is empty (one end token).
 
     An n-gram's own n-grams occur as often as it does, so with one threshold every arc has its history and its suffix.
-    The table of n-gram counts goes once it is weighed, unless ``keep_grams`` (``Language.automaton`` reads it).
+    With ``keep_grams`` the table of n-gram counts is kept too (``Language.automaton`` reads it).
     """
     spark = texts.sparkSession
-    counts = materialise(token_counts(texts), "tokens")
+    census = _Census(texts, least, BLOCK_BYTES, order)
+    counts = materialise(census.tokens(), "tokens")
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == int(END), F.col("c"))), F.lit(0))).first()
-    documents = max(ends, 1)
-    grams = materialise(gram_counts(texts, least, order=order), "grams")
-    pairs, triples = grams.where("n = 2").drop("n"), grams.where("n = 3").drop("n")
-    start = spark.createDataFrame([(int(START), documents)], "token bigint, c bigint")
-    one = counts.select("token", "c").unionByName(start).select(F.col("token").alias("key"), "c", ((F.col("c") + ALPHA) / (n + ALPHA * (v + 1))).alias("p"))
-    two, back_one = _weighed(pairs, one)
-    arcs = one.join(back_one, "key", "left").select("key", "c", "back")
-    ends_here = F.lit(None).cast("double").alias("back")
-    long_arcs = None
-    if order > 2:
-        three, back_two = _weighed(triples, two)
-        arcs = arcs.unionByName(two.join(back_two, "key", "left").select("key", "c", "back"))
-        long_arcs = three.select("key", "c", ends_here)
-    else:
-        arcs = arcs.unionByName(two.select("key", "c", ends_here))
-    if not keep_grams:
-        discard(grams)
+    told = census.told()
+    pairs = triples = None
+    if keep_grams:
+        grams = materialise(census.grams(told), "grams")
+        pairs, triples = grams.where("n = 2").drop("n"), grams.where("n = 3").drop("n")
+    parts = census.parts
+    named = materialise(census.with_replies(told).applyInArrow(_weights(parts, least, order), "n int, hist int, part int, key binary, data binary"), "named")
+    census.discard()
+    ranges = named.repartition(parts, "part").groupBy("n", "part")
+    arcs = materialise(ranges.applyInArrow(_range(parts, n + ALPHA * (v + 1)), "n int, part int, key binary, data binary"), "arcs")
+    discard(named)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # the shuffles behind these tables go before scoring makes its own
-    return Language(n, v, documents, counts, pairs, triples, arcs, long_arcs, least, order), counts
+    return Language(n, v, max(ends, 1), counts, pairs, triples, arcs, parts, least, order), counts
+
+
+# --- scoring ----------------------------------------------------------------------------------------
 
 
 _RESULT = "id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -350,28 +485,40 @@ _RESULT = "id {kind}, n_tokens bigint, n_known bigint, base_score double, score
 def score(docs: DataFrame, language: Language, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row; a null text is empty. Repeated rows are scored each for itself.
 
-    Rows are dealt by hash into blocks of about ``block_bytes``; each block asks for its distinct keys, one request to
+    Rows are cut into blocks of about ``block_bytes``; each block asks for its distinct keys, one request to
     each of as many key ranges as there are blocks: first for tokens and pairs, then for the triples of two known pairs.
+    The result is a table of its own.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("text", "id"), F.lit(blocks)).cast("int")).repartition("block")  # rows alone fix their block: they are dealt more than once
-    asked_as = "block int, part int, request binary"
-
-    def answers(asked: DataFrame, arcs: DataFrame) -> DataFrame:
-        ranged = arcs.mapInArrow(_ranged(blocks), "part int, key bigint, c bigint, back double")
-        return asked.groupBy("part").cogroup(ranged.groupBy("part")).applyInArrow(_answer(blocks), "block int, part int, reply binary")
-
-    known = answers(dealt.groupBy("block").applyInArrow(_ask(blocks), asked_as), language.arcs)
-    told = known.withColumn("n", F.lit(2))
-    if language.order > 2:
-        known = materialise(known, "answers")
-        asked = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_ask_long(blocks), asked_as)
-        told = known.withColumn("n", F.lit(2)).unionByName(answers(asked, language.long_arcs).withColumn("n", F.lit(3)))
-    scored = _score(blocks, language.scale, language.order)
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, _RESULT.format(kind=kind))
+    blocks = materialise(base.mapInArrow(_blocked(block_bytes, 1, True), f"{_BLOCK}, ids array<{kind}>"), "blocks")
+    parts = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // block_bytes))
+    told_as = "block bigint, n int, part int, reply binary"
+    asked_as = "block bigint, n int, part int, request binary"
+
+    def by(rows: DataFrame, key: str):
+        return rows.repartition(parts, key).groupBy(key)
+
+    def answers(asked: DataFrame, n: int) -> DataFrame:
+        ranged = language.arcs.where(F.col("n") == n).mapInArrow(_ranged(language.parts, parts), "part int, key binary, data binary")
+        return materialise(by(asked, "part").cogroup(by(ranged, "part")).applyInArrow(_answer(parts), told_as), "answers")
+
+    done = []
+    rounds = min(ROUNDS, parts)
+    for k in range(rounds):
+        mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k)
+        packed = mine.select("block", "lengths", "words", "places")
+        tables = [answers(packed.mapInArrow(_ask(parts), asked_as), 2)]
+        if language.order > 2:
+            asked = by(packed, "block").cogroup(by(tables[0], "block")).applyInArrow(_ask_long(parts), asked_as)
+            tables.append(answers(asked, 3))
+        told = reduce(DataFrame.unionByName, tables)
+        scored = by(mine.drop("size"), "block").cogroup(by(told, "block")).applyInArrow(_score(parts, language.scale, language.order), _RESULT.format(kind=kind))
+        done.append(materialise(scored, "scores"))
+        for table in tables:
+            discard(table)
+    discard(blocks)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -396,33 +543,31 @@ def _unpack(packed: bytes, part: int, parts: int) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64) + np.uint64(min(part * _step(parts), (1 << 64) - 1))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """Whole numbers below 2 ** (8 * width), by byte planes."""
+    wide = np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(8, "little") + pa.compress(wide.tobytes(), "zstd", asbytes=True)
 
 
-def _from_planes(packed: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, n).T).reshape(-1).view("<i8")
+def _from_planes(packed: bytes, width: int = 8) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    raw = pa.decompress(packed[8:], n * width, "zstd", asbytes=True) if n else b""
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return wide.reshape(-1).view("<i8")
 
 
-def _distinct(x: list[np.ndarray]) -> np.ndarray:
+def _distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values. np.unique hashes where it is asked for values alone, which takes several times as long here."""
-    all_ = np.concatenate(x) if x else np.zeros(0, np.uint64)
-    all_.sort()
-    return all_[np.append(True, all_[1:] != all_[:-1])] if len(all_) else all_
-
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
-def _find(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """np.searchsorted, asked in order: neighbouring answers lie near each other in memory."""
-    order = np.argsort(wanted)
-    out = np.empty(len(wanted), np.int64)
-    out[order] = np.searchsorted(key, wanted[order])
-    return out
 
-
-def _places(key: np.ndarray, parts: int, replies: pa.Table):
-    """Of each reply, the stretch of a block's keys that it is about, and the reply."""
+def _places(key: np.ndarray, parts: int, replies: pa.Table, n: int):
+    """Of each reply about keys of ``n`` tokens, the stretch of a block's sorted keys of so many that it is about, and the reply."""
     part, at = np.unique(_part_of(key, parts), return_index=True)
     begin = dict(zip(part.tolist(), zip(at.tolist(), np.append(at, len(key))[1:].tolist(), strict=True), strict=True))
+    replies = replies.filter(pa.compute.equal(replies["n"], n))
     for p, reply in zip(replies["part"].to_pylist(), replies["reply"], strict=True):
         yield begin[p], reply.as_py()
 
@@ -434,125 +579,104 @@ def _reply(c: np.ndarray, back: np.ndarray) -> bytes:
     return len(planes).to_bytes(8, "little") + planes + np.packbits(has).tobytes() + back[has].astype("<f8").tobytes()
 
 
-def _read_reply(reply: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _read_reply(reply: bytes) -> tuple[np.ndarray, np.ndarray]:
     at = 8 + int.from_bytes(reply[:8], "little")
-    c = _from_planes(reply[8:at], n)
-    bits = -(-n // 8)
-    has = np.unpackbits(np.frombuffer(reply, np.uint8, bits, at), count=n).astype(bool)
-    back = np.full(n, np.nan)
+    c = _from_planes(reply[8:at])
+    bits = -(-len(c) // 8)
+    has = np.unpackbits(np.frombuffer(reply, np.uint8, bits, at), count=len(c)).astype(bool)
+    back = np.full(len(c), np.nan)
     back[has] = np.frombuffer(reply[at + bits :], "<f8")
     return c, back
 
 
-def _wanted(texts: list[pa.RecordBatch], column: int) -> np.ndarray:
-    """Sorted distinct keys of a block's tokens and pairs."""
-    powers, found = Powers(), []
-    for part in text_slices(texts, column, 1 << 20):
-        one, two, _, is_two, _ = _keys(*tokens(*utf8(part.column(column)), powers))
-        found += [_distinct([x.view(np.uint64)]) for x in (one, two[is_two])]
-    return _distinct(found)
-
-
-def _known(texts: list[pa.RecordBatch], column: int, parts: int, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a block's tokens and pairs, their counts and their backoff weights."""
-    key = _wanted(texts, column)
+def _known(key: np.ndarray, n: int, parts: int, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and backoff weights of a block's sorted distinct keys of ``n`` tokens."""
     count, back = np.zeros(len(key), np.int64), np.zeros(len(key))
-    for (a, b), reply in _places(key, parts, replies):
-        count[a:b], weight = _read_reply(reply, b - a)
+    for (a, b), reply in _places(key, parts, replies, n):
+        count[a:b], weight = _read_reply(reply)
         back[a:b] = np.nan_to_num(weight)  # a history that no arc leaves is no state: its backoff costs nothing
-    return key, count, back
-
-
-def _asked(key: np.ndarray, block: pa.Table, parts: int) -> pa.Table:
-    part, at = np.unique(_part_of(key, parts), return_index=True)
-    requests = [_pack(x, p, parts) for x, p in zip(np.split(key, at[1:]), part.tolist(), strict=True)] if len(key) else []
-    own = block["block"][0].as_py() if block.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(part), own, np.int32)), "part": pa.array(part, pa.int32()), "request": pa.array(requests, pa.binary())})
+    return count, back
 
 
 def _ask(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        return _asked(_wanted(table.select(["text"]).to_batches(), 0), table, parts)
+    def run(batches):
+        for block in _each(batches):
+            for n, key in ((1, block.words), (2, _distinct(block.two[block.is_two].view(np.uint64)))):
+                yield from _sent(block.number, n, key, None, parts).to_batches()
 
     return run
 
 
 def _ask_long(parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.select(["text"]).to_batches()
-        key, count, _ = _known(texts, 0, parts, right)
-        return _asked(_distinct([k for k, _, _ in _grams(texts, 0, key[count > 0])]), left, parts)
+        block = _Block(left)
+        key, at = block.pairs()
+        count, _ = _known(key, 2, parts, right)
+        _, triple = block.triples(block.is_two & (count > 0)[at])
+        return _sent(block.number, 3, _distinct(triple), None, parts)
 
     return run
 
 
-def _ranged(parts: int):
+def _ranged(of: int, parts: int):
+    """The automaton's key ranges, ``of`` in all, cut anew into ``parts``."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_part_of(batch.column(0).to_numpy(), parts)), *batch.columns], names=["part", "key", "c", "back"])
+            for p, key, data in zip(batch["part"].to_pylist(), batch["key"], batch["data"], strict=True):
+                key, (c, back) = _unpack(key.as_py(), p, of), _read_reply(data.as_py())
+                part, at = np.unique(_part_of(key, parts), return_index=True)
+                edge = np.append(at, len(key)).tolist()
+                for q, a, b in zip(part.tolist(), edge[:-1], edge[1:], strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), _binary(_pack(key[a:b], q, parts)), _binary(_reply(c[a:b], back[a:b]))], names=["part", "key", "data"])
 
     return run
 
 
 def _answer(parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = right["key"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, c, back = key[order], right["c"].to_numpy()[order], right["back"].to_numpy()[order].astype(float)
+        key = np.concatenate([np.zeros(0, np.uint64), *(_unpack(k.as_py(), p, parts) for p, k in zip(right["part"].to_pylist(), right["key"], strict=True))])
+        data = [_read_reply(x.as_py()) for x in right["data"]]
+        c, back = (np.concatenate([np.zeros(0, kind), *(x[k] for x in data)]) for k, kind in enumerate((np.int64, float)))
+        order = np.argsort(key, kind="stable")
+        key, c, back = key[order], c[order], back[order]
         replies = []
         for part, request in zip(left["part"].to_pylist(), left["request"], strict=True):
             asked = _unpack(request.as_py(), part, parts)
             at = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
             known = key[at] == asked if len(key) else np.zeros(len(asked), bool)
             replies.append(_reply(np.where(known, c[at], 0), np.where(known, back[at], np.nan)) if len(key) else _reply(np.zeros(len(asked), np.int64), np.full(len(asked), np.nan)))
-        return pa.table({"block": left["block"], "part": left["part"], "reply": pa.array(replies, pa.binary())})
+        return pa.table({"block": left["block"], "n": left["n"], "part": left["part"], "reply": pa.array(replies, pa.binary())})
 
     return run
 
 
 def _score(parts: int, scale: float, order: int):
+    log_scale = math.log10(scale)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.select(["id", "text"]).to_batches()
-        first_step = pa.compute.equal(right["n"], 2)
-        key, count, back = _known(texts, 1, parts, right.filter(first_step))
-        long, long_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        block = _Block(left)
+        is_two, is_three = block.is_two, block.is_three & (order > 2)
+        count, back = _known(block.words, 1, parts, right)
+        n_one, back_one = count[block.at], back[block.at]
+        key, at = block.pairs()
+        count, back = _known(key, 2, parts, right)
+        n_two, back_two = np.where(is_two, count[at], 0), np.where(is_two, back[at], 0.0)
+        n_three = np.zeros(len(n_one), np.int64)
         if order > 2:
-            long = _distinct([k for k, _, _ in _grams(texts, 1, key[count > 0])])
-            long_count = np.zeros(len(long), np.int64)
-            for (a, b), reply in _places(long, parts, right.filter(pa.compute.invert(first_step))):
-                long_count[a:b], _ = _read_reply(reply, b - a)
-        powers = Powers()
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        ids_out = []
-        log_scale = math.log10(scale)
-        for slice_ in text_slices(texts, 1, 1 << 20):
-            h, first = tokens(*utf8(slice_.column(1)), powers)
-            one, two, three, is_two, is_three = _keys(h, first)
-            is_three &= order > 2
-            a = _find(key, one.view(np.uint64))
-            b = np.where(is_two, 0, a)
-            b[is_two] = _find(key, two[is_two].view(np.uint64))
-            n_one, n_two, n_three = count[a], np.where(is_two, count[b], 0), np.zeros(len(one), np.int64)
-            likely = is_three & _both(n_two > 0)
-            n_three[likely] = long_count[_find(long, three[likely].view(np.uint64))]
-            logs = np.log10(n_one + ALPHA) - log_scale
-            before = np.roll(n_one, 1), np.roll(n_two, 1)  # counts of the histories of one and of two tokens
-            with np.errstate(divide="ignore", invalid="ignore"):
-                arc_two = np.log10((n_two - DISCOUNT) / before[0])
-                arc_three = np.log10((n_three - DISCOUNT) / before[1])
-            # at the state of one token, then at that of two: the arc, or the backoff weight and the failure arc
-            total = np.where(n_two > 0, arc_two, np.roll(back[a], 1) + logs)
-            total = np.where(n_three > 0, arc_three, np.where(is_three, np.roll(np.where(is_two, back[b], 0.0), 1), 0.0) + total)
-            at = first[:-1]
-            known, logs, total = (x[is_two] for x in (n_one > 0, logs, total))
-            out["n_tokens"].append(np.diff(first))
-            out["n_known"].append(np.add.reduceat(known.astype(np.int64), at))
-            out["base_score"].append(np.add.reduceat(logs, at))
-            out["score"].append(np.add.reduceat(total, at))
-            ids_out.append(slice_.column(0))
-        if not ids_out:
-            return pa.table({"id": left["id"], **{k: pa.array([], pa.float64() if "score" in k else pa.int64()) for k in out}})
-        return pa.table({"id": pa.chunked_array(ids_out)} | {k: pa.array(np.concatenate(v)) for k, v in out.items()})
+            place, triple = block.triples(n_two > 0)
+            key, which = np.unique(triple, return_inverse=True)
+            n_three[place] = _known(key, 3, parts, right)[0][which]
+        logs = np.log10(n_one + ALPHA) - log_scale
+        with np.errstate(divide="ignore", invalid="ignore"):  # counts of the histories of one and of two tokens stand one place before
+            arc_two = np.log10((n_two - DISCOUNT) / np.roll(n_one, 1))
+            arc_three = np.log10((n_three - DISCOUNT) / np.roll(n_two, 1))
+        # at the state of one token, then at that of two: the arc, or the backoff weight and the failure arc
+        total = np.where(n_two > 0, arc_two, np.roll(back_one, 1) + logs)
+        total = np.where(n_three > 0, arc_three, np.where(is_three, np.roll(back_two, 1), 0.0) + total)
+        first = np.cumsum(block.lengths) - block.lengths
+        sums = {"n_known": (n_one > 0).astype(np.int64), "base_score": logs, "score": total}
+        return pa.table({"id": left["ids"].combine_chunks().flatten(), "n_tokens": pa.array(block.lengths)} | {k: pa.array(np.add.reduceat(x[is_two], first)) for k, x in sums.items()})
 
     return run
 

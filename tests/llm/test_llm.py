@@ -369,6 +369,19 @@ def test_language_model_keeps_every_ngram_that_occurs_twice(spark, longest):
             assert abs(r["score"] - auto.score([ids.get(x, -1) for x in h], base)) < 1e-9
 
 
+def test_texts_are_read_once_and_never_shuffled_for_the_language_model(spark, monkeypatch):
+    rng = random.Random(17)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(50))) for i in range(300)], "doc_id long, text string")
+    plan = lm.gram_counts(docs.select("text"), 2, 3000)._jdf.queryExecution().toString()
+    assert "text#" not in plan  # before, texts were dealt anew for each step
+    language, counts = lm.train(docs.select("text"))
+    scored = lm.score(docs, language, counts, block_bytes=3000)
+    assert "text#" not in scored._jdf.queryExecution().toString()
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    for a, b in zip(scored.orderBy("id").collect(), lm.score(docs, language, counts).orderBy("id").collect(), strict=True):
+        assert a[:3] == b[:3] and abs(a["base_score"] - b["base_score"]) < 1e-9 and abs(a["score"] - b["score"]) < 1e-9
+
+
 def test_only_wanted_rows_are_marked(spark, monkeypatch):
     rows = spark.range(4000).selectExpr("if(id = 9, null, id) as k", "id as marked")
     wanted = spark.range(0, 4000, 10).selectExpr("if(id = 0, null, id) as k")
