@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.apart import BITS, PARITY, mixed, paired, rarest, sifted, spokes
-from riskweave.llm.common import Powers, Shared, components, discard, extended, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, unused, utf8
+from riskweave.llm.common import Powers, Shared, components, discard, extended, marked, materialise, mix, prefix_hash, read, space_words, span_hash, text_slices, unused, utf8
 from riskweave.llm.repeats import keyed
 
 SHINGLE = 5
@@ -440,11 +440,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the row of the smallest id of each component; rows linked with nothing stay. Of rows that repeat that id, one stays if they are in one component."""
     found, _ = similar_groups(docs, id_col=id_col, text_col=text_col)
-    stays = materialise(found.where("id <=> component_id or n_shingles = 0").select("id", "cls", "n_shingles").distinct(), "stays")
-    if stays.count() == stays.select("id").distinct().count() and stays.where("id is null").isEmpty():
-        held = docs.join(stays.select(F.col("id").alias(id_col)), id_col, "left_semi")
-        return held if held.groupBy(id_col).count().where("count > 1").isEmpty() else held.dropDuplicates([id_col])
-    keep = found.where("id <=> component_id or n_shingles = 0").groupBy("id", "cls").agg(F.min("rid").alias("rid")).select("rid")  # ids repeat: rows are told apart by id and text
+    found = materialise(found.select("id", "rid", "cls", F.expr("id <=> component_id or n_shingles = 0").alias("stays")), "found")
+    if found.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        parted = marked(docs, id_col, found.where("not stays").select(F.col("id").alias(id_col)))  # texts that stay are not shuffled
+        flag = parted.columns[-1]
+        maybe = parted.where(F.col(flag)).drop(flag).join(found.where("not stays").select(F.col("id").alias(id_col)), id_col, "left_anti")
+        return parted.where(~F.col(flag)).drop(flag).unionByName(maybe)
+    keep = found.where("stays").groupBy("id", "cls").agg(F.min("rid").alias("rid")).select("rid")  # ids repeat: rows are told apart by id and text
     own, name = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), unused(docs, "rid")
     return docs.withColumn(name, own).join(keep.withColumnRenamed("rid", name), name, "left_semi").dropDuplicates([name]).drop(name)
 

@@ -167,6 +167,22 @@ def test_similar_groups(spark, rows, docs, empty):
     assert ngram_join.similar_groups(empty)[0].count() == 0
 
 
+def test_texts_that_stay_are_not_shuffled_by_the_join(spark):
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" not in plan and "LeftAnti" in plan and "Union" in plan  # before, all texts were joined with the ids that stay
+    again = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (None, texts[2])], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in ngram_join.keep_one(again).collect()) == [0, 1, 3]
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(11)
     for n in [1, 2, 4, 5, 6, 8, 9, 12, 20, 45, 90, 240]:
